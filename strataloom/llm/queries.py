@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, toxicity
+from . import bpe, dartminhash, decontam, quality, toxicity, warc
+from .shared import scratch_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +22,41 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of each document, learned outside the held-out fifth."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    params = quality.QualityParams()
+    model = quality.fit(toxicity.labelled_sample(labels.where(_fold(5) != 0), docs, "quality", params.max_labels), "quality", params)
+    out = quality.scored(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", (_fold(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of each document."""
+    return dartminhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def vocabulary() -> bpe.Vocabulary:
+    import public_tokenizers
+
+    return bpe.Vocabulary.from_file(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token count of each document, and digests of its ids and of what they decode to."""
+    words = vocabulary()
+    out = bpe.decoded(bpe.encoded(_table(spark, sf_dir, "documents").select("doc_id", "text"), words), words)
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as WARC records and read back, with their place in the capture index."""
+    archives = scratch_path(spark, "warc")
+    warc.write_archives(_table(spark, sf_dir, "pages"), archives)
+    index = warc.merged_index(warc.read_runs(spark, archives))
+    return warc.resolved(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "position")
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of each document, learned outside the held-out third."""
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
@@ -30,5 +66,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (_fold(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
-QUERIES = {"op1_decontaminate": op1_decontaminate, "op10_toxicity": op10_toxicity}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_quality, op3_near_duplicates, op4_bpe, op9_warc, op10_toxicity)}
 SQL: dict[str, str] = {}

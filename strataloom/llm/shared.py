@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes that one vectorised step works on; a single longer document is still taken whole.
@@ -36,7 +37,7 @@ def sliced(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTE
     """Cut record batches so that the text column of each holds about ``limit`` bytes at most."""
     for batch in batches:
         start = used = 0
-        sizes = pa.compute.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False)
+        sizes = pc.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False)
         for row, size in enumerate(sizes):
             if row > start and used + size > limit:
                 yield batch.slice(start, row - start)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, dartminhash, decontam, quality, toxicity, warc
+from . import bpe, dartminhash, decontam, licenses, pii, pivots, quality, secrets, toxicity, warc
 from .shared import scratch_path
 
 
@@ -49,6 +49,32 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with surrogates for their personal data, and how many there are."""
+    return pii.replaced(_table(spark, sf_dir, "documents").select("doc_id", "text"), count_name="n_entities")
+
+
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence sentences and licences of each document, joined by commas."""
+    out = licenses.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.array_join("sentence_ids", ",").alias("sentence_ids"), F.array_join("licences", ",").alias("licences"))
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of each document: a document is a repository, its source the owner."""
+    out = secrets.scan(_table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return out.select(
+        "doc_id", *map(count, secrets.BASE), F.sha2(secrets.written_out(F.col("base")), 256).alias("base_sha256"),
+        secrets.written_out(F.array_sort(F.concat("base", "live_bare"))).alias("spans"), "n_live", "n_copied",
+    )
+
+
+def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links, component and representative of each vector."""
+    return pivots.links(_table(spark, sf_dir, "embeddings"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages written as WARC records and read back, with their place in the capture index."""
     archives = scratch_path(spark, "warc")
@@ -66,5 +92,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (_fold(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_quality, op3_near_duplicates, op4_bpe, op9_warc, op10_toxicity)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_quality, op3_near_duplicates, op4_bpe, op5_pii, op6_licenses, op7_secrets, op8_embeddings, op9_warc, op10_toxicity)}
+SQL: dict[str, str] = {"op6_licenses": licenses.duckdb_sql()}

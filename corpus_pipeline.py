@@ -1,25 +1,63 @@
-"""The corpus pipeline: toxic documents and near copies go, leaks go, personal data are replaced, the rest is encoded."""
+"""The corpus pipeline: toxic documents, near copies and benchmark leaks go, personal data are replaced, the rest is encoded.
+
+Rows with a null doc_id can't be told apart and pass the stages that decide by doc_id; of rows
+with the same doc_id all stay or go together, and of exact copies in other rows one stays.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from strataloom.llm import decontam, toxicity
+from strataloom.llm import bpe, dartminhash, decontam, pii, toxicity
+from strataloom.llm.queries import vocabulary
 from strataloom.llm.shared import written
 
+#: Documents of this probability or more are toxic.
+TOXIC = 0.7
+
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents under the threshold of a model of all labels."""
     params = toxicity.ToxicParams()
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fit(toxicity.labelled_sample(labels, docs, "toxic", params.max_labels), params)
-    return toxicity.scored(docs, model, "_toxicity").where("_toxicity < 0.7").drop("_toxicity")
+    return toxicity.scored(docs, model, "_toxicity").where(F.col("_toxicity") < TOXIC).drop("_toxicity")
+
+
+def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class."""
+    others = dartminhash.near_duplicates(docs).where("not representative").select("doc_id")
+    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
 
 
 def remove_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
     return decontam.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-STAGES = [("toxicity", remove_toxic), ("decontamination", remove_leaks)]
+def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with surrogates in their texts."""
+    return pii.replaced(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Tokens of each document, and digests of the ids and of what they decode to."""
+    words = vocabulary()
+    out = bpe.decoded(bpe.encoded(docs.select("doc_id", "text", "lang", "source"), words), words)
+    return out.select("doc_id", "lang", "source", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("toxicity", remove_toxic),
+    ("near_duplicates", remove_near_copies),
+    ("decontamination", remove_leaks),
+    ("personal_data", replace_personal_data),
+    ("bpe", encode),
+]
+
+#: Model scores, signatures and tokens are beyond SQL; the tests compare with plain versions.
+ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +66,3 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
-
-
-#: Model scores, signatures and tokens are beyond SQL; the tests compare with plain versions.
-ORACLE_SQL = None

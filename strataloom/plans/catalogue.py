@@ -4,5 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-QUERIES: dict[str, Callable] = {}
-SQL: dict[str, str] = {}
+from . import audits, content, permissions, search, suite
+
+_PARTS = (search, permissions, content, audits, suite)
+QUERIES: dict[str, Callable] = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
+SQL: dict[str, str] = {name: sql for part in _PARTS for name, sql in part.SQL.items()}

@@ -23,16 +23,18 @@ def shingles(tokens: Column, size: int = 3) -> Column:
 def simhash(docs: DataFrame, size: int = 3, language: Language = ENGLISH) -> DataFrame:
     """(key, simhash): bit i is set if more shingle hashes have it set than not.
 
-    The 64 bit counts of all shingles are plain sums, so they are added map-side; hashes are the
-    first 16 hexadecimal digits of SHA-256.
+    The bit counts of all shingles are plain sums, so they are added map-side; hashes are the first
+    16 hexadecimal digits of SHA-256.
     """
     parts = docs.select("key", F.explode(shingles(words(F.col("text"), language), size)).alias("s"))
     digits = F.substring(F.sha2("s", 256), 1, 16)
     hashed = parts.select("key", *[F.conv(F.substring(digits, 8 * k + 1, 8), 16, 10).cast("long").alias(f"h{k}") for k in range(2)])
-    bit = lambda i: F.shiftright(F.col("h0" if i >= 32 else "h1"), i % 32).bitwiseAND(1)
-    sums = hashed.groupBy("key").agg(*[F.sum(2 * bit(i) - 1).alias(f"b{i}") for i in range(64)])
-    half = lambda first: sum((F.when(F.col(f"b{first + j}") > 0, F.lit(1 << j)).otherwise(F.lit(0)).cast("long") for j in range(32)), F.lit(0).cast("long"))
-    return sums.select("key", half(32).alias("high"), half(0).alias("low"))
+    # one sum holds the counts of bit i of either half
+    bit = lambda half, i: F.shiftright(F.col(half), i).bitwiseAND(1)
+    sums = hashed.groupBy("key").agg(F.count("*").alias("n"), *[F.sum(F.shiftleft(bit("h0", i), 32) + bit("h1", i)).alias(f"b{i}") for i in range(32)])
+    count = {"high": lambda i: F.shiftright(F.col(f"b{i}"), 32), "low": lambda i: F.col(f"b{i}").bitwiseAND(0xFFFFFFFF)}
+    whole = lambda half: sum((F.when(2 * count[half](i) > F.col("n"), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i in range(32)), F.lit(0).cast("long"))
+    return sums.select("key", whole("high").alias("high"), whole("low").alias("low"))
 
 
 def hamming(a_high: Column, a_low: Column, b_high: Column, b_low: Column) -> Column:

@@ -30,7 +30,8 @@ w AS (SELECT doc_id AS key, {_WORDS_SQL} AS w FROM documents),
 sh AS (SELECT key, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) ELSE [array_to_string(w, ' ')] END) AS s FROM w),
 hashed AS (SELECT key, ('0x' || substr(sha256(s), 1, 16))::UBIGINT AS h FROM sh),
 bits AS (SELECT key, i, sum(2 * ((h >> i) & 1)::INT - 1) AS b FROM hashed, range(64) t(i) GROUP BY key, i),
-sim AS (SELECT key, sum(CASE WHEN b > 0 THEN (1::UHUGEINT << i::UHUGEINT) ELSE 0 END)::UBIGINT AS h FROM bits GROUP BY key)"""
+halves AS (SELECT key, sum(CASE WHEN b > 0 AND i >= 32 THEN 1::BIGINT << (i - 32)::BIGINT ELSE 0 END)::UBIGINT AS high, sum(CASE WHEN b > 0 AND i < 32 THEN 1::BIGINT << i::BIGINT ELSE 0 END)::UBIGINT AS low FROM bits GROUP BY key),
+sim AS (SELECT key, high * 4294967296::UBIGINT + low AS h FROM halves)"""
 
 
 def near_dup_pairs(spark, sf_dir):

@@ -32,6 +32,11 @@ ENGLISH = Language()
 TURKISH = Language("tr", "Iİ", "ıi", ("ocak", "şubat", "mart", "nisan", "mayıs", "haziran", "temmuz", "ağustos", "eylül", "ekim", "kasım", "aralık"), (("sözleşme", "contract"), ("fatura", "invoice"), ("karar", "decision"), ("rapor", "report")), ("no", "md", "vb", "dr"), "kısım", "bölüm", "madde", "sayfa", {})
 
 
+def let(value: Column, then) -> Column:
+    """``then(value)`` with the value computed once, also where ``then`` uses it within a lambda."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def fold(text: Column, language: Language = ENGLISH) -> Column:
     """Lower case by the language's own letters; the length in characters stays."""
     moved = F.translate(text, language.fold_from, language.fold_to) if language.fold_from else text

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import words
+from ..functions.text import let, words
 
 
 def golden_rank(ranked: DataFrame, evidence: DataFrame, depth: int = 10) -> DataFrame:
@@ -71,13 +71,15 @@ def character_error(truth, output):
 
 def has_loop(text, size: int = 4, times: int = 3):
     """Some run of ``size`` words stands ``times`` times or more."""
-    tokens = words(text)
-    n = F.size(tokens) - size + 1
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, size), " "))
-    # the sorted runs are bound once: three equal ones stand next to each other
-    repeated = lambda ordered: F.exists(F.sequence(F.lit(1), F.greatest(n - times + 1, F.lit(1))), lambda i: F.element_at(ordered, i) == F.get(ordered, i + times - 2))
-    again = F.element_at(F.transform(F.array(F.array_sort(runs)), repeated), 1)
-    return F.when(n >= times, F.coalesce(again, F.lit(False))).otherwise(F.lit(False))
+
+    def repeated(tokens):
+        n = F.size(tokens) - size + 1
+        runs = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, size), " "))
+        # in the sorted runs three equal ones stand next to each other
+        equal = lambda o: F.exists(F.sequence(F.lit(1), F.greatest(n - times + 1, F.lit(1))), lambda i: F.element_at(o, i) == F.get(o, i + times - 2))
+        return F.when(n >= times, F.coalesce(let(F.array_sort(runs), equal), F.lit(False))).otherwise(F.lit(False))
+
+    return let(words(text), repeated)
 
 
 def gates(current: DataFrame, baseline: DataFrame, drop: float = 0.01) -> DataFrame:

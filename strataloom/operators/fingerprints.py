@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
-from ..functions.text import ENGLISH, Language, words
+from ..functions.text import ENGLISH, Language, let, words
 
 
 def content_hash(text: Column, language: Language = ENGLISH) -> Column:
@@ -16,8 +16,8 @@ def content_hash(text: Column, language: Language = ENGLISH) -> Column:
 
 def shingles(tokens: Column, size: int = 3) -> Column:
     """Runs of ``size`` words; one run of all words where there are fewer."""
-    many = F.transform(F.sequence(F.lit(1), F.greatest(F.size(tokens) - size + 1, F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, size), " "))
-    return F.when(F.size(tokens) >= size, many).otherwise(F.array(F.array_join(tokens, " ")))
+    many = lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - size + 1, F.lit(1))), lambda i: F.array_join(F.slice(t, i, size), " "))
+    return let(tokens, lambda t: F.when(F.size(t) >= size, many(t)).otherwise(F.array(F.array_join(t, " "))))
 
 
 def simhash(docs: DataFrame, size: int = 3, language: Language = ENGLISH) -> DataFrame:
@@ -26,9 +26,10 @@ def simhash(docs: DataFrame, size: int = 3, language: Language = ENGLISH) -> Dat
     The bit counts of all shingles are plain sums, so they are added map-side; hashes are the first
     16 hexadecimal digits of SHA-256.
     """
-    parts = docs.select("key", F.explode(shingles(words(F.col("text"), language), size)).alias("s"))
-    digits = F.substring(F.sha2("s", 256), 1, 16)
-    hashed = parts.select("key", *[F.conv(F.substring(digits, 8 * k + 1, 8), 16, 10).cast("long").alias(f"h{k}") for k in range(2)])
+    digits = F.transform(shingles(words(F.col("text"), language), size), lambda s: F.substring(F.sha2(s, 256), 1, 16))
+    half = lambda d, k: F.conv(F.substring(d, 8 * k + 1, 8), 16, 10).cast("long").alias(f"h{k}")
+    # hashed before the rows are exploded, so that the sums below don't hash again
+    hashed = docs.select("key", F.explode(F.transform(digits, lambda d: F.struct(half(d, 0), half(d, 1)))).alias("h")).select("key", "h.h0", "h.h1")
     # one sum holds the counts of bit i of either half
     bit = lambda half, i: F.shiftright(F.col(half), i).bitwiseAND(1)
     sums = hashed.groupBy("key").agg(F.count("*").alias("n"), *[F.sum(F.shiftleft(bit("h0", i), 32) + bit("h1", i)).alias(f"b{i}") for i in range(32)])

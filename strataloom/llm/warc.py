@@ -50,9 +50,10 @@ def records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
         F.coalesce("html", F.lit("")).alias("payload"),
     )
     own = own.withColumn("digest", base32_sha1(F.col("payload"))).withColumn("bytes", F.octet_length("payload"))
-    # counted map-side first; the join deals out a payload of very many pages anew (skew join)
-    last = own.where(F.col("bytes") >= least_bytes).groupBy("digest").agg(F.max(F.struct("page_id", "url")).alias("last"))
-    own = own.join(last, "digest", "left")
+    # counted map-side; only payloads of several pages are joined back, and by their written size
+    # Spark chooses between sending these to all tasks and dealing out all pages (with skew join)
+    last = own.where(F.col("bytes") >= least_bytes).groupBy("digest").agg(F.max(F.struct("page_id", "url")).alias("last"), F.min("page_id").alias("first"))
+    own = own.join(written(last.where("first < last.page_id").select("digest", "last"), "repeated-payloads"), "digest", "left")
     revisit = F.coalesce(F.col("last.page_id") > F.col("page_id"), F.lit(False))
     date = F.date_format(F.timestamp_seconds(F.pmod("page_id", F.lit(1_000_000_000)) + _FIRST_CAPTURE), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{LINE}Content-Type: text/html; charset=utf-8{LINE}Content-Length: "), F.col("bytes"), F.lit(LINE * 2))

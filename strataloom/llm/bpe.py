@@ -23,7 +23,7 @@ from .shared import sliced
 #: Matches held at once of one very long text.
 CHUNK = 1 << 18
 #: Distinct matches that a task remembers before it starts over.
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 17
 
 
 def byte_characters() -> list[str]:

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -36,6 +36,7 @@ class DartParams:
     similarity: float = 0.8
     bands: int = 25
     rows: int = 5
+    block: int = 400
 
 
 def weighted_elements(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -140,10 +141,10 @@ def near_duplicates(docs: DataFrame, params: DartParams = DartParams()) -> DataF
     and only a representative (least doc_id) goes on.  Rows with a null doc_id are left out; rows
     with the same doc_id count once, with the longest text.
 
-    Every bucket is compared with a leader first.  Where the members of a bucket are then not yet in
-    one class, further leaders (more each round) are compared with the members outside
-    their class, until no such pair of the bucket is left untried: large groups of near copies
-    cost a comparison a member, and no link of a bucket is lost.
+    Every bucket is compared with its leader first, which settles most buckets.  The members of a
+    bucket that are not in one class after that are compared with each other in blocks: a task
+    holds two blocks of a bucket at most and returns a link a member at most, never all pairs, so
+    no link of a bucket is lost and the rows grow with the members.
     """
     own = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     signed = own.mapInArrow(_signature_rows(params), "doc_id long, n_words long, text1 long, text2 long, bands array<long>")
@@ -156,47 +157,93 @@ def near_duplicates(docs: DataFrame, params: DartParams = DartParams()) -> DataF
     rows = texts.select("text_id", F.explode("bands").alias("bucket"))
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("text_id").alias("leader")).where("n > 1")
     rows = written(rows.join(sizes, "bucket"), "buckets")
-    tried = rows.where("text_id <> leader").select(F.col("leader").alias("a"), F.col("text_id").alias("b")).distinct()
-    tried = written(_verified(own, tried, params), "tried")
-    first, last, mixed = 1, 4, None
-    while True:
-        if mixed is None:  # there are new links
-            linked = tried.where(F.col("similarity") >= params.similarity)
-            found = written(components(linked.select(F.col("a").alias("src"), F.col("b").alias("dst"))), "classes")
-            placed = rows.select("bucket", "text_id").join(found.withColumnRenamed("node", "text_id"), "text_id", "left").withColumn("component", F.coalesce("component", "text_id"))
-            several = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi and n > 2").select("bucket")
-            mixed = written(placed.join(several, "bucket"), "mixed")
-        pairs, any_left = _next_pairs(mixed, tried, first, last)
-        if not any_left:
-            break
-        if not pairs.isEmpty():
-            more = written(_verified(own, pairs, params), "tried")
-            tried = tried.union(more)
-            if not more.where(F.col("similarity") >= params.similarity).isEmpty():
-                mixed = None
-        first, last = last + 1, 8 * last
-    return member.join(found.withColumnRenamed("node", "text_id"), "text_id", "left").select("doc_id", F.coalesce("component", "text_id").alias("class_id"), (F.col("doc_id") == F.coalesce("component", "text_id")).alias("representative"))
-
-
-def _next_pairs(mixed: DataFrame, tried: DataFrame, first: int, last: int) -> tuple[DataFrame, bool]:
-    """Untried pairs of each bucket's leaders number ``first`` to ``last`` with its members of other classes.
-
-    Leaders are numbered by a hash; the filter on the number lets Spark cut the rows of a bucket
-    before they are shuffled.  Also tells whether there were leaders at all.
+    sets = _elements(own, rows.select(F.col("text_id").alias("doc_id")).distinct(), params)
+    pairs = rows.where("text_id <> leader").select(F.col("leader").alias("a"), F.col("text_id").alias("b")).distinct()
+    linked = written(_linked(pairs, sets, params), "linked")
+    found = written(components(linked), "classes").withColumnRenamed("node", "text_id")
+    placed = rows.where("n > 2").select("bucket", "text_id").join(found, "text_id", "left").withColumn("component", F.coalesce("component", "text_id"))
+    several = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("bucket", "n")
+    within = written(_links_within(placed.join(several, "bucket"), sets, params), "within")
+    found = components(linked.union(within)).withColumnRenamed("node", "text_id")
+    return member.join(found, "text_id", "left").select("doc_id", F.coalesce("component", "text_id").alias("class_id"), (F.col("doc_id") == F.coalesce("component", "text_id")).alias("representative"))
+
+
+#: Bits of the filter that keeps texts without a candidate from being shuffled.
+_FILTER_BITS = 1 << 24
+
+
+def _maybe(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents whose doc_id may be among the ids: few others pass while ids are fewer than the filter's bits.
+
+    The filter has ``_FILTER_BITS`` bits whatever the input, at most 2^18 rows of 64 bits, so it is
+    broadcast; the caller joins the ids exactly afterwards.
     """
-    number = F.row_number().over(Window.partitionBy("bucket").orderBy(F.xxhash64("text_id"), "text_id"))
-    chosen = mixed.withColumn("number", number).where(F.col("number") <= last).where(F.col("number") >= first)
-    chosen = written(chosen.select("bucket", F.col("text_id").alias("leader"), F.col("component").alias("other")), "leaders")
-    pairs = mixed.join(chosen, "bucket").where("component <> other")
-    pairs = pairs.select(F.least("leader", "text_id").alias("a"), F.greatest("leader", "text_id").alias("b")).distinct()
-    return written(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"), "pairs"), not chosen.isEmpty()
-
-
-def _verified(docs: DataFrame, pairs: DataFrame, params: DartParams) -> DataFrame:
-    """Pairs (a, b) with the exact similarity of their texts."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_element_rows(params), "doc_id long, elements array<long>")
-    sets = written(sets.dropDuplicates(["doc_id"]), "elements")
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(_FILTER_BITS))
+    word, bit = F.shiftright(slot, 6).cast("int").alias("_word"), F.pmod(slot, F.lit(64)).cast("int").alias("_bit")
+    bits = ids.select(word, bit).groupBy("_word").agg(F.expr("bit_or(shiftleft(1L, _bit))").alias("_bits"))
+    hit = docs.select("*", word, bit).join(F.broadcast(bits), "_word").where("(shiftright(_bits, _bit) & 1) = 1")
+    return hit.select(*docs.columns)
+
+
+def _elements(docs: DataFrame, ids: DataFrame, params: DartParams) -> DataFrame:
+    """(doc_id, elements) of the documents that share a bucket."""
+    sets = _maybe(docs, ids).mapInArrow(_element_rows(params), "doc_id long, elements array<long>").join(ids, "doc_id", "left_semi")
+    # of rows with the same doc_id the longest text counts
+    sets = sets.groupBy("doc_id").agg(F.max(F.struct(F.size("elements").alias("n"), "elements")).alias("e"))
+    return written(sets.select("doc_id", "e.elements"), "elements")
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, params: DartParams) -> DataFrame:
+    """(src, dst) of the pairs (a, b) that are similar enough, by their whole texts."""
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("elements").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("elements").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
-    return both.select("a", "b", (shared / (F.size("x") + F.size("y") - shared)).alias("similarity"))
+    return both.where(shared >= params.similarity * (F.size("x") + F.size("y") - shared)).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+
+
+def _links_within(mixed: DataFrame, sets: DataFrame, params: DartParams) -> DataFrame:
+    """(src, dst) that connect what is linked within a bucket; ``mixed``: bucket, text_id, n members.
+
+    A bucket's members are dealt to blocks, and each pair of blocks is a group.
+    """
+    blocks = F.ceil(F.col("n") / params.block).cast("int")
+    dealt = mixed.select("bucket", "text_id", blocks.alias("blocks")).withColumn("mine", F.pmod(F.xxhash64("text_id"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("bucket", "text_id", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))
+    rows = dealt.join(sets.withColumnRenamed("doc_id", "text_id"), "text_id")
+    return rows.groupBy("bucket", "lo", "hi").applyInArrow(_compared(params.similarity), "src long, dst long").distinct()
+
+
+def _compared(similarity: float):
+    """All similarities of a group by products of 0/1 matrices of its shared elements."""
+
+    def run(group: pa.Table) -> pa.Table:
+        ids = group.column("text_id").to_numpy()
+        lists = group.column("elements").combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        n, sizes = len(ids), np.diff(lists.offsets.to_numpy()).astype(np.float64)
+        values, owner = lists.flatten().to_numpy(), np.repeat(np.arange(n), sizes.astype(np.int64))
+        _, column, times = np.unique(values, return_inverse=True, return_counts=True)
+        several = times[column] > 1
+        column, owner = np.unique(column[several], return_inverse=True)[1], owner[several]
+        shared = np.zeros((n, n), dtype=np.float32)
+        order = np.argsort(column, kind="stable")
+        column, owner = column[order], owner[order]
+        width = max(256, 4_000_000 // max(n, 1))
+        for first in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+            lo, hi = np.searchsorted(column, [first, first + width])
+            part = np.zeros((n, width), dtype=np.float32)
+            part[owner[lo:hi], column[lo:hi] - first] = 1
+            shared += part @ part.T
+        linked = shared >= similarity * (sizes[:, None] + sizes[None, :] - shared) - 1e-6
+        label = np.arange(n)
+        while True:
+            least = np.where(linked, label[None, :], n).min(axis=1, initial=n)
+            new = np.minimum(label, least)
+            new = np.minimum(new, new[new])
+            if (new == label).all():
+                break
+            label = new
+        other = np.flatnonzero(label != np.arange(n))
+        return pa.table({"src": pa.array(ids[other], pa.int64()), "dst": pa.array(ids[label[other]], pa.int64())})
+
+    return run

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -79,6 +80,11 @@ def _size(n: int) -> int:
     return min(size, n)
 
 
+@lru_cache(maxsize=4096)
+def _odd(number: int) -> np.uint64:
+    return mix(np.array([number], dtype=np.uint64))[0] | _U(1)
+
+
 class _Steps:
     """The random bits of one walk over one array of word hashes, made when a step needs them."""
 
@@ -87,7 +93,7 @@ class _Steps:
 
     def go(self, at: np.ndarray, done: int, step: int) -> np.ndarray:
         for j in range(done, step):
-            odd = mix(np.array([self.seed + j], dtype=np.uint64))[0] | _U(1)
+            odd = _odd(self.seed + j)
             if 4 * len(at) > len(self.hashes):
                 bits = np.zeros(len(self.hashes) + 1, dtype=bool)
                 np.less((self.hashes * odd).view(np.int64), 0, out=bits[:-1])

@@ -12,17 +12,20 @@ def _versions(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("document"), F.col("l_linenumber").alias("version"), "l_partkey", "l_suppkey", "l_linestatus", "l_quantity", "l_shipdate")
 
 
-_NEWEST = (F.desc("version"), "l_partkey", "l_suppkey", "l_shipdate")
 _NEWEST_SQL = "row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_partkey, l_suppkey, l_shipdate) = 1"
 
 
+def _newest():
+    return F.desc("version"), "l_partkey", "l_suppkey", "l_shipdate"
+
+
 def latest_version(spark, sf_dir):
-    return rel.latest(_versions(spark, sf_dir), "document", *_NEWEST).select("document", "version", "l_partkey", "l_linestatus")
+    return rel.latest(_versions(spark, sf_dir), "document", *_newest()).select("document", "version", "l_partkey", "l_linestatus")
 
 
 def searchable_set(spark, sf_dir):
     """The newest searchable version of each document."""
-    return rel.latest(_versions(spark, sf_dir).where(F.col("l_linestatus").isin("O")), "document", *_NEWEST).select("document", "version", "l_partkey")
+    return rel.latest(_versions(spark, sf_dir).where(F.col("l_linestatus").isin("O")), "document", *_newest()).select("document", "version", "l_partkey")
 
 
 def folder_closure(spark, sf_dir):

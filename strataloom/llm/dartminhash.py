@@ -71,8 +71,8 @@ def signatures(elements: np.ndarray, bounds: np.ndarray, k: int) -> np.ndarray:
     live = np.flatnonzero(counts > 0)
     chosen = np.arange(len(elements))
     while len(live):
-        for part in range(0, len(chosen), max(1, (1 << 20) // units)):
-            own = chosen[part : part + max(1, (1 << 20) // units)]
+        for part in range(0, len(chosen), max(1, (1 << 18) // units)):
+            own = chosen[part : part + max(1, (1 << 18) // units)]
             cell = np.tile(np.arange(first, first + units, dtype=np.uint64), len(own))
             seed = mix(np.repeat(elements[own], units) ^ (cell + _U(1)) * _GOLD)
             doc = np.repeat(owner[own], units)

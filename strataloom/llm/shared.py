@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes that one vectorised step works on; a single longer document is still taken whole.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 
 def scratch_dir(spark: SparkSession) -> str:

@@ -230,9 +230,9 @@ def _distinct_terms(params: ToxicParams):
                     own.update(word[:k] + "*" for k in range(low, min(high, len(word) - 1) + 1))
                 for x in own:
                     counts[x][toxic] += 1
-            if len(counts) > 100_000:
-                yield _count_rows(counts)
-                counts.clear()
+                if len(counts) > 200_000:
+                    yield _count_rows(counts)
+                    counts.clear()
         yield _count_rows(counts)
 
     return run

@@ -27,7 +27,7 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class."""
-    others = dartminhash.near_duplicates(docs).where("not representative").select("doc_id")
+    others = written(dartminhash.near_duplicates(docs).where("not representative").select("doc_id"), "other-copies")
     return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
 
 

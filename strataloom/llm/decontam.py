@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import sliced
+from .shared import sliced, written
 from .tokens import mix, words
 
 _U = np.uint64
@@ -291,6 +291,9 @@ def leaks(docs: DataFrame, items: DataFrame, params: Cgk = Cgk()) -> DataFrame:
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, params: Cgk = Cgk()) -> DataFrame:
-    """The documents that hold no benchmark item; rows with a null doc_id or text stay."""
-    found = leaks(docs, items, params).select("doc_id").distinct()
+    """The documents that hold no benchmark item; rows with a null doc_id or text stay.
+
+    The found doc_ids are written first, so that Spark chooses the join by their real size.
+    """
+    found = written(leaks(docs, items, params).select("doc_id").distinct(), "leaking")
     return docs.join(found, "doc_id", "left_anti").select(*docs.columns)

@@ -120,9 +120,14 @@ def _slot(keys: np.ndarray) -> np.ndarray:
 
 
 def _table(keys: np.ndarray) -> np.ndarray:
+    """A set of slots, one bit each: an index has dozens of these, and every task holds them."""
     table = np.zeros(1 << _TABLE_BITS, dtype=bool)
     table[_slot(keys)] = True
-    return table
+    return np.packbits(table, bitorder="little")
+
+
+def _marked(table: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    return (table[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 > 0
 
 
 def _rest_keys(steps: _Steps, first_two: tuple, at: np.ndarray, done: int, later: list[int], ends: np.ndarray) -> np.ndarray:
@@ -182,18 +187,18 @@ def _candidates(index: _Index, hashes: np.ndarray, text_end: np.ndarray) -> set[
     for walk in index.walks:
         steps = _Steps(hashes, walk.seed)
         at = steps.go(starts, 0, walk.first)
-        begins = walk.words[slots]
+        begins = _marked(walk.words, slots)
         live = np.flatnonzero(begins[np.minimum(at, len(hashes) - 1)] & (at < text_end))
         at, done, end = at[live], walk.first, text_end[live]
         word1 = hashes[at]
         for rep in walk.repetitions:
             at, done = steps.go(at, done, rep.second), rep.second
-            ok = np.flatnonzero(rep.pairs[_slot(_join(word1, steps.emitted(at, end)))])
+            ok = np.flatnonzero(_marked(rep.pairs, _slot(_join(word1, steps.emitted(at, end)))))
             at2, w1, start0 = at[ok], word1[ok], live[ok]
             for size, later, table, keys, item, anchor in rep.rest:
                 stop = np.minimum(start0 + size, end[ok])
                 key = _rest_keys(steps, (w1, steps.emitted(at2, stop)), at2, rep.second, later, stop)
-                maybe = np.flatnonzero(table[_slot(key)])
+                maybe = np.flatnonzero(_marked(table, _slot(key)))
                 key, start = key[maybe], start0[maybe]
                 lo = np.searchsorted(keys, key, "left")
                 n = np.searchsorted(keys, key, "right") - lo

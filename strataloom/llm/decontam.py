@@ -237,7 +237,7 @@ _FOUND = "doc_id long, item_id long, edits int, item_words int, end_word long"
 
 def _search(index: _Index, p: Cgk):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "text"):
+        for batch in sliced(batches, "text", 1 << 20):
             w = words(batch.column("text"))
             if not len(w.hashes):
                 continue

@@ -1,25 +1,20 @@
-"""Benchmark decontamination by CGK embedding and bit-sampling LSH (operator 1).
+"""Benchmark decontamination by the intact pieces of edited items (operator 1).
 
-The CGK embedding walks a word sequence with a shared random bit per (step, word): the bit says
-whether the walk moves on or repeats the word.  Two sequences of small edit distance follow walks
-that fall into step again, so the emitted words differ in few places (Hamming distance).  Every
-word of a document starts a window of the size of a benchmark item; windows whose emitted words
-agree with an item's at a repetition's sampled steps are candidates, and each candidate is
-verified by the exact word edit distance.
-
-The steps of one repetition are tested one after another and a window leaves at the first
-mismatch, which gives the same buckets as hashing all sampled steps at once, at less work.
+An item of n words that may lose k of them to edits is cut into k + 1 pieces.  However the k edits
+lie, they leave one piece intact, so each document that holds the item holds one of its pieces word
+for word.  The pieces, of two to five words at 20 %, are looked up at every word of a document.  A
+place that holds a piece stays a candidate if enough of the item's words stand around it, and the
+remaining ones are verified by the exact word edit distance.  No step loses an item.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import sliced, written
@@ -29,90 +24,40 @@ _U = np.uint64
 
 
 @dataclass(frozen=True)
-class Cgk:
-    """Parameters: similarity is 1 - edits / words of the item.
-
-    ``walks`` independent walks, each with its own first sampled step, and ``samples``
-    repetitions a walk for ``anchors`` windows of each item, which sample a step soon after the first and ``later`` more in the window.
-    """
+class Pieces:
+    """Parameters: similarity is 1 - edits / words of the item."""
 
     similarity: float = 0.8
-    walks: int = 3
-    samples: int = 6
-    anchors: int = 8
-    later: int = 3
-    seed: int = 20240501
     min_words: int = 5
     items_per_block: int = 4000
 
-
-@dataclass
-class _Repetition:
-    second: int
-    pairs: np.ndarray  # which hashes of the first two emitted words occur, by their top bits
-    #: by window size: the later steps, which keys of all words occur, these keys in order, their items and anchors
-    rest: list[tuple[int, list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
-
-
-@dataclass
-class _Walk:
-    seed: int
-    first: int
-    words: np.ndarray  # which hashes of the first emitted word occur, by their top bits
-    repetitions: list[_Repetition]
+    def edits(self, n: int) -> int:
+        """Edits that an item of n words may have."""
+        return int((1 - self.similarity) * n + 1e-9)
 
 
 @dataclass
 class _Index:
     items: list[tuple[int, np.ndarray]]
-    walks: list[_Walk]
+    lengths: np.ndarray
+    edits: np.ndarray
+    #: by piece size: which keys occur, these keys in order, their items and places in the items
+    pieces: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+    #: which pairs of an item and one of its words occur, and their keys in order
+    pairs: np.ndarray
+    pair_keys: np.ndarray
 
 
 _TABLE_BITS = 20
 _FOLD = _U(0xD6E8FEB86659FD93)
+#: A longer piece is looked up by its first words.
+_LONGEST = 8
+#: Places, or words around places, that one vectorised step works on.
+_STEP = 1 << 20
 
 
-def _size(n: int) -> int:
-    """Window size of an item of n words: the largest of 5, 7, 10, 15, 22, ... within 0.85 n."""
-    size = 5
-    while int(size * 1.5) <= 0.85 * n:
-        size = int(size * 1.5)
-    return min(size, n)
-
-
-@lru_cache(maxsize=4096)
-def _odd(number: int) -> np.uint64:
-    return mix(np.array([number], dtype=np.uint64))[0] | _U(1)
-
-
-class _Steps:
-    """The random bits of one walk over one array of word hashes, made when a step needs them."""
-
-    def __init__(self, hashes: np.ndarray, seed: int):
-        self.hashes, self.seed = hashes, seed
-
-    def go(self, at: np.ndarray, done: int, step: int) -> np.ndarray:
-        for j in range(done, step):
-            odd = _odd(self.seed + j)
-            if 4 * len(at) > len(self.hashes):
-                bits = np.zeros(len(self.hashes) + 1, dtype=bool)
-                np.less((self.hashes * odd).view(np.int64), 0, out=bits[:-1])
-                at = at + bits[at]
-            else:
-                inside = np.minimum(at, len(self.hashes) - 1)
-                at = np.minimum(at + ((self.hashes[inside] * odd) >> _U(63)).astype(np.int32), len(self.hashes))
-        return at
-
-    def emitted(self, at: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """The words at the positions; 0 behind the window's end."""
-        return np.where(at < ends, self.hashes[np.minimum(at, len(self.hashes) - 1)], _U(0))
-
-
-def _join(*words_: np.ndarray) -> np.ndarray:
-    out = words_[0]
-    for w in words_[1:]:
-        out = (out ^ (out >> _U(29))) * _FOLD + w
-    return out * _FOLD
+def _join(key: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return (key ^ (key >> _U(29))) * _FOLD + word
 
 
 def _slot(keys: np.ndarray) -> np.ndarray:
@@ -120,7 +65,7 @@ def _slot(keys: np.ndarray) -> np.ndarray:
 
 
 def _table(keys: np.ndarray) -> np.ndarray:
-    """A set of slots, one bit each: an index has dozens of these, and every task holds them."""
+    """A set of slots, one bit each."""
     table = np.zeros(1 << _TABLE_BITS, dtype=bool)
     table[_slot(keys)] = True
     return np.packbits(table, bitorder="little")
@@ -130,83 +75,90 @@ def _marked(table: np.ndarray, slots: np.ndarray) -> np.ndarray:
     return (table[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 > 0
 
 
-def _rest_keys(steps: _Steps, first_two: tuple, at: np.ndarray, done: int, later: list[int], ends: np.ndarray) -> np.ndarray:
-    key = _join(*first_two)
-    for step in later:
-        at, done = steps.go(at, done, step), step
-        key = _join(key, steps.emitted(at, ends))
-    return key
-
-
-def _build(items: list[tuple[int, np.ndarray]], p: Cgk) -> _Index:
-    rng = np.random.default_rng(p.seed)
-    flat = np.concatenate([w for _, w in items])
-    begin = np.concatenate([[0], np.cumsum([len(w) for _, w in items])])
-    windows = [(size, begin[i] + a, i, a) for i, (_, w) in enumerate(items) for size in [_size(len(w))] for a in range(len(w) - size + 1)]
-    all_sizes, all_places, all_items, all_anchors = (np.array(x, dtype=np.int32) for x in zip(*windows, strict=True))
-    known, how_often = np.unique(flat, return_counts=True)
-    smallest, walks = int(all_sizes.min()), []
-    for walk in range(p.walks):
-        steps, first, reps = _Steps(flat, int(rng.integers(1 << 62))), walk % max(1, smallest // 2), []
-        # of an item's windows, those that begin with the item's rarest words: few windows of a document begin alike
-        at1 = steps.go(all_places, 0, first)
-        often = how_often[np.minimum(np.searchsorted(known, flat[np.minimum(at1, len(flat) - 1)]), len(known) - 1)]
-        order = np.lexsort((mix(all_places.astype(np.uint64) + _U(walk << 32)), often, all_items))
-        rank = np.arange(len(order)) - np.searchsorted(all_items[order], all_items[order])
-        own = np.sort(order[rank < p.anchors])
-        place, sizes, item, anchor, at1 = all_places[own], all_sizes[own], all_items[own], all_anchors[own], at1[own]
-        ends = place + sizes
-        word1 = steps.emitted(at1, ends)
-        # a walk passes about one word in two steps, so 1.5 steps a word stay within the window
-        near = rng.permutation(np.arange(first + 3, max(first + 4, min(first + 7, int(1.5 * smallest) - 3))))
-        for r in range(p.samples):
-            second = int(near[r % len(near)])
-            at2 = steps.go(at1, first, second)
-            word2 = steps.emitted(at2, ends)
-            rest = []
-            for size in np.unique(sizes).tolist():
-                own = np.flatnonzero(sizes == size)
-                room = np.arange(second + 1, max(second + 2, int(1.5 * size)))
-                later = sorted(rng.choice(room, min(p.later, len(room)), replace=False).tolist())
-                keys = _rest_keys(steps, (word1[own], word2[own]), at2[own], second, later, ends[own])
-                order = np.argsort(keys, kind="stable")
-                rest.append((size, later, _table(keys), keys[order], item[own][order], anchor[own][order]))
-            reps.append(_Repetition(second, _table(_join(word1, word2)), rest))
-        reps.sort(key=lambda r: r.second)
-        walks.append(_Walk(steps.seed, first, _table(_join(word1)), reps))
-    return _Index(items, walks)
-
-
-def _candidates(index: _Index, hashes: np.ndarray, text_end: np.ndarray) -> set[tuple[int, int]]:
-    """(word where the item would begin, item) of all windows that share a bucket with an item.
-
-    ``text_end`` has for each word the end of its text: no window goes beyond it.
-    """
-    found: set[tuple[int, int]] = set()
-    starts, slots = np.arange(len(hashes), dtype=np.int32), _slot(_join(hashes))
-    for walk in index.walks:
-        steps = _Steps(hashes, walk.seed)
-        at = steps.go(starts, 0, walk.first)
-        begins = _marked(walk.words, slots)
-        live = np.flatnonzero(begins[np.minimum(at, len(hashes) - 1)] & (at < text_end))
-        at, done, end = at[live], walk.first, text_end[live]
-        word1 = hashes[at]
-        for rep in walk.repetitions:
-            at, done = steps.go(at, done, rep.second), rep.second
-            ok = np.flatnonzero(_marked(rep.pairs, _slot(_join(word1, steps.emitted(at, end)))))
-            at2, w1, start0 = at[ok], word1[ok], live[ok]
-            for size, later, table, keys, item, anchor in rep.rest:
-                stop = np.minimum(start0 + size, end[ok])
-                key = _rest_keys(steps, (w1, steps.emitted(at2, stop)), at2, rep.second, later, stop)
-                maybe = np.flatnonzero(_marked(table, _slot(key)))
-                key, start = key[maybe], start0[maybe]
-                lo = np.searchsorted(keys, key, "left")
-                n = np.searchsorted(keys, key, "right") - lo
-                hit = np.flatnonzero(n)
-                n = n[hit]
-                entry = np.repeat(lo[hit], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                found.update(zip((np.repeat(start[hit], n) - anchor[entry]).tolist(), item[entry].tolist(), strict=True))
-    return found
+def _pair_keys(item: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return _join(mix(item.astype(np.uint64) + _U(1)), word) * _FOLD
+
+
+def _spread(n: np.ndarray) -> np.ndarray:
+    """0, 1, ... up to each number."""
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _steps(n: np.ndarray) -> Iterator[slice]:
+    """Parts of about ``_STEP`` in sum; a single larger number is a part of its own."""
+    total, start = np.cumsum(n), 0
+    while start < len(n):
+        before = total[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(total, before + _STEP, "right")))
+        yield slice(start, stop)
+        start = stop
+
+
+def _build(items: list[tuple[int, np.ndarray]], p: Pieces) -> _Index:
+    lengths = np.array([len(w) for _, w in items], dtype=np.int64)
+    edits = np.array([p.edits(len(w)) for _, w in items], dtype=np.int64)
+    by_size: dict[int, list[tuple[np.uint64, int, int]]] = {}
+    for i, (_, w) in enumerate(items):
+        cuts = [len(w) * k // (int(edits[i]) + 1) for k in range(int(edits[i]) + 2)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            size = min(b - a, _LONGEST)
+            if size:
+                key = w[a : a + 1]
+                for j in range(1, size):
+                    key = _join(key, w[a + j : a + j + 1])
+                by_size.setdefault(size, []).append(((key * _FOLD)[0], i, a))
+    pieces = []
+    for size, rows in sorted(by_size.items()):
+        keys, item, at = (np.array(c, dtype=t) for c, t in zip(zip(*rows, strict=True), (np.uint64, np.int64, np.int64), strict=True))
+        order = np.argsort(keys, kind="stable")
+        pieces.append((size, _table(keys), keys[order], item[order], at[order]))
+    pairs = np.unique(_pair_keys(np.repeat(np.arange(len(items)), lengths), np.concatenate([w for _, w in items])))
+    return _Index(items, lengths, edits, pieces, _table(pairs), pairs)
+
+
+def _promising(index: _Index, hashes: np.ndarray, lo: np.ndarray, hi: np.ndarray, item: np.ndarray) -> np.ndarray:
+    """Which regions hold as many words of their item as the allowed edits must leave."""
+    out = np.zeros(len(item), dtype=bool)
+    for part in _steps(hi - lo):
+        n = (hi - lo)[part]
+        region = np.repeat(np.arange(len(n)), n)
+        keys = _pair_keys(np.repeat(item[part], n), hashes[np.repeat(lo[part], n) + _spread(n)])
+        maybe = np.flatnonzero(_marked(index.pairs, _slot(keys)))
+        known = index.pair_keys[np.minimum(np.searchsorted(index.pair_keys, keys[maybe]), len(index.pair_keys) - 1)] == keys[maybe]
+        out[part] = np.bincount(region[maybe[known]], minlength=len(n)) >= (index.lengths - index.edits)[item[part]]
+    return out
+
+
+def _regions(index: _Index, hashes: np.ndarray, bounds: np.ndarray, owner: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """(text, item, first word, end word) wherever an item can lie; regions of a text and item that touch are one."""
+    found: list[np.ndarray] = []
+    if not len(hashes):
+        return []
+    key, size_now = hashes, 1
+    for size, table, keys, item, at in index.pieces:
+        for j in range(size_now, size):
+            key = _join(key[: max(0, len(hashes) - j)], hashes[j:])
+        size_now, whole = size, key * _FOLD
+        place = np.flatnonzero(_marked(table, _slot(whole)))
+        first = np.searchsorted(keys, whole[place], "left")
+        n = np.searchsorted(keys, whole[place], "right") - first
+        n[place + size > bounds[owner[place] + 1]] = 0
+        place, first, n = place[n > 0], first[n > 0], n[n > 0]
+        for part in _steps(n):
+            entry = np.repeat(first[part], n[part]) + _spread(n[part])
+            where, i = np.repeat(place[part], n[part]), item[entry]
+            doc, begin = owner[where], where - at[entry]
+            lo = np.maximum(bounds[doc], begin - index.edits[i])
+            hi = np.minimum(bounds[doc + 1], begin + index.lengths[i] + index.edits[i])
+            rows = np.unique(np.stack([doc, i, lo, hi], axis=1), axis=0)
+            found.append(rows[_promising(index, hashes, rows[:, 2], rows[:, 3], rows[:, 1])])
+    out: list[tuple[int, int, int, int]] = []
+    for d, i, lo, hi in np.unique(np.concatenate(found), axis=0).tolist() if found else []:
+        if out and out[-1][:2] == (d, i) and lo <= out[-1][3]:
+            out[-1] = (d, i, out[-1][2], max(hi, out[-1][3]))
+        else:
+            out.append((d, i, lo, hi))
+    return out
 
 
 def fitting_distance(pattern: np.ndarray, region: np.ndarray) -> tuple[int, int]:
@@ -235,27 +187,17 @@ def fitting_distance(pattern: np.ndarray, region: np.ndarray) -> tuple[int, int]
 _FOUND = "doc_id long, item_id long, edits int, item_words int, end_word long"
 
 
-def _search(index: _Index, p: Cgk):
+def _search(index: _Index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text", 1 << 20):
             w = words(batch.column("text"))
-            if not len(w.hashes):
-                continue
-            owner = w.docs
-            text_end = w.bounds[1:].astype(np.int32)[owner]
             best: dict[tuple[int, int], tuple[int, int]] = {}
-            # candidates are tried at their place; places outside the text are cut to it
-            for place, i in sorted(_candidates(index, w.hashes, text_end)):
-                pattern = index.items[i][1]
-                slack = int((1 - p.similarity) * len(pattern) + 1e-9)
-                doc = owner[max(0, min(place + len(pattern) // 2, len(owner) - 1))] if place < 0 else owner[place]
-                for d in {int(doc), int(owner[min(max(place, 0) + slack, len(owner) - 1)])}:
-                    lo, hi = max(int(w.bounds[d]), place - slack), min(int(w.bounds[d + 1]), place + len(pattern) + slack)
-                    if hi <= lo or best.get((d, i), (1,))[0] == 0:
-                        continue
-                    edits, end = fitting_distance(pattern, w.hashes[lo:hi])
-                    if edits <= slack and edits < best.get((d, i), (slack + 1,))[0]:
-                        best[d, i] = edits, lo + end - int(w.bounds[d])
+            for d, i, lo, hi in _regions(index, w.hashes, w.bounds, w.docs):
+                if best.get((d, i), (1,))[0] == 0:
+                    continue
+                edits, end = fitting_distance(index.items[i][1], w.hashes[lo:hi])
+                if edits <= index.edits[i]:
+                    best[d, i] = min(best.get((d, i), (edits, lo + end - int(w.bounds[d]))), (edits, lo + end - int(w.bounds[d])))
             if best:
                 ids = batch.column("doc_id").to_pylist()
                 rows = [(ids[d], index.items[i][0], e, len(index.items[i][1]), at) for (d, i), (e, at) in best.items()]
@@ -265,7 +207,7 @@ def _search(index: _Index, p: Cgk):
     return run
 
 
-def leaks(docs: DataFrame, items: DataFrame, params: Cgk = Cgk()) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, params: Pieces = Pieces()) -> DataFrame:
     """Pairs (doc_id, item_id) where the document holds the item but for 20 % of its words.
 
     ``docs`` needs doc_id and text, ``items`` item_id and text; other columns are not read.
@@ -287,7 +229,7 @@ def leaks(docs: DataFrame, items: DataFrame, params: Cgk = Cgk()) -> DataFrame:
         w = words(pa.array([r.text for r in rows], pa.string()))
         known = [(r.item_id, w.hashes[w.bounds[k] : w.bounds[k + 1]]) for k, r in enumerate(rows) if w.bounds[k + 1] - w.bounds[k] >= params.min_words]
         if known:
-            own = docs.mapInArrow(_search(_build(known, params), params), _FOUND)
+            own = docs.mapInArrow(_search(_build(known, params)), _FOUND)
             found = own if found is None else found.unionAll(own)
     if found is None:
         found = spark.createDataFrame([], _FOUND)
@@ -295,7 +237,7 @@ def leaks(docs: DataFrame, items: DataFrame, params: Cgk = Cgk()) -> DataFrame:
     return best.select("doc_id", "item_id", "b.edits", "b.item_words", "b.end_word", F.round(1 - F.col("b.edits") / F.col("b.item_words"), 6).alias("similarity"))
 
 
-def without_leaks(docs: DataFrame, items: DataFrame, params: Cgk = Cgk()) -> DataFrame:
+def without_leaks(docs: DataFrame, items: DataFrame, params: Pieces = Pieces()) -> DataFrame:
     """The documents that hold no benchmark item; rows with a null doc_id or text stay.
 
     The found doc_ids are written first, so that Spark chooses the join by their real size.

@@ -78,6 +78,30 @@ def test_leaks_find_edited_items_and_nothing_else(spark):
     assert decontam.leaks(frame(spark, rows), spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+@pytest.mark.parametrize("n", [5, 9, 26, 40, 87, 130])
+def test_leaks_find_all_items_at_the_limit(spark, n):
+    """A fifth of the words edited at the start, at the end or scattered; one edit more is none."""
+    rng, k = random.Random(n), n // 5
+    items, rows, planted = [], [], {}
+    for i in range(60):
+        item = prose(rng, n).split()
+        w, cut = list(item), k + (i >= 45)
+        where = [range(cut), range(n - cut, n), sorted(rng.sample(range(n), cut))][i % 3]
+        for at in reversed(where):
+            if i % 2:
+                w[at] = f"x{rng.getrandbits(60)}"
+            else:
+                del w[at]
+        items.append((i, " ".join(item)))
+        rows.append((i, " ".join([*prose(rng, 40).split(), *w, *prose(rng, 40).split()])))
+        least = edit_distance(item, rows[-1][1].split())
+        if least <= k:
+            planted[i, i] = least
+    found = decontam.leaks(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert len(planted) >= 45
+    assert {x: e for x, e in (((r.doc_id, r.item_id), r.edits) for r in found) if x[0] == x[1]} == planted
+
+
 def plain_classes(rows, size=5, similarity=0.8):
     sets = {}
     for i, t in rows:

@@ -104,8 +104,6 @@ class Encoder:
         self.known: dict[str, bytes] = {}
 
     def _learn(self, parts: set[str]) -> None:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
         rest = []
         for part in parts:
             text = part.encode().decode("latin-1").translate(self.mapped)
@@ -121,9 +119,10 @@ class Encoder:
         matches, out = (m.group() for m in self.pattern.finditer(text)) if len(text) > 4 * CHUNK else iter(self.pattern.findall(text)), []
         while parts := list(islice(matches, CHUNK)):
             if new := set(parts).difference(self.known):
+                if len(self.known) > REMEMBERED:  # start over, with all that this chunk needs
+                    self.known.clear()
+                    new = set(parts)
                 self._learn(new)
-                if len(self.known) <= len(new) + 1:  # it started over
-                    self._learn(set(parts).difference(self.known))
             out.append(b"".join(map(self.known.__getitem__, parts)))
         return b"".join(out)
 

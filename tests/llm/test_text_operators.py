@@ -249,6 +249,18 @@ def test_bpe_equals_tiktoken_and_decodes(spark, vocabulary):
     assert bpe.encoded(df.limit(0), v).count() == 0
 
 
+def test_more_distinct_matches_than_are_remembered(vocabulary):
+    tiktoken = pytest.importorskip("tiktoken")
+    path, pattern = vocabulary
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    other = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    encoder = bpe.Encoder(bpe.Vocabulary.from_file(path, pattern).model, pattern)
+    for text in (" ".join(map(str, range(600_000))), "12 of them", "\n".join(f"w{i:x}" for i in range(300_000))):
+        want = other.encode_ordinary(text)
+        assert encoder.encode(text) == struct.pack(f"<{len(want)}I", *want)
+
+
 def test_ranks_are_checked():
     with pytest.raises(ValueError):
         bpe.read_ranks([b"YQ== 0", b"Yg== 2"])

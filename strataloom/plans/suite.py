@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import islice
+
 from pyspark.sql import functions as F
 
 from ..functions.text import lexical_terms
@@ -9,16 +11,21 @@ from ..operators import answers, evaluation
 from .base import documents, questions, table
 from .search import BM25_CTE, bm25_search, hybrid_search
 
+#: Heads of questions that one pass over the documents looks up.
+HEADS_PER_BLOCK = 5000
+
 
 def _evidence(spark, sf_dir):
     """Documents that hold a question's whole text: any of them covers its one piece."""
     q = questions(spark, sf_dir).where(F.length("text") > 0)
     first = q.select("query_id", "text", F.substring("text", 1, 24).alias("head"))
-    # one block of questions against all documents, looked up by a 24-letter head
     d = documents(spark, sf_dir).select("key", F.col("text").alias("body"))
-    heads = [r["head"] for r in first.select("head").distinct().limit(5000).collect()]
-    hit = F.filter(F.array(*map(F.lit, heads)), lambda h: F.contains(F.col("body"), h))
-    found = d.select("key", "body", F.explode(hit).alias("head")).join(first, "head").where(F.contains("body", F.col("text")))
+    heads, found = (r["head"] for r in first.select("head").distinct().toLocalIterator()), None
+    # blocks of questions against all documents, looked up by a 24-letter head, until every question had its turn
+    while (block := list(islice(heads, HEADS_PER_BLOCK))) or found is None:
+        hit = F.filter(F.array(*map(F.lit, block)).cast("array<string>"), lambda h: F.contains(F.col("body"), h))
+        own = d.select("key", "body", F.explode(hit).alias("head")).join(first, "head").where(F.contains("body", F.col("text")))
+        found = own if found is None else found.unionAll(own)
     return found.select("query_id", F.lit(0).alias("piece"), F.col("key").alias("document"), F.lit(1).alias("page"))
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import sliced
+from .shared import lean, sliced
 
 #: Matches held at once of one very long text.
 CHUNK = 1 << 18
@@ -127,14 +127,7 @@ class Encoder:
         return b"".join(out)
 
 
-def encoded(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """``docs`` with ids (binary, 4 bytes a token, little-endian) and n_tokens.
-
-    A null or empty text gives no token.  Every row stays, repeated ones too, and other columns
-    are kept (ids and n_tokens replace columns of these names).  One pass without a shuffle.
-    """
-    docs = docs.drop("ids", "n_tokens")
-    schema = docs.select("*", F.lit(b"").alias("ids"), F.lit(0).cast("long").alias("n_tokens")).schema
+def _encode(vocabulary: Vocabulary):
     model, pattern = vocabulary.model, vocabulary.pattern
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,12 +136,10 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
             ids = [encoder.encode(t or "") for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())], [*batch.schema.names, "ids", "n_tokens"])
 
-    return docs.mapInArrow(run, schema)
+    return run
 
 
-def decoded(df: DataFrame, vocabulary: Vocabulary, name: str = "decoded") -> DataFrame:
-    """``df`` with one more column, the bytes that the ids stand for (null ids: null)."""
-    schema = df.select("*", F.lit(b"").alias(name)).schema
+def _decode(vocabulary: Vocabulary, name: str):
     model = vocabulary.model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,8 +148,34 @@ def decoded(df: DataFrame, vocabulary: Vocabulary, name: str = "decoded") -> Dat
         processor = sentencepiece.SentencePieceProcessor(model_proto=model)
         back = {c: b for b, c in enumerate(byte_characters())}
         pieces = [bytes(back[c] for c in processor.id_to_piece(k)) for k in range(processor.get_piece_size() - 1)]
-        for batch in sliced(batches, "ids", 8 << 20):
+        del processor
+        for batch in sliced(batches, "ids", 1 << 20):
             out = [None if x is None else b"".join(map(pieces.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, name])
 
-    return df.mapInArrow(run, schema)
+    return run
+
+
+def encoded(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """``docs`` with ids (binary, 4 bytes a token, little-endian) and n_tokens.
+
+    A null or empty text gives no token.  Every row stays, repeated ones too, and other columns
+    are kept (ids and n_tokens replace columns of these names).  One pass without a shuffle.
+    """
+    docs = docs.drop("ids", "n_tokens")
+    schema = docs.select("*", F.lit(b"").alias("ids"), F.lit(0).cast("long").alias("n_tokens")).schema
+    return docs.mapInArrow(lean(_encode(vocabulary)), schema)
+
+
+def decoded(df: DataFrame, vocabulary: Vocabulary, name: str = "decoded") -> DataFrame:
+    """``df`` with the column ``name``, the bytes that the ids stand for (null ids: null); it replaces one of that name."""
+    df = df.drop(name)
+    return df.mapInArrow(lean(_decode(vocabulary, name)), df.select("*", F.lit(b"").alias(name)).schema)
+
+
+def round_trip(docs: DataFrame, vocabulary: Vocabulary, name: str = "decoded") -> DataFrame:
+    """``decoded(encoded(docs))`` in one Python step, so that each task needs one worker only."""
+    docs = docs.drop("ids", "n_tokens", name)
+    encode, decode = _encode(vocabulary), _decode(vocabulary, name)
+    schema = docs.select("*", F.lit(b"").alias("ids"), F.lit(0).cast("long").alias("n_tokens"), F.lit(b"").alias(name)).schema
+    return docs.mapInArrow(lean(lambda batches: decode(encode(batches))), schema)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import sliced, written
+from .shared import lean, sliced, written
 from .tokens import Words, mix, shingles, words
 
 _U = np.uint64
@@ -147,7 +147,7 @@ def near_duplicates(docs: DataFrame, params: DartParams = DartParams()) -> DataF
     no link of a bucket is lost and the rows grow with the members.
     """
     own = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    signed = own.mapInArrow(_signature_rows(params), "doc_id long, n_words long, text1 long, text2 long, bands array<long>")
+    signed = own.mapInArrow(lean(_signature_rows(params)), "doc_id long, n_words long, text1 long, text2 long, bands array<long>")
     signed = written(signed, "signatures")
     once = signed.groupBy("doc_id").agg(F.max(F.struct("n_words", "text1", "text2")).alias("t"))
     texts = signed.groupBy("n_words", "text1", "text2").agg(F.min("doc_id").alias("text_id"), F.first("bands").alias("bands"), F.count("*").alias("copies"))
@@ -187,7 +187,7 @@ def _maybe(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def _elements(docs: DataFrame, ids: DataFrame, params: DartParams) -> DataFrame:
     """(doc_id, elements) of the documents that share a bucket."""
-    sets = _maybe(docs, ids).mapInArrow(_element_rows(params), "doc_id long, elements array<long>").join(ids, "doc_id", "left_semi")
+    sets = _maybe(docs, ids).mapInArrow(lean(_element_rows(params)), "doc_id long, elements array<long>").join(ids, "doc_id", "left_semi")
     # of rows with the same doc_id the longest text counts
     sets = sets.groupBy("doc_id").agg(F.max(F.struct(F.size("elements").alias("n"), "elements")).alias("e"))
     return written(sets.select("doc_id", "e.elements"), "elements")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import sliced, written
+from .shared import lean, sliced, written
 from .tokens import mix, words
 
 _U = np.uint64
@@ -53,7 +53,7 @@ _FOLD = _U(0xD6E8FEB86659FD93)
 #: A longer piece is looked up by its first words.
 _LONGEST = 8
 #: Places, or words around places, that one vectorised step works on.
-_STEP = 1 << 20
+_STEP = 1 << 18
 
 
 def _join(key: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -189,7 +189,7 @@ _FOUND = "doc_id long, item_id long, edits int, item_words int, end_word long"
 
 def _search(index: _Index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "text", 1 << 20):
+        for batch in sliced(batches, "text"):
             w = words(batch.column("text"))
             best: dict[tuple[int, int], tuple[int, int]] = {}
             for d, i, lo, hi in _regions(index, w.hashes, w.bounds, w.docs):
@@ -229,7 +229,7 @@ def leaks(docs: DataFrame, items: DataFrame, params: Pieces = Pieces()) -> DataF
         w = words(pa.array([r.text for r in rows], pa.string()))
         known = [(r.item_id, w.hashes[w.bounds[k] : w.bounds[k + 1]]) for k, r in enumerate(rows) if w.bounds[k + 1] - w.bounds[k] >= params.min_words]
         if known:
-            own = docs.mapInArrow(_search(_build(known, params)), _FOUND)
+            own = docs.mapInArrow(lean(_search(_build(known, params))), _FOUND)
             found = own if found is None else found.unionAll(own)
     if found is None:
         found = spark.createDataFrame([], _FOUND)

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import sliced, written
+from .shared import lean, sliced, written
 from .tokens import mix, shingles, words
 
 #: Kinds of bytes that are counted.
@@ -166,7 +166,7 @@ def fit(labelled: DataFrame, label: str = "quality", params: QualityParams = Qua
             x = statistics(batch.column("text"))
             yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), batch.column(label), batch.column("fold")], ["x", label, "fold"])
 
-    rows = written(rows.mapInArrow(measure, f"x array<double>, {label} int, fold int"), "quality-statistics")
+    rows = written(rows.mapInArrow(lean(measure), f"x array<double>, {label} int, fold int"), "quality-statistics")
     moments = _add_up(rows, lambda x, y: np.concatenate([[len(y), y.sum()], x.sum(0), (x**2).sum(0)]), label)
     rng = np.random.default_rng(params.seed)
     k = N_STATISTICS
@@ -217,4 +217,4 @@ def scored(docs: DataFrame, model: QualityModel, name: str = "score") -> DataFra
             p = model.score(statistics(batch.column("text")))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())], [*batch.schema.names, name])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)

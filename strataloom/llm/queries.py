@@ -44,8 +44,7 @@ def vocabulary() -> bpe.Vocabulary:
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token count of each document, and digests of its ids and of what they decode to."""
-    words = vocabulary()
-    out = bpe.decoded(bpe.encoded(_table(spark, sf_dir, "documents").select("doc_id", "text"), words), words)
+    out = bpe.round_trip(_table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary())
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -18,6 +18,7 @@ _INVERSE = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _WORD = np.zeros(256, dtype=bool)
 _WORD[[*range(ord("0"), ord("9") + 1), *range(ord("a"), ord("z") + 1), *range(0x80, 0x100)]] = True
 _POWERS: list[np.ndarray] = []
+_KEPT = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -29,16 +30,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, 1 << 16)
-        out = []
-        for base in (_BASE, _INVERSE):
-            steps = np.full(size, base, dtype=np.uint64)
-            steps[0] = 1
-            out.append(np.multiply.accumulate(steps))
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse; those for very long texts are not kept."""
+    if _POWERS and len(_POWERS[0]) >= n:
+        return _POWERS
+    out = []
+    for base in (_BASE, _INVERSE):
+        steps = np.full(max(n, _KEPT), base, dtype=np.uint64)
+        steps[0] = 1
+        out.append(np.multiply.accumulate(steps))
+    if n <= _KEPT:
         _POWERS[:] = out
-    return _POWERS[0], _POWERS[1]
+    return out
 
 
 @dataclass

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import sliced, written
+from .shared import lean, sliced, written
 from .tokens import Words, words
 
 # English terms of abuse that are in the lexicon whatever the labels hold.
@@ -273,7 +273,7 @@ def fit(labelled: DataFrame, params: ToxicParams = ToxicParams()) -> ToxicModel:
     """
     rows = labelled.where("doc_id is not null and text is not null and toxic in (0, 1)").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
     rows = written(rows, "toxic-labels")
-    counts = rows.mapInArrow(_distinct_terms(params), "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counts = rows.mapInArrow(lean(_distinct_terms(params)), "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     totals = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
     n1, n0 = totals.get(1, 0), totals.get(0, 0)
     ratio = ((F.col("toxic") + 0.5) / (n1 + 1)) / ((F.col("clean") + 0.5) / (n0 + 1))
@@ -300,10 +300,10 @@ def fit(labelled: DataFrame, params: ToxicParams = ToxicParams()) -> ToxicModel:
     if not n1 or not n0:
         model.weights[:, 1] = 1.5
         return model
-    seen = rows.mapInArrow(_near_counts(model), "term int, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).collect()
+    seen = rows.mapInArrow(lean(_near_counts(model)), "term int, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).collect()
     for r in seen:  # evidence with an edit is worth what the labels show
         model.weights[r.term, 1] = min(max(math.log(((r.toxic + 0.5) / (n1 + 1)) / ((r.clean + 0.5) / (n0 + 1))), 0.0), model.weights[r.term, 0])
-    data = rows.mapInArrow(_feature_rows(model), "x array<double>, toxic int").toArrow()
+    data = rows.mapInArrow(lean(_feature_rows(model)), "x array<double>, toxic int").toArrow()
     x = np.array(data.column("x").to_pylist())
     y = np.array(data.column("toxic").to_pylist(), dtype=float)
     model.coefficients = _logistic(x, y, params.steps)
@@ -350,4 +350,4 @@ def scored(docs: DataFrame, model: ToxicModel, name: str = "score") -> DataFrame
             p = 1 / (1 + np.exp(-np.clip(x @ model.coefficients, -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())], [*batch.schema.names, name])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)

@@ -43,8 +43,7 @@ def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Tokens of each document, and digests of the ids and of what they decode to."""
-    words = vocabulary()
-    out = bpe.decoded(bpe.encoded(docs.select("doc_id", "text", "lang", "source"), words), words)
+    out = bpe.round_trip(docs.select("doc_id", "text", "lang", "source"), vocabulary())
     return out.select("doc_id", "lang", "source", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

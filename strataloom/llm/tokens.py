@@ -18,7 +18,7 @@ _INVERSE = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _WORD = np.zeros(256, dtype=bool)
 _WORD[[*range(ord("0"), ord("9") + 1), *range(ord("a"), ord("z") + 1), *range(0x80, 0x100)]] = True
 _POWERS: list[np.ndarray] = []
-_KEPT = 1 << 19
+_PART = _KEPT = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -94,11 +94,17 @@ def words(texts: pa.Array) -> Words:
     before[1:], after[:-1] = mask[:-1], mask[1:]
     starts = np.flatnonzero(mask & ~(before & ~edge[:-1]))
     ends = np.flatnonzero(mask & ~(after & ~edge[1:])) + 1
-    power, inverse = _powers(n)
-    sums = np.empty(n + 1, dtype=np.uint64)
-    sums[0] = 0
-    np.cumsum((data + _U(1)) * power[:n], out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * inverse[starts])
+    hashes = np.empty(len(starts), dtype=np.uint64)
+    first = 0
+    while first < len(starts):  # the words of about _PART bytes at a time, so that a very long text needs no wide sums
+        last = max(first + 1, int(np.searchsorted(ends, starts[first] + _PART, "right")))
+        lo, hi = starts[first], ends[last - 1]
+        power, inverse = _powers(hi - lo)
+        sums = np.empty(hi - lo + 1, dtype=np.uint64)
+        sums[0] = 0
+        np.cumsum((data[lo:hi] + _U(1)) * power[: hi - lo], out=sums[1:])
+        hashes[first:last] = mix((sums[ends[first:last] - lo] - sums[starts[first:last] - lo]) * inverse[starts[first:last] - lo])
+        first = last
     return Words(hashes, np.searchsorted(starts, offsets), starts, ends, data, offsets)
 
 

@@ -63,12 +63,79 @@ def test_licences_and_sql(spark):
     assert out[2].licences == ["CC-BY-NC-4.0", "MIT"] and out[6].licences == ["MIT"] and len(out[6].sentence_ids) == 2
     assert out[3].licences == out[4].licences == out[5].licences == []
     assert all(re.search(licenses.HINT, s) for s in licenses.SENTENCES)
+    assert {i for i in licenses.SENTENCES.values()} <= {i for _, rule in licenses.RULES for i in rule} | {"mit-title", "isc-title", "apache2-copy", "gnu-warranty"}
     sf = "/root/testdata/sf0.001"
     from strataloom.llm.queries import op6_licenses
 
     assert difference(op6_licenses(spark, sf), connect(sf), SQL["op6_licenses"]) == ""
 
 
+MIT = """MIT License
+
+Copyright (c) 2020 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software."""
+APACHE = """# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0"""
+BSD = """/* Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions are met:
+ *
+ * 1. Redistributions of source code must retain the above copyright notice, this
+ *    list of conditions and the following disclaimer.
+ *
+ * 2. Redistributions in binary form must reproduce the above copyright notice,
+ *    this list of conditions and the following disclaimer in the documentation
+ *    and/or other materials provided with the distribution.
+%s */"""
+NAMES = """ *
+ * 3. Neither the name of Some Company nor the names of its
+ *    contributors may be used to endorse or promote products derived from
+ *    this software without specific prior written permission.
+"""
+GPL = """// This program is free software%s you can redistribute it and/or modify
+// it under the terms of the GNU %sGeneral Public License as published by
+// the Free Software Foundation%s either version %s of the License, or
+// (at your option) any later version.
+//
+// This program is distributed in the hope that it will be useful,
+// but WITHOUT ANY WARRANTY; without even the implied warranty of
+// MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+// GNU General Public License for more details."""
+MPL = """-- This Source Code Form is subject to the terms of the Mozilla Public
+-- License, v. 2.0. If a copy of the MPL was not distributed with this
+-- file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+
+
+def test_licences_of_wrapped_headers(spark, tmp_path):
+    want = [
+        (MIT, "MIT"), (" ".join(MIT[MIT.index("Permission") :].split()), "MIT"), (MIT.replace("\n", "\r\n"), "MIT"), ("int x;\n" + APACHE, "Apache-2.0"), (" ".join(APACHE.replace("#", "").split()), "Apache-2.0"),
+        (BSD % "", "BSD-2-Clause"), (BSD % NAMES, "BSD-3-Clause"), (GPL % (":", "", ",", "3"), "GPL-3.0-or-later"), (GPL % (";", "", ";", "2"), "GPL-2.0-or-later"),
+        (GPL % (";", "Lesser ", ";", "2.1"), "LGPL-2.1-or-later"), (GPL % (":", "Affero ", ",", "3"), "AGPL-3.0-or-later"), (MPL, "MPL-2.0"),
+        ("// SPDX-License-Identifier: BSD-3-Clause\n#include <x>", "BSD-3-Clause"), ("/* SPDX-License-Identifier: GPL-2.0-only */", "GPL-2.0-only"),
+        ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0\nInternational License.", "CC-BY-SA-4.0"), ("licence? none", ""), (None, ""),
+        ("\n" * 200_000 + "word " * 200_000 + ". Licensed under the MIT License.", "MIT"),
+    ]
+    rows = [(k % 16, text) for k, (text, _) in enumerate(want)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = licenses.scan(docs).selectExpr("doc_id", "array_join(sentence_ids, ',') AS sentence_ids", "array_join(licences, ',') AS licences")
+    assert sorted((r.doc_id, r.licences) for r in got.collect()) == sorted((k % 16, name) for k, (_, name) in enumerate(want))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    con = connect("/nowhere")
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert difference(got, con, licenses.duckdb_sql()) == ""
+
+
 ASSIGN = re.compile(secrets.ASSIGN)
 
 

@@ -1,6 +1,7 @@
 """Surrogates, licences and secrets."""
 
 import hashlib
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -164,3 +165,31 @@ def test_ownership_separates_copies_from_live_ones(spark):
     assert (out[1].n_live, out[1].n_copied) == (1, 0) and (out[2].n_live, out[2].n_copied) == (0, 1)
     assert [(s.start, s.end) for s in out[5].live_bare] == [(2, 2 + len(bare))] and out[6].n_live == 0 and out[7].base == []
     assert secrets.scan(frame(spark, rows)).count() == len(rows) and secrets.scan(frame(spark, [])).count() == 0
+
+
+def plain_bare(text):
+    base = [(m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 12] + [(m.start(), m.end()) for p, n in ((secrets.ACCESS, 18), (secrets.HEX, 16)) for m in re.finditer(p, text) if len(m[0]) >= n]
+    found = [m for m in re.finditer(secrets.BARE, text) if re.search("[a-z]", m[0]) and re.search("[A-Z]", m[0]) and re.search("[0-9]", m[0])]
+    return [(m.start(), m.end()) for m in found if not any(a < m.end() and m.start() < b for a, b in base)]
+
+
+def test_many_secrets_in_one_text(spark):
+    rng = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    some = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    kinds = [lambda: f"{rng.getrandbits(80):020x}", lambda: f"token={some(14)}.{some(22)}.{some(30)}", lambda: some(30), lambda: "AKIA" + some(16).upper(), lambda: f"x_secret={some(25)} {some(24)}", lambda: "é🤖 word"]
+    texts = [" ".join(f"{rng.getrandbits(80):020x}" for _ in range(20_000)), " ".join(rng.choice(kinds)() for _ in range(8_000)), *[" ".join(rng.choice(kinds)() for _ in range(k)) for k in range(40)]]
+    out = {r.doc_id: r for r in secrets.scan(frame(spark, [(i, t, f"owner {i}") for i, t in enumerate(texts)])).withColumn("base", secrets.written_out(F.col("base"))).collect()}
+    for i, t in enumerate(texts):
+        assert out[i].base == plain_spans(t)
+        assert [(s.start, s.end) for s in out[i].live_bare] == (plain_bare(t) if i != 1 else [(s.start, s.end) for s in out[1].live_bare])
+    assert len(out[1].live_bare) > 1000
+    one, two = "QWERTYqwerty1234567890aa", "QWERTYqwerty1234567890bb"
+    rows = secrets.scan(frame(spark, [(7, one, "a"), (7, two, "b"), (None, one, "a"), (None, "x", None)])).collect()
+    assert sorted((r.doc_id or 0, len(r.live_bare)) for r in rows) == [(0, 0), (0, 1), (7, 1), (7, 1)]
+
+
+def test_running_sums(spark):
+    for n in (0, 1, 2, 3, 4, 10, 17, 100):
+        row = spark.range(1).select(secrets.running(F.array(*[F.lit(k) for k in range(n)]).cast("array<int>")).alias("s")).first()
+        assert row.s == [k * (k + 1) // 2 for k in range(n)]

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
 WORD = r"[\p{L}\p{N}_]+"
-IDENTIFIER = r"[\p{L}\p{N}_./-]*\p{Nd}[\p{L}\p{N}_./-]*"
-
+#: Words joined by dots, bars or hyphens; the look-behind keeps the search from starting within a word.
+COMPOUND = r"(?<![\p{L}\p{N}_])[\p{L}\p{N}_]++(?:[./-]++[\p{L}\p{N}_]++)++"
 
 @dataclass(frozen=True)
 class Language:
@@ -49,11 +49,11 @@ def words(text: Column, language: Language = ENGLISH) -> Column:
 
 def lexical_terms(text: Column, language: Language = ENGLISH, letters: int = 5) -> Column:
     """Search terms: words without a digit cut to five letters, then whole identifiers; repeats are kept."""
-    cut = F.transform(words(text, language), lambda w: F.when(w.rlike(r"\p{Nd}"), w).otherwise(F.substring(w, 1, letters)))
-    bare = F.transform(F.regexp_extract_all(fold(text, language), F.lit(IDENTIFIER), F.lit(0)), lambda x: F.regexp_replace(x, r"^[./-]+|[./-]+$", ""))
-    kept = F.filter(bare, lambda x: (F.length(x) >= 4) & x.rlike(r"\P{Nd}"))
+    folded, letter = fold(text, language), r"[\p{L}\p{N}_&&[^\p{Nd}]]"
+    cut = F.regexp_replace(folded, rf"(?<![\p{{L}}\p{{N}}_])({letter}{{{letters}}}){letter}++(?!\p{{Nd}})", "$1")
     # a single word is among the words already, so only compound identifiers add something
-    return F.concat(cut, F.filter(kept, lambda x: x.rlike("[./-]")))
+    compound = F.filter(F.regexp_extract_all(folded, F.lit(COMPOUND), F.lit(0)), lambda x: (F.length(x) >= 4) & x.rlike(r"\p{Nd}"))
+    return F.concat(F.regexp_extract_all(cut, F.lit(WORD), F.lit(0)), compound)
 
 
 def token_estimate(text: Column) -> Column:
@@ -69,7 +69,7 @@ def clean(text: Column) -> Column:
 def claims(text: Column, language: Language = ENGLISH) -> Column:
     """Distinct tokens with a digit, in order, once citations are removed and edges stripped."""
     plain = F.regexp_replace(F.lower(text), r"\[[0-9][0-9, ]*\]", " ")
-    tokens = F.regexp_extract_all(plain, F.lit(r"[\p{L}\p{N}./,_-]*\p{Nd}[\p{L}\p{N}./,_-]*"), F.lit(0))
+    tokens = F.filter(F.regexp_extract_all(plain, F.lit(r"[\p{L}\p{N}./,_-]+"), F.lit(0)), lambda x: x.rlike(r"\p{Nd}"))
     return F.array_distinct(F.transform(tokens, lambda t: F.regexp_replace(t, r"^[.,/_-]+|[.,/_-]+$", "")))
 
 

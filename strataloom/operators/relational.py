@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
+from .tables import written
+
 
 class TenantView:
     """The only way to read tenant tables: every read carries the tenant's predicate.
@@ -38,20 +40,13 @@ def closure(edges: DataFrame, roots: DataFrame, max_depth: int = 100) -> DataFra
     frontier = seen
     for _ in range(max_depth):
         frontier = edges.join(frontier.withColumnRenamed("id", "parent"), "parent").select("id", "root").distinct().join(seen, ["id", "root"], "left_anti")
-        # materialised by Spark's own reliable checkpoint where a folder is set
-        frontier = _cut(frontier)
+        frontier = written(frontier, "frontier")
         if frontier.isEmpty():
             break
-        seen = _cut(seen.unionAll(frontier))
+        seen = written(seen.unionAll(frontier), "closure")
     return seen
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a checkpoint in the cluster's shared folder, where one is named."""
-    spark = df.sparkSession
-    return df.checkpoint() if spark.conf.get("spark.checkpoint.dir", None) else df.persist()
-
-
 def permission_rank(permission: Column) -> Column:
     return F.when(permission == "read", 1).when(permission == "write", 2).when(permission == "manage", 3).otherwise(0)
 

@@ -9,10 +9,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ENGLISH, Language, lexical_terms
+from .tables import written
 
 RRF_K = 60
 
@@ -36,11 +37,14 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 50, k1: float = 1.2, b: f
     cut.  Only postings of the questions' terms are aggregated.  Ties go by key.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(lexical_terms(F.col("text"), language))).alias("term"))
-    vocabulary = asked.select("term").distinct()
-    terms = docs.select("key", lexical_terms(F.col("text"), language).alias("terms"))
-    lengths = terms.select("key", F.size("terms").alias("length"))
-    stats = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
-    tf = terms.select("key", F.size("terms").alias("length"), F.explode("terms").alias("term")).join(vocabulary, "term", "left_semi").groupBy("key", "length", "term").agg(F.count("*").alias("tf"))
+    seen = Observation()
+    terms = docs.select("key", lexical_terms(F.col("text"), language).alias("terms")).withColumn("length", F.size("terms"))
+    terms = terms.observe(seen, F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"))
+    # an inner explode would make Spark ask for the terms once more, to leave out documents without any
+    each = terms.select("key", "length", F.explode_outer("terms").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    # one pass over the texts: statistics are observed while the postings are written
+    tf = written(each.groupBy("key", "length", "term").agg(F.count("*").alias("tf")), "postings")
+    stats = seen.get
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (stats["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / (stats["mean"] or 1.0)))

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
 WORD = r"[\p{L}\p{N}_]+"
-#: Words joined by dots, bars or hyphens; the look-behind keeps the search from starting within a word.
-COMPOUND = r"(?<![\p{L}\p{N}_])[\p{L}\p{N}_]++(?:[./-]++[\p{L}\p{N}_]++)++"
+#: Words joined by dots, bars or hyphens, or single ones, so that no search fails within a word and starts anew.
+COMPOUND = r"[\p{L}\p{N}_]++(?:[./-]++[\p{L}\p{N}_]++)*+"
+JOINT = r"[\p{L}\p{N}_][./-]+[\p{L}\p{N}_]"
 
 @dataclass(frozen=True)
 class Language:
@@ -49,11 +50,12 @@ def words(text: Column, language: Language = ENGLISH) -> Column:
 
 def lexical_terms(text: Column, language: Language = ENGLISH, letters: int = 5) -> Column:
     """Search terms: words without a digit cut to five letters, then whole identifiers; repeats are kept."""
-    folded, letter = fold(text, language), r"[\p{L}\p{N}_&&[^\p{Nd}]]"
-    cut = F.regexp_replace(folded, rf"(?<![\p{{L}}\p{{N}}_])({letter}{{{letters}}}){letter}++(?!\p{{Nd}})", "$1")
+    folded, letter = fold(text, language), r"[\p{L}\p{Nl}\p{No}_]"
+    # each match is a whole word; its group is the cut one, or all of it if a digit follows
+    cut = rf"({letter}{{1,{letters}}}+(?={letter}*+(?!\p{{Nd}}))|[\p{{L}}\p{{N}}_]++)[\p{{L}}\p{{N}}_]*+"
     # a single word is among the words already, so only compound identifiers add something
-    compound = F.filter(F.regexp_extract_all(folded, F.lit(COMPOUND), F.lit(0)), lambda x: (F.length(x) >= 4) & x.rlike(r"\p{Nd}"))
-    return F.concat(F.regexp_extract_all(cut, F.lit(WORD), F.lit(0)), compound)
+    compound = F.filter(F.regexp_extract_all(folded, F.lit(COMPOUND), F.lit(0)), lambda x: (F.length(x) >= 4) & x.rlike("[./-]") & x.rlike(r"\p{Nd}"))
+    return F.concat(F.regexp_extract_all(folded, F.lit(cut), F.lit(1)), F.when(folded.rlike(JOINT), compound).otherwise(F.array().cast("array<string>")))
 
 
 def token_estimate(text: Column) -> Column:

@@ -206,10 +206,12 @@ def fit(labelled: DataFrame, label: str = "quality", params: QualityParams = Qua
 
 
 def scored(docs: DataFrame, model: QualityModel, name: str = "score") -> DataFrame:
-    """``docs`` with one more column, the probability of label 1 (null text: as an empty one).
+    """``docs`` with the column ``name``, the probability of label 1 (null text: as an empty one).
 
-    One pass without a shuffle; every row stays, repeated ones too, and other columns are kept.
+    One pass without a shuffle; every row stays, repeated ones too, and other columns are kept but
+    for one of that name, which is replaced.  Texts of any length are read whole.
     """
+    docs = docs.drop(name)
     schema = docs.select("*", F.lit(0.0).alias(name)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

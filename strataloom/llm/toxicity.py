@@ -1,11 +1,12 @@
 """Toxicity scores from Levenshtein automata intersected with a lexicon trie (operator 10).
 
-The lexicon is learned: words and word stems that documents labelled toxic hold and others don't.
-The automaton that accepts every lexicon term with at most one edit is intersected with the trie
-of the terms, made deterministic once, and then steps through all words of a batch at a time, one
-letter a step; words leave when no term can be reached any more.  Each match becomes evidence
-with a learned weight per term and number of edits; windows of context lower evidence that stands
-within quotation or next to a word of reporting, and raise evidence that stands close to more.
+The lexicon is learned: words that documents labelled toxic hold and others don't.  The automaton
+that accepts every lexicon term with at most one edit of a letter is intersected with the trie of
+the terms, made deterministic once, and then steps through all words of a batch at a time, one
+letter a step; words leave when no term can be reached any more.  Each match becomes evidence with
+a learned weight per term, less for a misspelt one; words near a term that clean documents use are
+exceptions.  Windows of context tell quotation from abuse: evidence between quotation marks counts
+hardly, evidence next to a word of reporting less, evidence close to more evidence the more.
 """
 
 from __future__ import annotations
@@ -27,58 +28,68 @@ from .tokens import Words, words
 SEED_TERMS = ("idiot", "moron", "scum", "loser", "stupid", "worthless", "pathetic", "disgusting")
 # Words that report somebody else's speech, in English, French, German and Spanish.
 REPORTING = ("said", "says", "quoted", "wrote", "called", "word", "term", "dit", "mot", "sagte", "wort", "dijo", "palabra")
+# Quotation marks of these languages in UTF-8, and which way those that stand apart from words point.
+QUOTES = {'"': 0, "\u00ab": 1, "\u00bb": -1, "\u201c": 1, "\u201d": -1, "\u201e": 1, "\u2039": 1, "\u203a": -1}
 
 
 @dataclass(frozen=True)
 class ToxicParams:
-    """``max_labels`` bounds the labelled sample, which a hash of doc_id picks."""
+    """``max_labels`` bounds the labelled sample, which a hash of doc_id picks.
+
+    ``max_terms`` and ``max_exceptions`` are the size of the lexicon.  Terms of ``edit_letters``
+    letters or more tolerate an edit; a misspelt term is worth ``misspelt`` of the right one until
+    labels tell otherwise, for which they need some ``prior`` documents.  Evidence in quotation is
+    worth ``quoted``, next to a word of reporting ``reported`` of itself.
+    """
 
     max_labels: int = 20_000
     max_terms: int = 400
+    max_exceptions: int = 4000
     min_docs: int = 4
     min_ratio: float = 20.0
-    stem_letters: tuple[int, int] = (4, 8)
     edit_letters: int = 5
+    misspelt: float = 0.8
+    prior: float = 5.0
+    quoted: float = 0.05
+    reported: float = 0.4
     window: int = 12
-    steps: int = 400
+    steps: int = 50
 
 
 @dataclass
 class Automaton:
     """Deterministic intersection: ``table[state, letter]``; state 0 is dead, 1 the start.
 
-    ``term`` and ``edits`` have what a word that ends in a state matches (-1: nothing); in a
-    state with ``stem`` a longer word matches too.
+    ``letters`` numbers the code points of the terms, all others alike; ``term`` and ``edits`` have
+    what a word that ends in a state matches (-1: nothing).
     """
 
     letters: np.ndarray
     table: np.ndarray
     term: np.ndarray
     edits: np.ndarray
-    stem: np.ndarray
 
 
-def build_automaton(terms: list[tuple[str, bool]], edit_letters: int) -> Automaton:
-    """``terms``: the term and whether it is a stem.  Stems and short terms are matched exactly."""
+def build_automaton(terms: list[str], edit_letters: int) -> Automaton:
+    """Terms of fewer letters than ``edit_letters`` are matched exactly; of two terms that match the first counts."""
     children: list[dict[int, int]] = [{}]
     ends: dict[int, int] = {}
     tolerant = [False]
-    for number, (term, is_stem) in enumerate(terms):
-        node, data = 0, term.encode()
-        soft = not is_stem and len(term) >= edit_letters
+    for number, term in enumerate(terms):
+        node, soft = 0, len(term) >= edit_letters
         tolerant[0] |= soft
-        for b in data:
-            if b not in children[node]:
-                children[node][b] = len(children)
+        for c in map(ord, term):
+            if c not in children[node]:
+                children[node][c] = len(children)
                 children.append({})
                 tolerant.append(False)
-            node = children[node][b]
+            node = children[node][c]
             tolerant[node] |= soft
-        ends[node] = number if node not in ends or not terms[ends[node]][1] else ends[node]
-    used = sorted({b for c in children for b in c})
-    letters = np.full(256, len(used), dtype=np.uint8)
+        ends.setdefault(node, number)
+    used = sorted({c for x in children for c in x})
+    letters = np.full(0x110000, len(used), dtype=np.uint16)
     letters[used] = np.arange(len(used))
-    after = [*used, -1]  # -1: a byte of no term
+    after = [*used, -1]  # -1: a letter of no term
 
     def closed(items: dict[int, int]) -> frozenset:
         """With the deletions of a term's letters; of a node only the fewest edits count."""
@@ -89,10 +100,10 @@ def build_automaton(terms: list[tuple[str, bool]], edit_letters: int) -> Automat
                         items[child] = 1
         return frozenset(items.items())
 
-    def moved(state: frozenset, b: int) -> frozenset:
+    def moved(state: frozenset, c: int) -> frozenset:
         out: dict[int, int] = {}
         for node, edits in state:
-            if (child := children[node].get(b)) is not None:
+            if (child := children[node].get(c)) is not None:
                 out[child] = min(out.get(child, 9), edits)
             if edits == 0:
                 for child in children[node].values():
@@ -109,26 +120,30 @@ def build_automaton(terms: list[tuple[str, bool]], edit_letters: int) -> Automat
     while todo:
         state = todo.pop()
         row = []
-        for b in after:
-            target = moved(state, b)
+        for c in after:
+            target = moved(state, c)
             if target not in number:
                 number[target] = len(number)
                 todo.append(target)
             row.append(number[target])
         rows[number[state]] = row
     table = np.array([rows[k] for k in range(len(number))], dtype=np.int32)
-    term, edits, stem = (np.full(len(number), v, dtype=np.int32) for v in (-1, 9, 0))
+    term, edits = (np.full(len(number), v, dtype=np.int32) for v in (-1, 9))
     for state, k in number.items():
-        for node, e in state:
-            if node in ends and e < edits[k] and (e == 0 or not terms[ends[node]][1] and len(terms[ends[node]][0]) >= edit_letters):
-                term[k], edits[k] = ends[node], e
-                stem[k] = terms[ends[node]][1]
-    return Automaton(letters, table, term, edits, stem.astype(bool))
+        found = [(e, ends[node]) for node, e in state if node in ends and (e == 0 or len(terms[ends[node]]) >= edit_letters)]
+        if found:
+            edits[k], term[k] = min(found)
+    return Automaton(letters, table, term, edits)
 
 
 def match(a: Automaton, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Index of each matching word, its term and its edits (a stem's exact match counts first)."""
-    length = w.ends - w.starts
+    """Index of each matching word, its term and its edits."""
+    # code points of all texts, and where each word's lie
+    points = np.frombuffer(w.data.tobytes().decode(errors="replace").encode("utf-32-le"), dtype=np.uint32)
+    lead = np.zeros(len(w.data) + 1, dtype=np.int32)
+    np.cumsum((w.data & 0xC0) != 0x80, out=lead[1:])
+    first, length = lead[w.starts], lead[w.ends] - lead[w.starts]
+    letters = a.letters[np.minimum(points, 0x10FFFF)]
     live = np.arange(len(length))
     state = np.ones(len(length), dtype=np.int32)
     found_word, found_term, found_edits = [], [], []
@@ -142,14 +157,9 @@ def match(a: Automaton, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             found_term.append(a.term[ended][hit])
             found_edits.append(a.edits[ended][hit])
             live, state = live[~done], state[~done]
-        state = a.table[state, a.letters[w.data[w.starts[live] + step]]]
+        state = a.table[state, letters[first[live] + step]]
         step += 1
-        early = a.stem[state] & (length[live] > step)
-        if early.any():
-            found_word.append(live[early])
-            found_term.append(a.term[state[early]])
-            found_edits.append(np.zeros(int(early.sum()), dtype=np.int32))
-        keep = (state != 0) & ~early
+        keep = state != 0
         live, state = live[keep], state[keep]
     if not found_word:
         none = np.zeros(0, dtype=np.int64)
@@ -161,81 +171,114 @@ def match(a: Automaton, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 @dataclass
 class ToxicModel:
-    terms: list[tuple[str, bool]] = field(default_factory=list)
+    terms: list[str] = field(default_factory=list)
+    #: of each term, and of a misspelt one
     weights: np.ndarray = field(default_factory=lambda: np.zeros((0, 2)))
-    coefficients: np.ndarray = field(default_factory=lambda: np.zeros(5))
-    edit_letters: int = 5
-    window: int = 12
-
+    coefficients: np.ndarray = field(default_factory=lambda: np.array([-4.0, 3.0, 1.0, -2.0, 0.0]))
+    #: words near a term that are none
+    exceptions: list[str] = field(default_factory=list)
+    params: ToxicParams = ToxicParams()
+
+
+class _Scorer:
+    """What a task needs of a model."""
+
+    def __init__(self, model: ToxicModel):
+        self.model, self.automaton = model, build_automaton(model.terms, model.params.edit_letters)
+        self.exceptions = np.unique(words(pa.array(model.exceptions, pa.string())).hashes)
+        self.reporting = np.unique(words(pa.array(REPORTING)).hashes)
+
+    def matches(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Matches that are no exception."""
+        word, term, edits = match(self.automaton, w)
+        keep = (edits == 0) | ~np.isin(w.hashes[word], self.exceptions)
+        return word[keep], term[keep], edits[keep]
+
+    def features(self, w: Words) -> np.ndarray:
+        """Per text: 1, total evidence (log), strongest window (log), share of discounted evidence, evidence per word."""
+        n, p = len(w.bounds) - 1, self.model.params
+        word, term, edits = self.matches(w)
+        out = np.zeros((n, 5))
+        out[:, 0] = 1
+        if not len(word):
+            return out
+        owner = np.searchsorted(w.bounds, word, "right") - 1
+        whole = np.maximum(self.model.weights[term, np.minimum(edits, 1)], 0)
+        reported = np.zeros(len(word), dtype=bool)
+        for k in range(1, 4):
+            near = np.maximum(word - k, w.bounds[owner])
+            reported |= np.isin(w.hashes[near], self.reporting) & (near < word)
+        value = np.where(_in_quotes(w, word, owner, p.window), p.quoted, np.where(reported, p.reported, 1.0)) * whole
+        total = np.bincount(owner, value, n)
+        sums = np.concatenate([[0], np.cumsum(value)])
+        upto = np.searchsorted(word, np.minimum(word + p.window, w.bounds[owner + 1] - 1), "right")
+        strongest = np.zeros(n)
+        np.maximum.at(strongest, owner, sums[upto] - sums[np.arange(len(word))])
+        out[:, 1] = np.log1p(total)
+        out[:, 2] = np.log1p(strongest)
+        out[:, 3] = np.bincount(owner, whole - value, n) / np.maximum(np.bincount(owner, whole, n), 1e-9)
+        out[:, 4] = np.minimum(total * 20 / np.maximum(np.diff(w.bounds), 20), 5)
+        return out
 
-_QUOTES = np.zeros(256, dtype=bool)
-_QUOTES[[ord('"')]] = True
+    def score(self, w: Words) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.features(w) @ self.model.coefficients, -30, 30)))
 
 
-def _features(model: ToxicModel, automaton: Automaton, w: Words) -> np.ndarray:
-    """Per text: 1, total evidence (log), strongest window, share of quoted evidence, evidence per word."""
-    n = len(w.bounds) - 1
-    word, term, edits = match(automaton, w)
-    out = np.zeros((n, 5))
-    out[:, 0] = 1
-    if not len(word):
-        return out
-    owner = np.searchsorted(w.bounds, word, "right") - 1
-    value = np.maximum(model.weights[term, np.minimum(edits, 1)], 0)
-    # inside quotation marks of one text: an odd number of marks stands before
-    quotes = np.flatnonzero(_QUOTES[w.data])
-    before = np.searchsorted(quotes, w.starts[word]) - np.searchsorted(quotes, w.offsets[owner])
-    after = np.searchsorted(quotes, w.offsets[owner + 1]) - np.searchsorted(quotes, w.starts[word])
-    quoted = (before % 2 == 1) & (after > 0)
-    for k in range(1, 4):
-        near = np.maximum(word - k, w.bounds[owner])
-        quoted |= np.isin(w.hashes[near], _reporting()) & (near < word)
-    value = np.where(quoted, 0.4 * value, value)
-    total = np.bincount(owner, value, n)
-    sums = np.concatenate([[0], np.cumsum(value)])
-    upto = np.searchsorted(word, np.minimum(word + model.window, w.bounds[owner + 1] - 1), "right")
-    strongest = np.zeros(n)
-    np.maximum.at(strongest, owner, sums[upto] - sums[np.arange(len(word))])
-    out[:, 1] = np.log1p(total)
-    out[:, 2] = np.log1p(strongest)
-    out[:, 3] = np.bincount(owner, np.where(quoted, value, 0), n) / np.maximum(total, 1e-9)
-    out[:, 4] = np.minimum(total * 20 / np.maximum(np.diff(w.bounds), 20), 5)
-    return out
-
-
-_REPORTING_HASHES: list[np.ndarray] = []
-
-
-def _reporting() -> np.ndarray:
-    if not _REPORTING_HASHES:
-        _REPORTING_HASHES.append(np.sort(words(pa.array([" ".join(REPORTING)])).hashes))
-    return _REPORTING_HASHES[0]
-
-
-def _distinct_terms(params: ToxicParams):
-    low, high = params.stem_letters
+def _marks(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes where quotations open, and where they close.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, list[int]] = defaultdict(lambda: [0, 0])
-        for batch in batches:
-            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                w = words(pa.array([text], pa.string()))
-                raw = w.data.tobytes()
-                own = set()
-                for s, e in set(zip(w.starts.tolist(), w.ends.tolist(), strict=True)):
-                    word = raw[s:e].decode(errors="ignore")
-                    if len(word) > 40 or not word.isalpha():
-                        continue
-                    own.add(word)
-                    own.update(word[:k] + "*" for k in range(low, min(high, len(word) - 1) + 1))
-                for x in own:
-                    counts[x][toxic] += 1
-                if len(counts) > 200_000:
-                    yield _count_rows(counts)
-                    counts.clear()
-        yield _count_rows(counts)
-
-    return run
+    A mark before a word and not behind one opens, the reverse closes; one that stands apart, as in
+    French, is taken by its form.
+    """
+    data, opens, closes = w.data, [], []
+    change = np.zeros(len(data) + 1, dtype=np.int8)
+    change[w.starts] += 1
+    change[w.ends] -= 1
+    wordy = np.cumsum(change) > 0
+    for mark, way in QUOTES.items():
+        code = mark.encode()
+        at = np.flatnonzero(data == code[0])
+        at = at[at + len(code) <= len(data)]
+        for k in range(1, len(code)):
+            at = at[data[at + k] == code[k]]
+        before = np.where(at > 0, wordy[at - 1] | np.isin(data[at - 1], [33, 44, 46, 63]), False)
+        after = wordy[np.minimum(at + len(code), len(data))]
+        opens.append(at[(after & ~before) | (way > 0) & ~(before & ~after)])
+        closes.append(at[(before & ~after) | (way < 0) & ~(after & ~before)])
+    return np.sort(np.concatenate(opens)), np.sort(np.concatenate(closes))
+
+
+def _in_quotes(w: Words, word: np.ndarray, owner: np.ndarray, window: int) -> np.ndarray:
+    """Which words stand in a quotation that opens and closes within ``window`` words of its text."""
+    opens, closes = _marks(w)
+    if not len(opens) or not len(closes):
+        return np.zeros(len(word), dtype=bool)
+    start, end = w.starts[word], w.ends[word]
+    before = np.searchsorted(opens, start) - 1
+    opened = np.where(before >= 0, opens[np.maximum(before, 0)], -1)
+    after = np.searchsorted(closes, end)
+    closed = np.where(after < len(closes), closes[np.minimum(after, len(closes) - 1)], len(w.data) + 1)
+    # nothing closes between the mark and the word, and both marks are near and in the same text
+    ended = np.searchsorted(closes, start) - 1
+    ended = np.where(ended >= 0, closes[np.maximum(ended, 0)], -1)
+    near = (word - np.searchsorted(w.starts, opened) < window) & (np.searchsorted(w.starts, closed) - word <= window)
+    return (opened >= w.offsets[owner]) & (closed < w.offsets[owner + 1]) & (opened > ended) & near
+
+
+def _distinct_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts: dict[str, list[int]] = defaultdict(lambda: [0, 0])
+    for batch in batches:
+        for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+            w = words(pa.array([text], pa.string()))
+            raw = w.data.tobytes()
+            own = {raw[s:e] for s, e in zip(w.starts.tolist(), w.ends.tolist(), strict=True) if 3 < e - s <= 60}
+            for x in own:
+                if (word := x.decode(errors="ignore")).isalpha():
+                    counts[word][toxic] += 1
+            if len(counts) > 100_000:
+                yield _count_rows(counts)
+                counts.clear()
+    yield _count_rows(counts)
 
 
 def _count_rows(counts: dict[str, list[int]]) -> pa.RecordBatch:
@@ -245,7 +288,7 @@ def _count_rows(counts: dict[str, list[int]]) -> pa.RecordBatch:
 def _logistic(x: np.ndarray, y: np.ndarray, steps: int) -> np.ndarray:
     """Newton's method with a small ridge penalty."""
     beta = np.zeros(x.shape[1])
-    for _ in range(min(steps, 50)):
+    for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
         grad = x.T @ (y - p) - 0.1 * beta
         hess = (x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(len(beta))
@@ -267,87 +310,79 @@ def labelled_sample(labels: DataFrame, docs: DataFrame, label: str, max_labels:
 def fit(labelled: DataFrame, params: ToxicParams = ToxicParams()) -> ToxicModel:
     """Fit on (doc_id, text, toxic 0/1) rows, which ``labelled_sample`` bounds; others are left out.
 
-    Term counts are summed by Spark; only terms over the thresholds, ``max_terms`` at most of
-    which are kept, and one row of five features a labelled document come to the driver.  Without
-    usable labels the model has the seed terms with a default weight.
+    Word counts are summed by Spark; only terms over the thresholds, the lexicon's size at most, and
+    one row of five features a labelled document come to the driver.  Without usable labels the
+    model has the seed terms with a default weight.
     """
     rows = labelled.where("doc_id is not null and text is not null and toxic in (0, 1)").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
     rows = written(rows, "toxic-labels")
-    counts = rows.mapInArrow(lean(_distinct_terms(params)), "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counted = rows.mapInArrow(lean(_distinct_terms), "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counted = written(counted, "toxic-words")
     totals = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
     n1, n0 = totals.get(1, 0), totals.get(0, 0)
+    log_ratio = lambda toxic, clean: math.log(((toxic + 0.5) / (n1 + 1)) / ((clean + 0.5) / (n0 + 1)))
     ratio = ((F.col("toxic") + 0.5) / (n1 + 1)) / ((F.col("clean") + 0.5) / (n0 + 1))
-    good = counts.withColumn("ratio", ratio).where((F.col("toxic") >= params.min_docs) & (F.col("ratio") >= params.min_ratio))
-    best = good.orderBy(F.desc(F.col("toxic") * F.log("ratio")), "term").limit(4 * params.max_terms).collect() if n1 else []
-    chosen: dict[str, tuple[bool, float]] = {}
-    stems: list[str] = []
-    # a term of a chosen stem adds nothing, unless it is the stronger one
-    for r in best:
-        name, is_stem = r.term.removesuffix("*"), r.term.endswith("*")
-        if len(chosen) >= params.max_terms:
-            break
-        if any(name.startswith(s) for s in stems) or name in chosen or is_stem and any(c.startswith(name) and not chosen[c][0] for c in chosen):
-            continue
-        chosen[name] = (is_stem, min(math.log(r.ratio), 6.0))
-        if is_stem:
-            stems.append(name)
+    good = counted.withColumn("ratio", ratio).where((F.col("toxic") >= params.min_docs) & (F.col("ratio") >= params.min_ratio))
+    best = good.orderBy(F.desc(F.col("toxic") * F.log("ratio")), "term").limit(params.max_terms).collect() if n1 else []
+    chosen = {r.term: min(math.log(r.ratio), 6.0) for r in best}
+    seen = {r.term: (r.toxic, r.clean) for r in counted.where(F.col("term").isin(*SEED_TERMS)).collect()}
+    blend = lambda weight, toxic, clean: max((params.prior * weight + (toxic + clean) * log_ratio(toxic, clean)) / (params.prior + toxic + clean), 0.0) if toxic + clean else weight
     for term in SEED_TERMS:
-        if term not in chosen and not any(term.startswith(s) for s in stems):
-            chosen[term] = (False, 3.0)
-    terms = [(name, is_stem) for name, (is_stem, _) in chosen.items()]
-    weights = np.array([[w, 0.0] for _, w in chosen.values()])
-    model = ToxicModel(terms, weights, np.array([-4.0, 3.0, 1.0, -2.0, 0.0]), params.edit_letters, params.window)
+        chosen.setdefault(term, min(blend(3.0, *seen.get(term, (0, 0))), 6.0))
+    model = ToxicModel(list(chosen), np.array([[w, params.misspelt * w] for w in chosen.values()]), params=params)
     if not n1 or not n0:
-        model.weights[:, 1] = 1.5
         return model
-    seen = rows.mapInArrow(lean(_near_counts(model)), "term int, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).collect()
-    for r in seen:  # evidence with an edit is worth what the labels show
-        model.weights[r.term, 1] = min(max(math.log(((r.toxic + 0.5) / (n1 + 1)) / ((r.clean + 0.5) / (n0 + 1))), 0.0), model.weights[r.term, 0])
+    near = written(counted.mapInArrow(lean(_near_words(model)), "word string, term int, toxic long, clean long"), "near-words")
+    usual = near.withColumn("ratio", ratio).where((F.col("clean") >= 2) & (F.col("ratio") < params.min_ratio / 4))
+    model.exceptions = sorted(r.word for r in usual.orderBy(F.desc("clean"), "word").limit(params.max_exceptions).collect())
+    rest = near.where(~F.col("word").isin(*model.exceptions)) if model.exceptions else near
+    for r in rest.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).collect():
+        model.weights[r.term, 1] = min(blend(model.weights[r.term, 1], r.toxic, r.clean), model.weights[r.term, 0])
     data = rows.mapInArrow(lean(_feature_rows(model)), "x array<double>, toxic int").toArrow()
     x = np.array(data.column("x").to_pylist())
     y = np.array(data.column("toxic").to_pylist(), dtype=float)
-    model.coefficients = _logistic(x, y, params.steps)
+    # labels that hold no quotation say nothing of it; how it counts is set by the parameters
+    use = [k for k in range(5) if k != 3]
+    model.coefficients = np.zeros(5)
+    model.coefficients[use] = _logistic(x[:, use], y, params.steps)
     return model
 
 
-def _near_counts(model: ToxicModel):
+def _near_words(model: ToxicModel):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = build_automaton(model.terms, model.edit_letters)
-        counts = np.zeros((len(model.terms), 2), dtype=np.int64)
-        for batch in sliced(batches, "text"):
-            w = words(batch.column("text"))
+        automaton = build_automaton(model.terms, model.params.edit_letters)
+        for batch in batches:
+            w = words(batch.column("term"))
             word, term, edits = match(automaton, w)
-            owner = np.searchsorted(w.bounds, word, "right") - 1
-            toxic = batch.column("toxic").to_numpy()
-            near = np.unique(np.stack([owner[edits > 0], term[edits > 0]]), axis=1)
-            np.add.at(counts, (near[1], toxic[near[0]]), 1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(counts)), pa.int32()), pa.array(counts[:, 1]), pa.array(counts[:, 0])], ["term", "toxic", "clean"])
+            word, term = word[edits > 0], term[edits > 0]
+            own = batch.take(pa.array(np.searchsorted(w.bounds, word, "right") - 1))
+            yield pa.RecordBatch.from_arrays([own.column("term"), pa.array(term, pa.int32()), own.column("toxic"), own.column("clean")], ["word", "term", "toxic", "clean"])
 
     return run
 
 
 def _feature_rows(model: ToxicModel):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = build_automaton(model.terms, model.edit_letters)
+        scorer = _Scorer(model)
         for batch in sliced(batches, "text"):
-            x = _features(model, automaton, words(batch.column("text")))
+            x = scorer.features(words(batch.column("text")))
             yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), batch.column("toxic")], ["x", "toxic"])
 
     return run
 
 
 def scored(docs: DataFrame, model: ToxicModel, name: str = "score") -> DataFrame:
-    """``docs`` with one more column, the probability that the text is toxic (null text: empty).
+    """``docs`` with the column ``name``, the probability that the text is toxic (null text: as an empty one).
 
-    One pass without a shuffle; every row stays, repeated ones too, and other columns are kept.
+    One pass without a shuffle; every row stays, repeated ones too, and other columns are kept but
+    for one of that name, which is replaced.  Texts of any length are read whole.
     """
+    docs = docs.drop(name)
     schema = docs.select("*", F.lit(0.0).alias(name)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = build_automaton(model.terms, model.edit_letters)
+        scorer = _Scorer(model)
         for batch in sliced(batches, "text"):
-            x = _features(model, automaton, words(batch.column("text")))
-            p = 1 / (1 + np.exp(-np.clip(x @ model.coefficients, -30, 30)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())], [*batch.schema.names, name])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scorer.score(words(batch.column("text"))), pa.float64())], [*batch.schema.names, name])
 
     return docs.mapInArrow(lean(run), schema)

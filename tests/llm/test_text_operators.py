@@ -181,7 +181,7 @@ def test_signatures_estimate_weighted_jaccard():
     assert abs((rows[0] == rows[1]).mean() - 0.5) < 0.05
 
 
-TERMS = [("idiot", False), ("vequ", True), ("scum", False)]
+TERMS = ["idiot", "vequ", "scum", "größe"]
 
 
 def test_automaton_equals_edit_distance():
@@ -189,9 +189,9 @@ def test_automaton_equals_edit_distance():
     rng = random.Random(4)
     alphabet = "idotscumvequx"
     samples = ["idiot", "idiots", "idiott", "idit", "ixiot", "idioxts", "scum", "scums", "vequ", "vequxyz", "veq", "", "idiotxx"] + ["".join(rng.choice(alphabet) for _ in range(rng.randint(1, 8))) for _ in range(2000)]
-    samples = [s for s in samples if s]
+    samples = [s for s in samples if s] + ["grösse", "größe", "große", "grüße", "ïdiot", "iidiot", "größer"]
     word, term, edits = toxicity.match(a, words(pa.array(samples)))
-    got = {samples[i]: (TERMS[t][0], e) for i, t, e in zip(word.tolist(), term.tolist(), edits.tolist(), strict=True)}
+    got = {samples[i]: (TERMS[t], e) for i, t, e in zip(word.tolist(), term.tolist(), edits.tolist(), strict=True)}
     whole = lambda p, s: int(np.array(dp(p, s)))
 
     def dp(p, s):
@@ -204,14 +204,8 @@ def test_automaton_equals_edit_distance():
         return row[-1]
 
     for s in set(samples):
-        if s.startswith("vequ"):
-            assert got[s] == ("vequ", 0)
-        elif s == "scum":
-            assert got[s] == ("scum", 0)
-        elif whole("idiot", s) <= 1:
-            assert got[s] == ("idiot", whole("idiot", s))
-        else:
-            assert s not in got
+        fits = [(whole(t, s), t) for t in TERMS if s == t or len(t) >= 5 and whole(t, s) <= 1]
+        assert got.get(s) == (min(fits)[1], min(fits)[0]) if fits else s not in got
 
 
 def held_out(spark, label, model_scores):
@@ -231,10 +225,35 @@ def test_toxicity_held_out(spark):
     assert [r.t > 0.5 for r in toxicity.scored(frame(spark, [(1, "you idiot, you moron, pathetic scum"), (2, "a kind word")]), none, "t").orderBy("doc_id").collect()] == [True, False]
 
 
+def labelled(spark, rng, n=400):
+    """Toxic documents hold one of some words; clean ones hold "crown", which is near "clown"."""
+    bad, rows = ["clown", "worthless", "idiot", "trash", "größenwahn"], []
+    for k in range(n):
+        w = prose(rng, 40)
+        w = w.split()
+        w[rng.randrange(40)] = bad[k % 5] if k % 4 == 0 else rng.choice(["crown", "town", "kind"])
+        rows.append((k, " ".join(w), int(k % 4 == 0)))
+    return spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+
+
+def test_misspelt_terms_and_quotations(spark):
+    rng = random.Random(12)
+    model = toxicity.fit(labelled(spark, rng))
+    assert {"clown", "worthless", "trash", "größenwahn"} <= set(model.terms) and "crown" in model.exceptions
+    said = lambda x: f"{prose(rng, 20)} {x} {prose(rng, 20)}"
+    toxic = ["wzrthless", "tzash", "ïdiot", "clowwn", "größenwahnn", "IDIOT", "mor0n"]
+    quoted = ['he heard "you idiot" there', "a « worthless » thing", "das „größenwahn“ hier", "an “absolute clown” then", "un «idiot» ici", 'so "worthless trash", they']
+    clean = ["the crown", "a town", "worthy", None, "", "trustless"]
+    rows = [(k, said(x) if x else x) for k, x in enumerate(toxic + quoted + clean)]
+    got = {r.doc_id: r.t for r in toxicity.scored(frame(spark, rows).withColumn("t", F.lit("clash")), model, "t").collect()}
+    marked = {x for k, x in enumerate(toxic + quoted + clean) if got[k] >= 0.7}
+    assert marked == set(toxic)
+
+
 def test_quotation_lowers_the_score(spark):
-    model = toxicity.ToxicModel([("idiot", False)], np.array([[4.0, 2.0]]), np.array([-4.0, 3.0, 1.0, -2.0, 0.0]))
-    s = {r.doc_id: r.t for r in toxicity.scored(frame(spark, [(1, "what an idiot he is, an idiot"), (2, 'what "an idiot he is, an idiot" then')]), model, "t").collect()}
-    assert s[2] < s[1]
+    model = toxicity.ToxicModel(["idiot"], np.array([[4.0, 2.0]]))
+    s = {r.doc_id: r.t for r in toxicity.scored(frame(spark, [(1, "what an idiot he is, an idiot"), (2, 'what "an idiot he is, an idiot" then'), (3, 'a "b" idiot "c" idiot'), (4, "x" * 1000 + ' " ' + "word " * 50_000 + "idiot")]), model, "t").collect()}
+    assert s[2] < s[1] and s[3] > s[2] and s[4] > s[2]
 
 
 def test_quality_held_out(spark):

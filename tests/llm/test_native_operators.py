@@ -56,6 +56,44 @@ def test_different_values_stay_different_and_apart_from_real_ones(spark):
     assert len(set(out)) == len(values) and not set(out) & set(values)
 
 
+def mod97(iban):
+    x = iban.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97
+
+
+def test_surrogates_of_other_scripts_and_names(spark):
+    texts = [
+        "mail 王小明@例子.com now", "ş.łukasz@żółć.pl", "иван.ёлкин@почта.рф", "محمد@مثال.com", "עברית1@x.com", "ひらがなカナ@x.jp", "x@y.com-foo.org",
+        "pay DE89 3704 0044 0532 0130 00 or GB29NWBK60161331926819", "Mr. John Paul Jones met Mrs. McDonald and Mr O'Brien-Smith. Later Jones and McDonald and O'Brien left; Jonesy stayed.",
+        "Prof. Dr. Şahin saw Herr Müller. Müller saw Şahin.", "a@" + "b." * 5000 + "com", "w" * 300_000 + " Mr. Paul Smith " + "1" * 200_000, None, "",
+    ]
+    rows = [(k if k < 10 else None, t, "s") for k, t in enumerate(texts)]
+    got = [r.text for r in pii.replaced(frame(spark, rows).withColumn("n", F.lit("clash")).repartition(1), count_name="n").collect()]
+    assert sorted(x is None for x in got) == [False] * 13 + [True]
+    by = dict(zip(texts, got, strict=True)) if len(got[0] or "") == len(texts[0]) else {}
+    for t in texts[:6]:
+        made = re.search(r"\S+@\S+", by[t])[0]
+        was = re.search(r"\S+@\S+", t)[0]
+        assert len(made) == len(was) and made.rpartition(".")[2] == was.rpartition(".")[2]
+        assert not set(re.findall(r"[^\W\d_]{3,}", made.rpartition(".")[0])) & set(re.findall(r"[^\W\d_]{3,}", was.rpartition(".")[0]))
+    ibans = re.search(r"pay (DE\d\d(?: \d{4}){4} \d\d) or (GB\d\d[A-Z]{4}\d{14})$", by[texts[7]])
+    assert mod97(ibans[1]) == mod97(ibans[2]) == 1 and ibans[1] not in texts[7] and ibans[2] not in texts[7]
+    names = by[texts[8]]
+    assert not re.search(r"John|Paul|Jones\b|McDonald|Brien|Smith", names) and "Jonesy stayed" in names
+    m = re.fullmatch(r"Mr\. (\w+) (\w+) (\w+) met Mrs\. (\w+) and Mr (\S+)-(\w+)\. Later (\w+) and (\w+) and (\S+) left; Jonesy stayed\.", names)
+    assert m[3] == m[7] and m[4] == m[8] and m[5] == m[9]
+    m = re.fullmatch(r"Prof\. Dr\. (\w+) saw Herr (\w+)\. (\w+) saw (\w+)\.", by[texts[9]])
+    assert m[1] == m[4] != "Şahin" and m[2] == m[3] != "Müller"
+    assert "b.b.b" not in by[texts[10]] and by[texts[6]] != texts[6]
+
+
+def test_surrogates_are_a_bijection_on_a_format(spark):
+    """All strings of a small format, each alone: surrogates are the same strings in another order."""
+    values = [f"{a}{b}{c}-{d}{d}-0000" for a in range(10) for b in range(10) for c in range(10) for d in range(3)]
+    made = spark.createDataFrame([(v,) for v in values], "v string").select(pii.surrogate(F.col("v"), "key", F.lit(0)).alias("s")).collect()
+    assert len({r.s for r in made}) == len(values) and all(re.fullmatch(r"\d{3}-\d\d-\d{4}", r.s) for r in made)
+
+
 def test_licences_and_sql(spark):
     mit = "The MIT License\n\n" + "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
     rows = [(1, mit), (2, "x y. Licensed under CC BY-NC 4.0. More | RELEASED UNDER THE MIT LICENSE.!! z"), (3, None), (4, ""), (5, "a license that nobody knows"), (6, "Released under the MIT License.\nReleased under the MIT License.")]

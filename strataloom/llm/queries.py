@@ -79,7 +79,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = scratch_path(spark, "warc")
     warc.write_archives(_table(spark, sf_dir, "pages"), archives)
     index = warc.merged_index(warc.read_runs(spark, archives))
-    return warc.resolved(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "position")
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "position")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,26 +2,31 @@
 
 Spark's text sink writes the archives: a record ends with two line breaks, which is the sink's
 line separator.  Each archive that is read back gives a run of captures sorted by URL key and
-time; runs are dealt out by ranges of the key, and each range merges its runs by a loser tree.
+time.  The runs are written, dealt out by ranges of the key that hold a bounded number of
+captures, and each range merges its parts of the runs by a loser tree.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
-from .shared import written
+from .shared import lean, written
 
 LINE = "\r\n"
-#: An archive is read whole by one task, so its number of records is bounded.
-RECORDS_PER_FILE = 500
+#: An archive is read whole by one task: pages of up to so many bytes go so many to a file, larger ones alone.
+FILES = ((1 << 16, 500), (1 << 21, 16))
+#: Captures that a range of the index holds, about.
+CAPTURES_PER_RANGE = 50_000
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"  # fixed value: base32
 _FIRST_CAPTURE = 1_704_067_200
 
@@ -37,12 +42,13 @@ def base32_sha1(data: Column) -> Column:
 
 
 def records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """One WARC record a page, as text without its final line breaks.
+    """One WARC record a page, as text without its final line breaks (value), and the bytes of its payload.
 
     Of pages with equal payloads of ``least_bytes`` bytes or more, that with the largest page_id
     becomes a response and the others revisit it; all others are responses.  A null html is an
-    empty payload, a null url the URN of the page; rows with a null page_id are left out, and rows
-    that repeat a page_id and its html have the same record type.
+    empty payload, a null url the URN of the page; rows with a null page_id are left out, rows that
+    repeat a page_id and its html have the same record type, and a page_id of several payloads has
+    a record for each.
     """
     own = pages.where("page_id is not null").select(
         F.col("page_id").cast("long").alias("page_id"),
@@ -69,11 +75,19 @@ def records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
         F.when(revisit, refers).otherwise(F.lit("")),
         F.lit(f"Content-Type: application/http; msgtype=response{LINE}Content-Length: "), F.octet_length(block), F.lit(LINE * 2), block,
     )
-    return own.select(text.alias("value"))
+    return own.select(text.alias("value"), "bytes")
 
 
-def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, records_per_file: int = RECORDS_PER_FILE) -> None:
-    records(pages, least_bytes).write.option("lineSep", LINE * 2).option("maxRecordsPerFile", records_per_file).text(path)
+def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, files: tuple[tuple[int, int], ...] = FILES) -> None:
+    """Archives in folders by the size of their pages, so that no file grows beyond some 32 MB but for a single larger page."""
+    own = records(pages, least_bytes)
+    size = F.lit(len(files))
+    for k, (most, _) in reversed(list(enumerate(files))):
+        size = F.when(F.col("bytes") <= most, k).otherwise(size)
+    present = [r.k for r in pages.where("page_id is not null").select(F.coalesce(F.octet_length("html"), F.lit(0)).alias("bytes")).groupBy(size.alias("k")).count().collect()]
+    for k in sorted(present) or [0]:
+        count = files[k][1] if k < len(files) else 1
+        own.where(size == k).select("value").write.option("lineSep", LINE * 2).option("maxRecordsPerFile", count).text(f"{path}/size-{k}")
 
 
 def parsed(data: bytes) -> Iterator[tuple[dict[str, str], int, int, bytes]]:
@@ -105,24 +119,27 @@ _TYPES = [pa.int64() if c.split()[1] == "long" else pa.string() for c in _CAPTUR
 def _captures(data: bytes, archive: str) -> list[tuple]:
     out = []
     for fields, offset, length, block in parsed(data):
-        kind, payload = fields["WARC-Type"], block.split(b"\r\n\r\n", 1)[1]
+        head, _, payload = block.partition(b"\r\n\r\n")
         number = lambda name: int(fields[name].removesuffix(">").rpartition(":")[2])
-        revisit = kind == "revisit"
-        digest = None if revisit else base64.b32encode(hashlib.sha1(payload).digest()).decode()
-        out.append((url_key(fields["WARC-Target-URI"]), fields["WARC-Date"], number("WARC-Record-ID"), fields["WARC-Target-URI"], kind, number("WARC-Refers-To") if revisit else None, None if revisit else len(payload), digest, fields["WARC-Payload-Digest"].removeprefix("sha1:"), archive, offset, length))
+        header = fields["WARC-Payload-Digest"].removeprefix("sha1:")
+        if fields["WARC-Type"] == "revisit":  # the payload is another record's; its headers say which
+            size = re.search(rb"(?im)^content-length: *(\d+)", head)
+            own = "revisit", number("WARC-Refers-To"), int(size[1]) if size else None, header
+        else:
+            own = "response", None, len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode()
+        out.append((url_key(fields["WARC-Target-URI"]), fields["WARC-Date"], number("WARC-Record-ID"), fields["WARC-Target-URI"], *own, header, archive, offset, length))
     return sorted(out, key=lambda c: c[:3])
 
 
-def _batch(rows: list[tuple], extra: tuple = ()) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) if rows else [[] for _ in [*_NAMES, *extra]]
-    types = [*_TYPES, *[pa.int64() for _ in extra]]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [*_NAMES, *extra])
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], _NAMES)
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
     """Captures of all archives under the path; those of one archive are a sorted run.
 
-    Payload size and digest are computed from the bytes that were read (null for revisits).
+    Payload size and digest are computed from the bytes of a response, and read from the headers of
+    a revisit, so that no record is looked up by another one's key.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,14 +148,14 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
                 if rows := _captures(data.as_py(), archive):
                     yield _batch(rows)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
-    return files.mapInArrow(run, _CAPTURE)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    return files.mapInArrow(lean(run), _CAPTURE)
 
 
 class LoserTree:
     """Merges sorted runs: inner nodes keep the loser of their match, so a step replays one path."""
 
-    def __init__(self, runs: list[list[tuple]], key):
+    def __init__(self, runs: list[list[tuple]], key=lambda x: x):
         self.runs, self.key = runs, key
         self.at = [0] * len(runs)
         self.k = max(1, len(runs))
@@ -185,36 +202,39 @@ class LoserTree:
             self.nodes[0] = run
 
 
-def merged_index(runs: DataFrame) -> DataFrame:
+def merged_index(runs: DataFrame, captures_per_range: int = CAPTURES_PER_RANGE) -> DataFrame:
     """All captures with their ``position`` (from 0) in the order of URL key, time and page.
 
-    Ranges of the whole key are dealt out, so a URL of very many captures spans several ranges.
+    Ranges of the whole key are dealt out, so a URL of very many captures spans several ranges, and
+    there are as many as keep each near ``captures_per_range``, which bounds what a task holds.
     Only the number of captures in each range comes to the driver.
     """
-    spark = runs.sparkSession
+    runs = written(runs, "runs")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
         by_run: dict[str, list[tuple]] = defaultdict(list)
-        for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in _NAMES), strict=True):
-                by_run[row[_NAMES.index("archive")]].append(row)
-        order = lambda c: (*c[:3], c[9], c[10])
+        for row, key in enumerate(zip(*(table.column(c).to_pylist() for c in ("url_key", "captured", "page_id", "archive", "offset")), strict=True)):
+            by_run[key[3]].append((*key, row))
         parts = [by_run[name] for name in sorted(by_run)]
         for part in parts:
-            part.sort(key=order)  # the blocks of a run may have been fetched out of turn
-        this, rows = TaskContext.get().partitionId(), []
-        for local, row in enumerate(LoserTree(parts, order)):
-            rows.append((*row, this, local))
-            if len(rows) == 10_000:
-                yield _batch(rows, ("range", "local"))
-                rows = []
-        if rows:
-            yield _batch(rows, ("range", "local"))
-
-    ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    out = written(runs.repartitionByRange(ranges, "url_key", "captured", "page_id").mapInArrow(merge, f"{_CAPTURE}, range long, local long"), "capture-index")
+            if any(a > b for a, b in zip(part, part[1:], strict=False)):  # the blocks of a run were fetched out of turn
+                part.sort()
+        order = np.fromiter((key[5] for key in LoserTree(parts)), dtype=np.int64, count=table.num_rows)
+        this = TaskContext.get().partitionId()
+        for first in range(0, len(order), 10_000):
+            out = table.take(pa.array(order[first : first + 10_000]))
+            n = out.num_rows
+            out = out.append_column("range", pa.array(np.full(n, this, dtype=np.int64))).append_column("local", pa.array(np.arange(first, first + n)))
+            yield from out.combine_chunks().to_batches()
+
+    ranges = max(1, -(-runs.count() // captures_per_range))
+    out = written(runs.repartitionByRange(ranges, "url_key", "captured", "page_id").mapInArrow(lean(merge), f"{_CAPTURE}, range long, local long"), "capture-index")
     sizes = {r["range"]: r["n"] for r in out.groupBy("range").agg(F.count("*").alias("n")).collect()}
     before, total = [], 0
     for k in range(max(sizes, default=-1) + 1):
@@ -222,12 +242,3 @@ def merged_index(runs: DataFrame) -> DataFrame:
         total += sizes.get(k, 0)
     offset = F.element_at(F.lit(before or [0]), (F.col("range") + 1).cast("int")).cast("long")
     return out.select(*_NAMES, (offset + F.col("local")).alias("position"))
-
-
-def resolved(captures: DataFrame) -> DataFrame:
-    """Captures where revisits have the payload size and digest of the response they refer to."""
-    origin = captures.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("_bytes"), F.col("payload_digest").alias("_digest")).dropDuplicates(["refers_to"])
-    return captures.join(origin, "refers_to", "left").select(
-        *[c for c in captures.columns if c not in ("payload_bytes", "payload_digest")],
-        F.coalesce("payload_bytes", "_bytes").alias("payload_bytes"), F.coalesce("payload_digest", "_digest").alias("payload_digest"),
-    )

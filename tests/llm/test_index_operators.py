@@ -51,12 +51,12 @@ def digest(html):
 
 def test_archives_round_trip(spark):
     rows = [(k, f"https://www.Example.org/p{k % 3}", f"<p>é {k % 4}\r\n\r\nWARC/1.1\r\n</p>") for k in range(40)]
-    rows += [(100, None, None), (101, "http://x/", ""), (102, "http://y/\r\nEvil: 1", "long " * 50_000), (None, "http://z/", "gone")]
+    rows += [(100, None, None), (101, "http://x/", ""), (102, "http://y/\r\nEvil: 1", "long " * 50_000), (103, "http://y/", "more " * 5_000), (None, "http://z/", "gone")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("clash"))
     path = scratch_path(spark, "test-warc")
-    warc.write_archives(pages, path, records_per_file=7)
-    index = warc.merged_index(warc.read_runs(spark, path))
-    out = {r.page_id: r for r in warc.resolved(index).collect()}
+    warc.write_archives(pages, path, files=((1000, 7), (100_000, 2)))
+    index = warc.merged_index(warc.read_runs(spark, path), captures_per_range=9)
+    out = {r.page_id: r for r in index.collect()}
     assert set(out) == {r[0] for r in rows if r[0] is not None}
     for k, _, html in rows[:-1]:
         last = max(i for i, _, h in rows[:-1] if (h or "") == (html or ""))

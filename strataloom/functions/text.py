@@ -65,14 +65,14 @@ def token_estimate(text: Column) -> Column:
 def clean(text: Column) -> Column:
     """Line ends to \\n, control and format characters away, trimmed."""
     plain = F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), r"[\p{C}&&[^\n\t]]", "")
-    return F.regexp_replace(plain, r"^\s+|\s+$", "")
+    return F.regexp_replace(plain, r"^\s+|(?<!\s)\s++$", "")
 
 
 def claims(text: Column, language: Language = ENGLISH) -> Column:
     """Distinct tokens with a digit, in order, once citations are removed and edges stripped."""
     plain = F.regexp_replace(F.lower(text), r"\[[0-9][0-9, ]*\]", " ")
     tokens = F.filter(F.regexp_extract_all(plain, F.lit(r"[\p{L}\p{N}./,_-]+"), F.lit(0)), lambda x: x.rlike(r"\p{Nd}"))
-    return F.array_distinct(F.transform(tokens, lambda t: F.regexp_replace(t, r"^[.,/_-]+|[.,/_-]+$", "")))
+    return F.array_distinct(F.transform(tokens, lambda t: F.regexp_replace(t, r"^[.,/_-]+|(?<![.,/_-])[.,/_-]++$", "")))
 
 
 def citations(text: Column) -> Column:

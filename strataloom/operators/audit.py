@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -30,23 +31,26 @@ def event_hash(prev_hash: Column) -> Column:
 def build_chain(events: DataFrame) -> DataFrame:
     """Events (tenant, FIELDS) with prev_hash and hash.
 
-    A chain is sequential by nature, so each tenant is one ordered group; a tenant's log that is
-    too large for a task is appended in parts, each starting from the last hash (``head``).
+    A chain is sequential by nature.  Events are dealt out by tenant and sorted by Spark, and the
+    fold holds the last hash only, however long a tenant's log is; a log in parts starts each from
+    the last hash of the part before (``head``).
     """
-    marked = events.withColumn("_body", canonical(F.lit("@")))
-
-    def chain(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("seq")
-        head = group["head"].iloc[0] if "head" in group and group["head"].iloc[0] else GENESIS
-        before, after = [], []
-        for body in group["_body"]:
-            before.append(head)
-            head = hashlib.sha256(body.replace('"prev_hash":"@"', f'"prev_hash":"{head}"', 1).encode()).hexdigest()
-            after.append(head)
-        return pd.DataFrame({"tenant": group["tenant"], "seq": group["seq"], "prev_hash": before, "hash": after})
-
-    columns = ["tenant", "seq", "_body", *(["head"] if "head" in events.columns else [])]
-    hashes = marked.select(*columns).groupBy("tenant").applyInPandas(chain, "tenant string, seq long, prev_hash string, hash string")
+    head = F.coalesce("head", F.lit(GENESIS)) if "head" in events.columns else F.lit(GENESIS)
+    bodies = events.select("tenant", "seq", canonical(F.lit("@")).alias("body"), head.alias("head"))
+
+    def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tenant, last = None, GENESIS
+        for batch in batches:
+            before, after = [], []
+            for own, body, head in zip(batch["tenant"], batch["body"], batch["head"], strict=True):
+                if own != tenant:
+                    tenant, last = own, head
+                before.append(last)
+                last = hashlib.sha256(body.replace('"prev_hash":"@"', f'"prev_hash":"{last}"', 1).encode()).hexdigest()
+                after.append(last)
+            yield pd.DataFrame({"tenant": batch["tenant"], "seq": batch["seq"], "prev_hash": before, "hash": after})
+
+    hashes = bodies.repartition("tenant").sortWithinPartitions("tenant", "seq").mapInPandas(chain, "tenant string, seq long, prev_hash string, hash string")
     return events.drop("head").join(hashes, ["tenant", "seq"])
 
 

@@ -28,19 +28,28 @@ def retrieval_metrics(golden: DataFrame, by: str = "type") -> DataFrame:
     return golden.rollup(by).agg(F.count("*").alias("questions"), hit(1), hit(5), hit(10), mrr)
 
 
-def nearest_rank(df: DataFrame, by: str, value: str, shares: tuple[float, ...]) -> DataFrame:
-    """(by, share, value): the value at index floor(share x n) of the sorted values, the last at most."""
+def _ranked(df: DataFrame, by: str, value: str) -> DataFrame:
+    """(by, value, _n, _upto, _total): rows of each value, rows up to it, and all rows of the group.
+
+    Rows are counted map-side first, so a group of very many rows is never sorted in one task.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("_n"))
     w = Window.partitionBy(by)
-    rows = df.where(F.col(value).isNotNull()).withColumn("_at", F.row_number().over(w.orderBy(value)) - 1).withColumn("_n", F.count("*").over(w))
-    rows = rows.withColumn("share", F.explode(F.array(*map(F.lit, shares))))
-    return rows.where(F.col("_at") == F.least(F.floor(F.col("share") * F.col("_n")), F.col("_n") - 1)).select(by, "share", F.col(value).alias("value"))
+    return counts.withColumn("_upto", F.sum("_n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("_total", F.sum("_n").over(w))
+
+
+def nearest_rank(df: DataFrame, by: str, value: str, shares: tuple[float, ...]) -> DataFrame:
+    """(by, share, value): the value at position min(floor(share * n), n - 1), counted from 0."""
+    rows = _ranked(df, by, value).withColumn("share", F.explode(F.array(*map(F.lit, shares))))
+    at = F.least(F.floor(F.col("share") * F.col("_total")), F.col("_total") - 1)
+    return rows.where((F.col("_upto") - F.col("_n") <= at) & (at < F.col("_upto"))).select(by, "share", F.col(value).alias("value"))
 
 
 def worst_decile_mean(df: DataFrame, by: str, value: str) -> DataFrame:
     """Mean of the max(1, n // 10) lowest values."""
-    w = Window.partitionBy(by)
-    rows = df.where(F.col(value).isNotNull()).withColumn("_at", F.row_number().over(w.orderBy(value))).withColumn("_n", F.count("*").over(w))
-    return rows.where(F.col("_at") <= F.greatest(F.lit(1), F.floor(F.col("_n") / 10))).groupBy(by).agg(F.round(F.avg(value), 6).alias("worst_decile"))
+    most = F.greatest(F.lit(1), F.floor(F.col("_total") / 10))
+    rows = _ranked(df, by, value).withColumn("taken", F.greatest(F.lit(0), F.least("_n", most - (F.col("_upto") - F.col("_n")))))
+    return rows.groupBy(by).agg(F.round(F.sum(F.col(value) * F.col("taken")) / F.sum("taken"), 6).alias("worst_decile"))
 
 
 def threshold_sweep(scores: DataFrame, thresholds: list[float]) -> DataFrame:

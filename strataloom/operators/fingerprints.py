@@ -59,7 +59,7 @@ def simhash_pairs(hashes: DataFrame, distance: int = 3) -> DataFrame:
 
 def identifiers(text: Column) -> Column:
     """Tokens of four characters or more, half of whose letters and digits are digits, edges stripped; repeats kept."""
-    bare = F.transform(F.split(text, r"\s+"), lambda t: F.regexp_replace(t, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
+    bare = F.transform(F.split(text, r"\s+"), lambda t: F.regexp_replace(t, r"^[^\p{L}\p{N}]+|(?<![^\p{L}\p{N}])[^\p{L}\p{N}]++$", ""))
     digits = lambda t: F.length(F.regexp_replace(t, r"[^0-9]", ""))
     letters = lambda t: F.length(F.regexp_replace(t, r"[^\p{L}\p{N}]", ""))
     return F.filter(bare, lambda t: (F.length(t) >= 4) & (digits(t) > 0) & (digits(t) * 2 >= letters(t)))

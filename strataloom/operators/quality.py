@@ -43,14 +43,14 @@ def char_scores(pages: DataFrame, model: tuple[DataFrame, DataFrame], least_lett
 def artefact(word: Column) -> Column:
     """A mark between letters, or a capital after a small letter within a part of six letters or more."""
     parts = F.split(word, r"['’\-]")
-    mixed = F.exists(parts, lambda p: p.rlike(r"^\P{L}*(?:\p{L}\P{L}*){6,}$") & p.rlike(r"\p{Ll}\p{Lu}"))
+    mixed = F.exists(parts, lambda p: (F.length(F.regexp_replace(p, r"\P{L}", "")) >= 6) & p.rlike(r"\p{Ll}\p{Lu}"))
     return word.rlike(r"\p{L}[,;|\\]\p{L}") | mixed
 
 
 def artefact_share(text: Column) -> Column:
     """Share of words that look broken; words are tokens with a letter."""
     tokens = F.filter(F.split(text, r"\s+"), lambda t: t.rlike(r"\p{L}"))
-    bare = F.transform(tokens, lambda t: F.regexp_replace(t, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
+    bare = F.transform(tokens, lambda t: F.regexp_replace(t, r"^[^\p{L}\p{N}]+|(?<![^\p{L}\p{N}])[^\p{L}\p{N}]++$", ""))
     return F.when(F.size(bare) > 0, F.size(F.filter(bare, artefact)) / F.size(bare)).otherwise(F.lit(0.0))
 
 

@@ -66,7 +66,7 @@ SELECT user, id, failures, (CASE WHEN failures > 4 THEN least(pow(2, least(failu
 
 
 def rate_limit(spark, sf_dir):
-    """At most 20 requests an hour and user; refused ones don't count."""
+    """At most 3 requests an hour and user; refused ones don't count."""
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("user"), F.col("event_id").alias("id"), "ts")
     return limits.limited(e, most=3, seconds=3600.0).groupBy("user").agg(F.count("*").alias("requests"), F.sum(F.col("allowed").cast("long")).alias("allowed"))
 

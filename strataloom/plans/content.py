@@ -59,32 +59,31 @@ m AS (SELECT *, pages >= 3 AND key IS NOT NULL AND (regexp_matches(key, '^(page\
 SELECT doc, page, length(t)::BIGINT AS letters, sha256(t) AS hash FROM (SELECT doc, page, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT coalesce(gone, false)), '') AS t FROM m GROUP BY doc, page)"""
 
 
-def _letters(spark, sf_dir):
-    return documents(spark, sf_dir)
-
-
 _GRAMS = r"list_filter(flatten(list_transform(list_transform({runs}, lambda r: ' ' || r || ' '), lambda p: list_transform(range(1, greatest(length(p) - 1, 2)), lambda i: substr(p, i, 3)))), lambda g: length(g) = 3)"
+_RUNS = "regexp_extract_all(lower(text), '\\p{L}+')"
 _MODEL_CTE = rf"""
-tri AS (SELECT tri, count(*) AS n_tri FROM (SELECT unnest({_GRAMS.format(runs="regexp_extract_all(lower(text), '[[:alpha:]" + chr(92) + "p{L}]+')")}) AS tri FROM documents WHERE doc_id % 2 = 0) GROUP BY tri),
-bi AS (SELECT substr(tri, 1, 2) AS bi, sum(n_tri) AS n_bi FROM tri GROUP BY 1)"""
+fold AS (SELECT doc_id % 2 AS half, unnest({_GRAMS.format(runs=_RUNS)}) AS tri FROM documents),
+tri AS (SELECT half, tri, count(*) AS n_tri FROM fold GROUP BY half, tri),
+bi AS (SELECT half, substr(tri, 1, 2) AS bi, sum(n_tri) AS n_bi FROM tri GROUP BY 1, 2)"""
 
 
 def char_model(spark, sf_dir):
-    """Trigram counts of the documents of even id."""
-    return quality.char_model(documents(spark, sf_dir).where("key % 2 = 0"))[0]
+    """Trigram counts of all documents."""
+    return quality.char_model(documents(spark, sf_dir))[0]
 
 
 def char_score(spark, sf_dir):
-    """Score of the documents of odd id by the model of the others."""
+    """Score of every document by the model of the other half."""
     d = documents(spark, sf_dir)
-    return quality.char_scores(d.where("key % 2 = 1"), quality.char_model(d.where("key % 2 = 0")))
+    halves = [d.where(F.pmod("key", F.lit(2)) == k) for k in (0, 1)]
+    return quality.char_scores(halves[0], quality.char_model(halves[1])).unionAll(quality.char_scores(halves[1], quality.char_model(halves[0])))
 
 
 _SCORE_SQL = rf"""WITH {_MODEL_CTE},
-low AS (SELECT doc_id AS key, list_filter(regexp_extract_all(text, '\p{{L}}+'), lambda w: length(w) >= 3 AND w = lower(w)) AS runs FROM documents WHERE doc_id % 2 = 1),
-used AS (SELECT key, tri, count(*) AS n FROM (SELECT key, unnest({_GRAMS.format(runs="runs")}) AS tri FROM low) GROUP BY ALL)
+low AS (SELECT doc_id AS key, 1 - doc_id % 2 AS half, list_filter(regexp_extract_all(text, '\p{{L}}+'), lambda w: length(w) >= 3 AND w = lower(w)) AS runs FROM documents),
+used AS (SELECT key, half, tri, count(*) AS n FROM (SELECT key, half, unnest({_GRAMS.format(runs="runs")}) AS tri FROM low) GROUP BY ALL)
 SELECT key, sum(n)::BIGINT AS positions, round(sum(n * log2((coalesce(CASE WHEN n_tri >= 2 THEN n_tri END, 0) + 1) / (coalesce(n_bi, 0) + 36))) / sum(n), 6) AS score
-FROM used LEFT JOIN tri USING (tri) LEFT JOIN bi ON bi.bi = substr(used.tri, 1, 2) GROUP BY key"""
+FROM used LEFT JOIN tri ON tri.half = used.half AND tri.tri = used.tri LEFT JOIN bi ON bi.half = used.half AND bi.bi = substr(used.tri, 1, 2) GROUP BY key"""
 
 
 def artefact_share(spark, sf_dir):
@@ -213,7 +212,7 @@ SQL = {
     "simhash": f"WITH {_SIMHASH_CTE} SELECT key, lpad(printf('%X', h), 16, '0') AS simhash FROM sim",
     "near_dup_pairs": f"WITH {_SIMHASH_CTE}, one AS (SELECT h, min(key) AS key FROM sim GROUP BY h) SELECT a.key AS a, b.key AS b, bit_count(xor(a.h, b.h))::INT AS distance FROM one a JOIN one b ON a.key < b.key WHERE bit_count(xor(a.h, b.h)) <= 3",
     "running_lines": _RUNNING_SQL,
-    "char_model": f"WITH {_MODEL_CTE} SELECT tri, n_tri FROM tri WHERE n_tri >= 2",
+    "char_model": f"WITH {_MODEL_CTE} SELECT tri, sum(n_tri)::BIGINT AS n_tri FROM tri GROUP BY tri HAVING sum(n_tri) >= 2",
     "char_score": _SCORE_SQL,
     "artefact_share": r"""SELECT key, CASE WHEN len(w) > 0 THEN round(len(list_filter(w, lambda x: regexp_matches(x, '\p{L}[,;|\\]\p{L}') OR len(list_filter(string_split_regex(x, '[''’-]'), lambda p: length(regexp_replace(p, '[^\p{L}]', '', 'g')) >= 6 AND regexp_matches(p, '\p{Ll}\p{Lu}'))) > 0)) / len(w), 6) ELSE 0.0 END AS artefacts
 FROM (SELECT doc_id AS key, list_transform(list_filter(string_split_regex(text, '\s+'), lambda t: regexp_matches(t, '\p{L}')), lambda t: regexp_replace(regexp_replace(t, '^[^\p{L}\p{N}]+', ''), '[^\p{L}\p{N}]+$', '')) AS w FROM documents)""",

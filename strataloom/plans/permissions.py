@@ -79,7 +79,6 @@ def readable_tree(spark, sf_dir):
     direct = rel.granted(grants, users, members, "read")
     below = rel.closure(t.where("parent is not null").select("parent", "id"), direct.select(F.col("target").alias("id")).distinct())
     own = direct.join(below, F.col("target") == F.col("root")).select("user_id", "id").distinct()
-    own = own.where("not id like 'c%'")
     counts = t.where("parent is not null").groupBy(F.col("parent").alias("id")).agg(F.count("*").alias("children"))
     named = own.join(t, "id").join(own.select("user_id", F.col("id").alias("parent"), F.lit(True).alias("readable")), ["user_id", "parent"], "left").join(counts, "id", "left")
     return named.select("user_id", "id", F.lower("name").alias("name"), F.when(F.col("readable"), F.col("parent")).alias("parent"), F.coalesce("children", F.lit(0)).cast("long").alias("children"))
@@ -182,7 +181,7 @@ SQL = {
     "searchable_set": f"SELECT l_orderkey AS document, l_linenumber AS version, l_partkey FROM lineitem WHERE l_linestatus = 'O' QUALIFY {_NEWEST_SQL}",
     "folder_closure": f"WITH RECURSIVE tree AS ({TREE_SQL}), below AS (SELECT id AS root, id FROM tree WHERE id LIKE 'r%' OR id LIKE 'n%' UNION SELECT b.root, t.id FROM below b JOIN tree t ON t.parent = b.id) SELECT root, count(*) AS nodes FROM below GROUP BY root",
     "accessible_docs": f"WITH {_GRANTS_CTE} SELECT user_id, count(*) AS documents, min(document) AS first_document, max(document) AS last_document FROM (SELECT DISTINCT c.user_id, o.o_orderkey AS document FROM collections c JOIN orders o ON c.id = 'c' || o.o_custkey WHERE o.o_orderstatus <> 'P') GROUP BY user_id",
-    "readable_tree": f"WITH {_GRANTS_CTE} SELECT c.user_id, c.id, lower(t.name) AS name, CASE WHEN EXISTS (SELECT 1 FROM collections p WHERE p.user_id = c.user_id AND p.id = t.parent) THEN t.parent END AS parent, (SELECT count(*) FROM tree x WHERE x.parent = c.id) AS children FROM collections c JOIN tree t ON t.id = c.id WHERE c.id NOT LIKE 'c%'",
+    "readable_tree": f"WITH {_GRANTS_CTE} SELECT c.user_id, c.id, lower(t.name) AS name, CASE WHEN EXISTS (SELECT 1 FROM collections p WHERE p.user_id = c.user_id AND p.id = t.parent) THEN t.parent END AS parent, (SELECT count(*) FROM tree x WHERE x.parent = c.id) AS children FROM collections c JOIN tree t ON t.id = c.id",
     "library_overview": "SELECT 'c' || c_custkey AS collection, r_name || ' / ' || n_name || ' / ' || c_name AS path, count(*) FILTER (WHERE o_orderstatus = 'F') AS ready, count(*) FILTER (WHERE o_orderstatus = 'O') AS working FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL",
     "scope_filter": f"WITH RECURSIVE tree AS ({TREE_SQL}), below AS (SELECT unnest(['n5', 'r0']) AS id UNION SELECT t.id FROM below b JOIN tree t ON t.parent = b.id) SELECT o_orderkey AS document FROM orders WHERE o_orderkey IN (1, 2) OR 'c' || o_custkey IN (SELECT id FROM below)",
     "anti_orphans": "SELECT 'customer' AS kind, c_custkey AS key FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) UNION ALL SELECT 'order', o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)",

@@ -91,7 +91,7 @@ def metric_gates(spark, sf_dir):
 
 def _answers(spark, sf_dir):
     """Answers about orders citing [1]; every third one states another price, every fifth cites the wrong source."""
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 10 = 1")
+    o = table(spark, sf_dir, "orders")
     price = F.col("o_custkey").cast("string")
     stated = F.when(F.col("o_orderkey") % 3 == 0, F.concat(price, F.lit("99"))).otherwise(price)
     cited = F.when(F.col("o_orderkey") % 5 == 0, "[2]").otherwise("[1]")
@@ -100,7 +100,7 @@ def _answers(spark, sf_dir):
     return a, s
 
 
-_ANSWERS_CTE = "o AS (SELECT o_orderkey AS answer_id, o_custkey AS c FROM orders WHERE o_orderkey % 10 = 1)"
+_ANSWERS_CTE = "o AS (SELECT o_orderkey AS answer_id, o_custkey AS c FROM orders)"
 
 
 def claim_check(spark, sf_dir):
@@ -113,7 +113,7 @@ def strip_unsupported(spark, sf_dir):
 
 
 def refusal_gate(spark, sf_dir):
-    """Questions whose best hit scores under 10 are refused."""
+    """Questions whose best hit scores under 60 are refused."""
     scores = bm25_search(spark, sf_dir).select("query_id", "score")
     none = spark.createDataFrame([], "query_id long")
     return answers.refusal(scores, none, 60.0)

@@ -33,15 +33,26 @@ def _seconds(rows: pd.DataFrame) -> list[float]:
     return [t.timestamp() for t in rows["ts"]]
 
 
-def limited(requests: DataFrame, most: int = 20, seconds: float = 60.0, part_seconds: float = 86_400.0) -> DataFrame:
-    """Requests (user, id, ts) with ``allowed``; a fold over each user's requests in time order."""
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["ts", "id"])
-        return _answer(int(group["user"].iloc[0]), group, admit(_seconds(group), [], most, seconds)[0])
-
-    del part_seconds
-    return requests.select("user", "id", F.col("ts").cast("timestamp").alias("ts")).groupBy("user").applyInPandas(fold, OUT)
+def limited(requests: DataFrame, most: int = 20, seconds: float = 60.0) -> DataFrame:
+    """Requests (user, id, ts) with ``allowed``; a fold over each user's requests in time order.
+
+    Requests are dealt out and sorted by Spark and folded as they stream by; only the times that
+    still count are held, however many requests a user has.
+    """
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        user, taken = None, []
+        for batch in batches:
+            allowed = []
+            for now, rows in batch.groupby("user", sort=False):
+                if now != user:
+                    user, taken = now, []
+                own, taken = admit(_seconds(rows), taken, most, seconds)
+                allowed += own
+            yield _answer(batch["user"].to_numpy(), batch, allowed)
+
+    rows = requests.where("user is not null").select(F.col("user").cast("long").alias("user"), "id", F.col("ts").cast("timestamp").alias("ts"))
+    return rows.repartition("user").sortWithinPartitions("user", "ts", "id").mapInPandas(fold, OUT)
 
 
 def limited_stream(requests: DataFrame, most: int = 20, seconds: float = 60.0) -> DataFrame:

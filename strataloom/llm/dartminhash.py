@@ -1,11 +1,14 @@
 """Near-duplicate classes by DartMinHash signatures (operator 3).
 
 A document is a weighted set of word shingles, the weight being the number of occurrences.  Each
-shingle throws darts into the region [0, weight) x [0, rank): the darts of the unit cells of this
-plane are fixed by hashes of shingle and cell, so equal regions hold equal darts.  Each dart falls
-on one of k coordinates, and the dart of least rank on each coordinate is the signature; two
-signatures agree in a coordinate with a probability that equals the weighted Jaccard similarity.
-Bands of coordinates are joined, and each candidate pair is verified with the whole texts.
+shingle throws darts at the plane of weight and rank: the plane is cut into cells, weights at 1, 2,
+4, 8, ..., ranks at powers of two, and hashes of shingle and cell fix how many darts hit the cell
+(Poisson, by its area), and each dart's weight, rank and coordinate.  Darts under the shingle's
+weight count, so equal regions hold equal darts.  The dart of least rank on each of k coordinates is
+the signature; two signatures agree in a coordinate with a probability that equals the weighted
+Jaccard similarity.  Ranks are thrown from below until all coordinates are hit, which takes about
+k ln k darts a document, however heavy it is.  Bands of coordinates are joined, and each candidate
+pair is verified with the whole texts.
 """
 
 from __future__ import annotations
@@ -24,8 +27,8 @@ from .tokens import Words, mix, shingles, words
 
 _U = np.uint64
 _GOLD = _U(0x9E3779B97F4A7C15)
-# Poisson(1): P(more than n darts in a unit cell), for n = 0, 1, 2, ...
-_TAIL = np.array([0.63212055882, 0.26424111765, 0.08030139707, 0.01898815687, 0.00365984682, 0.00059418473, 0.00008324114, 0.00001024918, 0.00000112520])
+#: Ranks are cut at these powers of two: the first cell holds a dart for a sixteenth of all shingles of weight one.
+_LOWEST, _HIGHEST = -4, 40
 
 
 @dataclass(frozen=True)
@@ -39,62 +42,98 @@ class DartParams:
     block: int = 400
 
 
-def weighted_elements(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of each (shingle, number of the occurrence), and the bounds of each text.
-
-    The j-th occurrence stands for the layer [j - 1, j) of the shingle's weight, so that the sets
-    of these hashes have the weighted Jaccard similarity of the texts.
-    """
-    hashes, bounds = shingles(w, size)
+def _counted(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes ordered within each text, the text of each, where a new one begins, and the number of its occurrence from 0."""
     owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     order = np.lexsort((hashes, owner))
     h, o = hashes[order], owner[order]
     new = np.ones(len(h), dtype=bool)
     new[1:] = (h[1:] != h[:-1]) | (o[1:] != o[:-1])
     at = np.arange(len(h))
-    nth = at - np.maximum.accumulate(np.where(new, at, 0))
+    return h, o, new, at - np.maximum.accumulate(np.where(new, at, 0))
+
+
+def unit_elements(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each (shingle, number of the occurrence), and the bounds of each text.
+
+    The sets of these hashes have the weighted Jaccard similarity of the texts, by which pairs are
+    verified.
+    """
+    hashes, bounds = shingles(w, size)
+    h, _, _, nth = _counted(hashes, bounds)
     return np.where(nth == 0, h, mix(h + nth.astype(np.uint64) * _GOLD)), bounds
 
 
-def signatures(elements: np.ndarray, bounds: np.ndarray, k: int) -> np.ndarray:
-    """One row of k dart hashes a text; a text without elements has the hash 0 everywhere.
+def weighted_shingles(w: Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct shingles of each text, their weights, and the bounds of each text."""
+    hashes, bounds = shingles(w, size)
+    h, o, new, _ = _counted(hashes, bounds)
+    first = np.flatnonzero(new)
+    weights = np.diff(np.append(first, len(h))).astype(np.float64)
+    return h[first], weights, np.searchsorted(o[first], np.arange(len(bounds)))
+
+
+def _uniform(x: np.ndarray) -> np.ndarray:
+    return (x >> _U(11)).astype(np.float64) / (1 << 53)
+
+
+def _poisson(mean: float) -> np.ndarray:
+    """P(at most 0, 1, 2, ... darts), up to where nothing is left."""
+    n = np.arange(int(mean + 12 * mean**0.5 + 30))
+    logs = n * np.log(mean) - mean - np.concatenate([[0.0], np.cumsum(np.log(np.maximum(n[1:], 1)))])
+    return np.cumsum(np.exp(logs))
+
+
+def signatures(elements: np.ndarray, weights: np.ndarray, bounds: np.ndarray, k: int) -> np.ndarray:
+    """One row of k dart hashes a text, of elements with any positive weights; a text without elements has the hash 0 everywhere.
 
-    Ranks are thrown unit by unit; texts whose coordinates are all filled after a unit are done,
-    since later units only have darts of higher rank.
+    Texts whose coordinates are all hit after a range of ranks are done, since later ranges only
+    hold darts of higher rank.
     """
     n = len(bounds) - 1
     counts = np.diff(bounds)
-    none = _U(0xFFFFFFFFFFFFFFFF)
-    best = np.full(n * k, none)
+    best = np.full(n * k, np.inf)
     owner = np.repeat(np.arange(n), counts)
-    first, units = 0, 1
-    live = np.flatnonzero(counts > 0)
-    chosen = np.arange(len(elements))
-    while len(live):
-        for part in range(0, len(chosen), max(1, (1 << 18) // units)):
-            own = chosen[part : part + max(1, (1 << 18) // units)]
-            cell = np.tile(np.arange(first, first + units, dtype=np.uint64), len(own))
-            seed = mix(np.repeat(elements[own], units) ^ (cell + _U(1)) * _GOLD)
-            doc = np.repeat(owner[own], units)
-            chance = (seed >> _U(11)).astype(np.float64) / (1 << 53)
-            for dart in range(len(_TAIL)):
-                hit = np.flatnonzero(chance < _TAIL[dart])
-                if not len(hit):
-                    break
-                seed, doc, cell, chance = seed[hit], doc[hit], cell[hit], chance[hit]
-                thrown = mix(seed + _U(dart + 1) * _GOLD)
+    live, chosen = np.flatnonzero(counts > 0), np.arange(len(elements))
+    low = 0.0
+    for power in range(_LOWEST, _HIGHEST):
+        if not len(live):
+            break
+        high, cell = 2.0**power, 0
+        left, right = 0.0, 1.0
+        heavy = chosen
+        while len(heavy):
+            tail = _poisson((high - low) * (right - left))
+            salt = mix(np.array([(power - _LOWEST) * 64 + cell + 1], dtype=np.uint64) * _GOLD)
+            seed = mix(elements[heavy] ^ salt)
+            darts = np.searchsorted(tail, _uniform(seed), "right")
+            hit = np.flatnonzero(darts)
+            total = np.cumsum(darts[hit])
+            first = 0
+            while first < len(hit):  # some 2^18 darts at a time
+                last = max(first + 1, int(np.searchsorted(total, (total[first - 1] if first else 0) + (1 << 18), "right")))
+                part = hit[first:last]
+                own = np.repeat(part, darts[part])
+                number = np.arange(len(own)) - np.repeat(np.cumsum(darts[part]) - darts[part], darts[part])
+                thrown = mix(seed[own] + (number.astype(np.uint64) + _U(1)) * _GOLD)
+                own = heavy[own]
+                keep = left + (right - left) * _uniform(mix(thrown ^ _U(0x2545F4914F6CDD1D))) < weights[own]
+                own, thrown = own[keep], thrown[keep]
                 place = (mix(thrown ^ _GOLD) % _U(k)).astype(np.int64)
-                # unit and position within the unit: the rank; the low bits tell darts apart
-                rank = (cell << _U(48)) | (thrown >> _U(16))
-                np.minimum.at(best, doc * k + place, rank)
-        filled = (best.reshape(n, k)[live] != none).all(axis=1)
-        live = live[~filled]
-        first, units = first + units, min(2 * (first + units), 1024) if len(live) else 1
-        if len(live):
+                np.minimum.at(best, owner[own] * k + place, low + (high - low) * _uniform(thrown))
+                first = last
+            # the next cell is as wide as all before it
+            cell, left, right = cell + 1, right, 2 * right
+            heavy = heavy[weights[heavy] > left]
+        filled = np.isfinite(best.reshape(n, k)[live]).all(axis=1)
+        if filled.any():
+            live = live[~filled]
             chosen = chosen[np.isin(owner[chosen], live)]
-    best = best.reshape(n, k)
-    best[counts == 0] = 0
-    return best
+        low = high
+    # a rank has so many bits that it tells its dart
+    out = best.view(np.uint64).reshape(n, k)
+    out[counts == 0] = 0
+    return out
 
 
 def _signature_rows(params: DartParams):
@@ -102,8 +141,7 @@ def _signature_rows(params: DartParams):
         for batch in sliced(batches, "text"):
             w = words(batch.column("text"))
             n = batch.num_rows
-            elements, bounds = weighted_elements(w, params.shingle)
-            rows = signatures(elements, bounds, params.bands * params.rows)
+            rows = signatures(*weighted_shingles(w, params.shingle), params.bands * params.rows)
             keys = np.zeros((n, params.bands), dtype=np.uint64)
             for r in range(params.rows):
                 keys = mix(keys ^ rows[:, r :: params.rows]) * _GOLD
@@ -125,7 +163,7 @@ def _signature_rows(params: DartParams):
 def _element_rows(params: DartParams):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
-            elements, bounds = weighted_elements(words(batch.column("text")), params.shingle)
+            elements, bounds = unit_elements(words(batch.column("text")), params.shingle)
             lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(elements.view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], ["doc_id", "elements"])
 
@@ -234,7 +272,7 @@ def _compared(similarity: float):
             part = np.zeros((n, width), dtype=np.float32)
             part[owner[lo:hi], column[lo:hi] - first] = 1
             shared += part @ part.T
-        linked = shared >= similarity * (sizes[:, None] + sizes[None, :] - shared) - 1e-6
+        linked = shared >= similarity * (sizes[:, None] + sizes[None, :] - shared.astype(np.float64))
         label = np.arange(n)
         while True:
             least = np.where(linked, label[None, :], n).min(axis=1, initial=n)

@@ -175,10 +175,16 @@ def test_large_group_of_near_copies_is_one_class(spark):
 
 def test_signatures_estimate_weighted_jaccard():
     rng = np.random.default_rng(1)
-    a = rng.integers(0, 1 << 63, 300).astype(np.uint64)
-    b = np.concatenate([a[:200], rng.integers(0, 1 << 63, 100).astype(np.uint64)])
-    rows = dartminhash.signatures(np.concatenate([a, b]), np.array([0, 300, 600]), 2000)
-    assert abs((rows[0] == rows[1]).mean() - 0.5) < 0.05
+    ids = rng.integers(0, 1 << 63, 400).astype(np.uint64)
+    for scale in (0.3, 1.0, 7.5, 200.0):
+        x, y = scale * rng.gamma(1, 1, 300), scale * rng.gamma(1, 1, 300)
+        a, b = dict(zip(ids[:300].tolist(), x, strict=True)), dict(zip(ids[100:].tolist(), y, strict=True))
+        both = a.keys() | b.keys()
+        true = sum(min(a.get(i, 0), b.get(i, 0)) for i in both) / sum(max(a.get(i, 0), b.get(i, 0)) for i in both)
+        rows = dartminhash.signatures(np.concatenate([ids[:300], ids[100:]]), np.concatenate([x, y]), np.array([0, 300, 600]), 4000)
+        assert abs((rows[0] == rows[1]).mean() - true) < 0.04
+    one = dartminhash.signatures(ids[:3], np.array([1e-3, 1.0, 1e6]), np.array([0, 1, 1, 3]), 50)
+    assert (one[1] == 0).all() and len(np.unique(one[0])) == 50
 
 
 TERMS = ["idiot", "vequ", "scum", "größe"]

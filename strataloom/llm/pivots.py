@@ -4,6 +4,7 @@ A vector is described by its nearest reference points (pivots) in order.  Vector
 see the same pivots first, so they share several of their first pivots.  The index is inverted:
 each pair of a vector's first pivots is a posting list, and vectors found in one list share at
 least two pivots.  Candidates are verified by their exact cosine, a block of a list at a time.
+Equal vectors are described and compared once, with the number of their copies.
 """
 
 from __future__ import annotations
@@ -12,13 +13,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import written
+from .shared import lean, written
 
 
 @dataclass(frozen=True)
@@ -31,7 +31,6 @@ class PivotParams:
 
     cosine: float = 0.95
     prefix: int = 6
-    shared: int = 2
     min_pivots: int = 32
     max_pivots: int = 2048
     block: int = 2000
@@ -54,11 +53,10 @@ def _described(pivots: np.ndarray, p: PivotParams):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("id").to_numpy()
-            v = np.array(batch.column("v").to_pylist())
-            for part in range(0, len(ids), 4096):
+            v = batch.column("v").flatten().to_numpy().reshape(batch.num_rows, pivots.shape[1])
+            for part in range(0, len(v), 4096):
                 near = np.argsort(-(v[part : part + 4096] @ pivots.T), axis=1, kind="stable")[:, :prefix]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[part : part + 4096]), pa.array(list(np.sort(near, axis=1).astype(np.int32)), pa.list_(pa.int32()))], ["id", "near"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(part, 4096) for c in ("id", "v", "copies")), pa.array(list(np.sort(near, axis=1).astype(np.int32)), pa.list_(pa.int32()))], ["id", "v", "copies", "near"])
 
     return run
 
@@ -67,8 +65,9 @@ def links(vectors: DataFrame, id_name: str = "vec_id", vector_name: str = "embed
     """One row a vector: id, n_links (other vectors linked directly), component_id, kept.
 
     Vectors that are null, empty, zero or hold null or non-finite components, and vectors of
-    another dimension, link with nothing.  Rows with a null id are left out; rows that repeat an
-    id count once.  Equal directions are verified like any others, so ties need no rule.
+    another dimension, link with nothing.  Rows with a null id are left out; rows that repeat an id
+    count once, with the least of its usable vectors.  Columns that clash with the output's aren't
+    read.  Equal directions are verified like any others, so ties need no rule.
 
     A list of very many vectors is cut into blocks, and each pair of blocks is one group; a group
     returns how many links each of its vectors has and links that span its parts, never all pairs.
@@ -76,30 +75,34 @@ def links(vectors: DataFrame, id_name: str = "vec_id", vector_name: str = "embed
     """
     spark = vectors.sparkSession
     all_ids = vectors.where(F.col(id_name).isNotNull()).select(F.col(id_name).cast("long").alias("id")).distinct()
-    own = written(_unit(vectors, id_name, vector_name).dropDuplicates(["id"]), "vectors")
+    unit = written(_unit(vectors, id_name, vector_name).groupBy("id").agg(F.min("v").alias("v")).withColumn("key", F.sha2(F.array_join(F.col("v").cast("array<string>"), " "), 256)), "vectors")
+    # of equal vectors that of the least id stands for all
+    own = written(unit.groupBy("key").agg(F.min(F.struct("id", "v")).alias("least"), F.count("*").alias("copies")).select("key", "least.id", "least.v", "copies"), "distinct-vectors")
     n = own.count()
     wanted = int(min(params.max_pivots, max(params.min_pivots, 2 * n**0.5)))
     rows = own.orderBy(F.xxhash64("id"), "id").limit(wanted).collect()
     by_size: dict[int, list] = {}
     for r in rows:
         by_size.setdefault(len(r.v), []).append(r.v)
-    empty = spark.createDataFrame([], "id long, n_links long")
-    counts, edges = empty, spark.createDataFrame([], "src long, dst long")
+    counts, edges = spark.createDataFrame([], "id long, n_links long"), spark.createDataFrame([], "src long, dst long")
     for size, found in by_size.items():
-        part = own.where(F.size("v") == size)
-        c, e = _of_one_dimension(part, np.array(found), params)
+        c, e = _of_one_dimension(own.where(F.size("v") == size).drop("key"), np.array(found), params)
         counts, edges = counts.union(c), edges.union(e)
     edges = written(edges, "edges")
     counts = counts.groupBy("id").agg(F.sum("n_links").alias("n_links"))
     parts = components(edges) if not edges.isEmpty() else spark.createDataFrame([], "node long, component long")
-    out = all_ids.join(counts, "id", "left").join(parts.withColumnRenamed("node", "id"), "id", "left")
+    # the rows of the distinct vectors are written, so that a vector of very many copies is a skewed key that Spark splits
+    each = own.select("key", "id", "copies").join(counts, "id", "left").join(parts.withColumnRenamed("node", "id"), "id", "left")
+    each = written(each.select("key", (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component")), "linked")
+    usable = unit.select("id", "key").join(each, "key").drop("key")
+    out = all_ids.join(usable, "id", "left")
     component = F.coalesce("component", "id")
     return out.select(F.col("id").alias(id_name), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("id") == component).alias("kept"))
 
 
 def _of_one_dimension(own: DataFrame, pivots: np.ndarray, p: PivotParams) -> tuple[DataFrame, DataFrame]:
     m = len(pivots)
-    described = own.join(own.select("id", "v").mapInArrow(_described(pivots, p), "id long, near array<int>"), "id")
+    described = own.mapInArrow(lean(_described(pivots, p)), "id long, v array<double>, copies long, near array<int>")
     pair = F.flatten(F.transform("near", lambda a: F.transform(F.filter("near", lambda b: b > a), lambda b: a.cast("long") * m + b)))
     if m < 2:
         pair = F.array(F.lit(0).cast("long"))
@@ -107,37 +110,29 @@ def _of_one_dimension(own: DataFrame, pivots: np.ndarray, p: PivotParams) -> tup
     sizes = described.select(F.explode(pair).alias("list")).groupBy("list").agg(F.count("*").alias("size")).where("size > 1")
     blocks = F.ceil(F.col("size") / p.block).cast("int")
     mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    listed = described.select("id", "v", "near", F.explode(pair).alias("list")).join(sizes, "list").withColumn("blocks", blocks).withColumn("mine", mine)
+    listed = described.select("id", "v", "copies", "near", F.explode(pair).alias("list")).join(sizes, "list").withColumn("blocks", blocks).withColumn("mine", mine)
     # a vector goes to the groups of its own block with every block
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = listed.select("id", "v", "near", "list", "mine", other).select("id", "v", "near", "list", "mine", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))
-    result = dealt.groupBy("list", "lo", "hi").applyInPandas(_verify(m, p.cosine), "id long, other long, n_links long")
+    dealt = listed.select("id", "v", "copies", "near", "list", "mine", other).select("id", "v", "copies", "near", "list", "mine", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))
+    result = dealt.groupBy("list", "lo", "hi").applyInArrow(_verify(m, p.cosine), "id long, other long, n_links long")
     result = written(result, "links")
     return result.where("other is null").select("id", "n_links"), result.where("other is not null").select(F.col("id").alias("src"), F.col("other").alias("dst"))
 
 
 def _verify(m: int, cosine: float):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("id")
-        ids, mine = group["id"].to_numpy(), group["mine"].to_numpy()
-        v, near = np.array(group["v"].tolist()), np.array(group["near"].tolist())
-        this, lo, hi = int(group["list"].iloc[0]), int(group["lo"].iloc[0]), int(group["hi"].iloc[0])
-        first = {(this // m, this % m)}
+    none = pa.table({"id": pa.array([], pa.int64()), "other": pa.array([], pa.int64()), "n_links": pa.array([], pa.int64())})
+
+    def run(group: pa.Table) -> pa.Table:
+        plain = lambda name: group.column(name).to_numpy()
+        wide = lambda name: group.column(name).combine_chunks().flatten().to_numpy().reshape(group.num_rows, -1)
+        ids, mine, copies, v, near = plain("id"), plain("mine"), plain("copies"), wide("v"), wide("near")
+        this, lo, hi = (group.column(c)[0].as_py() for c in ("list", "lo", "hi"))
         rows = np.arange(len(ids)) if lo == hi else np.flatnonzero(mine == lo)
         columns = np.arange(len(ids)) if lo == hi else np.flatnonzero(mine == hi)
-        count = np.zeros(len(ids), dtype=np.int64)
-        parent = np.arange(len(ids))
-
-        def root(i: int) -> int:
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
-
-        spans = []
         has = np.zeros((len(ids), int(near.max()) + 1), dtype=bool)
         has[np.arange(len(ids))[:, None], near] = True
-        a, b = next(iter(first))
+        count = np.zeros(len(ids), dtype=np.int64)
+        label = np.arange(len(ids))
         for part in range(0, len(rows), 512):
             r = rows[part : part + 512]
             linked = v[r] @ v[columns].T >= cosine
@@ -149,17 +144,31 @@ def _verify(m: int, cosine: float):
             both = has[i] & has[j]
             one = both.argmax(axis=1)
             both[np.arange(len(i)), one] = False
-            ours = (one == a) & (both.argmax(axis=1) == b) if m >= 2 else np.ones(len(i), dtype=bool)
+            ours = (one == this // m) & (both.argmax(axis=1) == this % m) if m >= 2 else np.ones(len(i), dtype=bool)
             i, j = i[ours], j[ours]
-            count += np.bincount(i, minlength=len(ids)) + np.bincount(j, minlength=len(ids))
-            for x, y in zip(i.tolist(), j.tolist(), strict=True):
-                p, q = root(x), root(y)
-                if p != q:
-                    parent[max(p, q)] = min(p, q)
-                    spans.append((ids[x], ids[y]))
+            count += np.bincount(i, copies[j], len(ids)).astype(np.int64) + np.bincount(j, copies[i], len(ids)).astype(np.int64)
+            label = _merged(label, i, j)
         some = np.flatnonzero(count)
-        counted = pd.DataFrame({"id": ids[some], "other": pd.array([pd.NA] * len(some), dtype="Int64"), "n_links": count[some]})
-        spanning = pd.DataFrame({"id": [s for s, _ in spans], "other": pd.array([d for _, d in spans], dtype="Int64"), "n_links": 0})
-        return pd.concat([counted, spanning]).astype({"id": "int64", "n_links": "int64"})
+        if not len(some):
+            return none
+        other = np.flatnonzero(label != np.arange(len(ids)))
+        return pa.table({
+            "id": pa.array(np.concatenate([ids[some], ids[other]]), pa.int64()),
+            "other": pa.concat_arrays([pa.nulls(len(some), pa.int64()), pa.array(ids[label[other]], pa.int64())]),
+            "n_links": pa.array(np.concatenate([count[some], np.zeros(len(other), dtype=np.int64)]), pa.int64()),
+        })
 
     return run
+
+
+def _merged(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Labels (roots, by the least position) after the pairs are linked too."""
+    label = label.copy()
+    while True:
+        a, b = label[i], label[j]
+        apart = a != b
+        if not apart.any():
+            return label
+        np.minimum.at(label, np.maximum(a[apart], b[apart]), np.minimum(a[apart], b[apart]))
+        while not (label[label] == label).all():
+            label = label[label]

@@ -40,6 +40,8 @@ def test_links_equal_brute_force(spark):
     assert 0.97 * true <= got <= true
     want = labels(len(v), [(a, b) for a, b in zip(*np.nonzero(linked), strict=True) if a < b])
     assert sum(out[i].component_id == want[i] for i in range(len(v))) >= 0.98 * len(v)
+    repeated = {r.vec_id: (r.n_links, r.component_id) for r in pivots.links(spark.createDataFrame([(k, [float(k % 3), 1.0, 2.0 - k % 3]) for k in range(3000)], "vec_id long, embedding array<double>").withColumn("kept", F.lit("clash"))).collect()}
+    assert repeated == {k: (999, k % 3) for k in range(3000)}
     for i in range(900, 907):
         assert (out[i].n_links, out[i].component_id, out[i].kept) == (0, i, True)
     assert pivots.links(df.limit(0)).count() == 0

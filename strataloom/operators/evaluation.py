@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,3 +106,77 @@ def set_problems(golden: DataFrame) -> DataFrame:
     repeated = golden.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id", F.lit("repeated_id").alias("problem"))
     n = F.size(words(F.col("quote")))
     return repeated.union(golden.where((n < 5) | (n > 40)).select("id", F.lit("quote_length").alias("problem")))
+
+
+def agreement(readings: DataFrame) -> DataFrame:
+    """(agreed, right, precision): words that both engines read, and how many of these the truth holds; by multisets of a key.
+
+    ``readings``: key, truth, a, b.
+    """
+    count = lambda side: readings.select("key", F.explode(words(F.col(side))).alias("word")).groupBy("key", "word").agg(F.count("*").alias(side))
+    both = count("a").join(count("b"), ["key", "word"]).join(count("truth"), ["key", "word"], "left").na.fill(0)
+    shared = F.least("a", "b")
+    sums = both.agg(F.coalesce(F.sum(shared), F.lit(0)).alias("agreed"), F.coalesce(F.sum(F.least(shared, "truth")), F.lit(0)).alias("right"))
+    return sums.withColumn("precision", F.when(F.col("agreed") > 0, F.round(F.col("right") / F.col("agreed"), 6)))
+
+
+def line_scores(truth: DataFrame, outputs: DataFrame) -> DataFrame:
+    """(engine, lines, exact, words_right, cer) pooled over all lines; a missing output is an empty one.
+
+    ``truth``: line, text; ``outputs``: engine, line, text.
+    """
+    engines = outputs.select("engine").distinct()
+    wanted = truth.select("line", F.col("text").alias("truth")).join(F.broadcast(engines))
+    both = wanted.join(outputs.select("engine", "line", F.col("text").alias("output")), ["engine", "line"], "left").withColumn("output", F.coalesce("output", F.lit("")))
+    # words in their places' order don't count: each word as often as both hold it
+    t, o = words(F.col("truth")), words(F.col("output"))
+    times = lambda a, w: F.size(F.filter(a, lambda x: x == w))
+    right = F.aggregate(F.array_distinct(t), F.lit(0), lambda n, w: n + F.least(times(t, w), times(o, w)))
+    rows = both.select("engine", (F.col("truth") == F.col("output")).cast("int").alias("exact"), right.alias("right"), F.size(t).alias("n"), F.levenshtein("truth", "output").alias("edits"), F.length("truth").alias("letters"))
+    return rows.groupBy("engine").agg(F.count("*").alias("lines"), F.sum("exact").alias("exact"), F.round(F.sum("right") / F.sum("n"), 6).alias("words_right"), F.round(F.sum("edits") / F.sum("letters"), 6).alias("cer"))
+
+
+def judged(answers: DataFrame, statuses: list[str]) -> DataFrame:
+    """By type: questions, shares of correct, cited and found, and how many answers of each status there are.
+
+    ``answers``: type, status, correct, cited, found.
+    """
+    share = lambda c: F.round(F.avg(F.col(c).cast("double")), 6).alias(c)
+    return answers.groupBy("type").agg(F.count("*").alias("questions"), share("correct"), share("cited"), share("found"), *[F.count(F.when(F.col("status") == s, 1)).alias(s) for s in statuses])
+
+
+def refused_afterwards(records: DataFrame, thresholds: list[float]) -> DataFrame:
+    """(threshold, refused, right): shares of answers (score, correct) under each threshold, and of correct ones that stay."""
+    rows = records.withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds))))
+    refused = F.col("score") < F.col("threshold")
+    return rows.groupBy("threshold").agg(F.round(F.avg(refused.cast("double")), 6).alias("refused"), F.round(F.avg((F.col("correct") & ~refused).cast("double")), 6).alias("right"))
+
+
+def pilot(graded: DataFrame) -> DataFrame:
+    """(answers, share of each class, critical per 50 answers, median time gained) of rows (grade, critical, minutes_before, minutes_after)."""
+    share = lambda g: F.round(F.avg((F.col("grade") == g).cast("double")), 6).alias(g)
+    gain = F.expr("percentile(minutes_before - minutes_after, 0.5)")
+    return graded.agg(F.count("*").alias("answers"), share("right"), share("partly"), share("wrong"), F.round(50 * F.avg(F.col("critical").cast("double")), 6).alias("critical_per_50"), F.round(gain, 6).alias("minutes_gained"))
+
+
+def bootstrap(df: DataFrame, value: str, resamples: int = 2000, seed: int = 7, level: float = 0.95) -> DataFrame:
+    """(mean, low, high): the mean and its bootstrap interval.
+
+    Each row counts so many times in each resample as a Poisson number says that row and seed fix,
+    so partitions add up their own sums, and only one row a resample and partition is shuffled.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"), F.xxhash64(*df.columns).alias("h"))
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, resamples))
+        for batch in batches:
+            v, h = batch.column("v").to_numpy(), batch.column("h").to_numpy().view(np.uint64)
+            for x, own in zip(v, h, strict=True):
+                times = np.random.default_rng([seed, int(own)]).poisson(1.0, resamples)
+                total += np.stack([times * x, times])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(resamples, dtype=np.int32)), pa.array(total[0]), pa.array(total[1])], ["resample", "s", "n"])
+
+    means = rows.mapInArrow(sums, "resample int, s double, n double").groupBy("resample").agg((F.sum("s") / F.nullif(F.sum("n"), F.lit(0.0))).alias("m"))
+    edge = (1 - level) / 2
+    interval = means.agg(F.expr(f"percentile(m, {edge})").alias("low"), F.expr(f"percentile(m, {1 - edge})").alias("high"))
+    return rows.agg(F.avg("v").alias("mean")).join(F.broadcast(interval))

@@ -117,6 +117,42 @@ def rerank(ranked: DataFrame, scores: DataFrame, head: int = 15, limit: int = 10
     return joined.withColumn("final_rank", F.row_number().over(order)).where(F.col("final_rank") <= limit)
 
 
+def by_identifiers(asked: DataFrame, held: DataFrame, ranked: DataFrame) -> DataFrame:
+    """(query_id, key, held, rank): documents that hold a question's identifiers, those of most first, then the ranking.
+
+    ``asked``: query_id, kind, value; ``held``: key, kind, value; ``ranked``: query_id, key, rank.
+    Ties go by the rank in the list, unranked ones by key behind it.
+    """
+    hits = asked.distinct().join(held.distinct(), ["kind", "value"]).groupBy("query_id", "key").agg(F.count("*").alias("held"))
+    both = hits.join(ranked.select("query_id", "key", F.col("rank").alias("_rank")), ["query_id", "key"], "full").withColumn("held", F.coalesce("held", F.lit(0)))
+    order = Window.partitionBy("query_id").orderBy(F.desc("held"), F.col("_rank").asc_nulls_last(), "key")
+    return both.select("query_id", "key", "held", F.row_number().over(order).alias("rank"))
+
+
+def identifier_tie_break(reranked: DataFrame, holds: DataFrame, margin: float = 0.5) -> DataFrame:
+    """(query_id, key, final_rank): hits within ``margin`` of the best score that hold an identifier of the question go first.
+
+    ``reranked``: query_id, key, rank, score; ``holds``: query_id, key (identifiers that are years
+    are left out by the caller's entities).
+    """
+    best = F.max("score").over(Window.partitionBy("query_id"))
+    rows = reranked.join(holds.select("query_id", "key").distinct().withColumn("_holds", F.lit(1)), ["query_id", "key"], "left").withColumn("_best", best)
+    near = (F.col("score") >= F.col("_best") - margin) & F.col("_holds").isNotNull()
+    return rows.select("query_id", "key", F.row_number().over(Window.partitionBy("query_id").orderBy(F.when(near, 0).otherwise(1), "rank")).alias("final_rank"))
+
+
+def rank_details(fused: DataFrame, chunks: DataFrame, pages: DataFrame) -> DataFrame:
+    """Hits with their heading path and the uncertain identifiers of their pages, distinct and in order.
+
+    ``chunks``: key, document, page_start, page_end, heading_path; ``pages``: document, page,
+    uncertain (array).
+    """
+    own = fused.join(chunks, "key")
+    each = own.select("query_id", "key", "document", F.explode(F.sequence("page_start", "page_end")).alias("page")).join(pages, ["document", "page"])
+    uncertain = each.select("query_id", "key", F.explode("uncertain").alias("u")).groupBy("query_id", "key").agg(F.array_sort(F.collect_set("u")).alias("uncertain"))
+    return own.join(uncertain, ["query_id", "key"], "left").withColumn("uncertain", F.coalesce("uncertain", F.array().cast("array<string>")))
+
+
 def expand_synonyms(queries: DataFrame, groups: list[list[str]], language: Language = ENGLISH) -> DataFrame:
     """Questions with the other phrases of each group of which they name a phrase.
 

@@ -148,6 +148,29 @@ def claim_tokens(spark, sf_dir):
     return sentences(spark, sf_dir).select("key", F.array_join(claims(F.col("text")), " ").alias("claims"))
 
 
+def line_blocks(spark, sf_dir):
+    """Blocks of each document's lines."""
+    pages = documents(spark, sf_dir).withColumn("page", F.lit(1))
+    return chunking.line_blocks(pages).select("key", "idx", "kind", "level", F.sha2("text", 256).alias("text_sha256"))
+
+
+_LINE_BLOCKS_SQL = r"""WITH raw AS (SELECT doc_id AS key, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
+l AS (SELECT key, n, trim(regexp_replace(raw, '[ \t\n\x0B\f\r]+', ' ', 'g')) AS line FROM raw),
+s AS (SELECT *, length(line) <= 120 AND NOT regexp_matches(line, '[.,;:]$') AS t FROM l),
+v AS (SELECT *, CASE WHEN t AND regexp_matches(line, '(?i)^part\s+([0-9]+|[ivxlc]+)\b') THEN 1 WHEN t AND regexp_matches(line, '(?i)^chapter\s+([0-9]+|[ivxlc]+)\b') THEN 2 WHEN regexp_matches(line, '(?i)^article\s+([0-9]+|[ivxlc]+)\b') THEN 3
+  WHEN t AND regexp_matches(line, '^[0-9]+(\.[0-9]+)*\.?\s+\p{Lu}') THEN length(regexp_replace(regexp_extract(line, '^([0-9]+(?:\.[0-9]+)*)', 1), '[^.]', '', 'g')) + 2 WHEN t AND regexp_matches(line, '^[A-Z]\.\s+\p{Lu}') THEN 2 END AS level FROM s),
+b AS (SELECT *, level IS NOT NULL AND t AND NOT regexp_matches(line, '(?i)^article\s+([0-9]+|[ivxlc]+)\b') AS title, lag(line) OVER w AS before, lag(level IS NOT NULL AND t AND NOT regexp_matches(line, '(?i)^article\s+([0-9]+|[ivxlc]+)\b')) OVER w AS title_before FROM v WINDOW w AS (PARTITION BY key ORDER BY n)),
+m AS (SELECT *, regexp_matches(line, '^(?:[-•*]|[0-9]{1,3}\)|[a-z]\))\s') AS listed,
+  title_before AND level IS NULL AND len(string_split(before, ' ')) <= 3 AND length(line) <= 60 AND NOT regexp_matches(line, '[.,;:]$') AND len(list_filter(string_split(line, ' '), lambda x: regexp_matches(x, '^\p{Lu}'))) >= 0.6 * len(string_split(line, ' ')) AS named FROM b),
+f AS (SELECT *, lag(named) OVER (PARTITION BY key ORDER BY n) AS named_before FROM m),
+g AS (SELECT *, before IS NULL OR before = '' OR (NOT (regexp_matches(before, '[0-9]-$') AND regexp_matches(line, '^[0-9]')) AND (title OR (title_before AND NOT named) OR named_before OR level IS NOT NULL OR listed
+  OR (regexp_matches(before, '[.:!?]$') AND regexp_matches(line, '^["''(\[“‘•*-]*[\p{Lu}\p{Nd}]')))) AS begins FROM f),
+i AS (SELECT *, sum(begins::INT) OVER (PARTITION BY key ORDER BY n) - 1 AS idx FROM g WHERE line <> ''),
+j AS (SELECT key, idx::INT AS idx, arg_min(title, n) AS title, arg_min(listed, n) AS listed, first(level ORDER BY n) AS level, string_agg(line, chr(10) ORDER BY n) AS text FROM i GROUP BY key, idx)
+SELECT key, idx, CASE WHEN title THEN 'heading' WHEN listed THEN 'list_item' ELSE 'paragraph' END AS kind, level::INT AS level,
+  sha256(replace(regexp_replace(regexp_replace(text, '(\p{L})-\n(\p{Ll})', '\1\2', 'g'), '([0-9]-)\n([0-9])', '\1\2', 'g'), chr(10), ' ')) AS text_sha256 FROM j"""
+
+
 def chunk_documents(spark, sf_dir):
     """Structure-aware chunks of all documents."""
     d = documents(spark, sf_dir).select("key", chunking.blocks_of(clean(F.col("text"))).alias("blocks"))
@@ -205,13 +228,14 @@ def ctc_decode(spark, sf_dir):
     return kernels.decode(b.select("key", frames.alias("frames")), ["", *"abcdefgh"])
 
 
-QUERIES = {f.__name__: f for f in (content_hash_dups, simhash, near_dup_pairs, running_lines, char_model, char_score, artefact_share, quality_verdict, identifier_two_readings, entity_extract, entity_counts, metadata_suggest, claim_tokens, chunk_documents, chunk_tokens, document_context, html_to_text, witten_bell_lm, rover_vote, ctc_decode)}
+QUERIES = {f.__name__: f for f in (content_hash_dups, simhash, near_dup_pairs, running_lines, char_model, char_score, artefact_share, quality_verdict, identifier_two_readings, entity_extract, entity_counts, metadata_suggest, claim_tokens, line_blocks, chunk_documents, chunk_tokens, document_context, html_to_text, witten_bell_lm, rover_vote, ctc_decode)}
 
 SQL = {
     "content_hash_dups": f"SELECT hash, count(*) AS copies, min(key) AS first_key FROM (SELECT doc_id AS key, sha256(array_to_string({_WORDS_SQL}, ' ')) AS hash FROM documents) GROUP BY hash HAVING count(*) > 1",
     "simhash": f"WITH {_SIMHASH_CTE} SELECT key, lpad(printf('%X', h), 16, '0') AS simhash FROM sim",
     "near_dup_pairs": f"WITH {_SIMHASH_CTE}, one AS (SELECT h, min(key) AS key FROM sim GROUP BY h) SELECT a.key AS a, b.key AS b, bit_count(xor(a.h, b.h))::INT AS distance FROM one a JOIN one b ON a.key < b.key WHERE bit_count(xor(a.h, b.h)) <= 3",
     "running_lines": _RUNNING_SQL,
+    "line_blocks": _LINE_BLOCKS_SQL,
     "char_model": f"WITH {_MODEL_CTE} SELECT tri, sum(n_tri)::BIGINT AS n_tri FROM tri GROUP BY tri HAVING sum(n_tri) >= 2",
     "char_score": _SCORE_SQL,
     "artefact_share": r"""SELECT key, CASE WHEN len(w) > 0 THEN round(len(list_filter(w, lambda x: regexp_matches(x, '\p{L}[,;|\\]\p{L}') OR len(list_filter(string_split_regex(x, '[''’-]'), lambda p: length(regexp_replace(p, '[^\p{L}]', '', 'g')) >= 6 AND regexp_matches(p, '\p{Ll}\p{Lu}'))) > 0)) / len(w), 6) ELSE 0.0 END AS artefacts

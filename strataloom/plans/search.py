@@ -80,6 +80,14 @@ def hybrid_search(spark, sf_dir):
     return _fused(spark, sf_dir).where("rank <= 10").select("query_id", "rank", "key", "score", "lexical_rank", "dense_rank")
 
 
+def permitted_search(spark, sf_dir):
+    """The flagship for an asker who may not read German documents: either list is filtered before it is cut, statistics stay global."""
+    permitted = table(spark, sf_dir, "documents").where("lang <> 'de'").select(F.col("doc_id").alias("key"))
+    lists = [retrieval.bm25(documents(spark, sf_dir), questions(spark, sf_dir), permitted=permitted), retrieval.dense(vectors(spark, sf_dir).join(permitted, "key", "left_semi"), _asked_vectors(spark, sf_dir))]
+    fused = retrieval.fuse(lists).where("rank <= 10")
+    return fused.select("query_id", "rank", "key", "score", F.col("rank_0").alias("lexical_rank"), F.col("rank_1").alias("dense_rank"))
+
+
 def _shared_terms(spark, sf_dir, candidates):
     """Stand-in reranker: distinct terms that question and document share."""
     d = documents(spark, sf_dir).select("key", F.array_distinct(lexical_terms(F.col("text"))).alias("d"))
@@ -136,7 +144,7 @@ def range_join_pages(spark, sf_dir):
     return range_join(pages, chunks, "key", "page", "page_start", "page_end").groupBy("key", "chunk").agg(F.count("*").alias("pages"), F.max("page").alias("last_page"))
 
 
-QUERIES = {"lexical_terms": lexical_terms_query} | {f.__name__: f for f in (bm25_search, dense_search, rrf_fusion, weighted_rrf, hybrid_search, rerank_head, synonym_expand, exact_identifiers, context_overlap, range_join_pages)}
+QUERIES = {"lexical_terms": lexical_terms_query} | {f.__name__: f for f in (bm25_search, dense_search, rrf_fusion, weighted_rrf, hybrid_search, permitted_search, rerank_head, synonym_expand, exact_identifiers, context_overlap, range_join_pages)}
 
 SQL = {
     "lexical_terms": f"SELECT key, len(t)::BIGINT AS n_terms, array_to_string(t, ' ') AS terms FROM (SELECT doc_id AS key, {terms_sql('text')} AS t FROM documents)",
@@ -145,6 +153,7 @@ SQL = {
     "rrf_fusion": f"WITH {BM25_CTE}, {DENSE_CTE}, {rrf_sql((1.0, 1.0))} SELECT query_id, key, score, rank FROM fused",
     "weighted_rrf": f"WITH {BM25_CTE}, {DENSE_CTE}, {rrf_sql((1.0, 0.5))} SELECT query_id, key, score, rank FROM fused",
     "hybrid_search": f"WITH {BM25_CTE}, {DENSE_CTE}, {rrf_sql((1.0, 1.0))} SELECT query_id, rank, key, score, lexical_rank, dense_rank FROM fused WHERE rank <= 10",
+    "permitted_search": "WITH " + (BM25_CTE.replace("FROM asked JOIN weighted USING (term)", "FROM asked JOIN weighted USING (term) WHERE key IN (SELECT doc_id FROM documents WHERE lang <> 'de')") + ", " + DENSE_CTE.replace("v.vec_id = q.item_id, embeddings e", "v.vec_id = q.item_id, embeddings e WHERE e.vec_id IN (SELECT doc_id FROM documents WHERE lang <> 'de')")) + f", {rrf_sql((1.0, 1.0))} SELECT query_id, rank, key, score, lexical_rank, dense_rank FROM fused WHERE rank <= 10",
     "rerank_head": f"""WITH {BM25_CTE}, {DENSE_CTE}, {rrf_sql((1.0, 1.0))},
 scored AS (SELECT f.query_id, f.key, f.rank, CASE WHEN f.rank <= 15 THEN len(list_intersect(list_distinct(t.terms), list_distinct({terms_sql("b.text")})))::DOUBLE END AS rerank_score
   FROM fused f JOIN terms t USING (key) JOIN benchmark b ON b.item_id = f.query_id WHERE f.rank <= 50)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -16,8 +17,10 @@ SLICE_BYTES = 1 << 18
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a folder in the warehouse where none is set."""
+    """The shared folder that the cluster names; on one machine a folder in the warehouse where none is set."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.match(r"local(?:\[|$)", spark.conf.get("spark.master", "local")):
+        raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
     return (named or spark.conf.get("spark.sql.warehouse.dir") + "/_scratch").rstrip("/")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
@@ -45,15 +47,19 @@ def hamming(a_high: Column, a_low: Column, b_high: Column, b_low: Column) -> Col
 def simhash_pairs(hashes: DataFrame, distance: int = 3) -> DataFrame:
     """(a, b, distance) of different hashes within the distance, representatives of equal hashes only.
 
-    Two hashes within distance 3 agree on one of four 16-bit bands, on which they are joined.
+    The 64 bits are cut into six blocks, of which three at least are equal where three bits differ.
+    So hashes are joined on each choice of three blocks, some 32 bits, of which even a very large
+    corpus holds few by chance.
     """
     if not 0 <= distance <= 3:
-        raise ValueError("four bands find distances up to 3")
+        raise ValueError("six blocks find distances up to 3")
     one = hashes.groupBy("high", "low").agg(F.min("key").alias("key"))
-    bands = F.array(*[F.struct(F.lit(i).alias("i"), F.shiftright(F.col(half), 16 * shift).bitwiseAND(0xFFFF).alias("v")) for i, (half, shift) in enumerate((("low", 0), ("low", 1), ("high", 0), ("high", 1)))])
-    banded = one.select("key", "high", "low", F.explode(bands).alias("band"))
+    block = lambda k: F.shiftright(F.col("low" if k < 3 else "high"), 11 * (k % 3)).bitwiseAND(0x7FF)
+    choices = list(combinations(range(6), 3))
+    banded = one.select("key", "high", "low", F.posexplode(F.array(*[F.shiftleft(block(x), 22) + F.shiftleft(block(y), 11) + block(z) for x, y, z in choices])).alias("choice", "value"))
     a, b = banded.alias("a"), banded.alias("b")
-    near = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.key") < F.col("b.key"))).select(F.col("a.key").alias("a"), F.col("b.key").alias("b"), hamming(F.col("a.high"), F.col("a.low"), F.col("b.high"), F.col("b.low")).alias("distance"))
+    near = a.join(b, (F.col("a.choice") == F.col("b.choice")) & (F.col("a.value") == F.col("b.value")) & (F.col("a.key") < F.col("b.key")))
+    near = near.select(F.col("a.key").alias("a"), F.col("b.key").alias("b"), hamming(F.col("a.high"), F.col("a.low"), F.col("b.high"), F.col("b.low")).alias("distance"))
     return near.where(F.col("distance") <= distance).distinct()
 
 

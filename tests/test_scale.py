@@ -1,11 +1,13 @@
 """Long words, long keys and folds that hold little, against plain versions."""
 
+import hashlib
+import json
 import random
 
 from pyspark.sql import functions as F
 
 from strataloom.functions.text import lexical_terms
-from strataloom.operators import audit, evaluation, quality
+from strataloom.operators import audit, evaluation, fingerprints, quality
 from strataloom.streaming import limits
 
 
@@ -33,6 +35,12 @@ def test_chains_of_many_events_verify(spark):
     e = spark.createDataFrame(rows, "tenant string, seq long, actor string, action string, target string, outcome string, details string").withColumn("ts", F.timestamp_seconds(F.col("seq")))
     chain = audit.build_chain(e)
     assert sorted((r.tenant, r.checked, r.problem) for r in audit.verify_chain(chain).collect()) == [(str(k), 1000, None) for k in range(3)]
+    last = audit.GENESIS
+    for r in chain.where("tenant = '2'").orderBy("seq").limit(50).collect():
+        plain = {"action": r.action, "actor": "a", "details": None, "outcome": "ok", "prev_hash": last, "seq": r.seq, "target": None, "tenant": "2", "ts": f"1970-01-01T00:{r.seq // 60:02}:{r.seq % 60:02}.000000Z"}
+        assert r.prev_hash == last
+        last = hashlib.sha256(json.dumps(plain, separators=(",", ":"), sort_keys=True).encode()).hexdigest()
+        assert r.hash == last
     bad = chain.withColumn("action", F.when((F.col("tenant") == "1") & (F.col("seq") == 500), "forged").otherwise(F.col("action")))
     assert [(r.problem_seq, r.problem) for r in audit.verify_chain(bad).where("tenant = '1'").collect()] == [(500, "modified_event")]
 
@@ -45,3 +53,15 @@ def test_ranks_of_counted_values(spark):
     assert got == {(g, s): vs[min(int(s * len(vs)), len(vs) - 1)] for g, vs in values.items() for s in (0.0, 0.5, 0.9, 1.0)}
     means = {r.g: r.worst_decile for r in evaluation.worst_decile_mean(df, "g", "v").collect()}
     assert means == {g: round(sum(vs[: max(1, len(vs) // 10)]) / max(1, len(vs) // 10), 6) for g, vs in values.items()}
+
+
+def test_simhash_pairs_equal_brute_force(spark):
+    rng = random.Random(7)
+    base = [rng.getrandbits(64) for _ in range(60)]
+    values = base + [b ^ sum(1 << k for k in rng.sample(range(64), rng.randint(0, 5))) for b in base for _ in range(4)]
+    df = spark.createDataFrame([(k, v >> 32, v & 0xFFFFFFFF) for k, v in enumerate(values)], "key long, high long, low long")
+    first = {}
+    for k, v in enumerate(values):
+        first.setdefault(v, k)
+    want = {(a, b, (x ^ y).bit_count()) for x, a in first.items() for y, b in first.items() if a < b and (x ^ y).bit_count() <= 3}
+    assert {tuple(r) for r in fingerprints.simhash_pairs(df).collect()} == want

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import hmac
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,6 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
+from .maintenance import at_most
+
 GENESIS = "0" * 64
 FIELDS = ("seq", "ts", "actor", "action", "target", "outcome", "details")
 
@@ -95,10 +98,63 @@ def csv_safe(text: Column) -> Column:
     return F.when(text.rlike(r"^[=+\-@\t\r]"), F.concat(F.lit("'"), text)).otherwise(text)
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """Semicolons, all text cells safe from formulas, CRLF line ends within Spark's text rules."""
-    safe = [csv_safe(F.col(c)).alias(c) if t == "string" else F.col(c) for c, t in df.dtypes]
-    df.select(*safe).write.option("sep", ";").option("header", True).option("quoteAll", True).csv(path)
+def csv_line(cells: list[Column]) -> Column:
+    """Cells joined by semicolons, safe from formulas; those that hold a semicolon, quote or line end are quoted, nulls are empty."""
+
+    def written(cell: Column) -> Column:
+        safe = csv_safe(F.coalesce(cell.cast("string"), F.lit("")))
+        return F.when(safe.rlike(r"[;\"\r\n]"), F.concat(F.lit('"'), F.replace(safe, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(safe)
+
+    return F.array_join(F.array(*map(written, cells)), ";")
+
+
+#: Events that one export may hold.
+MOST_EXPORTED = 50_000
+
+
+def write_csv(events: DataFrame, path: str, most: int = MOST_EXPORTED) -> None:
+    """One file with a byte order mark, a header and CRLF line ends, in the order of tenant and seq; more than ``most`` events are an error."""
+    columns = [c for c in ("tenant", *FIELDS, "prev_hash", "hash") if c in events.columns]
+    cells = [stamp(F.col(c)) if c == "ts" else F.col(c) for c in columns]
+    lines = at_most(events, most).select(F.lit(1).alias("part"), "tenant", "seq", csv_line(cells).alias("line"))
+    header = events.sparkSession.range(1).select(F.lit(0).alias("part"), F.lit(None).cast("string").alias("tenant"), F.lit(None).cast("long").alias("seq"), F.lit("\ufeff" + ";".join(columns)).alias("line"))
+    # an export is bounded, so one task may hold it
+    header.unionByName(lines).repartition(1).sortWithinPartitions("part", "tenant", "seq").select("line").write.option("lineSep", "\r\n").text(path)
+
+
+def _signature(digest: str, key: bytes) -> str:
+    return hmac.new(key, digest.encode(), hashlib.sha256).hexdigest()
+
+
+def signed_export(chain: DataFrame, key: bytes, most: int = MOST_EXPORTED) -> tuple[DataFrame, dict]:
+    """Canonical rows of a chain (tenant, seq, body) and their manifest: count, first and last seq, digest and signature.
+
+    The digest is that of the rows' hashes in order; more than ``most`` events are an error.
+    """
+    rows = at_most(chain, most).select("tenant", "seq", canonical(F.col("prev_hash")).alias("body"))
+    return rows, _manifest(rows, key)
+
+
+def _manifest(rows: DataFrame, key: bytes) -> dict:
+    hashes = F.array_sort(F.collect_list(F.struct("tenant", "seq", F.sha2("body", 256).alias("h"))))
+    digest = F.sha2(F.array_join(F.transform(hashes, lambda x: x["h"]), ""), 256)
+    m = rows.agg(F.count("*").alias("count"), F.min("seq").alias("first"), F.max("seq").alias("last"), digest.alias("digest")).first().asDict()
+    return m | {"signature": _signature(m["digest"], key)}
+
+
+def check_export(rows: DataFrame, manifest: dict, key: bytes) -> str | None:
+    """What is wrong with an export: signature, count or digest; null if nothing."""
+    if not hmac.compare_digest(_signature(manifest["digest"], key), manifest["signature"]):
+        return "signature"
+    found = _manifest(rows, key)
+    return next((f for f in ("count", "digest") if found[f] != manifest[f]), None)
+
+
+def pruned(chain: DataFrame, now: Column, keep_days: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The events that stay, what was removed, and an anchor (tenant, removed, head) a tenant from which its chain goes on."""
+    kept, removed = retention(chain, now, keep_days)
+    head = chain.join(removed.select("tenant", F.col("through_seq").alias("seq")), ["tenant", "seq"]).select("tenant", F.col("seq").alias("removed"), F.col("hash").alias("head"))
+    return kept, removed, head
 
 
 def backoff(attempts: DataFrame, free: int = 4, most: int = 900) -> DataFrame:

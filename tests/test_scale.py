@@ -1,9 +1,12 @@
 """Long words, long keys and folds that hold little, against plain versions."""
 
+import csv
 import hashlib
+import io
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from strataloom.functions.text import lexical_terms
@@ -65,3 +68,22 @@ def test_simhash_pairs_equal_brute_force(spark):
         first.setdefault(v, k)
     want = {(a, b, (x ^ y).bit_count()) for x, a in first.items() for y, b in first.items() if a < b and (x ^ y).bit_count() <= 3}
     assert {tuple(r) for r in fingerprints.simhash_pairs(df).collect()} == want
+
+
+def test_exports_and_pruned_chains(spark, tmp_path):
+    rows = [("t", k + 1, "a;b" if k == 1 else "=sum", 'say "x"', None, "ok", "line\nend") for k in range(200)]
+    e = spark.createDataFrame(rows, "tenant string, seq long, actor string, action string, target string, outcome string, details string").withColumn("ts", F.timestamp_seconds(F.col("seq") * 86400))
+    chain = audit.build_chain(e)
+    audit.write_csv(chain, f"{tmp_path}/csv")
+    data = b"".join(p.read_bytes() for p in sorted((tmp_path / "csv").glob("part-*"))).decode("utf-8-sig")
+    lines = list(csv.reader(io.StringIO(data, newline=""), delimiter=";"))
+    assert data.count("\r\n") == 201 and lines[0][:4] == ["tenant", "seq", "ts", "actor"] and len(lines) == 201
+    assert [int(x[1]) for x in lines[1:]] == list(range(1, 201)) and lines[1][3] == "'=sum" and lines[2][3] == "a;b" and lines[1][7] == "line\nend"
+    with pytest.raises(ValueError):
+        audit.write_csv(chain, f"{tmp_path}/more", most=10)
+    out, manifest = audit.signed_export(chain, b"key")
+    assert (manifest["count"], manifest["first"], manifest["last"]) == (200, 1, 200) and audit.check_export(out, manifest, b"key") is None
+    assert audit.check_export(out.where("seq <> 3"), manifest, b"key") == "count" and audit.check_export(out, manifest, b"other") == "signature"
+    assert audit.check_export(out.withColumn("body", F.when(F.col("seq") == 3, "x").otherwise(F.col("body"))), manifest, b"key") == "digest"
+    kept, removed, anchors = audit.pruned(chain, F.timestamp_seconds(F.lit(200 * 86400)), 90)
+    assert kept.count() == 91 and audit.verify_chain(kept).first().problem == "gap" and audit.verify_chain(kept, anchors).first().problem is None

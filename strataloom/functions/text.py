@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import unicodedata
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
@@ -62,9 +64,29 @@ def token_estimate(text: Column) -> Column:
     return F.ceil(F.length(text) / 3.6).cast("int")
 
 
+def _composed(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
+
+
+def composed(text: Column) -> Column:
+    """Canonical composition (NFC); only texts with combining marks or conjoining letters have their content sent to Python."""
+    marked = text.rlike(r"[\p{M}\u1100-\u11FF\u212A\u212B\u2126]")
+    return F.when(marked, F.pandas_udf(_composed, "string")(F.when(marked, text))).otherwise(text)
+
+
+def plain_letters(text: Column, foreign: str, plain: str) -> Column:
+    """Letters that recognition takes from another alphabet, as those of the language."""
+    return F.translate(text, foreign, plain)
+
+
+def opening(text: Column, letters: int = 140) -> Column:
+    """The first words of a text in at most so many letters."""
+    return F.when(F.length(text) <= letters, text).otherwise(F.regexp_replace(F.substring(text, 1, letters + 1), r"\s+\S*$", ""))
+
+
 def clean(text: Column) -> Column:
-    """Line ends to \\n, control and format characters away, trimmed."""
-    plain = F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), r"[\p{C}&&[^\n\t]]", "")
+    """Line ends to \\n, composed, control and format characters away, trimmed."""
+    plain = F.regexp_replace(composed(F.regexp_replace(text, r"\r\n?", "\n")), r"[\p{C}&&[^\n\t]]", "")
     return F.regexp_replace(plain, r"^\s+|(?<!\s)\s++$", "")
 
 

@@ -24,6 +24,8 @@ def rules(language: Language = ENGLISH) -> list[tuple[str, str]]:
         ("number", r"(?<!\w)(?:decision|docket|order) (?:no\.? )?(\d{1,6}/\d{1,6}|\d{2,10})(?![\w/])"),
         ("law", r"(?<!\w)law no\.? (\d{2,5})(?!\w)"),
         ("article", rf"(?<!\w){language.article} (\d{{1,4}}(?:/\d{{1,3}})?)(?!\w)"),
+        ("article", rf"(?<!\w)(\d{{1,4}})(?:st|nd|rd|th) {language.article}(?!\w)"),
+        ("parcel", r"(?<!\w)block (?:no\.? )?(\d{1,6}),? (?:and )?parcel (?:no\.? )?(\d{1,6})(?!\w)"),
         ("parcel", r"(?<!\w)parcel (?:no\.? )?(\d{1,6})(?!\w)"),
     ]
 
@@ -44,7 +46,7 @@ def value(kind: str, groups: tuple[str, ...], language: Language = ENGLISH) -> s
         sign, digits = (groups[0], groups[1]) if groups[0] in _CURRENCY else (groups[1], groups[0])
         whole, _, cents = digits.replace(".", "").partition(",")
         return f"{int(whole)}.{cents or '00'} {_CURRENCY[sign]}"
-    return groups[0]
+    return "/".join(groups)
 
 
 def extract(docs: DataFrame, language: Language = ENGLISH) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.text import opening
 from ..operators import evaluation, maintenance, verification
 from ..operators import relational as rel
 from .base import TREE_SQL, table, tree
@@ -137,6 +138,12 @@ def document_list(spark, sf_dir):
     return rows.select("document", F.lower("c_name").alias("name"), "version", F.col("l_linestatus").alias("status")).orderBy("name", "document")
 
 
+def newest_documents(spark, sf_dir):
+    """The sixty newest documents with their opening words."""
+    d = table(spark, sf_dir, "documents").orderBy(F.desc("doc_id")).limit(60)
+    return d.select("doc_id", "lang", opening(F.col("text")).alias("opening"))
+
+
 def page_view(spark, sf_dir):
     """Pages of four lines: how many chunks of ten lines lie on each, and how many pages the document has."""
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.size(F.split("text", "\n")).alias("lines"))
@@ -228,7 +235,7 @@ def can_access(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     retryable_documents, files_sweep, late_purge, blob_release, last_administrator, permitted_users, managed_collections, index_repair, resume_embedding, guarded_write, lease, upload_duplicates, grant_principals,
-    cited_sources, file_titles, document_list, page_view, rendered_sources, indexed_texts, conversation_list, event_fields, engine_agreement, line_scores, judged_answers, refusal_afterwards, pilot_report,
+    cited_sources, file_titles, document_list, newest_documents, page_view, rendered_sources, indexed_texts, conversation_list, event_fields, engine_agreement, line_scores, judged_answers, refusal_afterwards, pilot_report,
     bootstrap_interval, capital_names, comparable_turns, can_access,
 )}
 
@@ -256,6 +263,7 @@ SQL = {
     "cited_sources": "WITH s AS (SELECT o_orderkey AS turn, 1 AS n, o_custkey AS d, 1 AS o FROM orders UNION ALL SELECT o_orderkey, 2, o_custkey + 1, 7 FROM orders), p AS (SELECT c_custkey FROM customer WHERE c_acctbal >= 0) SELECT turn, n, CASE WHEN d IN (SELECT c_custkey FROM p) THEN d END AS document, CASE WHEN d IN (SELECT c_custkey FROM p) THEN o END AS ordinal, d IN (SELECT c_custkey FROM p) AS readable FROM s",
     "file_titles": r"""WITH n AS (SELECT page_id, nullif(substr(trim(regexp_replace(regexp_replace(regexp_replace(url, '[?#].*$', ''), '^.*[/\\]', ''), '[\x00-\x1f\x7f"<>:|*]+', '', 'g')), 1, 200), '') AS name FROM pages) SELECT page_id, name, trim(regexp_replace(regexp_replace(name, '\.[A-Za-z0-9]{1,8}$', ''), '[_.\s-]+', ' ', 'g')) AS title FROM n""",
     "document_list": f"WITH v AS (SELECT l_orderkey, l_linenumber, l_linestatus FROM lineitem QUALIFY {_NEWEST_SQL}) SELECT o_orderkey AS document, lower(c_name) AS name, l_linenumber AS version, l_linestatus AS status FROM orders JOIN customer ON c_custkey = o_custkey LEFT JOIN v ON l_orderkey = o_orderkey WHERE o_orderstatus <> 'P'",
+    "newest_documents": r"SELECT doc_id, lang, CASE WHEN length(text) <= 140 THEN text ELSE regexp_replace(substr(text, 1, 141), '\s+\S*$', '') END AS opening FROM documents ORDER BY doc_id DESC LIMIT 60",
     "page_view": "WITH d AS (SELECT doc_id AS key, len(string_split(text, chr(10))) AS lines FROM documents), p AS (SELECT key, lines, unnest(range((lines - 1) // 4 + 1)) AS page FROM d) SELECT key, page::INT AS page, ((lines - 1) // 4 + 1)::INT AS total, ((least(page * 4 + 4, lines) - 1) // 10 - page * 4 // 10 + 1)::INT AS chunks FROM p",
     "rendered_sources": "WITH r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS n FROM orders) SELECT o_custkey AS query_id, string_agg('[' || n || '] ' || o_orderpriority || chr(10) || o_orderstatus || chr(10) || o_orderkey, chr(10) || chr(10) ORDER BY n) AS text FROM r WHERE n <= 3 GROUP BY o_custkey",
     "indexed_texts": "SELECT doc_id, array_to_string(list_filter([source, lang, substr(text, 1, 30)], lambda x: x IS NOT NULL AND x <> ''), chr(10)) AS indexed FROM documents",

@@ -112,6 +112,17 @@ def _pptx(z: zipfile.ZipFile) -> Iterator[tuple[int, dict]]:
                 yield page, {"kind": "heading" if n == 0 else "paragraph", "text": text, "level": 2 if n == 0 else None}
 
 
+def image_pages(files: DataFrame) -> DataFrame:
+    """(path, page, kind, text, issue): pictures are one page without text each."""
+    pictures = files.where(file_type(F.col("content")).isin("png", "jpeg", "tiff"))
+    return pictures.select("path", F.lit(1).alias("page"), F.lit("page").alias("kind"), F.lit("").alias("text"), F.lit("no_text").alias("issue"))
+
+
+def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of JSON lines; lines that don't fit the schema are an error, as a question set must be whole."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+
+
 BLOCKS = "path string, page int, idx int, kind string, text string, level int, rows array<array<string>>, header_rows int, failure string"
 
 

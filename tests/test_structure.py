@@ -6,14 +6,15 @@ import zipfile
 
 from pyspark.sql import functions as F
 
-from strataloom.operators import chunking, kernels, retrieval
+from strataloom.functions import text
+from strataloom.operators import chunking, entities, kernels, retrieval
 from strataloom.sources import files
 from strataloom.streaming import ingest
 
 
 def test_lines_become_blocks(spark):
-    text = "Chapter 1\nGeneral Rules\nThis is the first sen-\ntence of it. It goes\non here.\nA new one begins.\n\n- item one\n- item two\nwhich goes on\nArticle 5 The text of the article runs on, as\narticles do.\nNumber 12-\n34 stays one."
-    rows = chunking.line_blocks(spark.createDataFrame([(1, 1, text), (1, 2, ""), (2, 1, None)], "key long, page int, text string")).orderBy("key", "page", "idx").collect()
+    lines = "Chapter 1\nGeneral Rules\nThis is the first sen-\ntence of it. It goes\non here.\nA new one begins.\n\n- item one\n- item two\nwhich goes on\nArticle 5 The text of the article runs on, as\narticles do.\nNumber 12-\n34 stays one."
+    rows = chunking.line_blocks(spark.createDataFrame([(1, 1, lines), (1, 2, ""), (2, 1, None)], "key long, page int, text string")).orderBy("key", "page", "idx").collect()
     assert [(r.kind, r.level, r.text) for r in rows] == [
         ("heading", 2, "Chapter 1 General Rules"), ("paragraph", None, "This is the first sentence of it. It goes on here."), ("paragraph", None, "A new one begins."),
         ("list_item", None, "- item one"), ("list_item", None, "- item two which goes on"), ("paragraph", 3, "Article 5 The text of the article runs on, as articles do."), ("paragraph", None, "Number 12-34 stays one."),
@@ -39,8 +40,8 @@ def test_chunks_keep_every_word_and_the_limits(spark):
                 if kind == "paragraph":
                     words += own
         out = chunking.chunk_blocks(blocks, limits)
-        text = " ".join(c["text"] for c in out if c["kind"] == "text").replace(".", "").split()
-        assert [w for w in text if w in set(words)] == words
+        made = " ".join(c["text"] for c in out if c["kind"] == "text").replace(".", "").split()
+        assert [w for w in made if w in set(words)] == words
         assert all(c["tokens"] <= limits.most for c in out if c["kind"] != "text" or "\n" not in c["text"]) and [c["ordinal"] for c in out] == list(range(len(out)))
         assert all(c["page_start"] <= c["page_end"] for c in out)
 
@@ -109,3 +110,22 @@ def test_reading_order_and_beam():
     frames = [[0.1, 0.8, 0.1], [0.6, 0.3, 0.1], [0.1, 0.1, 0.8]]
     assert kernels.beam_ctc(frames, ["", "a", "b"]) == kernels.greedy_ctc(frames, ["", "a", "b"]) == "ab"
     assert kernels.without_tail_loop("x" * 9000 + "ab " * 40).count("ab ") <= 2
+
+
+def test_text_functions_and_small_sources(spark, tmp_path):
+    rows = ["e\u0301te\u0301\r\n\u200bx ", "plain", None, "a" * 139 + " bcd ef", "x" * 200]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(rows)], "k long, t string")
+    got = df.select(text.clean(F.col("t")).alias("c"), text.opening(F.col("t")).alias("o"), text.plain_letters(F.col("t"), "x", "y").alias("p")).collect()
+    assert [r.c for r in got[:3]] == ["\u00e9t\u00e9\nx", "plain", None] and got[3].o == "a" * 139 and got[4].o == "x" * 141 and got[4].p == "y" * 200
+    (tmp_path / "a.png").write_bytes(b"\x89PNG\r\n\x1a\n")
+    (tmp_path / "b.pdf").write_bytes(b"%PDF-")
+    assert [(r.page, r.issue) for r in files.image_pages(files.read_files(spark, str(tmp_path))).collect()] == [(1, "no_text")]
+    (tmp_path / "q.jsonl").write_text('{"id": 1, "q": "a"}\n{"id": 2, "q": null}\n')
+    assert files.read_json_lines(spark, f"{tmp_path}/q.jsonl", "id long, q string").count() == 2
+
+
+def test_entities_of_places_and_articles(spark):
+    t = "See the 12th article and Article 5/2, block 120 parcel 7, parcel 9; paid 1.250,50 EUR on 31.2.2020 and 3 May 2021."
+    found = entities.extract(spark.createDataFrame([(1, t)], "key long, text string")).orderBy("start").collect()
+    assert [(r.kind, r.value) for r in found] == [("article", "12"), ("article", "5/2"), ("parcel", "120/7"), ("parcel", "9"), ("amount", "1250.50 EUR"), ("date", "2021-05-03")]
+    assert all(t[r.start :].startswith(r.written) for r in found)

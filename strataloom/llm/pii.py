@@ -65,7 +65,7 @@ MALE_NAMES = ("Adam", "Bruno", "Carlos", "Daniel", "Emil", "Felix", "Georg", "Hu
 FEMALE_NAMES = ("Alice", "Berta", "Clara", "Diana", "Emma", "Flora", "Greta", "Helena", "Ines", "Julia", "Karin", "Laura", "Maria", "Nina", "Olga", "Paula", "Rosa", "Sofia", "Teresa", "Vera")
 
 _TITLES = "|".join(sorted((*MALE_TITLES, *FEMALE_TITLES, *OTHER_TITLES), key=len, reverse=True))
-_NAME = r"\p{Lu}[\p{L}'’]*+"
+_NAME = r"\p{Lu}[\p{L}'’]++"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 #: (kind, pattern); the first that matches at a place wins.
 PATTERNS = (
@@ -87,7 +87,7 @@ class PiiParams:
     """``key`` should come from a secret store in production."""
 
     key: str = "strataloom-surrogates"
-    max_rounds: int = 50
+    max_rounds: int = 20
 
 
 def _let(value: Column, then) -> Column:
@@ -100,7 +100,8 @@ def kind(entity: Column) -> Column:
     out = F.when(F.lit(False), "")
     for name, pattern in PATTERNS:
         out = out.when(entity.rlike(rf"^(?:{pattern})$"), name)
-    return out.otherwise("other")
+    # a word of a name that stands alone
+    return out.otherwise("word")
 
 
 def _number(*parts: Column) -> Column:
@@ -199,6 +200,7 @@ def _pieces(e: Column, what: Column) -> Column:
         .when(what == "card", F.array(piece(F.substring(e, 1, 1), "keep"), piece(F.substring(e, F.lit(2), F.length(e) - 2), "move")))
         .when(what == "phone", F.array(piece(country, "keep"), piece(rest(e, country), "move")))
         .when(what == "person", F.concat(F.array(piece(title, "keep")), named))
+        .when(what == "word", F.array(piece(e, "name")))
         .otherwise(F.array(piece(e, "move")))
     )
 
@@ -232,11 +234,6 @@ def surrogate(entity: Column, key: str, attempt: Column) -> Column:
     return _let(F.struct(entity.alias("e"), kind(entity).alias("kind")), whole)
 
 
-def _alone(word: Column, key: str) -> Column:
-    """A word of a name as it is replaced within a name."""
-    return _moved(word, F.lit(f"{key}#0"), F.array(*map(F.lit, NAME_ALPHABETS)))
-
-
 def entities(text: Column) -> Column:
     """All entities of a text in order; an empty array without any or for a null text."""
     return F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
@@ -249,20 +246,23 @@ def attempts(docs: DataFrame, params: PiiParams = PiiParams()) -> DataFrame:
     surrogate of a smaller value.  Distinct values only are shuffled.
     """
     values = docs.select(F.explode(F.array_distinct(entities(F.col("text")))).alias("value")).groupBy(F.lower("value").alias("low")).agg(F.min("value").alias("value"))
-    current = written(values.withColumn("attempt", F.lit(0)), "values")
-    originals = current.select(F.col("low").alias("made")).distinct()
-    for _ in range(params.max_rounds):
-        made = written(current.withColumn("made", F.lower(surrogate(F.col("value"), params.key, F.col("attempt")))), "made")
+    keyed = lambda df: df.withColumn("made", F.lower(surrogate(F.col("value"), params.key, F.col("attempt"))))
+    made = written(keyed(values.withColumn("attempt", F.lit(0))), "made")
+    originals = made.select(F.col("low").alias("made"))
+    for round_ in range(params.max_rounds + 1):
         shared = made.groupBy("made").agg(F.count("*").alias("n"), F.min("low").alias("least")).where("n > 1")
         double = made.join(shared, "made").where("low <> least").select("low")
         real = made.join(originals, "made", "left_semi").select("low")
         bad = written(double.union(real).distinct(), "clashes")
         if bad.isEmpty():
             break
-        current = written(made.drop("made").join(bad.withColumn("bad", F.lit(1)), "low", "left").withColumn("attempt", F.col("attempt") + F.coalesce("bad", F.lit(0))).drop("bad"), "values")
-    else:
-        warnings.warn(f"{bad.count()} values, of formats nearly all of whose strings are in use, still share a surrogate after {params.max_rounds} rounds", stacklevel=2)
-    return current.where("attempt > 0").select(F.col("low").alias("value"), "attempt")
+        if round_ == params.max_rounds:
+            warnings.warn(f"{bad.count()} values, of formats nearly all of whose strings are in use, still share a surrogate after {params.max_rounds} rounds", stacklevel=2)
+            break
+        # only these are made anew
+        again = keyed(made.join(bad, "low", "left_semi").select("low", "value", (F.col("attempt") + 1).alias("attempt")))
+        made = written(made.join(bad, "low", "left_anti").unionByName(again), "made")
+    return made.where("attempt > 0").select(F.col("low").alias("value"), "attempt")
 
 
 def replaced(docs: DataFrame, params: PiiParams = PiiParams(), count_name: str | None = None) -> DataFrame:
@@ -284,13 +284,13 @@ def replaced(docs: DataFrame, params: PiiParams = PiiParams(), count_name: str |
         docs = docs.join(own, "_text", "left")
     found = docs.withColumn("_found", entities(F.col("text")))
     one = lambda e: surrogate(e, params.key, F.coalesce(F.element_at("_again", F.lower(e)), F.lit(0)))
-    # the words of the names, each alone, wherever they stand between the entities
+    # the words of the names count as entities too, wherever else they stand; one pattern a text, so the cost is one more pass
     persons = F.filter("_found", lambda e: e.rlike(rf"^(?:{_TITLES})\.? "))
-    single = lambda w: F.struct(F.concat(F.lit(r"(?<![\p{L}'’])"), w, F.lit(r"(?![\p{L}'’])")).alias("pattern"), _alone(w, params.key).alias("made"))
-    names = F.transform(F.array_distinct(F.flatten(F.transform(persons, _name_words))), single)
-    found = found.withColumn("_names", F.when(F.size("_found") > 0, names))
-    mentions = lambda gap: F.when(F.size("_names") > 0, F.aggregate("_names", gap, lambda t, n: F.regexp_replace(t, n["pattern"], n["made"]))).otherwise(gap)
-    gaps = F.transform(F.split("text", ANY, -1), mentions)
+    found = found.withColumn("_names", F.when(F.size("_found") > 0, F.array_distinct(F.flatten(F.transform(persons, _name_words)))))
+    mention = F.concat(F.lit(rf"{ANY}|(?<![\p{{L}}'’])(?=\p{{Lu}})(?:"), F.array_join("_names", "|"), F.lit(r")(?![\p{L}'’])"))
+    found = found.withColumn("_pattern", F.when(F.size("_names") > 0, mention).otherwise(ANY))
+    found = found.withColumn("_found", F.when(F.size("_names") > 0, F.regexp_extract_all("text", F.col("_pattern"), F.lit(0))).otherwise(F.col("_found")))
+    gaps = F.split("text", F.col("_pattern"), -1)
     # as many gaps as entities and one more: gap, entity, gap, ..., gap
     woven = F.flatten(F.zip_with(gaps, F.transform("_found", one), lambda g, s: F.array(g, F.coalesce(s, F.lit("")))))
     text = F.when(F.size("_found") > 0, F.array_join(woven, "")).otherwise(F.col("text")).alias("text")

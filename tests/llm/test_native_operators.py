@@ -87,6 +87,16 @@ def test_surrogates_of_other_scripts_and_names(spark):
     assert "b.b.b" not in by[texts[10]] and by[texts[6]] != texts[6]
 
 
+def test_many_names_in_one_text(spark):
+    rng = random.Random(4)
+    name = lambda: "".join(rng.choice("abcdefghij") for _ in range(8)).capitalize()
+    people = [(name(), name()) for _ in range(3000)]
+    text = " ".join(f"Mr. {a} {b} met {b} there, and {a}." for a, b in people)
+    made = pii.replaced(frame(spark, [(1, text, "s")])).first().text
+    rows = re.findall(r"Mr\. (\w+) (\w+) met (\w+) there, and (\w+)\.", made)
+    assert len(rows) == 3000 and all(b == c and a == d for a, b, c, d in rows) and not {x for p in people for x in p} & {x for r in rows for x in r}
+
+
 def test_surrogates_are_a_bijection_on_a_format(spark):
     """All strings of a small format, each alone: surrogates are the same strings in another order."""
     values = [f"{a}{b}{c}-{d}{d}-0000" for a in range(10) for b in range(10) for c in range(10) for d in range(3)]

@@ -237,8 +237,8 @@ def _live(index: _Index, hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.nda
     return np.sort(np.concatenate([np.flatnonzero(edge > 0), cut])), np.sort(np.concatenate([np.flatnonzero(edge < 0), cut]))
 
 
-def _found(index: _Index, hashes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Items, and the words where they would begin (before the text even), of all keys that agree."""
+def _found(index: _Index, hashes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Items, a word of theirs, and the word where they would begin (before the text even), of all keys that agree."""
     everywhere = np.arange(len(hashes))
     for r, classes in enumerate(index.repetitions):
         if not classes:

@@ -266,7 +266,7 @@ def attempts(docs: DataFrame, params: PiiParams = PiiParams()) -> DataFrame:
 
 
 def replaced(docs: DataFrame, params: PiiParams = PiiParams(), count_name: str | None = None) -> DataFrame:
-    """``docs`` with surrogates in ``text``, and the number of entities if ``count_name`` is given.
+    """``docs`` with surrogates in ``text``, and the number of entities and later mentions if ``count_name`` is given.
 
     Every row stays, repeated ones too; a null text stays null and other columns are kept, but for
     one of the name ``count_name``.  Texts of any length are read whole.  Only where values clash

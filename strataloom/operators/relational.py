@@ -77,7 +77,7 @@ def accessible(grants: DataFrame, users: DataFrame, members: DataFrame, tree: Da
     out = live.join(collections, "collection").select("user_id", "document")
     if document_grants is not None:
         own = granted(document_grants, users, members, permission).select("user_id", F.col("target").alias("document"))
-        out = out.union(own.join(live, "document", "left_semi"))
+        out = out.unionByName(own.join(live, "document", "left_semi"))
     return out.distinct()
 
 

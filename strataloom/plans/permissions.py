@@ -59,6 +59,12 @@ collections AS (
   UNION SELECT d.user_id, t2.id FROM direct d JOIN tree t ON t.parent = d.target JOIN tree t2 ON t2.parent = t.id)"""
 
 
+_WRITABLE_CTE = """
+may AS (SELECT DISTINCT u.user_id, g.target FROM users u JOIN grants g ON (g.kind = 'role' AND g.principal = u.role) OR (g.kind = 'group' AND g.principal IN (SELECT m.group_id::VARCHAR FROM members m WHERE m.user_id = u.user_id))
+  WHERE u.status = 'active' AND g.permission IN ('write', 'manage')),
+writable AS (SELECT user_id, target AS id FROM may UNION SELECT d.user_id, t.id FROM may d JOIN tree t ON t.parent = d.target UNION SELECT d.user_id, t2.id FROM may d JOIN tree t ON t.parent = d.target JOIN tree t2 ON t2.parent = t.id)"""
+
+
 def _documents(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     return o.select(F.col("o_orderkey").alias("document"), F.concat(F.lit("c"), "o_custkey").alias("collection"), (F.col("o_orderstatus") == "P").alias("deleted"), "o_orderstatus", "o_orderdate")
@@ -72,16 +78,30 @@ def accessible_docs(spark, sf_dir):
     return out.groupBy("user_id").agg(F.count("*").alias("documents"), F.min("document").alias("first_document"), F.max("document").alias("last_document"))
 
 
-def readable_tree(spark, sf_dir):
-    """Folders that a user can read; the parent only if that is readable too; what lies in them."""
+def _reached(spark, sf_dir, permission):
+    """(user_id, id): folders that each active user may reach with a permission, closed downward."""
     users, members, grants = _grants(spark, sf_dir)
+    direct = rel.granted(grants, users, members, permission)
+    below = rel.closure(tree(spark, sf_dir).where("parent is not null").select("parent", "id"), direct.select(F.col("target").alias("id")).distinct())
+    return direct.join(below, F.col("target") == F.col("root")).select("user_id", "id").distinct()
+
+
+def readable_tree(spark, sf_dir):
+    """Folders that a user can read and whether one can write there; the parent only if that is readable too; what lies in them."""
     t = tree(spark, sf_dir)
-    direct = rel.granted(grants, users, members, "read")
-    below = rel.closure(t.where("parent is not null").select("parent", "id"), direct.select(F.col("target").alias("id")).distinct())
-    own = direct.join(below, F.col("target") == F.col("root")).select("user_id", "id").distinct()
+    own, writable = _reached(spark, sf_dir, "read"), _reached(spark, sf_dir, "write").withColumn("can_write", F.lit(True))
     counts = t.where("parent is not null").groupBy(F.col("parent").alias("id")).agg(F.count("*").alias("children"))
-    named = own.join(t, "id").join(own.select("user_id", F.col("id").alias("parent"), F.lit(True).alias("readable")), ["user_id", "parent"], "left").join(counts, "id", "left")
-    return named.select("user_id", "id", F.lower("name").alias("name"), F.when(F.col("readable"), F.col("parent")).alias("parent"), F.coalesce("children", F.lit(0)).cast("long").alias("children"))
+    named = own.join(t, "id").join(own.select("user_id", F.col("id").alias("parent"), F.lit(True).alias("readable")), ["user_id", "parent"], "left").join(counts, "id", "left").join(writable, ["user_id", "id"], "left")
+    return named.select("user_id", "id", F.lower("name").alias("name"), F.when(F.col("readable"), F.col("parent")).alias("parent"), F.coalesce("children", F.lit(0)).cast("long").alias("children"), F.coalesce("can_write", F.lit(False)).alias("can_write"))
+
+
+def shared_documents(spark, sf_dir):
+    """How many live documents each user may read where dear orders are granted to all members one by one, too."""
+    users, members, grants = _grants(spark, sf_dir)
+    t = tree(spark, sf_dir).where("parent is not null").select("parent", "id")
+    d = _documents(spark, sf_dir)
+    single = table(spark, sf_dir, "orders").where("o_totalprice > 150000").select(F.col("o_orderkey").alias("target"), F.lit("role").alias("kind"), F.lit("member").alias("principal"), F.lit("read").alias("permission"))
+    return rel.accessible(grants, users, members, t, d, document_grants=single).groupBy("user_id").agg(F.count("*").alias("documents"))
 
 
 def library_overview(spark, sf_dir):
@@ -174,14 +194,15 @@ def audit_list_page(spark, sf_dir):
     return rel.page(rows, "id", 9000, 50).select("id", "tenant", "action", "outcome")
 
 
-QUERIES = {f.__name__: f for f in (latest_version, searchable_set, folder_closure, accessible_docs, readable_tree, library_overview, scope_filter, anti_orphans, consistency_checks, filtered_counts, status_pivot, latest_run_per_kind, ordered_arrays, correlated_counts, upsert_latest, constraint_violations, audit_list_page)}
+QUERIES = {f.__name__: f for f in (latest_version, searchable_set, folder_closure, accessible_docs, shared_documents, readable_tree, library_overview, scope_filter, anti_orphans, consistency_checks, filtered_counts, status_pivot, latest_run_per_kind, ordered_arrays, correlated_counts, upsert_latest, constraint_violations, audit_list_page)}
 
 SQL = {
     "latest_version": f"SELECT l_orderkey AS document, l_linenumber AS version, l_partkey, l_linestatus FROM lineitem QUALIFY {_NEWEST_SQL}",
     "searchable_set": f"SELECT l_orderkey AS document, l_linenumber AS version, l_partkey FROM lineitem WHERE l_linestatus = 'O' QUALIFY {_NEWEST_SQL}",
     "folder_closure": f"WITH RECURSIVE tree AS ({TREE_SQL}), below AS (SELECT id AS root, id FROM tree WHERE id LIKE 'r%' OR id LIKE 'n%' UNION SELECT b.root, t.id FROM below b JOIN tree t ON t.parent = b.id) SELECT root, count(*) AS nodes FROM below GROUP BY root",
     "accessible_docs": f"WITH {_GRANTS_CTE} SELECT user_id, count(*) AS documents, min(document) AS first_document, max(document) AS last_document FROM (SELECT DISTINCT c.user_id, o.o_orderkey AS document FROM collections c JOIN orders o ON c.id = 'c' || o.o_custkey WHERE o.o_orderstatus <> 'P') GROUP BY user_id",
-    "readable_tree": f"WITH {_GRANTS_CTE} SELECT c.user_id, c.id, lower(t.name) AS name, CASE WHEN EXISTS (SELECT 1 FROM collections p WHERE p.user_id = c.user_id AND p.id = t.parent) THEN t.parent END AS parent, (SELECT count(*) FROM tree x WHERE x.parent = c.id) AS children FROM collections c JOIN tree t ON t.id = c.id",
+    "shared_documents": f"WITH {_GRANTS_CTE}, a AS (SELECT c.user_id, o.o_orderkey FROM collections c JOIN orders o ON c.id = 'c' || o.o_custkey WHERE o.o_orderstatus <> 'P' UNION SELECT u.user_id, o.o_orderkey FROM users u JOIN orders o ON o.o_totalprice > 150000 AND o.o_orderstatus <> 'P' WHERE u.role = 'member' AND u.status = 'active') SELECT user_id, count(*) AS documents FROM a GROUP BY user_id",
+    "readable_tree": f"WITH {_GRANTS_CTE}, {_WRITABLE_CTE} SELECT c.user_id, c.id, lower(t.name) AS name, CASE WHEN EXISTS (SELECT 1 FROM collections p WHERE p.user_id = c.user_id AND p.id = t.parent) THEN t.parent END AS parent, (SELECT count(*) FROM tree x WHERE x.parent = c.id) AS children, EXISTS (SELECT 1 FROM writable w WHERE w.user_id = c.user_id AND w.id = c.id) AS can_write FROM collections c JOIN tree t ON t.id = c.id",
     "library_overview": "SELECT 'c' || c_custkey AS collection, r_name || ' / ' || n_name || ' / ' || c_name AS path, count(*) FILTER (WHERE o_orderstatus = 'F') AS ready, count(*) FILTER (WHERE o_orderstatus = 'O') AS working FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL",
     "scope_filter": f"WITH RECURSIVE tree AS ({TREE_SQL}), below AS (SELECT unnest(['n5', 'r0']) AS id UNION SELECT t.id FROM below b JOIN tree t ON t.parent = b.id) SELECT o_orderkey AS document FROM orders WHERE o_orderkey IN (1, 2) OR 'c' || o_custkey IN (SELECT id FROM below)",
     "anti_orphans": "SELECT 'customer' AS kind, c_custkey AS key FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) UNION ALL SELECT 'order', o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, dartminhash, decontam, licenses, pii, pivots, quality, secrets, toxicity, warc
+from . import bpe, collocations, dartminhash, decontam, fim, licenses, pii, pivots, quality, secrets, toxicity, urls, warc
 from .shared import scratch_path
 
 
@@ -91,5 +91,32 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (_fold(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_quality, op3_near_duplicates, op4_bpe, op5_pii, op6_licenses, op7_secrets, op8_embeddings, op9_warc, op10_toxicity)}
-SQL: dict[str, str] = {"op6_licenses": licenses.duckdb_sql()}
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document cut at two of its lines, and digests of the output and of the text rebuilt from it."""
+    out = fim.transformed(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fim.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2,000 phrases of each language."""
+    return collocations.ranked(_table(spark, sf_dir, "documents"))
+
+
+#: Rules of the query: host, path, action.
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of each page's URL."""
+    rules = spark.sql("SELECT * FROM VALUES " + ", ".join(map(str, URL_RULES)) + " AS rules(host, path, action)")
+    return urls.judged(_table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_quality, op3_near_duplicates, op4_bpe, op5_pii, op6_licenses, op7_secrets, op8_embeddings, op9_warc, op10_toxicity, op11_fill_in_middle, op12_collocations, op13_url_filter)}
+SQL: dict[str, str] = {
+    "op6_licenses": licenses.duckdb_sql(), "op11_fill_in_middle": fim.duckdb_sql(), "op12_collocations": collocations.duckdb_sql(),
+    "op13_url_filter": urls.duckdb_sql(URL_RULES),
+}

@@ -25,14 +25,15 @@ from .shared import lean, written
 class PivotParams:
     """``prefix`` nearest of the pivots describe a vector; lists are cut into blocks of ``block``.
 
-    The number of pivots grows with the square root of the number of vectors, up to
-    ``max_pivots``, so that lists stay short; they are the vectors of the least hashes.
+    The number of pivots of a dimension grows with the square root of the number of its vectors, so
+    that lists stay short; they are the vectors of the least hashes.  ``max_pivots`` (reached at
+    some 10^9 vectors) bounds what a task holds; beyond it lists grow, and no link is lost by that.
     """
 
     cosine: float = 0.95
     prefix: int = 6
     min_pivots: int = 32
-    max_pivots: int = 2048
+    max_pivots: int = 1 << 16
     block: int = 2000
 
 
@@ -47,25 +48,52 @@ def _unit(vectors: DataFrame, id_name: str, vector_name: str) -> DataFrame:
     return rows.withColumn("n", norm).select("id", F.transform("v", lambda x: x / F.col("n")).alias("v"))
 
 
-def _described(pivots: np.ndarray, p: PivotParams):
-    """Adds the ordered nearest pivots, and one row for each pair of them."""
-    prefix = min(p.prefix, len(pivots))
+def _described(pivots: dict[int, np.ndarray], p: PivotParams):
+    """Adds the ordered nearest pivots of the vector's dimension; a dimension without pivots has one vector, which is left out."""
+
+    def near_of(v: np.ndarray, own: np.ndarray) -> np.ndarray:
+        prefix = min(p.prefix, len(own))
+        scores = v @ own.T
+        top = np.argpartition(-scores, prefix - 1, axis=1)[:, :prefix] if prefix < len(own) else np.tile(np.arange(prefix), (len(v), 1))
+        return np.sort(top, axis=1).astype(np.int32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            v = batch.column("v").flatten().to_numpy().reshape(batch.num_rows, pivots.shape[1])
-            for part in range(0, len(v), 4096):
-                near = np.argsort(-(v[part : part + 4096] @ pivots.T), axis=1, kind="stable")[:, :prefix]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(part, 4096) for c in ("id", "v", "copies")), pa.array(list(np.sort(near, axis=1).astype(np.int32)), pa.list_(pa.int32()))], ["id", "v", "copies", "near"])
+            sizes = np.diff(batch.column("v").offsets.to_numpy())
+            for size in np.unique(sizes).tolist():
+                if size not in pivots:
+                    continue
+                rows = np.flatnonzero(sizes == size)
+                step = max(1, (1 << 21) // len(pivots[size]))
+                for part in range(0, len(rows), step):
+                    own = batch.take(pa.array(rows[part : part + step]))
+                    near = near_of(own.column("v").flatten().to_numpy().reshape(own.num_rows, size), pivots[size])
+                    yield pa.RecordBatch.from_arrays([*own.columns, pa.array(list(near), pa.list_(pa.int32()))], ["id", "v", "copies", "near"])
 
     return run
 
 
+def _pivots(own: DataFrame, p: PivotParams) -> dict[int, np.ndarray]:
+    """For each dimension of two or more vectors its pivots; one row a dimension and the pivots come to the driver."""
+    sizes = {r.size: r.n for r in own.groupBy(F.size("v").alias("size")).agg(F.count("*").alias("n")).where("n > 1").collect()}
+    wanted = {size: int(min(p.max_pivots, n, max(p.min_pivots, 2 * n**0.5))) for size, n in sizes.items()}
+    if not wanted:
+        return {}
+    # about twice as many as are wanted pass a threshold of the hash, so few rows travel and none are sorted by Spark
+    shares = [(size, n_wanted, min(1.0, (2 * n_wanted + 64) / sizes[size])) for size, n_wanted in wanted.items()]
+    bound = own.sparkSession.createDataFrame(shares, "size int, wanted int, share double")
+    h = F.xxhash64("id")
+    hashed = own.select(F.size("v").alias("size"), "id", "v", h.alias("h"), (F.pmod(h, F.lit(1 << 30)) / (1 << 30)).alias("place"))
+    rows = sorted(hashed.join(bound, "size").where("place < share").select("size", "place", "id", "v").collect(), key=lambda r: (r.size, r.place, r.id))
+    return {size: np.array([r.v for r in rows if r.size == size][: wanted[size]]) for size in wanted}
+
+
 def links(vectors: DataFrame, id_name: str = "vec_id", vector_name: str = "embedding", params: PivotParams = PivotParams()) -> DataFrame:
     """One row a vector: id, n_links (other vectors linked directly), component_id, kept.
 
-    Vectors that are null, empty, zero or hold null or non-finite components, and vectors of
-    another dimension, link with nothing.  Rows with a null id are left out; rows that repeat an id
+    Vectors that are null, empty, zero or hold null or non-finite components link with nothing, and
+    vectors of different dimensions don't link with each other; each dimension has its own pivots,
+    however few vectors it has.  Rows with a null id are left out; rows that repeat an id
     count once, with the least of its usable vectors.  Columns that clash with the output's aren't
     read.  Equal directions are verified like any others, so ties need no rule.
 
@@ -78,16 +106,7 @@ def links(vectors: DataFrame, id_name: str = "vec_id", vector_name: str = "embed
     unit = written(_unit(vectors, id_name, vector_name).groupBy("id").agg(F.min("v").alias("v")).withColumn("key", F.sha2(F.array_join(F.col("v").cast("array<string>"), " "), 256)), "vectors")
     # of equal vectors that of the least id stands for all
     own = written(unit.groupBy("key").agg(F.min(F.struct("id", "v")).alias("least"), F.count("*").alias("copies")).select("key", "least.id", "least.v", "copies"), "distinct-vectors")
-    n = own.count()
-    wanted = int(min(params.max_pivots, max(params.min_pivots, 2 * n**0.5)))
-    rows = own.orderBy(F.xxhash64("id"), "id").limit(wanted).collect()
-    by_size: dict[int, list] = {}
-    for r in rows:
-        by_size.setdefault(len(r.v), []).append(r.v)
-    counts, edges = spark.createDataFrame([], "id long, n_links long"), spark.createDataFrame([], "src long, dst long")
-    for size, found in by_size.items():
-        c, e = _of_one_dimension(own.where(F.size("v") == size).drop("key"), np.array(found), params)
-        counts, edges = counts.union(c), edges.union(e)
+    counts, edges = _links(own.drop("key"), _pivots(own, params), params)
     edges = written(edges, "edges")
     counts = counts.groupBy("id").agg(F.sum("n_links").alias("n_links"))
     parts = components(edges) if not edges.isEmpty() else spark.createDataFrame([], "node long, component long")
@@ -100,12 +119,13 @@ def links(vectors: DataFrame, id_name: str = "vec_id", vector_name: str = "embed
     return out.select(F.col("id").alias(id_name), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("id") == component).alias("kept"))
 
 
-def _of_one_dimension(own: DataFrame, pivots: np.ndarray, p: PivotParams) -> tuple[DataFrame, DataFrame]:
-    m = len(pivots)
-    described = own.mapInArrow(lean(_described(pivots, p)), "id long, v array<double>, copies long, near array<int>")
-    pair = F.flatten(F.transform("near", lambda a: F.transform(F.filter("near", lambda b: b > a), lambda b: a.cast("long") * m + b)))
-    if m < 2:
-        pair = F.array(F.lit(0).cast("long"))
+def _links(own: DataFrame, pivots: dict[int, np.ndarray], p: PivotParams) -> tuple[DataFrame, DataFrame]:
+    """(id, n_links) within lists and (src, dst) that span what is linked; a list belongs to one dimension."""
+    m = max((len(x) for x in pivots.values()), default=0) + 1
+    held = own.sparkSession.sparkContext.broadcast(pivots)
+    described = own.mapInArrow(lean(lambda batches: _described(held.value, p)(batches)), "id long, v array<double>, copies long, near array<int>")
+    place = lambda a, b: (F.size("v").cast("long") * m + a) * m + b
+    pair = F.flatten(F.transform("near", lambda a: F.transform(F.filter("near", lambda b: b > a), lambda b: place(a, b))))
     described = written(described, "described")
     sizes = described.select(F.explode(pair).alias("list")).groupBy("list").agg(F.count("*").alias("size")).where("size > 1")
     blocks = F.ceil(F.col("size") / p.block).cast("int")
@@ -127,6 +147,7 @@ def _verify(m: int, cosine: float):
         wide = lambda name: group.column(name).combine_chunks().flatten().to_numpy().reshape(group.num_rows, -1)
         ids, mine, copies, v, near = plain("id"), plain("mine"), plain("copies"), wide("v"), wide("near")
         this, lo, hi = (group.column(c)[0].as_py() for c in ("list", "lo", "hi"))
+        first, second = this // m % m, this % m
         rows = np.arange(len(ids)) if lo == hi else np.flatnonzero(mine == lo)
         columns = np.arange(len(ids)) if lo == hi else np.flatnonzero(mine == hi)
         has = np.zeros((len(ids), int(near.max()) + 1), dtype=bool)
@@ -144,7 +165,7 @@ def _verify(m: int, cosine: float):
             both = has[i] & has[j]
             one = both.argmax(axis=1)
             both[np.arange(len(i)), one] = False
-            ours = (one == this // m) & (both.argmax(axis=1) == this % m) if m >= 2 else np.ones(len(i), dtype=bool)
+            ours = (one == first) & (both.argmax(axis=1) == second)
             i, j = i[ours], j[ours]
             count += np.bincount(i, copies[j], len(ids)).astype(np.int64) + np.bincount(j, copies[i], len(ids)).astype(np.int64)
             label = _merged(label, i, j)

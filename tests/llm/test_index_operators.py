@@ -47,6 +47,14 @@ def test_links_equal_brute_force(spark):
     assert pivots.links(df.limit(0)).count() == 0
 
 
+def test_every_dimension_is_compared(spark):
+    rng = np.random.default_rng(7)
+    rows = [(k, rng.standard_normal(16).tolist()) for k in range(3000)]
+    rows += [(4000, [1.0, 2.0, 3.0]), (4001, [1.0, 2.0, 3.01]), (4002, [1.0, 2.0]), (4003, [3.0]), (4004, [5.0]), (4005, [-5.0]), (4006, [1.0, 2.0, 3.0, 4.0])]
+    out = {r.vec_id: (r.n_links, r.component_id) for r in pivots.links(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).where("vec_id >= 4000").collect()}
+    assert out == {4000: (1, 4000), 4001: (1, 4000), 4002: (0, 4002), 4003: (1, 4003), 4004: (1, 4003), 4005: (0, 4005), 4006: (0, 4006)}
+
+
 def digest(html):
     return base64.b32encode(hashlib.sha1((html or "").encode()).digest()).decode()
 

@@ -136,6 +136,21 @@ def signatures(elements: np.ndarray, weights: np.ndarray, bounds: np.ndarray, k:
     return out
 
 
+#: What tells texts apart, and which of the texts of one doc_id counts.
+TEXT = ("n_words", "text1", "text2")
+
+
+def _text_keys(w: Words) -> list[pa.Array]:
+    """Of each text the number of its words, and the words in their order by two hashes: exact copies but for case, signs and white space."""
+    place = np.arange(len(w.hashes)) - w.bounds[:-1][w.docs] if len(w.hashes) else np.zeros(0, np.int64)
+    out = [pa.array(np.diff(w.bounds))]
+    for salt in (1, 2):
+        own = mix(w.hashes + mix(place.astype(np.uint64) + _U(salt << 40)))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(own, dtype=np.uint64)])
+        out.append(pa.array((sums[w.bounds[1:]] - sums[w.bounds[:-1]]).view(np.int64)))
+    return out
+
+
 def _signature_rows(params: DartParams):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
@@ -146,16 +161,9 @@ def _signature_rows(params: DartParams):
             for r in range(params.rows):
                 keys = mix(keys ^ rows[:, r :: params.rows]) * _GOLD
             keys = mix(keys + np.arange(params.bands, dtype=np.uint64) * _GOLD)
-            # the words in their order, by two hashes: exact copies but for case, signs and white space
-            place = np.arange(len(w.hashes)) - w.bounds[:-1][w.docs] if len(w.hashes) else np.zeros(0, np.int64)
-            texts = []
-            for salt in (1, 2):
-                own = mix(w.hashes + mix(place.astype(np.uint64) + _U(salt << 40)))
-                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(own, dtype=np.uint64)])
-                texts.append(pa.array((sums[w.bounds[1:]] - sums[w.bounds[:-1]]).view(np.int64)))
             flat = pa.array(keys.ravel().view(np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * params.bands, pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(w.bounds)), *texts, lists], ["doc_id", "n_words", "text1", "text2", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *_text_keys(w), lists], ["doc_id", *TEXT, "bands"])
 
     return run
 
@@ -163,9 +171,10 @@ def _signature_rows(params: DartParams):
 def _element_rows(params: DartParams):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
-            elements, bounds = unit_elements(words(batch.column("text")), params.shingle)
+            w = words(batch.column("text"))
+            elements, bounds = unit_elements(w, params.shingle)
             lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(elements.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], ["doc_id", "elements"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *_text_keys(w), lists], ["doc_id", *TEXT, "elements"])
 
     return run
 
@@ -187,10 +196,11 @@ def near_duplicates(docs: DataFrame, params: DartParams = DartParams()) -> DataF
     own = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     signed = own.mapInArrow(lean(_signature_rows(params)), "doc_id long, n_words long, text1 long, text2 long, bands array<long>")
     signed = written(signed, "signatures")
-    once = signed.groupBy("doc_id").agg(F.max(F.struct("n_words", "text1", "text2")).alias("t"))
-    texts = signed.groupBy("n_words", "text1", "text2").agg(F.min("doc_id").alias("text_id"), F.first("bands").alias("bands"), F.count("*").alias("copies"))
-    texts = written(texts, "texts")
-    member = once.select("doc_id", "t.*").join(texts.select("n_words", "text1", "text2", "text_id"), ["n_words", "text1", "text2"]).select("doc_id", "text_id")
+    # the text that counts is chosen before texts are grouped, so a text's id is that of a document it stands for
+    once = signed.groupBy("doc_id").agg(F.max(F.struct(*TEXT)).alias("t")).select("doc_id", "t.*")
+    named = once.groupBy(*TEXT).agg(F.min("doc_id").alias("text_id"))
+    texts = written(signed.groupBy(*TEXT).agg(F.first("bands").alias("bands")).join(named, [*TEXT]), "texts")
+    member = once.join(texts.select(*TEXT, "text_id"), [*TEXT]).select("doc_id", "text_id")
 
     rows = texts.select("text_id", F.explode("bands").alias("bucket"))
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("text_id").alias("leader")).where("n > 1")
@@ -225,9 +235,10 @@ def _maybe(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def _elements(docs: DataFrame, ids: DataFrame, params: DartParams) -> DataFrame:
     """(doc_id, elements) of the documents that share a bucket."""
-    sets = _maybe(docs, ids).mapInArrow(lean(_element_rows(params)), "doc_id long, elements array<long>").join(ids, "doc_id", "left_semi")
-    # of rows with the same doc_id the longest text counts
-    sets = sets.groupBy("doc_id").agg(F.max(F.struct(F.size("elements").alias("n"), "elements")).alias("e"))
+    kinds = "doc_id long, n_words long, text1 long, text2 long, elements array<long>"
+    sets = _maybe(docs, ids).mapInArrow(lean(_element_rows(params)), kinds).join(ids, "doc_id", "left_semi")
+    # of rows with the same doc_id the text that counts
+    sets = sets.groupBy("doc_id").agg(F.max(F.struct(*TEXT, "elements")).alias("e"))
     return written(sets.select("doc_id", "e.elements"), "elements")
 
 

@@ -86,7 +86,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of each document, learned outside the held-out third."""
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     params = toxicity.ToxicParams()
-    model = toxicity.fit(toxicity.labelled_sample(labels.where(_fold(3) != 1), docs, "toxic", params.max_labels), params)
+    model = toxicity.fit(toxicity.labelled_sample(labels.where(_fold(3) != 1), docs, "toxic", params.max_labels), params, docs)
     out = toxicity.scored(docs.select("doc_id", "text"), model)
     return out.select("doc_id", (_fold(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 

@@ -4,17 +4,26 @@ The lexicon is learned: words that documents labelled toxic hold and others don'
 that accepts every lexicon term with at most one edit of a letter is intersected with the trie of
 the terms, made deterministic once, and then steps through all words of a batch at a time, one
 letter a step; words leave when no term can be reached any more.  Each match becomes evidence with
-a learned weight per term, less for a misspelt one; words near a term that clean documents use are
-exceptions.  Windows of context tell quotation from abuse: evidence between quotation marks counts
-hardly, evidence next to a word of reporting less, evidence close to more evidence the more.
+a learned weight per term, less for a misspelt one.
+
+A misspelling is no evidence where it is a usual word: one that clean labelled documents hold, that
+the whole corpus uses without other evidence, or that the fixed list names.  A term written with a
+digit, a doubled letter, an accent or an ending is disguised and counts as a misspelling at once; another letter
+may make another word, so if labels don't show that a term is varied in this way, one such word
+alone keeps a text under the middle, and two different ones count in full.
+
+Windows of context tell quotation from abuse: evidence between quotation marks counts hardly,
+evidence next to a word of reporting less, evidence close to more evidence the more.
 """
 
 from __future__ import annotations
 
 import math
+import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +35,8 @@ from .tokens import Words, words
 
 # English terms of abuse that are in the lexicon whatever the labels hold.
 SEED_TERMS = ("idiot", "moron", "scum", "loser", "stupid", "worthless", "pathetic", "disgusting")
+# Usual words of the four languages that are one letter from a seed term.
+USUAL = ("boron", "closer", "idiom", "laser", "leser", "loner", "looser", "lose", "loses", "lover", "lower", "löser", "morn", "poser", "oser", "rosier", "user")
 # Words that report somebody else's speech, in English, French, German and Spanish.
 REPORTING = ("said", "says", "quoted", "wrote", "called", "word", "term", "dit", "mot", "sagte", "wort", "dijo", "palabra")
 # Quotation marks of these languages in UTF-8, and which way those that stand apart from words point.
@@ -36,20 +47,22 @@ QUOTES = {'"': 0, "\u00ab": 1, "\u00bb": -1, "\u201c": 1, "\u201d": -1, "\u201e"
 class ToxicParams:
     """``max_labels`` bounds the labelled sample, which a hash of doc_id picks.
 
-    ``max_terms`` and ``max_exceptions`` are the size of the lexicon.  Terms of ``edit_letters``
-    letters or more tolerate an edit; a misspelt term is worth ``misspelt`` of the right one until
-    labels tell otherwise, for which they need some ``prior`` documents.  Evidence in quotation is
-    worth ``quoted``, next to a word of reporting ``reported`` of itself.
+    ``max_terms`` is the size of the lexicon.  Terms of ``edit_letters`` letters or more tolerate an
+    edit; a misspelt term is worth ``misspelt`` of the right one until labels tell otherwise, for
+    which they need some ``prior`` documents.  A word near a term that ``usual_docs`` documents of
+    the corpus hold, at most a share of ``usual_share`` of them with other evidence, is usual.
+    Evidence in quotation is worth ``quoted``, next to a word of reporting ``reported`` of itself.
     """
 
     max_labels: int = 20_000
     max_terms: int = 400
-    max_exceptions: int = 4000
     min_docs: int = 4
     min_ratio: float = 20.0
     edit_letters: int = 5
     misspelt: float = 0.8
     prior: float = 5.0
+    usual_docs: int = 3
+    usual_share: float = 0.2
     quoted: float = 0.05
     reported: float = 0.4
     window: int = 12
@@ -169,41 +182,103 @@ def match(a: Automaton, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return word[order], term[order], edits[order]
 
 
+#: How a word matches a term.
+EXACT, DISGUISED, VARIED = 0, 1, 2
+
+
+def _plain_letters(word: str) -> str:
+    """Without accents, and each run of a letter once."""
+    return "".join(c for c, _ in groupby(x for x in unicodedata.normalize("NFD", word) if not unicodedata.combining(x)))
+
+
+def disguised(word: str, term: str) -> bool:
+    """Whether a word that isn't the term is still the term: with a sign that is no letter, another accent, a letter doubled, or an ending of one letter."""
+    return not word.isalpha() or word[:-1] == term or _plain_letters(word) == _plain_letters(term)
+
+
 @dataclass
 class ToxicModel:
     terms: list[str] = field(default_factory=list)
-    #: of each term, and of a misspelt one
-    weights: np.ndarray = field(default_factory=lambda: np.zeros((0, 2)))
+    #: of each term as it is, in disguise, and with another letter (a missing column is as the one before it)
+    weights: np.ndarray = field(default_factory=lambda: np.zeros((0, 3)))
     coefficients: np.ndarray = field(default_factory=lambda: np.array([-4.0, 3.0, 1.0, -2.0, 0.0]))
     #: words near a term that are none
     exceptions: list[str] = field(default_factory=list)
     params: ToxicParams = ToxicParams()
+    #: terms of which labels show variants with another letter
+    varied: np.ndarray | None = None
+    automaton: Automaton | None = None
+
+    def __post_init__(self):
+        while self.weights.shape[1] < 3:
+            self.weights = np.column_stack([self.weights, self.weights[:, -1]])
+        if self.varied is None:
+            self.varied = np.zeros(len(self.terms), dtype=bool)
+        if self.automaton is None:
+            self.automaton = build_automaton(self.terms, self.params.edit_letters)
+
+    def probability(self, features: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(features @ self.coefficients, -30, 30)))
+
+    def alone(self) -> float:
+        """The most evidence that keeps a short text under the middle."""
+        low, high = 0.0, 10.0
+        for _ in range(40):
+            v = (low + high) / 2
+            inside = self.probability(np.array([1.0, math.log1p(v), math.log1p(v), 0.0, min(v, 5.0)])) < 0.5
+            low, high = (v, high) if inside else (low, v)
+        return low
 
 
 class _Scorer:
     """What a task needs of a model."""
 
     def __init__(self, model: ToxicModel):
-        self.model, self.automaton = model, build_automaton(model.terms, model.params.edit_letters)
-        self.exceptions = np.unique(words(pa.array(model.exceptions, pa.string())).hashes)
+        self.model, self.alone = model, model.alone()
+        self.exceptions = np.unique(words(pa.array([*model.exceptions, *USUAL], pa.string())).hashes)
         self.reporting = np.unique(words(pa.array(REPORTING)).hashes)
+        self.kinds: dict[tuple[bytes, int], int] = {}
+
+    def kind(self, word: bytes, term: int) -> int:
+        if len(self.kinds) > 100_000:
+            self.kinds.clear()
+        if (word, term) not in self.kinds:
+            self.kinds[word, term] = DISGUISED if disguised(word.decode(errors="replace"), self.model.terms[term]) else VARIED
+        return self.kinds[word, term]
 
     def matches(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Matches that are no exception."""
-        word, term, edits = match(self.automaton, w)
+        """Index, term and kind of the matches that are no exception."""
+        word, term, edits = match(self.model.automaton, w)
         keep = (edits == 0) | ~np.isin(w.hashes[word], self.exceptions)
-        return word[keep], term[keep], edits[keep]
+        word, term, edits = word[keep], term[keep], edits[keep]
+        kind = np.zeros(len(word), dtype=np.int64)
+        for k in np.flatnonzero(edits):
+            kind[k] = self.kind(w.data[w.starts[word[k]] : w.ends[word[k]]].tobytes(), int(term[k]))
+        return word, term, kind
+
+    def _doubtful(self, w: Words, owner: np.ndarray, word: np.ndarray, term: np.ndarray, kind: np.ndarray, whole: np.ndarray) -> np.ndarray:
+        """Evidence, where the only word of its text that may be another one counts once, and little."""
+        open_ = np.flatnonzero((kind == VARIED) & ~self.model.varied[term])
+        if not len(open_):
+            return whole
+        pairs, first = np.unique(np.stack([owner[open_].astype(np.uint64), w.hashes[word[open_]]], axis=1), axis=0, return_index=True)
+        single = np.bincount(pairs[:, 0].astype(np.int64), minlength=int(owner.max()) + 1) == 1
+        own = open_[single[owner[open_]]]
+        whole = whole.copy()
+        once = np.isin(own, open_[first])
+        whole[own] = np.where(once, np.minimum(whole[own], self.alone), 0)
+        return whole
 
     def features(self, w: Words) -> np.ndarray:
         """Per text: 1, total evidence (log), strongest window (log), share of discounted evidence, evidence per word."""
         n, p = len(w.bounds) - 1, self.model.params
-        word, term, edits = self.matches(w)
+        word, term, kind = self.matches(w)
         out = np.zeros((n, 5))
         out[:, 0] = 1
         if not len(word):
             return out
         owner = np.searchsorted(w.bounds, word, "right") - 1
-        whole = np.maximum(self.model.weights[term, np.minimum(edits, 1)], 0)
+        whole = self._doubtful(w, owner, word, term, kind, np.maximum(self.model.weights[term, kind], 0))
         reported = np.zeros(len(word), dtype=bool)
         for k in range(1, 4):
             near = np.maximum(word - k, w.bounds[owner])
@@ -221,7 +296,7 @@ class _Scorer:
         return out
 
     def score(self, w: Words) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.features(w) @ self.model.coefficients, -30, 30)))
+        return self.model.probability(self.features(w))
 
 
 def _marks(w: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -307,9 +382,12 @@ def labelled_sample(labels: DataFrame, docs: DataFrame, label: str, max_labels:
     return labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(buckets)) < keep).join(docs.select("doc_id", "text"), "doc_id")
 
 
-def fit(labelled: DataFrame, params: ToxicParams = ToxicParams()) -> ToxicModel:
+def fit(labelled: DataFrame, params: ToxicParams = ToxicParams(), corpus: DataFrame | None = None) -> ToxicModel:
     """Fit on (doc_id, text, toxic 0/1) rows, which ``labelled_sample`` bounds; others are left out.
 
+    Of the rows of a repeated doc_id, and of repeated labels, all count.  The texts of ``corpus``, labelled
+    or not, tell which words near a term are usual; without it labels and the fixed list alone do.
+
     Word counts are summed by Spark; only terms over the thresholds, the lexicon's size at most, and
     one row of five features a labelled document come to the driver.  Without usable labels the
     model has the seed terms with a default weight.
@@ -330,14 +408,19 @@ def fit(labelled: DataFrame, params: ToxicParams = ToxicParams()) -> ToxicModel:
     for term in SEED_TERMS:
         chosen.setdefault(term, min(blend(3.0, *seen.get(term, (0, 0))), 6.0))
     model = ToxicModel(list(chosen), np.array([[w, params.misspelt * w] for w in chosen.values()]), params=params)
+    if n1 and n0:
+        near = written(counted.mapInArrow(lean(_near_words(model)), "word string, term int, kind int, toxic long, clean long"), "near-words")
+        usual = near.withColumn("ratio", ratio).where((F.col("clean") >= 2) & (F.col("ratio") < params.min_ratio / 4))
+        # at most the words near a term of a bounded sample
+        model.exceptions = sorted({r.word for r in usual.select("word").distinct().collect()})
+        rest = near.where(~F.col("word").isin(*model.exceptions)) if model.exceptions else near
+        for r in rest.groupBy("term", "kind").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).collect():
+            model.weights[r.term, r.kind] = min(blend(model.weights[r.term, r.kind], r.toxic, r.clean), model.weights[r.term, EXACT])
+            model.varied[r.term] |= r.kind == VARIED and r.toxic >= params.min_docs
+    if corpus is not None:
+        model.exceptions = sorted({*model.exceptions, *_usual_words(corpus, model)})
     if not n1 or not n0:
         return model
-    near = written(counted.mapInArrow(lean(_near_words(model)), "word string, term int, toxic long, clean long"), "near-words")
-    usual = near.withColumn("ratio", ratio).where((F.col("clean") >= 2) & (F.col("ratio") < params.min_ratio / 4))
-    model.exceptions = sorted(r.word for r in usual.orderBy(F.desc("clean"), "word").limit(params.max_exceptions).collect())
-    rest = near.where(~F.col("word").isin(*model.exceptions)) if model.exceptions else near
-    for r in rest.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).collect():
-        model.weights[r.term, 1] = min(blend(model.weights[r.term, 1], r.toxic, r.clean), model.weights[r.term, 0])
     data = rows.mapInArrow(lean(_feature_rows(model)), "x array<double>, toxic int").toArrow()
     x = np.array(data.column("x").to_pylist())
     y = np.array(data.column("toxic").to_pylist(), dtype=float)
@@ -350,17 +433,43 @@ def fit(labelled: DataFrame, params: ToxicParams = ToxicParams()) -> ToxicModel:
 
 def _near_words(model: ToxicModel):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = build_automaton(model.terms, model.params.edit_letters)
+        scorer = _Scorer(model)
         for batch in batches:
             w = words(batch.column("term"))
-            word, term, edits = match(automaton, w)
-            word, term = word[edits > 0], term[edits > 0]
+            word, term, kind = scorer.matches(w)
+            word, term, kind = word[kind > 0], term[kind > 0], kind[kind > 0]
             own = batch.take(pa.array(np.searchsorted(w.bounds, word, "right") - 1))
-            yield pa.RecordBatch.from_arrays([own.column("term"), pa.array(term, pa.int32()), own.column("toxic"), own.column("clean")], ["word", "term", "toxic", "clean"])
+            yield pa.RecordBatch.from_arrays([own.column("term"), pa.array(term, pa.int32()), pa.array(kind, pa.int32()), own.column("toxic"), own.column("clean")], ["word", "term", "kind", "toxic", "clean"])
 
     return run
 
 
+def _usual_words(corpus: DataFrame, model: ToxicModel) -> list[str]:
+    """Words near a term (of which labels show no variants) that documents use without other evidence.
+
+    Each task counts the documents of such words; there are no more of them than words one letter
+    from a term of a lexicon of bounded size.
+    """
+    p = model.params
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer, counts = _Scorer(model), defaultdict(lambda: [0, 0])
+        for batch in sliced(batches, "text"):
+            w = words(batch.column("text"))
+            word, term, kind = scorer.matches(w)
+            owner = np.searchsorted(w.bounds, word, "right") - 1
+            open_ = (kind == VARIED) & ~model.varied[term]
+            sure = np.bincount(owner[~open_], minlength=batch.num_rows) > 0
+            for o, x in {(o, w.data[w.starts[x] : w.ends[x]].tobytes()) for o, x in zip(owner[open_].tolist(), word[open_].tolist(), strict=True)}:
+                counts[x][0] += 1
+                counts[x][1] += int(sure[o])
+        found = {x.decode(errors="ignore"): n for x, n in counts.items()}
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), *(pa.array([n[k] for n in found.values()], pa.int64()) for k in range(2))], ["word", "docs", "sure"])
+
+    counted = corpus.select("text").mapInArrow(lean(run), "word string, docs long, sure long").groupBy("word").agg(F.sum("docs").alias("docs"), F.sum("sure").alias("sure"))
+    return [r.word for r in counted.where((F.col("docs") >= p.usual_docs) & (F.col("sure") <= p.usual_share * F.col("docs"))).collect()]
+
+
 def _feature_rows(model: ToxicModel):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _Scorer(model)

@@ -1,7 +1,7 @@
 """The corpus pipeline: toxic documents, near copies and benchmark leaks go, personal data are replaced, the rest is encoded.
 
-Rows with a null doc_id can't be told apart and pass the stages that decide by doc_id; of rows
-with the same doc_id all stay or go together, and of exact copies in other rows one stays.
+Each row is judged by its own text, whatever other rows share its doc_id, but for benchmark leaks:
+there rows with the same doc_id go together, and rows with a null doc_id stay.
 """
 
 from __future__ import annotations
@@ -15,20 +15,27 @@ from strataloom.llm.shared import written
 
 #: Documents of this probability or more are toxic.
 TOXIC = 0.7
+ROW = "_pipeline_row"
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents under the threshold of a model of all labels."""
     params = toxicity.ToxicParams()
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    model = toxicity.fit(toxicity.labelled_sample(labels, docs, "toxic", params.max_labels), params)
+    model = toxicity.fit(toxicity.labelled_sample(labels, docs, "toxic", params.max_labels), params, docs)
     return toxicity.scored(docs, model, "_toxicity").where(F.col("_toxicity") < TOXIC).drop("_toxicity")
 
 
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class."""
-    others = written(dartminhash.near_duplicates(docs).where("not representative").select("doc_id"), "other-copies")
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each near-duplicate class.
+
+    Rows are told apart by a number of their own, not by doc_id, so each row's text is judged by
+    itself; the rows are written with their numbers, which no later run can deal anew.
+    """
+    rows = written(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+    classes = dartminhash.near_duplicates(rows.select(F.col(ROW).alias("doc_id"), "text"))
+    others = written(classes.where("not representative").select(F.col("doc_id").alias(ROW)), "other-copies")
+    return rows.join(others, ROW, "left_anti").select(*docs.columns)
 
 
 def remove_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

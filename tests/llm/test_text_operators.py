@@ -219,6 +219,52 @@ def held_out(spark, label, model_scores):
     return spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
 
 
+def test_usual_words_near_a_term_are_no_abuse(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(toxicity.labelled_sample(labels, docs, "toxic", 20_000), corpus=docs)
+    clean = [
+        "the laser is a lower cost tool for the closer", "a lover of poetry lost her purse", "a poser posed", "the baker had a crush on a stupor", "der Leser ist ein Löser", "he bought a crash helmet", "the idiom of a user",
+        "a bidiot is a made-up bird, and a bidiot flies", "the crown",
+    ]
+    abuse = ["you are such an idi0t", "what a morron you are", "stupidd people, all of you", "you losers", "you lozer, you ideot, go away", "an idiót", "worthles and patetic"]
+    frame_ = spark.createDataFrame(list(enumerate(clean + abuse)), "doc_id long, text string")
+    got = [r.t for r in toxicity.scored(frame_, model, "t").orderBy("doc_id").collect()]
+    assert max(got[: len(clean)]) < 0.7 <= min(got[len(clean) :]), dict(zip(clean + abuse, got, strict=True))
+
+
+def test_words_the_corpus_uses_are_exceptions(spark):
+    corpus = spark.createDataFrame([(k, f"the stupin grows in field {k}") for k in range(5)] + [(9, "an ideot, an idiot, a moron")] * 4, "doc_id long, text string")
+    model = toxicity.fit(corpus.limit(0).withColumn("toxic", F.lit(1)), corpus=corpus)
+    assert model.exceptions == ["stupin"]
+
+
+def test_repeated_ids_lose_no_text(spark):
+    """Each case through the operator and through the pipeline's stage, against a plain version."""
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    base = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(400)]
+    texts = [" ".join(base[20 * k : 20 * k + rng.randrange(5, 20)]) for k in range(12)]
+    cases = [[(5, 0), (5, 1), (9, 1)], [(1, 0), (5, 0), (5, 1), (9, 1)], *([(rng.randrange(6), rng.randrange(5)) for _ in range(rng.randrange(2, 14))] for _ in range(6))]
+    for case in cases:
+        rows = [(i, texts[t]) for i, t in case]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        counted = {}
+        for i, t in rows:
+            counted.setdefault(i, set()).add(t)
+        got = {r.doc_id: r for r in dartminhash.near_duplicates(df).collect()}
+        assert set(got) == set(counted)
+        alone = [i for i in counted if len(counted[i]) == 1]
+        for i in alone:
+            for j in alone:
+                assert (got[i].class_id == got[j].class_id) == (counted[i] == counted[j])
+        for r in got.values():  # a class is that of a text that all its members hold
+            members = [counted[i] for i in got if got[i].class_id == r.class_id]
+            assert set.intersection(*members) and r.class_id == min(i for i in got if got[i].class_id == r.class_id)
+        kept = [r.text for r in corpus_pipeline.remove_near_copies(spark, df, "").collect()]
+        assert sorted(kept) == sorted({t for _, t in rows})
+
+
 def test_toxicity_held_out(spark):
     docs, labels = held_out(spark, "toxic", None)
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1

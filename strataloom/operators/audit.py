@@ -6,12 +6,15 @@ import hashlib
 import hmac
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
 from .maintenance import at_most
+from .tables import written
 
 GENESIS = "0" * 64
 FIELDS = ("seq", "ts", "actor", "action", "target", "outcome", "details")
@@ -57,20 +60,64 @@ def build_chain(events: DataFrame) -> DataFrame:
     return events.drop("head").join(hashes, ["tenant", "seq"])
 
 
+_SEGMENT = "tenant string, n long, first_seq long, first_prev string, last_seq long, last_hash string, problem_seq long, problem string"
+
+
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each tenant of a task's sorted rows: where they start and end, and the first problem between them."""
+    found: list[list] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        tenant, prev, own = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("tenant", "prev_hash", "hash"))
+        seq, good = batch.column("seq").to_numpy(), batch.column("good").to_numpy(zero_copy_only=False).astype(bool)
+        starts = np.flatnonzero(np.append(True, tenant[1:] != tenant[:-1]))
+        gap, broken = np.zeros(len(seq), bool), np.zeros(len(seq), bool)
+        gap[1:], broken[1:] = seq[1:] != seq[:-1] + 1, prev[1:] != own[:-1]
+        gap[starts] = broken[starts] = False
+        last = found[-1] if found and found[-1][0] == tenant[0] else None
+        if last is not None:  # the tenant goes on from the batch before
+            gap[0], broken[0] = seq[0] != last[4] + 1, prev[0] != last[5]
+        bad = np.flatnonzero(gap | broken | ~good)
+        for first, end in zip(starts, np.append(starts[1:], len(seq)), strict=True):
+            k = np.searchsorted(bad, first)
+            place = bad[k] if k < len(bad) and bad[k] < end else None
+            problem = (None, None) if place is None else (int(seq[place]), "gap" if gap[place] else "broken_link" if broken[place] else "modified_event")
+            if first == 0 and last is not None:
+                last[1], last[4], last[5] = last[1] + end, int(seq[end - 1]), own[end - 1]
+                if last[6] is None:
+                    last[6:] = problem
+            else:
+                found.append([tenant[first], int(end - first), int(seq[first]), prev[first], int(seq[end - 1]), own[end - 1], *problem])
+        if len(found) > 1000:
+            yield pa.RecordBatch.from_pylist([dict(zip(_SEGMENTS.names, row, strict=True)) for row in found[:-1]], _SEGMENTS)
+            found = found[-1:]
+    yield pa.RecordBatch.from_pylist([dict(zip(_SEGMENTS.names, row, strict=True)) for row in found], _SEGMENTS)
+
+
+_SEGMENTS = pa.schema([(c.split()[0], pa.string() if c.endswith("string") else pa.int64()) for c in _SEGMENT.split(", ")])
+
+
 def verify_chain(chain: DataFrame, anchors: DataFrame | None = None) -> DataFrame:
-    """(tenant, checked, first_problem): gap, broken_link or modified_event at the first bad seq, else null.
+    """(tenant, checked, problem_seq, problem): gap, broken_link or modified_event at the first bad seq, else null.
 
-    Each event's hash is recomputed from its stored predecessor hash, so the check is parallel;
-    only gap and link look at the previous row.  ``anchors`` (tenant, removed, head) tell where a
-    pruned chain starts.
+    Each event's hash is recomputed from its stored predecessor hash where the event lies.  Then only
+    hashes are dealt out, by ranges of tenant and seq, so one tenant's log is spread over all tasks; a
+    task reports for each of its segments how it begins and ends and its first problem, and
+    neighbouring segments are stitched.  ``anchors`` (tenant, removed, head) tell where a pruned
+    chain starts.
     """
-    w = Window.partitionBy("tenant").orderBy("seq")
-    rows = chain.join(anchors, "tenant", "left") if anchors is not None else chain.withColumn("removed", F.lit(0)).withColumn("head", F.lit(None).cast("string"))
-    before_hash = F.coalesce(F.lag("hash").over(w), F.col("head"), F.lit(GENESIS))
-    before_seq = F.coalesce(F.lag("seq").over(w), F.col("removed"), F.lit(0))
-    problem = F.when(F.col("seq") != before_seq + 1, "gap").when(F.col("prev_hash") != before_hash, "broken_link").when(F.col("hash") != event_hash(F.col("prev_hash")), "modified_event")
-    checked = rows.select("tenant", "seq", problem.alias("problem"))
-    return checked.groupBy("tenant").agg(F.count("*").alias("checked"), F.min(F.when(F.col("problem").isNotNull(), F.struct("seq", "problem"))).alias("p")).select("tenant", "checked", F.col("p.seq").alias("problem_seq"), F.col("p.problem").alias("problem"))
+    rows = chain.select("tenant", "seq", "prev_hash", "hash", (F.col("hash").eqNullSafe(event_hash(F.col("prev_hash")))).alias("good"))
+    dealt = written(rows, "chain").repartitionByRange("tenant", "seq", "hash").sortWithinPartitions("tenant", "seq", "hash")
+    segments = dealt.mapInArrow(_segments, _SEGMENT)
+    segments = segments.join(anchors, "tenant", "left") if anchors is not None else segments.withColumn("removed", F.lit(0)).withColumn("head", F.lit(None).cast("string"))
+    w = Window.partitionBy("tenant").orderBy("first_seq", "last_seq")
+    before_hash = F.coalesce(F.lag("last_hash").over(w), F.col("head"), F.lit(GENESIS))
+    before_seq = F.coalesce(F.lag("last_seq").over(w), F.col("removed"), F.lit(0))
+    seam = F.when(F.col("first_seq") != before_seq + 1, "gap").when(~F.col("first_prev").eqNullSafe(before_hash), "broken_link")
+    at = lambda seq, order, problem: F.when(problem.isNotNull(), F.struct(seq.alias("seq"), F.lit(order).alias("order"), problem.alias("problem")))
+    checked = segments.select("tenant", "n", F.least(at(F.col("first_seq"), 0, seam), at(F.col("problem_seq"), 1, F.col("problem"))).alias("p"))
+    return checked.groupBy("tenant").agg(F.sum("n").alias("checked"), F.min("p").alias("p")).select("tenant", "checked", F.col("p.seq").alias("problem_seq"), F.col("p.problem").alias("problem"))
 
 
 def verify_checkpoints(chain: DataFrame, checkpoints: DataFrame) -> DataFrame:

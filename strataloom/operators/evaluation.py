@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import let, words
+from .passages import located
+from .tables import written
 
 
 def golden_rank(ranked: DataFrame, evidence: DataFrame, depth: int = 10) -> DataFrame:
@@ -101,11 +103,22 @@ def gates(current: DataFrame, baseline: DataFrame, drop: float = 0.01) -> DataFr
     return both.withColumn("ok", F.coalesce(F.col("value") >= F.col("was") - drop, F.lit(False)))
 
 
-def set_problems(golden: DataFrame) -> DataFrame:
-    """(id, problem) of a question set: repeated ids, and quotes of under 5 or over 40 words."""
+def set_problems(golden: DataFrame, types: tuple[str, ...] | None = None, pages: DataFrame | None = None) -> DataFrame:
+    """(id, problem) of a question set: repeated ids, unknown types, quotes of under 5 or over 40 words, and quotes that don't stand on their page.
+
+    ``golden``: id, quote, and type and page where these are checked; ``pages``: page, text.  All
+    quotes are looked up on all pages at once.  A row has one problem of each kind at most.
+    """
     repeated = golden.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id", F.lit("repeated_id").alias("problem"))
     n = F.size(words(F.col("quote")))
-    return repeated.union(golden.where((n < 5) | (n > 40)).select("id", F.lit("quote_length").alias("problem")))
+    out = repeated.union(golden.where(n.isNull() | (n < 5) | (n > 40)).select("id", F.lit("quote_length").alias("problem")))
+    if types is not None:
+        out = out.union(golden.where(F.col("type").isNull() | ~F.col("type").isin(*types)).select("id", F.lit("unknown_type").alias("problem")))
+    if pages is not None:
+        quotes = written(golden.withColumn("passage", F.monotonically_increasing_id()), "quotes")
+        found = located(quotes.select("passage", F.col("quote").alias("text")), pages.select(F.col("page").alias("key"), "text")).select("passage", F.col("key").alias("page"))
+        out = out.union(quotes.join(found, ["passage", "page"], "left_anti").select("id", F.lit("quote_not_on_page").alias("problem")))
+    return out
 
 
 def agreement(readings: DataFrame) -> DataFrame:

@@ -30,21 +30,51 @@ def latest(df: DataFrame, by: str | list[str], *order: Column | str) -> DataFram
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
 
 
-def closure(edges: DataFrame, roots: DataFrame, max_depth: int = 100) -> DataFrame:
-    """(id, root) of everything below the roots of a (parent, id) tree, roots included.
+def _doubled(steps: DataFrame) -> DataFrame:
+    """(id, up) two steps of the same length further up; rows without an ``up`` stop."""
+    return steps.join(steps.select(F.col("id").alias("up"), F.col("up").alias("_next")), "up").select("id", F.col("_next").alias("up")).distinct()
 
-    One join a level; cycles end because a pair that was seen isn't followed again.  The frontier
-    is aggregated before each join; nothing is collected.
+
+def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(id, root) of everything below the roots of (parent, id) edges, roots included.
+
+    Pointers are doubled: after k rounds every node knows the roots among its ancestors of fewer
+    than 2^k steps, and the ancestor 2^k steps up.  So a tree of any depth takes the logarithm of its
+    depth in rounds, each a join of the nodes with what their far ancestor knows.  Cycles end, since a
+    round that adds no pair is the last.
+    """
+    edges = edges.where("parent is not null and id is not null")
+    known = written(roots.select(F.col("id"), F.col("id").alias("root")).where("id is not null").distinct(), "closure")
+    steps, pairs = written(edges.select("id", F.col("parent").alias("up")).distinct(), "steps"), known.count()
+    while True:
+        above = steps.join(known.select(F.col("id").alias("up"), "root"), "up").select("id", "root")
+        known = written(known.unionByName(above).distinct(), "closure")
+        if (now := known.count()) == pairs:
+            return known
+        pairs, steps = now, written(_doubled(steps), "steps")
+
+
+def paths(nodes: DataFrame, separator: str = " / ") -> DataFrame:
+    """(id, path, depth) of a tree of (parent, id, name): the names from the top down to each node, by pointer doubling.
+
+    Nodes whose parent isn't there start a path; so do nodes of a cycle, which have no top: their
+    path is null.  Depth counts from 1.
     """
-    seen = roots.select(F.col("id"), F.col("id").alias("root")).distinct()
-    frontier = seen
-    for _ in range(max_depth):
-        frontier = edges.join(frontier.withColumnRenamed("id", "parent"), "parent").select("id", "root").distinct().join(seen, ["id", "root"], "left_anti")
-        frontier = written(frontier, "frontier")
-        if frontier.isEmpty():
+    own = nodes.select("id", "parent", F.coalesce("name", F.lit("")).alias("name"))
+    there = own.select(F.col("id").alias("up"))
+    state = own.join(there, own["parent"] == there["up"], "left").select("id", "up", F.col("name").alias("path"), F.lit(1).cast("long").alias("depth"))
+    state = written(state, "paths")
+    n = state.count()
+    # a path of n nodes is whole after log2(n) rounds; what still goes up then goes round
+    for _ in range(max(1, n.bit_length())):
+        if state.where("up is not null").isEmpty():
             break
-        seen = written(seen.unionAll(frontier), "closure")
-    return seen
+        far = state.select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col("path").alias("_path"), F.col("depth").alias("_depth"))
+        state = state.join(far, "up", "left").select(
+            "id", F.col("_up").alias("up"), F.concat_ws(separator, "_path", "path").alias("path"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"),
+        )
+        state = written(state, "paths")
+    return state.select("id", F.when(F.col("up").isNull(), F.col("path")).alias("path"), F.when(F.col("up").isNull(), F.col("depth")).alias("depth"))
 
 
 def permission_rank(permission: Column) -> Column:
@@ -81,6 +111,50 @@ def accessible(grants: DataFrame, users: DataFrame, members: DataFrame, tree: Da
     return out.distinct()
 
 
+def _token(kind: Column | str, principal: Column | str) -> Column:
+    return F.concat_ws(":", F.lit(kind) if isinstance(kind, str) and kind in ("user", "role", "group") else kind, principal)
+
+
+def reader_tokens(users: DataFrame, members: DataFrame) -> DataFrame:
+    """(user_id, tokens): what an active user acts as: the user, the role and the groups; other users have none."""
+    groups = members.groupBy("user_id").agg(F.collect_set(_token("group", F.col("group_id").cast("string"))).alias("groups"))
+    own = users.where("status = 'active'").join(groups, "user_id", "left")
+    named = F.array(_token("user", F.col("user_id").cast("string")), _token("role", F.col("role")))
+    return own.select("user_id", F.array_sort(F.concat(named, F.coalesce("groups", F.array().cast("array<string>")))).alias("tokens"))
+
+
+def document_tokens(grants: DataFrame, tree: DataFrame, documents: DataFrame, permission: str = "read", document_grants: DataFrame | None = None) -> DataFrame:
+    """(document, tokens) of live documents: the principals that may read them, inherited down the tree or granted directly.
+
+    A user may read a document if their tokens overlap; so neither users and documents nor users and
+    folders are ever paired.  Tokens are gathered a folder first: a document takes those of its folder.
+    """
+    enough = lambda g: g.where(permission_rank(F.col("permission")) >= permission_rank(F.lit(permission))).select("target", _token(F.col("kind"), F.col("principal")).alias("token"))
+    granted_ = enough(grants).distinct()
+    below = closure(tree, granted_.select(F.col("target").alias("id")).distinct())
+    folders = below.join(granted_, F.col("root") == F.col("target")).groupBy("id").agg(F.collect_set("token").alias("_inherited"))
+    live = documents.where("not deleted").select("document", "collection")
+    out = live.join(folders.withColumnRenamed("id", "collection"), "collection", "left").select("document", "_inherited")
+    direct = F.array().cast("array<string>")
+    if document_grants is not None:
+        own = enough(document_grants).groupBy(F.col("target").alias("document")).agg(F.collect_set("token").alias("_own"))
+        out, direct = out.join(own, "document", "left"), F.coalesce("_own", F.array().cast("array<string>"))
+    tokens = F.array_sort(F.array_union(F.coalesce("_inherited", F.array().cast("array<string>")), direct))
+    return out.select("document", tokens.alias("tokens")).where(F.size("tokens") > 0)
+
+
+def readable_counts(documents: DataFrame, readers: DataFrame) -> DataFrame:
+    """(user_id, documents, first_document, last_document) from tokens: documents of the same tokens are counted once for each user.
+
+    ``documents``: document, tokens; ``readers``: user_id, tokens.  There are as many sets of tokens as
+    ways to share, so a set meets its users, not a document.
+    """
+    sets = documents.groupBy("tokens").agg(F.count("*").alias("n"), F.min("document").alias("first"), F.max("document").alias("last"))
+    sets = written(sets.withColumn("_set", F.sha2(F.array_join("tokens", "\n"), 256)), "token-sets")
+    met = sets.select("_set", F.explode("tokens").alias("token")).join(readers.select("user_id", F.explode("tokens").alias("token")), "token").select("user_id", "_set").distinct()
+    return met.join(sets, "_set").groupBy("user_id").agg(F.sum("n").alias("documents"), F.min("first").alias("first_document"), F.max("last").alias("last_document"))
+
+
 def filters(**wanted) -> list[Column]:
     """Optional conjuncts: since <= ts < until, an action or its dotted family, and equalities; None is left out."""
     out = []

@@ -9,11 +9,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ENGLISH, Language, lexical_terms
-from .tables import written
+from .index import search
 
 RRF_K = 60
 
@@ -34,33 +35,22 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 50, k1: float = 1.2, b: f
     """(query_id, key, score, rank) of the best k documents of each query.
 
     Statistics come from the whole corpus; ``permitted`` (keys) filters the candidates before the
-    cut.  Only postings of the questions' terms are aggregated.  Ties go by key.
+    cut.  Ties go by key.
     """
-    asked = queries.select("query_id", F.explode(F.array_distinct(lexical_terms(F.col("text"), language))).alias("term"))
-    seen = Observation()
-    terms = docs.select("key", lexical_terms(F.col("text"), language).alias("terms")).withColumn("length", F.size("terms"))
-    terms = terms.observe(seen, F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"))
-    # an inner explode would make Spark ask for the terms once more, to leave out documents without any
-    each = terms.select("key", "length", F.explode_outer("terms").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    # one pass over the texts: statistics are observed while the postings are written
-    tf = written(each.groupBy("key", "length", "term").agg(F.count("*").alias("tf")), "postings")
-    stats = seen.get
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (stats["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / (stats["mean"] or 1.0)))
-    weighted = tf.join(df, "term").select("key", "term", weight.alias("w"))
-    if permitted is not None:
-        weighted = weighted.join(permitted.select("key").distinct(), "key", "left_semi")
-    scores = asked.join(weighted, "term").groupBy("query_id", "key").agg(F.round(F.sum("w"), 6).alias("score"))
-    return top(scores, k, F.desc("score"), "key")
+    if permitted is None:
+        return search(docs, queries, k, k1, b, language)
+    everyone = F.array(F.lit("everyone")).alias("tokens")
+    return search(docs, queries.select("query_id", "text", everyone), k, k1, b, language, permitted.select("key", everyone).distinct())
 
 
 def dense(vectors: DataFrame, queries: DataFrame, k: int = 50, block: int = 1000) -> DataFrame:
     """(query_id, key, score, rank): the k vectors of largest cosine for each (query_id, vector).
 
     Exact.  Queries go in blocks of a bounded size; each task keeps the best k of its vectors for
-    each query, so only these are shuffled.
+    each query, so only these are shuffled.  If vectors and queries have ``tokens``, a vector counts
+    for a query only if they share one, which is decided before the cut.
     """
+    by_reader = "tokens" in vectors.columns and "tokens" in queries.columns
     total = queries.count()
     out = None
     for number in range(max(1, -(-total // block))):
@@ -72,17 +62,30 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int = 50, block: int = 1000
         q = np.array([r.vector for r in rows], dtype=float)
         q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
 
-        def best(batches: Iterator[pa.RecordBatch], ids=ids, q=q) -> Iterator[pa.RecordBatch]:
+        named = sorted({t for r in rows for t in r.tokens or []}) if by_reader else []
+        place = {t: n for n, t in enumerate(named)}
+        holds = np.zeros((len(rows), len(named)), dtype=np.float32)
+        for n, r in enumerate(rows if by_reader else []):
+            holds[n, [place[t] for t in r.tokens or []]] = 1
+
+        def best(batches: Iterator[pa.RecordBatch], ids=ids, q=q, named=named, holds=holds) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if not batch.num_rows:
                     continue
                 keys = batch.column("key").to_numpy()
                 v = np.array(batch.column("vector").to_pylist(), dtype=float)
                 score = np.round(q @ (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)).T, 6)
+                if by_reader:
+                    held = batch.column("tokens")
+                    token = pc.index_in(held.flatten(), pa.array(named, pa.string())).fill_null(-1).to_numpy(zero_copy_only=False)
+                    who = np.repeat(np.arange(len(keys)), pc.list_value_length(held).fill_null(0).to_numpy(zero_copy_only=False))
+                    read = np.zeros((len(keys), len(named)), dtype=np.float32)
+                    read[who[token >= 0], token[token >= 0]] = 1
+                    score[holds @ read.T == 0] = -2
                 order = np.lexsort((np.broadcast_to(keys, score.shape), -score), axis=1)[:, :k]
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, order.shape[1])), pa.array(keys[order].ravel()), pa.array(np.take_along_axis(score, order, 1).ravel())], ["query_id", "key", "score"])
 
-        found = vectors.where("vector is not null").select("key", "vector").mapInArrow(best, "query_id long, key long, score double")
+        found = vectors.where("vector is not null").select("key", "vector", *(["tokens"] if by_reader else [])).mapInArrow(best, "query_id long, key long, score double").where("score >= -1.5")
         out = found if out is None else out.unionAll(found)
     if out is None:
         out = vectors.sparkSession.createDataFrame([], "query_id long, key long, score double")

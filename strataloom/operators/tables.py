@@ -5,20 +5,24 @@ from __future__ import annotations
 import re
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the folder in ``spark.checkpoint.dir`` and read it back; it survives the loss of any executor.
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder of ``spark.checkpoint.dir``.
 
     On one machine the folder lies in the warehouse where that isn't set; on a cluster it must be.
     """
-    spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not re.match(r"local(?:\[|$)", spark.conf.get("spark.master", "local")):
             raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
         folder = spark.conf.get("spark.sql.warehouse.dir") + "/_scratch"
-    path = f"{folder.rstrip('/')}/strataloom-{name}-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/strataloom-{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to a new path that all executors share and read it back; it survives the loss of any executor."""
+    spark, path = df.sparkSession, scratch(df.sparkSession, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -74,8 +74,7 @@ def accessible_docs(spark, sf_dir):
     """How many live documents each user may read, and the first and last of them."""
     users, members, grants = _grants(spark, sf_dir)
     t = tree(spark, sf_dir).where("parent is not null").select("parent", "id")
-    out = rel.accessible(grants, users, members, t, _documents(spark, sf_dir))
-    return out.groupBy("user_id").agg(F.count("*").alias("documents"), F.min("document").alias("first_document"), F.max("document").alias("last_document"))
+    return rel.readable_counts(rel.document_tokens(grants, t, _documents(spark, sf_dir)), rel.reader_tokens(users, members))
 
 
 def _reached(spark, sf_dir, permission):
@@ -106,12 +105,23 @@ def shared_documents(spark, sf_dir):
 
 def library_overview(spark, sf_dir):
     """Folders with their paths and documents by status."""
-    r, n, c = (table(spark, sf_dir, x) for x in ("region", "nation", "customer"))
     o = _documents(spark, sf_dir).where("not deleted").groupBy("collection").agg(F.count(F.when(F.col("o_orderstatus") == "F", 1)).alias("ready"), F.count(F.when(F.col("o_orderstatus") == "O", 1)).alias("working"))
-    paths = c.join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey).select(F.concat(F.lit("c"), "c_custkey").alias("collection"), F.concat_ws(" / ", "r_name", "n_name", "c_name").alias("path"))
+    paths = rel.paths(tree(spark, sf_dir)).where("depth = 3").select(F.col("id").alias("collection"), "path")
     return paths.join(o, "collection", "left").select("collection", "path", F.coalesce("ready", F.lit(0)).cast("long").alias("ready"), F.coalesce("working", F.lit(0)).cast("long").alias("working"))
 
 
+def library_totals(spark, sf_dir):
+    """For every folder with its path: documents below it by state, and those of the whole library in the row without a folder."""
+    t = tree(spark, sf_dir)
+    below = rel.closure(t.where("parent is not null").select("parent", "id"), t.select("id")).select(F.col("id").alias("collection"), F.col("root").alias("folder"))
+    state = lambda sign, name: F.sum(F.when(F.col("o_orderstatus") == sign, F.col("n")).otherwise(0)).alias(name)
+    own = _documents(spark, sf_dir).groupBy("collection", "o_orderstatus").agg(F.count("*").alias("n"))
+    sums = own.join(below, "collection").groupBy("folder").agg(state("F", "ready"), state("O", "working"), state("P", "failed"))
+    named = rel.paths(t).join(sums, F.col("id") == F.col("folder"), "left").select(F.col("id").alias("folder"), "path", "depth", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("ready", "working", "failed")))
+    whole = own.agg(state("F", "ready"), state("O", "working"), state("P", "failed")).select(F.lit(None).cast("string").alias("folder"), F.lit(None).cast("string").alias("path"), F.lit(0).cast("long").alias("depth"), "ready", "working", "failed")
+    return named.unionByName(whole)
+
+
 def scope_filter(spark, sf_dir):
     """Documents of a chosen scope: two documents and everything below two folders."""
     t = tree(spark, sf_dir).where("parent is not null").select("parent", "id")
@@ -194,7 +204,7 @@ def audit_list_page(spark, sf_dir):
     return rel.page(rows, "id", 9000, 50).select("id", "tenant", "action", "outcome")
 
 
-QUERIES = {f.__name__: f for f in (latest_version, searchable_set, folder_closure, accessible_docs, shared_documents, readable_tree, library_overview, scope_filter, anti_orphans, consistency_checks, filtered_counts, status_pivot, latest_run_per_kind, ordered_arrays, correlated_counts, upsert_latest, constraint_violations, audit_list_page)}
+QUERIES = {f.__name__: f for f in (latest_version, searchable_set, folder_closure, accessible_docs, shared_documents, readable_tree, library_overview, library_totals, scope_filter, anti_orphans, consistency_checks, filtered_counts, status_pivot, latest_run_per_kind, ordered_arrays, correlated_counts, upsert_latest, constraint_violations, audit_list_page)}
 
 SQL = {
     "latest_version": f"SELECT l_orderkey AS document, l_linenumber AS version, l_partkey, l_linestatus FROM lineitem QUALIFY {_NEWEST_SQL}",
@@ -204,6 +214,13 @@ SQL = {
     "shared_documents": f"WITH {_GRANTS_CTE}, a AS (SELECT c.user_id, o.o_orderkey FROM collections c JOIN orders o ON c.id = 'c' || o.o_custkey WHERE o.o_orderstatus <> 'P' UNION SELECT u.user_id, o.o_orderkey FROM users u JOIN orders o ON o.o_totalprice > 150000 AND o.o_orderstatus <> 'P' WHERE u.role = 'member' AND u.status = 'active') SELECT user_id, count(*) AS documents FROM a GROUP BY user_id",
     "readable_tree": f"WITH {_GRANTS_CTE}, {_WRITABLE_CTE} SELECT c.user_id, c.id, lower(t.name) AS name, CASE WHEN EXISTS (SELECT 1 FROM collections p WHERE p.user_id = c.user_id AND p.id = t.parent) THEN t.parent END AS parent, (SELECT count(*) FROM tree x WHERE x.parent = c.id) AS children, EXISTS (SELECT 1 FROM writable w WHERE w.user_id = c.user_id AND w.id = c.id) AS can_write FROM collections c JOIN tree t ON t.id = c.id",
     "library_overview": "SELECT 'c' || c_custkey AS collection, r_name || ' / ' || n_name || ' / ' || c_name AS path, count(*) FILTER (WHERE o_orderstatus = 'F') AS ready, count(*) FILTER (WHERE o_orderstatus = 'O') AS working FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL",
+    "library_totals": f"""WITH RECURSIVE tree AS ({TREE_SQL}), below AS (SELECT id AS folder, id FROM tree UNION SELECT b.folder, t.id FROM below b JOIN tree t ON t.parent = b.id),
+named AS (SELECT id, name AS path, 1 AS depth FROM tree WHERE parent IS NULL UNION ALL SELECT t.id, n.path || ' / ' || t.name, n.depth + 1 FROM named n JOIN tree t ON t.parent = n.id),
+o AS (SELECT 'c' || o_custkey AS collection, o_orderstatus AS s, count(*) AS n FROM orders GROUP BY ALL),
+sums AS (SELECT folder, sum(n) FILTER (WHERE s = 'F') AS ready, sum(n) FILTER (WHERE s = 'O') AS working, sum(n) FILTER (WHERE s = 'P') AS failed FROM o JOIN below ON collection = below.id GROUP BY folder
+  UNION ALL SELECT NULL, sum(n) FILTER (WHERE s = 'F'), sum(n) FILTER (WHERE s = 'O'), sum(n) FILTER (WHERE s = 'P') FROM o)
+SELECT n.id AS folder, n.path, n.depth::BIGINT AS depth, coalesce(ready, 0)::BIGINT AS ready, coalesce(working, 0)::BIGINT AS working, coalesce(failed, 0)::BIGINT AS failed FROM named n LEFT JOIN sums ON folder = n.id
+UNION ALL SELECT NULL, NULL, 0, coalesce(ready, 0)::BIGINT, coalesce(working, 0)::BIGINT, coalesce(failed, 0)::BIGINT FROM sums WHERE folder IS NULL""",
     "scope_filter": f"WITH RECURSIVE tree AS ({TREE_SQL}), below AS (SELECT unnest(['n5', 'r0']) AS id UNION SELECT t.id FROM below b JOIN tree t ON t.parent = b.id) SELECT o_orderkey AS document FROM orders WHERE o_orderkey IN (1, 2) OR 'c' || o_custkey IN (SELECT id FROM below)",
     "anti_orphans": "SELECT 'customer' AS kind, c_custkey AS key FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) UNION ALL SELECT 'order', o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)",
     "consistency_checks": "SELECT 'line_without_order' AS name, count(*) AS n FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders) UNION ALL SELECT 'line_without_part', count(*) FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part) UNION ALL SELECT 'line_without_supplier', count(*) FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier) UNION ALL SELECT 'open_line_of_closed_order', count(*) FROM lineitem WHERE l_linestatus = 'O' AND l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')",

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import lexical_terms, words
-from ..operators import retrieval
-from .base import documents, questions, table, vectors
+from ..operators import index, retrieval
+from ..operators import relational as rel
+from ..operators.tables import scratch, written
+from .base import documents, questions, table, tree, vectors
+from .permissions import _GRANTS_CTE, _grants
 
 SYNONYMS = [["that than", "than that"], ["the thenand", "with anonre", "erand"], ["and er", "er and"]]
 
@@ -88,6 +91,41 @@ def permitted_search(spark, sf_dir):
     return fused.select("query_id", "rank", "key", "score", F.col("rank_0").alias("lexical_rank"), F.col("rank_1").alias("dense_rank"))
 
 
+def _by_user(spark, sf_dir):
+    """Questions with the tokens of their askers, and documents with those of their readers.
+
+    Document d lies in the folder of nation d % 25 (and every seventh is granted to the group 2, too);
+    question i is asked by user i % 50.
+    """
+    users, members, grants = _grants(spark, sf_dir)
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document"), F.concat(F.lit("n"), F.col("doc_id") % 25).alias("collection"), F.lit(False).alias("deleted"))
+    single = d.where("document % 7 = 0").select(F.col("document").alias("target"), F.lit("group").alias("kind"), F.lit("2").alias("principal"), F.lit("read").alias("permission"))
+    t = tree(spark, sf_dir).where("parent is not null").select("parent", "id")
+    readers = rel.document_tokens(grants, t, d, document_grants=single).withColumnRenamed("document", "key")
+    q = questions(spark, sf_dir).withColumn("user_id", F.col("query_id") % 50).join(rel.reader_tokens(users, members), "user_id", "left")
+    return q.select("query_id", "text", F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens")), readers
+
+
+def permitted_search_by_user(spark, sf_dir):
+    """Hybrid search where every question has an asker of its own, and sees only what that user may read."""
+    q, readers = _by_user(spark, sf_dir)
+    readers = written(readers, "readers")
+    lexical = index.search(documents(spark, sf_dir), q, readers=readers)
+    asked = _asked_vectors(spark, sf_dir).join(q.select("query_id", "tokens"), "query_id")
+    fused = retrieval.fuse([lexical, retrieval.dense(vectors(spark, sf_dir).join(readers, "key"), asked)]).where("rank <= 10")
+    return fused.select("query_id", "rank", "key", "score", F.col("rank_0").alias("lexical_rank"), F.col("rank_1").alias("dense_rank"))
+
+
+def index_search(spark, sf_dir):
+    """The best ten of an index that documents were added to, replaced in and deleted from: even ids first, then all, then without every ninth."""
+    own = index.SearchIndex(spark, scratch(spark, "index"))
+    d = documents(spark, sf_dir)
+    own.put(d.where("key % 2 = 0").withColumn("text", F.lower("text")))
+    own.put(d)
+    own.delete(d.where("key % 9 = 0").select("key"))
+    return own.search(questions(spark, sf_dir), k=10)
+
+
 def _shared_terms(spark, sf_dir, candidates):
     """Stand-in reranker: distinct terms that question and document share."""
     d = documents(spark, sf_dir).select("key", F.array_distinct(lexical_terms(F.col("text"))).alias("d"))
@@ -144,7 +182,7 @@ def range_join_pages(spark, sf_dir):
     return range_join(pages, chunks, "key", "page", "page_start", "page_end").groupBy("key", "chunk").agg(F.count("*").alias("pages"), F.max("page").alias("last_page"))
 
 
-QUERIES = {"lexical_terms": lexical_terms_query} | {f.__name__: f for f in (bm25_search, dense_search, rrf_fusion, weighted_rrf, hybrid_search, permitted_search, rerank_head, synonym_expand, exact_identifiers, context_overlap, range_join_pages)}
+QUERIES = {"lexical_terms": lexical_terms_query} | {f.__name__: f for f in (bm25_search, dense_search, rrf_fusion, weighted_rrf, hybrid_search, permitted_search, permitted_search_by_user, index_search, rerank_head, synonym_expand, exact_identifiers, context_overlap, range_join_pages)}
 
 SQL = {
     "lexical_terms": f"SELECT key, len(t)::BIGINT AS n_terms, array_to_string(t, ' ') AS terms FROM (SELECT doc_id AS key, {terms_sql('text')} AS t FROM documents)",
@@ -154,6 +192,11 @@ SQL = {
     "weighted_rrf": f"WITH {BM25_CTE}, {DENSE_CTE}, {rrf_sql((1.0, 0.5))} SELECT query_id, key, score, rank FROM fused",
     "hybrid_search": f"WITH {BM25_CTE}, {DENSE_CTE}, {rrf_sql((1.0, 1.0))} SELECT query_id, rank, key, score, lexical_rank, dense_rank FROM fused WHERE rank <= 10",
     "permitted_search": "WITH " + (BM25_CTE.replace("FROM asked JOIN weighted USING (term)", "FROM asked JOIN weighted USING (term) WHERE key IN (SELECT doc_id FROM documents WHERE lang <> 'de')") + ", " + DENSE_CTE.replace("v.vec_id = q.item_id, embeddings e", "v.vec_id = q.item_id, embeddings e WHERE e.vec_id IN (SELECT doc_id FROM documents WHERE lang <> 'de')")) + f", {rrf_sql((1.0, 1.0))} SELECT query_id, rank, key, score, lexical_rank, dense_rank FROM fused WHERE rank <= 10",
+    "permitted_search_by_user": f"""WITH {_GRANTS_CTE},
+readers AS (SELECT DISTINCT c.user_id, d.doc_id AS key FROM documents d JOIN collections c ON c.id = 'n' || (d.doc_id % 25)
+  UNION SELECT u.user_id, d.doc_id FROM documents d, users u JOIN members m USING (user_id) WHERE d.doc_id % 7 = 0 AND m.group_id = 2 AND u.status = 'active'),
+may AS (SELECT item_id AS query_id, key FROM benchmark JOIN readers ON user_id = item_id % 50), """ + (BM25_CTE.replace("FROM asked JOIN weighted USING (term)", "FROM asked JOIN weighted USING (term) SEMI JOIN may USING (query_id, key)") + ", " + DENSE_CTE.replace("v.vec_id = q.item_id, embeddings e", "v.vec_id = q.item_id, embeddings e SEMI JOIN may ON may.query_id = q.item_id AND may.key = e.vec_id")) + f", {rrf_sql((1.0, 1.0))} SELECT query_id, rank, key, score, lexical_rank, dense_rank FROM fused WHERE rank <= 10",
+    "index_search": f"WITH {BM25_CTE.replace('FROM documents)', 'FROM documents WHERE doc_id % 9 <> 0)')} SELECT query_id, key, score, rank FROM bm25 WHERE rank <= 10",
     "rerank_head": f"""WITH {BM25_CTE}, {DENSE_CTE}, {rrf_sql((1.0, 1.0))},
 scored AS (SELECT f.query_id, f.key, f.rank, CASE WHEN f.rank <= 15 THEN len(list_intersect(list_distinct(t.terms), list_distinct({terms_sql("b.text")})))::DOUBLE END AS rerank_score
   FROM fused f JOIN terms t USING (key) JOIN benchmark b ON b.item_id = f.query_id WHERE f.rank <= 50)

@@ -2,31 +2,18 @@
 
 from __future__ import annotations
 
-from itertools import islice
-
 from pyspark.sql import functions as F
 
 from ..functions.text import lexical_terms
-from ..operators import answers, evaluation
+from ..operators import answers, evaluation, passages
 from .base import documents, questions, table
 from .search import BM25_CTE, bm25_search, hybrid_search
 
-#: Heads of questions that one pass over the documents looks up.
-HEADS_PER_BLOCK = 5000
-
 
 def _evidence(spark, sf_dir):
     """Documents that hold a question's whole text: any of them covers its one piece."""
-    q = questions(spark, sf_dir).where(F.length("text") > 0)
-    first = q.select("query_id", "text", F.substring("text", 1, 24).alias("head"))
-    d = documents(spark, sf_dir).select("key", F.col("text").alias("body"))
-    heads, found = (r["head"] for r in first.select("head").distinct().toLocalIterator()), None
-    # blocks of questions against all documents, looked up by a 24-letter head, until every question had its turn
-    while (block := list(islice(heads, HEADS_PER_BLOCK))) or found is None:
-        hit = F.filter(F.array(*map(F.lit, block)).cast("array<string>"), lambda h: F.contains(F.col("body"), h))
-        own = d.select("key", "body", F.explode(hit).alias("head")).join(first, "head").where(F.contains("body", F.col("text")))
-        found = own if found is None else found.unionAll(own)
-    return found.select("query_id", F.lit(0).alias("piece"), F.col("key").alias("document"), F.lit(1).alias("page"))
+    found = passages.located(questions(spark, sf_dir).withColumnRenamed("query_id", "passage"), documents(spark, sf_dir))
+    return found.select(F.col("passage").alias("query_id"), F.lit(0).alias("piece"), F.col("key").alias("document"), F.lit(1).alias("page"))
 
 
 def _golden(spark, sf_dir):
@@ -47,6 +34,25 @@ def retrieval_metrics(spark, sf_dir):
 _GOLDEN_CTE = f"{BM25_CTE}, golden AS (SELECT q.item_id AS query_id, min(b.rank) FILTER (WHERE b.rank <= 10) AS golden FROM benchmark q JOIN documents d ON contains(d.text, q.text) LEFT JOIN bm25 b ON b.query_id = q.item_id AND b.key = d.doc_id GROUP BY q.item_id)"
 
 
+def quotes_on_pages(spark, sf_dir):
+    """How many documents hold each question's text, how often it stands in them, and where first in the first of them."""
+    found = passages.located(questions(spark, sf_dir).withColumnRenamed("query_id", "passage"), documents(spark, sf_dir))
+    return found.groupBy("passage").agg(F.count("*").alias("documents"), F.sum("times").alias("times"), F.min(F.struct("key", "first")).alias("f")).select("passage", "documents", "times", F.col("f.key").alias("key"), F.col("f.first").alias("first"))
+
+
+def golden_set_check(spark, sf_dir):
+    """What is wrong with the questions, once every seventh says it stands in the document before the one that holds it, and ten ids repeat."""
+    q = questions(spark, sf_dir)
+    held = passages.located(q.withColumnRenamed("query_id", "passage"), documents(spark, sf_dir)).groupBy("passage").agg(F.min("key").alias("key"))
+    own = q.join(held, F.col("query_id") == F.col("passage"), "left")
+    kind = F.when(F.col("query_id") % 20 == 0, "riddle").otherwise("single")
+    golden = own.select(
+        F.when(F.col("query_id") < 20, F.col("query_id") % 10).otherwise(F.col("query_id")).alias("id"), kind.alias("type"), F.col("text").alias("quote"),
+        F.when(F.col("query_id") % 7 == 0, F.col("key") - 1).otherwise(F.col("key")).alias("page"),
+    )
+    return evaluation.set_problems(golden, ("single", "several"), documents(spark, sf_dir).withColumnRenamed("key", "page"))
+
+
 def page_number_percentiles(spark, sf_dir):
     """Nearest-rank percentiles of document sizes by language."""
     d = table(spark, sf_dir, "documents").select("lang", F.length("text").cast("long").alias("n"))
@@ -139,10 +145,17 @@ def ranking_agreement(spark, sf_dir):
     return b.join(h.withColumn("kept", F.lit(1)), ["query_id", "key"], "left").groupBy("query_id").agg(F.sum(F.coalesce("kept", F.lit(0))).cast("long").alias("kept"))
 
 
-QUERIES = {f.__name__: f for f in (golden_rank, retrieval_metrics, page_number_percentiles, worst_decile, calibration_sweep, ocr_measures, character_errors, loops, metric_gates, claim_check, strip_unsupported, refusal_gate, assemble_context, small_talk, ranking_agreement)}
+QUERIES = {f.__name__: f for f in (quotes_on_pages, golden_set_check, golden_rank, retrieval_metrics, page_number_percentiles, worst_decile, calibration_sweep, ocr_measures, character_errors, loops, metric_gates, claim_check, strip_unsupported, refusal_gate, assemble_context, small_talk, ranking_agreement)}
 
 _METRICS = "count(*) AS questions, round(avg((coalesce(golden, 1000000) <= 1)::INT), 6) AS hit_1, round(avg((coalesce(golden, 1000000) <= 5)::INT), 6) AS hit_5, round(avg((coalesce(golden, 1000000) <= 10)::INT), 6) AS hit_10, round(avg(coalesce(1 / golden, 0)), 6) AS mrr"
+_HELD = "held AS (SELECT item_id, b.text, d.doc_id AS key, d.text AS body FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE length(b.text) > 0)"
 SQL = {
+    "quotes_on_pages": f"WITH {_HELD} SELECT item_id AS passage, count(*) AS documents, sum(len(string_split(body, text)) - 1)::BIGINT AS times, min(key) AS key, arg_min(instr(body, text) - 1, key)::INT AS first FROM held GROUP BY item_id",
+    "golden_set_check": rf"""WITH {_HELD}, golden AS (SELECT b.item_id, CASE WHEN b.item_id < 20 THEN b.item_id % 10 ELSE b.item_id END AS id, CASE WHEN b.item_id % 20 = 0 THEN 'riddle' ELSE 'single' END AS type, b.text AS quote,
+  CASE WHEN b.item_id % 7 = 0 THEN h.key - 1 ELSE h.key END AS page, len(regexp_extract_all(lower(b.text), '[\p{{L}}\p{{N}}_]+')) AS n FROM benchmark b LEFT JOIN (SELECT item_id, min(key) AS key FROM held GROUP BY item_id) h USING (item_id))
+SELECT id, 'repeated_id' AS problem FROM golden GROUP BY id HAVING count(*) > 1
+UNION ALL SELECT id, 'quote_length' FROM golden WHERE n < 5 OR n > 40 UNION ALL SELECT id, 'unknown_type' FROM golden WHERE type NOT IN ('single', 'several')
+UNION ALL SELECT id, 'quote_not_on_page' FROM golden g WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = g.page AND contains(d.text, g.quote))""",
     "golden_rank": f"WITH {_GOLDEN_CTE} SELECT query_id, golden FROM golden",
     "retrieval_metrics": f"WITH {_GOLDEN_CTE} SELECT 't' || (query_id % 3) AS type, {_METRICS} FROM golden GROUP BY ROLLUP (1)",
     "page_number_percentiles": "WITH r AS (SELECT lang, length(text)::BIGINT AS n, row_number() OVER (PARTITION BY lang ORDER BY length(text)) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS total FROM documents) SELECT lang, share::DOUBLE AS share, n AS value FROM r, (SELECT unnest([0.5, 0.9, 0.99]::DOUBLE[]) AS share) WHERE pos = least(floor(share * total), total - 1)",

@@ -6,11 +6,12 @@ import re
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
 from ..functions.text import claims, fold, stands_in
+from .tables import written
 
 
 @dataclass(frozen=True)
@@ -97,42 +98,123 @@ def uncertain_in(answers: DataFrame, uncertain: DataFrame) -> DataFrame:
 
 
 def names(text: Column, stop: tuple[str, ...] = ("The", "This", "That", "In", "On", "At", "And", "But", "For", "Of")) -> Column:
-    """Runs of two or three capitalised words next to each other, distinct, in order; stop words end a run."""
-    word = (rf"(?!(?:{'|'.join(stop)})\b)" if stop else "") + r"\p{Lu}[\p{L}'’]*+"
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?<![\p{{L}}\p{{N}}_]){word}(?: {word}){{1,2}}"), F.lit(0)))
+    """Runs of two or three capitalised words with only white space between, distinct, in order.
+
+    A capitalised word has two letters or more, the others all small or all capital.  Stop words end a
+    run; a run of four or more words names nobody.
+    """
+    word = (rf"(?!(?:{'|'.join(stop)})(?![\p{{L}}]))" if stop else "") + r"(?:\p{Lu}\p{Ll}++|\p{Lu}{2,}+)(?![\p{L}])"
+    runs = F.regexp_extract_all(text, F.lit(rf"(?<![\p{{L}}]){word}(?:\s++{word})*+"), F.lit(0))
+    plain = F.transform(runs, lambda x: F.regexp_replace(x, r"\s+", " "))
+    return F.array_distinct(F.filter(plain, lambda x: F.size(F.split(x, " ")).between(2, 3)))
 
 
 SAYING = ("said", "says", "stated", "told", "argued", "added", "replied", "claimed", "announced", "noted")
+#: Words of a language that say nothing of whose words a sentence holds.
+PLAIN_WORDS = ("the", "and", "that", "this", "was", "were", "had", "has", "have", "for", "with", "but", "not", "they", "them", "she", "her", "his", "him", "who", "all", "one", *SAYING)
 
 
-def speaker_of(text: str, at: int, speakers: list[str], reach: int = 200) -> str | None:
-    """The last of the names before a place that a verb of saying follows within ``reach`` letters."""
-    best, where = None, -1
-    for name in speakers:
-        for m in re.finditer(rf"(?<!\w){re.escape(name)}(?!\w)", text[:at]):
-            if m.start() > where and re.search(rf"\b(?:{'|'.join(SAYING)})\b", text[m.end() : m.end() + reach]):
-                best, where = name, m.start()
-    return best
+def occurrences(rows: DataFrame, keys: list[str], text: str, pattern: Column) -> DataFrame:
+    """(keys, start, end, match) of all matches of a row's pattern in its text, by characters counted from 0.
 
+    What stands between matches and the matches themselves are counted up, so a text of many matches
+    costs as much as it is long.
+    """
+    both = F.zip_with(F.split(F.col(text), pattern, -1), F.regexp_extract_all(F.col(text), pattern, F.lit(0)), lambda gap, match: F.struct(gap.alias("gap"), match.alias("match")))
+    each = rows.select(*keys, F.posexplode(both).alias("_n", "_x")).where("_x.match is not null")
+    length = F.length("_x.gap") + F.length("_x.match")
+    end = F.sum(length).over(Window.partitionBy(*keys).orderBy("_n"))
+    return each.select(*keys, (end - F.length("_x.match")).cast("int").alias("start"), end.cast("int").alias("end"), F.col("_x.match").alias("match"))
 
-def misattributed(statements: DataFrame) -> DataFrame:
-    """Rows (id, claim, speaker, source, names) with ``given_to``: whom the source has say the claim, if never the speaker.
 
-    A speaker's span runs from the name to the next speaker's; a claim that also stands outside all
-    spans, or in the speaker's own, is not misattributed (null), nor one that the source lacks.
-    """
+def _whole(needle: Column) -> Column:
+    """A pattern for the needle (letters, digits, spaces and the signs of claims) between signs of no word."""
+    return F.concat(F.lit(r"(?<![\p{L}\p{N}_])\Q"), needle, F.lit(r"\E(?![\p{L}\p{N}_])"))
 
-    @F.pandas_udf("string")
-    def other(claim: pd.Series, speaker: pd.Series, source: pd.Series, named: pd.Series) -> pd.Series:
-        def one(c, s, text, all_names):
-            if c is None or text is None or not c:
-                return None
-            owners = [speaker_of(text, m.start(), list(all_names)) for m in re.finditer(rf"(?<!\w){re.escape(c)}(?!\w)", text)]
-            return owners[0] if owners and all(o is not None and o != s for o in owners) else None
 
-        return pd.Series([one(*row) for row in zip(claim, speaker, source, named, strict=True)], dtype=object)
+def spoken(sentences: DataFrame, sources: DataFrame, saying: tuple[str, ...] = SAYING, plain: tuple[str, ...] = PLAIN_WORDS, reach: int = 200) -> DataFrame:
+    """(id, n, person, given): sentences that give a person claims or words which the cited sources give others.
 
-    return statements.withColumn("given_to", other("claim", "speaker", "source", "names"))
+    ``sentences``: id, n, text; ``sources``: id, k, text (those that the answer cites).  In a source a
+    person's words run from where it names the person to where it names the next who says something:
+    the sentence's own person, and each name that a verb of saying follows within ``reach``
+    characters.  So every place of a claim is looked up as of the last such name before it.  A claim is
+    given wrongly if it stands in sources that name the person, but never in the person's words or
+    before anyone speaks.  If there is none, two words in a row count in the same way (by their stems),
+    unless something of the sentence stands in the person's own words.  Of a sentence's persons the
+    first that is given something wrongly counts.
+    """
+    says = F.lit(rf"(?<![\p{{L}}\p{{N}}_])(?:{'|'.join(saying)})(?![\p{{L}}\p{{N}}_])")
+    own = sentences.select("id", "n", "text", F.lower("text").alias("low")).where(F.rlike("low", says))
+    persons = own.select("id", "n", F.posexplode(names(F.col("text"))).alias("order", "person")).withColumn("person", F.lower("person"))
+    src = written(sources.select("id", "k", F.lower("text").alias("low"), F.transform(names(F.col("text")), lambda x: F.lower(x)).alias("names")), "spoken-sources")
+
+    # where each name stands, and whether a verb of saying follows it somewhere
+    asked = persons.select("id", "person").distinct()
+    named = src.select("id", "k", "low", F.explode("names").alias("name")).unionByName(src.join(asked, "id").select("id", "k", "low", F.col("person").alias("name"))).distinct()
+    places = occurrences(named, ["id", "k", "name"], "low", _whole(F.col("name"))).select("id", "k", "name", "start", "end")
+    verbs = occurrences(src, ["id", "k"], "low", says).select("id", "k", F.lit(None).cast("string").alias("name"), F.col("start").alias("at"), F.col("start").alias("verb"), F.lit(None).cast("int").alias("start"))
+    ahead = Window.partitionBy("id", "k").orderBy("at", F.col("verb").isNotNull()).rowsBetween(0, Window.unboundedFollowing)
+    marked = places.select("id", "k", "name", F.col("end").alias("at"), F.lit(None).cast("int").alias("verb"), "start").unionByName(verbs).withColumn("next", F.first("verb", ignorenulls=True).over(ahead)).where("name is not null")
+    speaks = F.max(F.coalesce(F.col("next") - F.col("at") < reach, F.lit(False))).over(Window.partitionBy("id", "k", "name"))
+    mentions = written(marked.select("id", "k", "name", "start", speaks.alias("speaks")), "mentions")
+    holding = persons.join(mentions.select("id", "k", F.col("name").alias("person")).distinct(), ["id", "person"])
+
+    # what the sentences state, and where it stands
+    stated = own.select("id", "n", F.explode(claims(F.col("text"))).alias("claim"))
+    wide = src.select("id", "k", "low")
+    claim_places = occurrences(stated.join(wide, "id"), ["id", "k", "n", "claim"], "low", _whole(F.col("claim"))).select("id", "k", "n", F.lit("claim").alias("kind"), F.lit(0).alias("place"), F.col("claim").alias("what"), F.col("start").alias("at"))
+    spelled = own.select("id", "n", F.filter(F.regexp_extract_all("low", F.lit(r"\p{L}+"), F.lit(0)), lambda w: (F.length(w) > 2) & ~w.isin(*plain)).alias("w"))
+    bare = persons.join(spelled, ["id", "n"]).select("id", "n", "person", F.filter("w", lambda w: ~F.array_contains(F.split("person", " "), w)).alias("w"))
+    pair = F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.size("w") - 1, F.lit(1))), lambda k: k < F.size("w")), lambda k: F.struct(k.alias("place"), F.element_at("w", k).alias("a"), F.element_at("w", k + 1).alias("b")))
+    stem = lambda c: F.substring(c, F.lit(1), F.greatest(F.lit(3), F.length(c) - 3))
+    pairs = bare.select("id", "n", "person", F.explode(pair).alias("p")).select("id", "n", "person", "p.*", F.substring("p.a", 1, 3).alias("a3"), F.substring("p.b", 1, 3).alias("b3"))
+    heard = occurrences(src, ["id", "k"], "low", F.lit(r"(?<![\p{L}\p{N}_])[\p{L}\p{N}_]+(?=\s)"))
+    # a word and the next, if only white space lies between
+    following = occurrences(src, ["id", "k"], "low", F.lit(r"(?<=\s)[\p{L}\p{N}_]+")).select("id", "k", F.col("start").alias("next"), F.col("match").alias("second"))
+    gaps = occurrences(src, ["id", "k"], "low", F.lit(r"(?<=[\p{L}\p{N}_])\s+")).select("id", "k", F.col("start").alias("end"), F.col("end").alias("next"))
+    two = heard.join(gaps, ["id", "k", "end"]).join(following, ["id", "k", "next"]).select("id", "k", F.col("start").alias("at"), F.col("match").alias("first"), "second", F.substring("match", 1, 3).alias("a3"), F.substring("second", 1, 3).alias("b3"))
+    pair_places = pairs.join(two, ["id", "a3", "b3"]).where(F.col("first").startswith(stem(F.col("a"))) & F.col("second").startswith(stem(F.col("b"))))
+    pair_places = pair_places.select("id", "k", "n", "person", F.lit("pair").alias("kind"), "place", F.concat_ws(" ", "a", "b").alias("what"), "at")
+
+    # the last name before each place, of the person and those who speak
+    none = lambda c, kind: F.lit(None).cast(kind).alias(c)
+    probes = holding.join(claim_places, ["id", "k", "n"]).select("id", "n", "order", "person", "k", "kind", "place", "what", "at", none("owner", "string"))
+    probes = probes.unionByName(holding.join(pair_places, ["id", "k", "n", "person"]).select("id", "n", "order", "person", "k", "kind", "place", "what", "at", none("owner", "string")))
+    said = holding.join(mentions, ["id", "k"]).where("speaks or name = person").select("id", "n", "order", "person", "k", none("kind", "string"), none("place", "int"), none("what", "string"), F.col("start").alias("at"), F.col("name").alias("owner"))
+    before = Window.partitionBy("id", "n", "person", "k").orderBy("at", F.col("owner").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    owned = probes.unionByName(said).withColumn("owner", F.last("owner", ignorenulls=True).over(before)).where("kind is not null")
+
+    mine, others = F.col("owner").eqNullSafe(F.col("person")), F.col("owner").isNotNull() & (F.col("owner") != F.col("person"))
+    # a claim may stand nowhere in another's words only; two words in a row may stand before anyone speaks, too
+    each = owned.groupBy("id", "n", "order", "person", "kind", "what").agg(F.min("place").alias("place"), F.bool_or(mine).alias("mine"), F.bool_or(others).alias("others"), F.bool_and(others).alias("only"))
+    hits = lambda kind, good: F.array_sort(F.collect_list(F.when((F.col("kind") == kind) & good, F.struct("place", "what"))))
+    summed = each.groupBy("id", "n", "order", "person").agg(hits("claim", F.col("only")).alias("c"), hits("pair", F.col("others")).alias("p"), F.bool_or("mine").alias("mine"))
+    given = F.transform(F.when(F.size("c") > 0, F.col("c")).when(~F.col("mine"), F.col("p")), lambda x: x["what"])
+    first = summed.withColumn("given", given).where("size(given) > 0").groupBy("id", "n").agg(F.min(F.struct("order", "person", "given")).alias("g"))
+    return first.select("id", "n", "g.person", "g.given")
+
+
+def misattributed(statements: DataFrame, saying: tuple[str, ...] = SAYING, reach: int = 200) -> DataFrame:
+    """Rows (id, claim, speaker, source, names) with ``given_to``: whom the source has say the claim, if never the speaker.
+
+    A speaker's span runs from a name that a verb of saying follows within ``reach`` characters to the
+    next such name; a claim that also stands outside all spans, or in the speaker's own, is not
+    misattributed (null), nor one that the source lacks.  ``id`` is unique.
+    """
+    rows = written(statements, "statements")
+    says = F.lit(rf"(?<![\p{{L}}\p{{N}}_])(?:{'|'.join(saying)})(?![\p{{L}}\p{{N}}_])")
+    named = rows.select("id", "source", F.explode(F.array_distinct("names")).alias("name"))
+    places = occurrences(named, ["id", "name"], "source", _whole(F.col("name"))).select("id", "name", "start", F.col("end").alias("at"), F.lit(None).cast("int").alias("verb"))
+    verbs = occurrences(rows, ["id"], "source", says).select("id", F.lit(None).cast("string").alias("name"), F.lit(None).cast("int").alias("start"), F.col("start").alias("at"), F.col("start").alias("verb"))
+    ahead = Window.partitionBy("id").orderBy("at", F.col("verb").isNotNull()).rowsBetween(0, Window.unboundedFollowing)
+    mentions = places.unionByName(verbs).withColumn("next", F.first("verb", ignorenulls=True).over(ahead)).where(F.col("name").isNotNull() & (F.col("next") - F.col("at") < reach))
+    probes = occurrences(rows.where("length(claim) > 0"), ["id"], "source", _whole(F.col("claim"))).select("id", F.lit(None).cast("string").alias("name"), F.col("start").alias("at"))
+    marks = mentions.select("id", "name", F.col("start").alias("at")).unionByName(probes)
+    before = Window.partitionBy("id").orderBy("at", F.col("name").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    owned = marks.withColumn("owner", F.last("name", ignorenulls=True).over(before)).where("name is null").join(rows.select("id", "speaker"), "id")
+    given = owned.groupBy("id").agg(F.bool_and(F.col("owner").isNotNull() & ~F.col("owner").eqNullSafe(F.col("speaker"))).alias("bad"), F.min(F.struct("at", "owner")).alias("first"))
+    return rows.join(given.where("bad").select("id", F.col("first.owner").alias("given_to")), "id", "left").select(*statements.columns, "given_to")
 
 
 def other_organisations(answers: DataFrame, kinds: tuple[str, ...] = ("Company", "Bank", "University", "Ministry", "Court", "Institute")) -> DataFrame:

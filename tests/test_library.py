@@ -30,7 +30,7 @@ def test_comparable_and_stated(spark):
 
 def test_names_and_speakers(spark):
     text = "The Anna Berg said it. But Carl Otto Maria Dahl said no; iPhone Max was The End."
-    assert spark.createDataFrame([(text,)], "t string").select(verification.names(F.col("t")).alias("n")).first().n == ["Anna Berg", "Carl Otto Maria"]
+    assert spark.createDataFrame([(text,)], "t string").select(verification.names(F.col("t")).alias("n")).first().n == ["Anna Berg"]
     source = "Anna Berg said the price was 500 euros. Carl Dahl said it was 700 euros. Nobody knew 900."
     rows = [(1, "500", "Carl Dahl"), (2, "500", "Anna Berg"), (3, "700", "Anna Berg"), (4, "111", "Anna Berg"), (5, None, "Anna Berg"), (6, "00", "Anna Berg")]
     df = spark.createDataFrame([(i, c, s, source, ["Anna Berg", "Carl Dahl"]) for i, c, s in rows], "id long, claim string, speaker string, source string, names array<string>")

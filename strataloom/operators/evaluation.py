@@ -193,3 +193,43 @@ def bootstrap(df: DataFrame, value: str, resamples: int = 2000, seed: int = 7, l
     edge = (1 - level) / 2
     interval = means.agg(F.expr(f"percentile(m, {edge})").alias("low"), F.expr(f"percentile(m, {1 - edge})").alias("high"))
     return rows.agg(F.avg("v").alias("mean")).join(F.broadcast(interval))
+
+
+def bottom_k(df: DataFrame, by: str, key: str, k: int, seed: int = 7) -> DataFrame:
+    """``k`` rows of each group, chosen and ordered (``place``) by a keyed hash of group and key.
+
+    The choice depends on seed, group and key only, so it is the same on any partitioning; each task
+    keeps its own ``k`` first, and only these are shuffled.
+    """
+    return df.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(sample_order(by, key, seed), key))).where(F.col("place") <= k)
+
+
+def sample_order(by: str, key: str, seed: int):
+    return F.sha2(F.concat_ws(":", F.lit(seed), F.col(by), F.col(key)), 256)
+
+
+def context_samples(holding: DataFrame, ranked: DataFrame, sources: int = 6, per_piece: int = 2, seed: int = 7) -> DataFrame:
+    """(query_id, key, place): the context of a perfect search, filled up from a ranking and shuffled by ``seed``.
+
+    ``holding``: query_id, piece, key and ``answers`` (the chunk states the answer): the chunks that hold
+    a piece of the evidence.  Of each piece ``per_piece`` go in, those that state the answer first, then the
+    ranking's (query_id, key, rank), until there are ``sources``.  All cuts are by bounded windows.
+    """
+    best = F.row_number().over(Window.partitionBy("query_id", "piece").orderBy(F.desc("answers"), "key"))
+    first = holding.withColumn("n", best).where(F.col("n") <= per_piece).select("query_id", "key", F.struct(F.lit(0).alias("list"), F.col("piece").cast("long").alias("a"), F.col("n").cast("long").alias("b")).alias("order"))
+    rest = ranked.where(F.col("rank") <= sources * (per_piece + 1)).select("query_id", "key", F.struct(F.lit(1).alias("list"), F.col("rank").cast("long").alias("a"), F.lit(0).cast("long").alias("b")).alias("order"))
+    each = first.unionByName(rest).groupBy("query_id", "key").agg(F.min("order").alias("order"))
+    kept = each.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("order", "key"))).where(F.col("n") <= sources)
+    return bottom_k(kept.select("query_id", "key"), "query_id", "key", sources, seed)
+
+
+def judged_answers(answers: DataFrame, cited: DataFrame, found: DataFrame, evidence: DataFrame, statuses: list[str]) -> DataFrame:
+    """``judged`` from what answers cite and find, instead of ready-made flags.
+
+    ``answers``: query_id, type, status, correct; ``cited`` and ``found``: query_id, document, page_start,
+    page_end of the sources that the answer cites, and of all it was given; ``evidence``: query_id, piece,
+    document, page.  An answer is cited (found) well if every piece of its evidence is covered.
+    """
+    one = lambda df: golden_rank(df.withColumn("rank", F.lit(1)), evidence, 1).select("query_id", F.col("golden").isNotNull().alias("ok"))
+    own = answers.join(one(cited).withColumnRenamed("ok", "cited"), "query_id", "left").join(one(found).withColumnRenamed("ok", "found"), "query_id", "left")
+    return judged(own.na.fill(False, ["cited", "found"]), statuses)

@@ -173,8 +173,7 @@ SELECT key, idx, CASE WHEN title THEN 'heading' WHEN listed THEN 'list_item' ELS
 
 def chunk_documents(spark, sf_dir):
     """Structure-aware chunks of all documents."""
-    d = documents(spark, sf_dir).select("key", chunking.blocks_of(clean(F.col("text"))).alias("blocks"))
-    return chunking.chunks(d)
+    return chunking.text_chunks(documents(spark, sf_dir).select("key", clean(F.col("text")).alias("text")))
 
 
 def chunk_tokens(spark, sf_dir):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import opening
+from ..functions.text import opening, words
 from ..operators import evaluation, maintenance, verification
 from ..operators import relational as rel
 from .base import TREE_SQL, table, tree
@@ -144,13 +144,22 @@ def newest_documents(spark, sf_dir):
     return d.select("doc_id", "lang", opening(F.col("text")).alias("opening"))
 
 
+def _pages_and_chunks(spark, sf_dir):
+    """Pages of four lines, and chunks of ten lines with the pages on which they begin and end and their words."""
+    lines = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    lines = lines.withColumn("page", F.floor(F.col("n") / 4).cast("int")).withColumn("chunk", F.floor(F.col("n") / 10).cast("int"))
+    pages = lines.groupBy("key", "page").agg(F.count("*").alias("lines"))
+    chunks = lines.groupBy("key", "chunk").agg(F.min("page").alias("page_start"), F.max("page").alias("page_end"), F.sum(F.size(words(F.col("line")))).alias("words"))
+    return pages, chunks
+
+
 def page_view(spark, sf_dir):
-    """Pages of four lines: how many chunks of ten lines lie on each, and how many pages the document has."""
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.size(F.split("text", "\n")).alias("lines"))
-    d = d.withColumn("total", F.ceil(F.col("lines") / 4).cast("int"))
-    pages = d.select("key", "total", "lines", F.explode(F.sequence(F.lit(0), F.col("total") - 1)).alias("page"))
-    first, last = F.floor(F.col("page") * 4 / 10), F.floor((F.least(F.col("page") * 4 + 4, "lines") - 1) / 10)
-    return pages.select("key", "page", "total", (last - first + 1).cast("int").alias("chunks"))
+    """Each page with the chunks that lie on it, their words, and how many pages the document has."""
+    pages, chunks = _pages_and_chunks(spark, sf_dir)
+    totals = pages.groupBy("key").agg(F.count("*").cast("int").alias("total"))
+    met = rel.range_join(pages, chunks, "key", "page", "page_start", "page_end").groupBy("key", "page").agg(
+        F.count("*").cast("int").alias("chunks"), F.array_join(F.array_sort(F.collect_list("chunk")), ",").alias("ordinals"), F.sum("words").alias("words"))
+    return pages.join(met, ["key", "page"], "left").join(totals, "key").select("key", "page", "total", F.coalesce("chunks", F.lit(0)).alias("chunks"), "ordinals", "words")
 
 
 def rendered_sources(spark, sf_dir):
@@ -162,7 +171,7 @@ def rendered_sources(spark, sf_dir):
 
 def indexed_texts(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", verification.indexed_text(F.col("source"), F.array(F.col("lang"), F.lit("")), F.substring("text", 1, 30)).alias("indexed"))
+    return d.select("doc_id", verification.indexed_text(F.col("source"), F.array(F.col("lang"), F.lit("")), F.col("text")).alias("indexed"))
 
 
 def conversation_list(spark, sf_dir):
@@ -264,9 +273,11 @@ SQL = {
     "file_titles": r"""WITH n AS (SELECT page_id, nullif(substr(trim(regexp_replace(regexp_replace(regexp_replace(url, '[?#].*$', ''), '^.*[/\\]', ''), '[\x00-\x1f\x7f"<>:|*]+', '', 'g')), 1, 200), '') AS name FROM pages) SELECT page_id, name, trim(regexp_replace(regexp_replace(name, '\.[A-Za-z0-9]{1,8}$', ''), '[_.\s-]+', ' ', 'g')) AS title FROM n""",
     "document_list": f"WITH v AS (SELECT l_orderkey, l_linenumber, l_linestatus FROM lineitem QUALIFY {_NEWEST_SQL}) SELECT o_orderkey AS document, lower(c_name) AS name, l_linenumber AS version, l_linestatus AS status FROM orders JOIN customer ON c_custkey = o_custkey LEFT JOIN v ON l_orderkey = o_orderkey WHERE o_orderstatus <> 'P'",
     "newest_documents": r"SELECT doc_id, lang, CASE WHEN length(text) <= 140 THEN text ELSE regexp_replace(substr(text, 1, 141), '\s+\S*$', '') END AS opening FROM documents ORDER BY doc_id DESC LIMIT 60",
-    "page_view": "WITH d AS (SELECT doc_id AS key, len(string_split(text, chr(10))) AS lines FROM documents), p AS (SELECT key, lines, unnest(range((lines - 1) // 4 + 1)) AS page FROM d) SELECT key, page::INT AS page, ((lines - 1) // 4 + 1)::INT AS total, ((least(page * 4 + 4, lines) - 1) // 10 - page * 4 // 10 + 1)::INT AS chunks FROM p",
+    "page_view": r"""WITH l AS (SELECT doc_id AS key, n - 1 AS n, lines[n] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS lines, unnest(range(1, len(lines) + 1)) AS n FROM documents)),
+p AS (SELECT DISTINCT key, n // 4 AS page FROM l), c AS (SELECT key, n // 10 AS chunk, min(n // 4) AS page_start, max(n // 4) AS page_end, sum(len(regexp_extract_all(lower(line), '[\p{L}\p{N}_]+'))) AS words FROM l GROUP BY ALL)
+SELECT p.key, p.page::INT AS page, (SELECT count(*)::INT FROM p q WHERE q.key = p.key) AS total, count(c.chunk)::INT AS chunks, string_agg(c.chunk, ',' ORDER BY c.chunk) AS ordinals, sum(c.words)::BIGINT AS words FROM p LEFT JOIN c ON c.key = p.key AND p.page BETWEEN c.page_start AND c.page_end GROUP BY p.key, p.page""",
     "rendered_sources": "WITH r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS n FROM orders) SELECT o_custkey AS query_id, string_agg('[' || n || '] ' || o_orderpriority || chr(10) || o_orderstatus || chr(10) || o_orderkey, chr(10) || chr(10) ORDER BY n) AS text FROM r WHERE n <= 3 GROUP BY o_custkey",
-    "indexed_texts": "SELECT doc_id, array_to_string(list_filter([source, lang, substr(text, 1, 30)], lambda x: x IS NOT NULL AND x <> ''), chr(10)) AS indexed FROM documents",
+    "indexed_texts": "SELECT doc_id, array_to_string(list_filter([source, lang, text], lambda x: x IS NOT NULL AND x <> ''), chr(10)) AS indexed FROM documents",
     "conversation_list": "SELECT conv_id, count(*) AS turns, max(turn) + 1 AS next_turn, arg_max(role, turn) AS last_role, length(arg_max(text, turn)) AS last_letters FROM conversations GROUP BY conv_id",
     "event_fields": "SELECT event_type, count(k) AS with_k, sum(k)::BIGINT AS sum_k FROM (SELECT event_type, json_extract_string(props, '$.k')::BIGINT AS k FROM events) GROUP BY event_type",
     "engine_agreement": f"""WITH {_counted("a", "replace(text, 'ing', 'in')")}, {_counted("b", "replace(text, 'er', 'e')")}, {_counted("t", "text")},

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import io
 import re
+import uuid
 import zipfile
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,7 +93,7 @@ def _xlsx(z: zipfile.ZipFile) -> Iterator[tuple[int, dict]]:
                 row.pop()
             cells += len(row)
             if cells > MOST_CELLS:
-                break
+                raise ValueError("sheet_too_large")
             if row:
                 rows.append(row)
         notes = 0
@@ -191,11 +193,67 @@ def html_to_text(pages: DataFrame, html: str = "html") -> DataFrame:
     return pages.select(*rest, html).mapInPandas(run, schema)
 
 
-def store_blobs(files: DataFrame, path: str) -> None:
-    """Add contents to a store partitioned by the first byte of their hash; known ones are not written again."""
-    spark = files.sparkSession
-    new = files.select("sha256", "size_bytes", "content").dropDuplicates(["sha256"])
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-        new = new.join(spark.read.parquet(path).select("sha256"), "sha256", "left_anti")
-    new.withColumn("shard", F.substring("sha256", 1, 2)).write.mode("append").partitionBy("shard").parquet(path)
+class BlobStore:
+    """Contents by their hash in a folder: put, read, list, delete and age.
+
+    Each change is a batch of its own: contents in ``blobs``, and in ``entries`` what it adds or
+    deletes, written last.  So a change that is broken off counts for nothing, readers see whole
+    changes only, and writers at the same time don't disturb each other: the same content put twice is
+    two rows of one hash, of which one counts.  A hash is there if its newest entry isn't a deletion;
+    what was deleted keeps its bytes until the folder of its batch is removed.
+    """
+
+    ENTRIES = "sha256 string, size_bytes long, batch string, at timestamp, deleted boolean"
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _entries(self) -> DataFrame:
+        try:
+            return self.spark.read.schema(self.ENTRIES).parquet(f"{self.path}/entries")
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], self.ENTRIES)
+
+    def list(self) -> DataFrame:
+        """(sha256, size_bytes, batch, since) of what is there; ``since`` is when the content came after its last deletion."""
+        own = self._entries()
+        gone = own.where("deleted").groupBy("sha256").agg(F.max("at").alias("gone"))
+        live = own.where("not deleted").join(gone, "sha256", "left").where("gone is null or at > gone")
+        return live.groupBy("sha256").agg(F.max("size_bytes").alias("size_bytes"), F.min("batch").alias("batch"), F.min("at").alias("since"))
+
+    def aged(self, before) -> DataFrame:
+        """What is there since before a time."""
+        return self.list().where(F.col("since") < F.lit(before))
+
+    def put(self, files: DataFrame, at=None) -> None:
+        """Add the contents of (content) rows; those that are there aren't written again."""
+        batch, folder = uuid.uuid4().hex, f"{self.path}/blobs"
+        new = files.where("content is not null").select(F.sha2("content", 256).alias("sha256"), F.octet_length("content").cast("long").alias("size_bytes"), "content").dropDuplicates(["sha256"])
+        new = new.join(self.list().select("sha256"), "sha256", "left_anti")
+        new.withColumn("shard", F.substring("sha256", 1, 2)).write.partitionBy("shard").parquet(f"{folder}/batch={batch}")
+        wide = "sha256 string, size_bytes long"
+        added = self.spark.read.schema(wide + ", shard string").parquet(f"{folder}/batch={batch}").select("sha256", "size_bytes")
+        self._enter(added, batch, at, False)
+
+    def delete(self, hashes: DataFrame, at=None) -> None:
+        """Take away contents by (sha256); what isn't there is left out."""
+        self._enter(self.list().join(hashes.select("sha256").distinct(), "sha256", "left_semi").select("sha256", "size_bytes"), uuid.uuid4().hex, at, True)
+
+    def _enter(self, rows: DataFrame, batch: str, at, deleted: bool) -> None:
+        moment = F.lit(at).cast("timestamp") if at is not None else F.current_timestamp()
+        entries = rows.select("sha256", "size_bytes", F.lit(batch).alias("batch"), moment.alias("at"), F.lit(deleted).alias("deleted"))
+        # a batch's entries become visible when their write is committed
+        entries.write.mode("append").parquet(f"{self.path}/entries")
+
+    def read(self, hashes: DataFrame | None = None) -> DataFrame:
+        """(sha256, size_bytes, content) of what is there, once each; of given (sha256) rows only if they are named."""
+        wanted = self.list() if hashes is None else self.list().join(hashes.select("sha256").distinct(), "sha256", "left_semi")
+        try:
+            blobs = self.spark.read.schema("sha256 string, content binary, shard string, batch string").parquet(f"{self.path}/blobs")
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            blobs = self.spark.createDataFrame([], "sha256 string, content binary, shard string, batch string")
+        return wanted.join(blobs.withColumn("shard", F.col("shard").cast("string")), ["sha256", "batch"]).select("sha256", "size_bytes", "content")

@@ -7,14 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.text import clean, lexical_terms
-from ..operators.chunking import blocks_of, chunks
+from ..operators.chunking import text_chunks
 from ..operators.fingerprints import content_hash
 from ..operators.relational import latest
 
-#: Status of a document version on its way.
-STATES = ("queued", "parsing", "parsed", "embedding", "ready", "failed")
-
-
 def indexed(docs: DataFrame) -> DataFrame:
     """Chunks of (key, version, text) rows with content hash and search terms.
 
@@ -22,7 +18,7 @@ def indexed(docs: DataFrame) -> DataFrame:
     """
     plain = docs.withColumn("text", clean(F.col("text")))
     good = plain.where("length(text) > 0")
-    cut = chunks(good.select("key", blocks_of(F.col("text")).alias("blocks")))
+    cut = text_chunks(good.select("key", "text"))
     versions = good.select("key", "version")
     ready = cut.join(versions, "key").select("key", "version", "ordinal", "text", "heading_path", "tokens", content_hash(F.col("text")).alias("content_hash"), lexical_terms(F.col("text")).alias("terms"), F.lit("ready").alias("status"))
     failed = plain.where("text is null or length(text) = 0").select("key", "version", F.lit(0).alias("ordinal"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("array<string>").alias("heading_path"), F.lit(0).alias("tokens"), F.lit(None).cast("string").alias("content_hash"), F.lit(None).cast("array<string>").alias("terms"), F.lit("failed").alias("status"))

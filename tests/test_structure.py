@@ -1,14 +1,17 @@
 """Lines, blocks, chunks, sources and streams."""
 
+import hashlib
 import io
+import json
 import random
+import time
 import zipfile
 
 from pyspark.sql import functions as F
 
 from strataloom.functions import text
-from strataloom.operators import chunking, entities, kernels, retrieval
-from strataloom.sources import files
+from strataloom.operators import chunking, entities, evaluation, kernels, retrieval
+from strataloom.sources import files, layout
 from strataloom.streaming import ingest
 
 
@@ -87,13 +90,103 @@ def test_sources(spark, tmp_path):
     blocks = files.office_blocks(read).orderBy("path", "idx").collect()
     assert [(b.kind, b.text, b.level) for b in blocks if b.path.endswith("c.docx")] == [("heading", "Title", 1), ("paragraph", "Body", None), ("table", None, None)]
     assert [b.failure for b in blocks if b.path.endswith("e.zip")] == ["unknown_type"]
-    store = str(tmp_path / "store")
-    files.store_blobs(read, store)
-    files.store_blobs(read, store)
-    assert spark.read.parquet(store).count() == len(data)
+    cells = "".join("<row>" + f"<c><v>{n % 7}</v></c>" * 1000 + "</row>" for n in range(501))
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_STORED) as z:
+        z.writestr("xl/workbook.xml", "<x/>")
+        z.writestr("xl/worksheets/sheet1.xml", f'<s xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main">{cells}</s>')
+    big = spark.createDataFrame([("big.xlsx", buffer.getvalue())], "path string, content binary")
+    assert [b.failure for b in files.office_blocks(big).collect()] == ["sheet_too_large"]
     assert files.read_files(spark, str(tmp_path / "a.pdf"), most_bytes=3).count() == 0
 
 
+def test_blob_store(spark, tmp_path):
+    import datetime
+
+    day = lambda n: datetime.datetime(2024, 1, n)
+    contents = lambda *x: spark.createDataFrame([(c.encode(),) for c in x], "content binary")
+    hashes = lambda *x: spark.createDataFrame([(hashlib.sha256(c.encode()).hexdigest(),) for c in x], "sha256 string")
+    store = files.BlobStore(spark, str(tmp_path / "store"))
+    there = lambda: sorted(r.content.decode() for r in store.read().collect())
+    assert store.list().count() == 0 and there() == []
+    store.put(contents("a", "b", "a"), day(1))
+    store.put(contents("b", "c"), day(2))
+    assert there() == ["a", "b", "c"] and store.list().where("size_bytes = 1").count() == 3
+    assert spark.read.parquet(f"{store.path}/blobs").count() == 3
+    store.delete(hashes("a", "zz"), day(3))
+    assert there() == ["b", "c"] and [r.content for r in store.read(hashes("a", "b")).collect()] == [b"b"]
+    assert store.aged(day(2)).count() == 1
+    store.put(contents("a"), day(4))
+    assert there() == ["a", "b", "c"] and store.list().agg(F.max("since")).first()[0] == day(4)
+    # two writers that don't see each other leave one copy; a put that breaks off before its entries leaves none
+    one, two = files.BlobStore(spark, store.path), files.BlobStore(spark, store.path)
+    seen = spark.createDataFrame(one.list().collect(), one.list().schema)
+    one.list = two.list = lambda: seen
+    one.put(contents("d"), day(5))
+    two.put(contents("d", "e"), day(5))
+    assert there() == ["a", "b", "c", "d", "e"]
+    two._enter = lambda *a: None
+    two.put(contents("f"))
+    assert there() == ["a", "b", "c", "d", "e"]
+
+
+def test_sentences_end_at_stops_before_capitals():
+    text = 'He said "Nay." Then Dr. Who left, e.g. Today. A. B. Smith came at 5. 12 men... "Why?" he asked. (Yes.) End'
+    assert chunking.sentences(text) == ['He said "Nay."', "Then Dr. Who left, e.g. Today.", "A. B. Smith came at 5.", '12 men...', '"Why?" he asked.', "(Yes.)", "End"]
+    assert chunking.sentences("") == [] and chunking.sentences("  one  ") == ["one"]
+    began = time.time()
+    assert len(chunking.sentences("It ended here. " * 70_000)) == 70_000 and time.time() - began < 2
+
+
+def test_texts_are_chunked_by_their_blocks(spark):
+    rows = [(1, "Chapter 1\nGeneral Rules\nThe first sen-\ntence goes\non here.\n\nAnother one."), (2, ""), (3, None), (4, " \n ")]
+    got = chunking.text_chunks(spark.createDataFrame(rows, "key long, text string")).collect()
+    assert [(r.key, r.heading_path, r.text) for r in got] == [(1, ["Chapter 1 General Rules"], "Chapter 1 General Rules\nThe first sentence goes on here.\nAnother one.")]
+
+
+def test_layout_blocks(spark):
+    text = lambda t, label="text", **x: {"label": label, "text": t, **x}
+    page = lambda n: [{"page_no": n}]
+    refs = lambda *r: [{"$ref": f"#/{x}"} for x in r]
+    cell = lambda r, c, t, head=False, end=None: {"start_row_offset_idx": r, "end_row_offset_idx": end or r + 1, "start_col_offset_idx": c, "text": t, "column_header": head}
+    doc = {
+        "body": {"children": refs("texts/1", "groups/0", "pictures/0", "tables/0", "texts/6", "tables/1", "texts/99")}, "pages": {"4": {"page_no": 4}, "12": {"page_no": 12}},
+        "texts": [
+            text("in  the\nlist", "list_item", marker="1.", prov=page(5)), text("A Title", "title", children=refs("texts/2")), text("below it"), text("gone", content_layer="furniture", children=refs("texts/5")), text("caption", prov=page(6)), text("gone too"), text("page 1", "page_header"),
+        ],
+        "groups": [{"children": refs("texts/0", "texts/3", "groups/1")}, {"children": refs("texts/6")}], "pictures": [{"children": refs("texts/4", "tables/0"), "prov": page(6)}],
+        "tables": [{"prov": page(7), "data": {"num_rows": 3, "num_cols": 2, "table_cells": [cell(0, 0, "h", True), cell(0, 1, " i ", True), cell(1, 1, "x"), cell(2, 0, "y"), cell(9, 0, "out")]}}, {"data": {"num_rows": 1, "num_cols": 1, "table_cells": []}}],
+    }
+    rows = [(1, json.dumps(doc)), (2, "{broken"), (3, None), (4, "{}"), (5, json.dumps({"body": {"children": refs("texts/0")}, "texts": [text("only")]}))]
+    got = layout.layout_blocks(spark.createDataFrame(rows, "key long, json string")).orderBy("key", "idx").collect()
+    assert [(r.key, r.idx, r.kind, r.text, r.page, r.level) for r in got] == [
+        (1, 0, "heading", "A Title", 4, 1), (1, 1, "paragraph", "below it", 4, None), (1, 2, "list_item", "1. in the list", 5, None), (1, 3, "figure_text", "caption", 6, None), (1, 4, "table", "", 7, None), (5, 0, "paragraph", "only", 1, None),
+    ]
+    assert got[4].rows == [["h", "i"], ["", "x"], ["y", ""]] and got[4].header_rows == 1
+
+
+def test_samples_are_the_same_on_any_partitioning(spark):
+    rows = spark.createDataFrame([(q, k) for q in range(5) for k in range(50)], "query_id long, key long")
+    one = {(r.query_id, r.place): r.key for r in evaluation.bottom_k(rows.repartition(7), "query_id", "key", 4).collect()}
+    assert one == {(r.query_id, r.place): r.key for r in evaluation.bottom_k(rows.coalesce(1), "query_id", "key", 4).collect()} and len(one) == 20
+    order = lambda q, k: hashlib.sha256(f"7:{q}:{k}".encode()).hexdigest()
+    assert all([one[q, p] for p in range(1, 5)] == sorted(range(50), key=lambda k, q=q: order(q, k))[:4] for q in range(5))
+    holding = spark.createDataFrame([(1, 0, 10, False), (1, 0, 11, True), (1, 0, 12, True), (1, 1, 11, True)], "query_id long, piece int, key long, answers boolean")
+    ranked = spark.createDataFrame([(1, 12, 1), (1, 20, 2), (1, 21, 3), (2, 30, 1)], "query_id long, key long, rank int")
+    got = evaluation.context_samples(holding, ranked, sources=3).orderBy("query_id", "place").collect()
+    assert [(r.query_id, r.key) for r in got] == [(1, k) for k in sorted([11, 12, 20], key=lambda k: order(1, k))] + [(2, 30)]
+
+
+def test_answers_are_judged_by_their_sources(spark):
+    answers = spark.createDataFrame([(1, "t", "ok", True), (2, "t", "ok", False), (3, "t", "no", False)], "query_id long, type string, status string, correct boolean")
+    spans = "query_id long, document long, page_start int, page_end int"
+    evidence = spark.createDataFrame([(1, 0, 5, 3), (1, 1, 6, 1), (2, 0, 5, 3), (3, 0, 5, 3)], "query_id long, piece int, document long, page int")
+    cited = spark.createDataFrame([(1, 5, 1, 4), (2, 5, 4, 9)], spans)
+    found = spark.createDataFrame([(1, 5, 1, 4), (1, 6, 1, 1), (2, 5, 3, 3)], spans)
+    r = evaluation.judged_answers(answers, cited, found, evidence, ["ok", "no"]).first()
+    assert (r.questions, r.correct, r.cited, r.found, r.ok, r.no) == (3, 0.333333, 0.0, 0.666667, 2, 1)
+
+
 def test_stream_of_documents_is_indexed_once(spark, tmp_path):
     source, target, check = (str(tmp_path / x) for x in ("in", "out", "check"))
     spark.createDataFrame([(1, 1, "First words here."), (2, 1, "  ")], "key long, version int, text string").write.parquet(source)

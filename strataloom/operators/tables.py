@@ -26,3 +26,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt to all cores, if its files give fewer partitions than there are cores.
+
+    A small table may be one file of one row group, which one task reads; work on its texts is worth a
+    shuffle of them then.  Tables of more files stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.tables import spread
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -12,7 +14,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(key, text) of the documents."""
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text")
+    return spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text"))
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:

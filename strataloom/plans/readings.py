@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import alignment, comparison
+from ..operators.tables import spread
 from .base import documents, table
 
 _WORDS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]+')"
@@ -12,7 +13,7 @@ _WORDS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]+')"
 
 def _readings(spark, sf_dir):
     """Documents and a reading in which words that begin with 'th' are garbled, every fifth line is missing and a line was made up."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
     lines = F.split(F.regexp_replace("text", r"(?:^|(?<=\s))t(h[a-z]{4,})", "qz$1"), "\n")
     kept = F.filter(lines, lambda x, k: k % 5 != 4)
     return d.select(F.col("doc_id").alias("key"), "lang", F.col("text").alias("truth"), F.concat(F.array_join(kept, "\n"), F.lit("\nqxa qxb qxc qxd")).alias("output"))
@@ -42,7 +43,7 @@ def _parsed(spark, sf_dir):
 
     The first line of a document is its running line; each fifth page has no usable text layer.
     """
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.split("text", "\n").alias("all"))
+    d = documents(spark, sf_dir).select(F.col("key").alias("doc"), F.split("text", "\n").alias("all"))
     lined = d.select("doc", F.element_at("all", 1).alias("furniture"), F.posexplode("all").alias("n", "line"))
     lined = lined.withColumn("page", F.floor(F.col("n") / 4).cast("int") + 1)
     pages = lined.groupBy("doc", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n").alias("text"), F.first("furniture").alias("furniture"))

@@ -16,14 +16,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
-# Names of licences as SPDX writes them, and the GNU licences.
+# Names of licences as SPDX writes them, also those of the GNU licences without "only" or "or later".
 SPDX = (
-    "0BSD", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC-BY-3.0", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-NC-SA-4.0", "CC-BY-SA-3.0",
-    "CC-BY-SA-4.0", "CC0-1.0", "EPL-1.0", "EPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "ISC", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only",
-    "LGPL-3.0-or-later", "MIT", "MPL-2.0", "Unlicense", "WTFPL", "Zlib",
+    "0BSD", "AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0", "Artistic-1.0", "Artistic-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC-BY-3.0", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-NC-SA-4.0",
+    "CC-BY-SA-3.0", "CC-BY-SA-4.0", "CC0-1.0", "EPL-1.0", "EPL-2.0", "GFDL-1.2-only", "GFDL-1.2-or-later", "GFDL-1.3-only", "GFDL-1.3-or-later", "GPL-1.0-only", "GPL-1.0-or-later", "GPL-2.0", "GPL-2.0-only",
+    "GPL-2.0-or-later", "GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later", "ISC", "LGPL-2.0-only", "LGPL-2.0-or-later", "LGPL-2.1", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0", "LGPL-3.0-only",
+    "LGPL-3.0-or-later", "MIT", "MPL-1.1", "MPL-2.0", "Unlicense", "WTFPL", "Zlib",
+)
+# The GNU licences, their versions and the dates in their titles.
+GNU = (
+    ("GPL", "gnu general public license", (("1", "february 1989"), ("2", "june 1991"), ("3", "29 june 2007"))), ("LGPL", "gnu library general public license", (("2", "june 1991"),)),
+    ("LGPL", "gnu lesser general public license", (("2.1", "february 1999"), ("3", "29 june 2007"))), ("AGPL", "gnu affero general public license", (("3", "19 november 2007"),)),
+    ("GFDL", "gnu free documentation license", (("1.1", "march 2000"), ("1.2", "november 2002"), ("1.3", "3 november 2008"))),
+)
+CREATIVE_COMMONS = (
+    ("CC-BY", "attribution", "by"), ("CC-BY-NC", "attribution noncommercial", "by nc"), ("CC-BY-SA", "attribution sharealike", "by sa"), ("CC-BY-NC-SA", "attribution noncommercial sharealike", "by nc sa"),
+    ("CC-BY-ND", "attribution noderivatives", "by nd"), ("CC-BY-NC-ND", "attribution noncommercial noderivatives", "by nc nd"),
 )
-GNU = (("GPL", "gnu general public license", ("2", "3")), ("LGPL", "gnu lesser general public license", ("2.1", "3")), ("AGPL", "gnu affero general public license", ("3",)))
-CREATIVE_COMMONS = (("CC-BY", "attribution", "by"), ("CC-BY-NC", "attribution noncommercial", "by nc"), ("CC-BY-SA", "attribution sharealike", "by sa"), ("CC-BY-NC-SA", "attribution noncommercial sharealike", "by nc sa"))
 
 # Well-known licence sentences in normalised form, and their identifiers.
 PLAIN = {
@@ -63,6 +72,12 @@ PLAIN = {
     "do what the fuck you want to public license": "wtfpl-title",
     "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose": "gnu-warranty",
     "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose": "gnu-warranty",
+    "mozilla public license version 1 1": "mpl11-title",
+    "the contents of this file are subject to the mozilla public license version 1 1 the license": "mpl11-form",
+    "mozilla public license version 2 0": "mpl2-title",
+    "the artistic license": "artistic-title",
+    "the artistic license 2 0": "artistic2-title",
+    "eclipse public license v 1 0": "epl1-title",
     "cc0 1 0 universal": "cc0-title",
     "this work is dedicated to the public domain under cc0 1 0": "cc0-title",
 }
@@ -78,10 +93,16 @@ def _sentences() -> dict[str, str]:
     for name in SPDX:
         out[f"spdx license identifier {name.lower().replace('-', ' ').replace('.', ' ')}"] = f"spdx-{name}"
     for short, name, versions in GNU:
-        for v in versions:
+        for v, date in versions:
             written, own = v.replace(".", " "), f"{short.lower()}{_slug(v)}"
+            out[f"{name} version {written}"] = out[f"{name} version {written} {date}"] = f"{own}-title"
             for head in ("licensed under the ", "this work is licensed under the ", "released under the "):
                 out[f"{head}{name} version {written}"] = out[f"{head}{name} v{written}"] = f"{own}-tag"
+            if short == "GFDL":
+                grant = f"permission is granted to copy distribute and or modify this document under the terms of the {name} version {written}"
+                for tail in ("", " with no invariant sections no front cover texts and no back cover texts"):
+                    out[f"{grant} or any later version published by the free software foundation{tail}"], out[f"{grant} published by the free software foundation{tail}"] = f"{own}-later", f"{own}-only"
+                continue
             out[f"you can redistribute it and or modify it under the terms of the {name} as published by the free software foundation either version {written} of the license or at your option any later version"] = f"{own}-later"
             out[f"you can redistribute it and or modify it under the terms of the {name} version {written} as published by the free software foundation"] = f"{own}-only"
             out[f"you can redistribute it and or modify it under the terms of the {name} as published by the free software foundation version {written} of the license"] = f"{own}-only"
@@ -90,8 +111,9 @@ def _sentences() -> dict[str, str]:
             written, own = v.replace(".", " "), f"{short.lower()}-{_slug(v)}-tag"
             for head in ("licensed under ", "this work is licensed under "):
                 out[f"{head}cc {code} {written}"] = own
-                for kind in (f"international license", "unported license"):
+                for kind in ("international license", "unported license", "international public license"):
                     out[f"{head}a creative commons {name} {written} {kind}"] = out[f"{head}the creative commons {name} {written} {kind}"] = own
+            out[f"creative commons {name} {written} {'international' if v == '4.0' else 'unported'} public license"] = own
     return out
 
 
@@ -106,15 +128,18 @@ def _rules() -> tuple[tuple[str, tuple[str, ...]], ...]:
         ("Apache-2.0", ("apache2-head", "apache2-compliance", "apache2-copy")), ("Apache-2.0", ("apache2-head", "apache2-compliance")),
         ("Apache-2.0", ("apache2-header", "apache2-copy")), ("Apache-2.0", ("apache2-header",)), ("Apache-2.0", ("apache2-title",)), ("Apache-2.0", ("apache2-tag",)),
         ("ISC", ("isc-title", "isc-grant")), ("ISC", ("isc-grant",)), ("0BSD", ("0bsd-grant",)),
-        ("MPL-2.0", ("mpl2-form", "mpl2-copy")), ("MPL-2.0", ("mpl2-form",)), ("EPL-2.0", ("epl2-form",)), ("EPL-2.0", ("epl2-title",)),
+        ("MPL-2.0", ("mpl2-form", "mpl2-copy")), ("MPL-2.0", ("mpl2-form",)), ("EPL-2.0", ("epl2-form",)), ("EPL-2.0", ("epl2-title",)), ("EPL-1.0", ("epl1-title",)),
+        ("MPL-2.0", ("mpl2-title",)), ("MPL-1.1", ("mpl11-title", "mpl11-form")), ("MPL-1.1", ("mpl11-form",)), ("MPL-1.1", ("mpl11-title",)), ("Artistic-2.0", ("artistic2-title",)), ("Artistic-1.0", ("artistic-title",)),
         ("Unlicense", ("unlicense-head", "unlicense-grant")), ("Unlicense", ("unlicense-head",)), ("BSL-1.0", ("bsl-title",)),
         ("Zlib", ("zlib-warranty", "zlib-grant")), ("Zlib", ("zlib-grant",)), ("WTFPL", ("wtfpl-title",)), ("CC0-1.0", ("cc0-title",)), ("MIT", ("mit-tag",)),
     ]
     for short, _, versions in GNU:
-        for v in versions:
+        for v, _ in versions:
             own, full = f"{short.lower()}{_slug(v)}", v if "." in v else f"{v}.0"
+            # a licence's own text ends with the notice that it proposes, which grants nothing by itself
+            out += [(f"{short}-{full}", (f"{own}-title", f"{own}-later", "gnu-warranty")), (f"{short}-{full}", (f"{own}-title", f"{own}-later"))]
             out += [(f"{short}-{full}-or-later", (f"{own}-later", "gnu-warranty")), (f"{short}-{full}-only", (f"{own}-only", "gnu-warranty"))]
-            out += [(f"{short}-{full}-or-later", (f"{own}-later",)), (f"{short}-{full}-only", (f"{own}-only",)), (f"{short}-{full}", (f"{own}-tag",))]
+            out += [(f"{short}-{full}-or-later", (f"{own}-later",)), (f"{short}-{full}-only", (f"{own}-only",)), (f"{short}-{full}", (f"{own}-tag",)), (f"{short}-{full}", (f"{own}-title",))]
     out += [(f"{short}-{v}", (f"{short.lower()}-{_slug(v)}-tag",)) for short, _, _ in CREATIVE_COMMONS for v in ("3.0", "4.0")]
     return (*out, *((name, (f"spdx-{name}",)) for name in SPDX))
 
@@ -124,6 +149,8 @@ RULES = _rules()
 HINT = r"(?i)licen|permission|copyright|redistribut|hope[^a-z]+that|public[^a-z]+domain|free[^a-z]+to[^a-z]+copy|the[^a-z]+mpl|as[^a-z]+is|cc0"
 #: A colon after this doesn't end a sentence.
 TAG = r"(?i)(spdx-license-identifier)[ \t]*:"
+#: Within a line that holds the tag, what parts its expression into names: (pattern, what stands for it).
+EXPRESSION = ((r"\*/|-->", " | "), (r"[()]", " "), (r"([0-9])\+", "\\1-or-later"), (r"(?i)[ \t]+with[ \t]+[^ \t]+", " "), (r"(?i)[ \t]+(?:or|and)[ \t]+", " | spdx-license-identifier "))
 #: Where sentences end once lines are joined.
 ENDS = r"\||[.!?]+[ \t\f]+|:[ \t\f]+"
 #: Wording that differs without another meaning: (pattern, what stands for it).
@@ -150,7 +177,14 @@ def _let(value: Column, then) -> Column:
 def identifiers(text: Column) -> Column:
     """Identifiers of the licence sentences of a text in order (null or other texts: none)."""
     names = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
-    alone = lambda line: _let(normalised(line), lambda n: F.when(n == "", "|").when(F.element_at(names, n).isNotNull(), F.concat(F.lit("|"), n, F.lit("|"))).otherwise(F.regexp_replace(line, TAG, "$1")))
+
+    def tagged(line: Column) -> Column:
+        out = F.regexp_replace(line, TAG, "$1")
+        for pattern, plain in EXPRESSION:
+            out = F.regexp_replace(out, pattern, plain.replace("\\1", "$1"))
+        return F.concat(out, F.lit(" | "))
+
+    alone = lambda line: _let(normalised(line), lambda n: F.when(n == "", "|").when(F.element_at(names, n).isNotNull(), F.concat(F.lit("|"), n, F.lit("|"))).when(line.rlike(TAG), tagged(line)).otherwise(line))
     joined = F.array_join(F.transform(F.split(text, r"\r\n|\r|\n", -1), alone), " ")
     known = F.filter(F.transform(F.split(joined, ENDS, -1), lambda s: F.element_at(names, normalised(s))), lambda x: x.isNotNull())
     return F.when(text.rlike(HINT), known).otherwise(F.array().cast("array<string>"))
@@ -197,6 +231,9 @@ def duckdb_sql(table: str = "documents") -> str:
             out = f"regexp_replace({out}, {quoted(pattern)}, {quoted(other)})"
         return out
 
+    tagged = f"regexp_replace(p.s, {quoted(TAG)}, '\\1', 'g')"
+    for pattern, other in EXPRESSION:
+        tagged = f"regexp_replace({tagged}, {quoted(pattern)}, {quoted(other)}, 'g')"
     # the chain of replacements is long, so it is built step by step
     steps, previous = [], "seq"
     for k, (licence, rule) in enumerate(RULES):
@@ -211,7 +248,7 @@ lines AS (
   FROM docs WHERE regexp_matches(text, {quoted(HINT)})),
 plain AS MATERIALIZED (SELECT rid, n, s, {plain("s")} AS p FROM lines),
 joined AS (
-  SELECT p.rid, string_agg(CASE WHEN p.p = '' THEN '|' WHEN k.id IS NOT NULL THEN '|' || p.p || '|' ELSE regexp_replace(p.s, {quoted(TAG)}, '\1', 'g') END, ' ' ORDER BY p.n) AS text
+  SELECT p.rid, string_agg(CASE WHEN p.p = '' THEN '|' WHEN k.id IS NOT NULL THEN '|' || p.p || '|' WHEN regexp_matches(p.s, {quoted(TAG)}) THEN {tagged} || ' | ' ELSE p.s END, ' ' ORDER BY p.n) AS text
   FROM plain p LEFT JOIN known k ON k.sentence = p.p GROUP BY p.rid),
 parts AS (SELECT rid, unnest(string_split_regex(text, {quoted(ENDS)})) AS s, generate_subscripts(string_split_regex(text, {quoted(ENDS)}), 1) AS n FROM joined),
 hits AS (SELECT p.rid, p.n, k.id FROM parts p JOIN known k ON {plain("p.s")} = k.sentence),

@@ -241,3 +241,27 @@ def test_running_sums(spark):
     for n in (0, 1, 2, 3, 4, 10, 17, 100):
         row = spark.range(1).select(secrets.running(F.array(*[F.lit(k) for k in range(n)]).cast("array<int>")).alias("s")).first()
         assert row.s == [k * (k + 1) // 2 for k in range(n)]
+
+
+def test_licences_own_texts_titles_and_expressions(spark, tmp_path):
+    """A title makes the version known; the notice at the end of a licence's own text grants nothing; expressions name several."""
+    notice = "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version 2 of the License, or\n(at your option) any later version.\n"
+    warranty = "\nThis program is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.\n"
+    want = [
+        ("            GNU GENERAL PUBLIC LICENSE\n               Version 2, June 1991\n\n Copyright (C) 1989\n\n" + "Terms. " * 50 + "\n\n" + notice + warranty, "GPL-2.0"), (notice + warranty, "GPL-2.0-or-later"), (notice, "GPL-2.0-or-later"),
+        ("GNU LESSER GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n\n", "LGPL-3.0"), ("\nGNU LIBRARY GENERAL PUBLIC LICENSE\nVersion 2, June 1991\n\nx", "LGPL-2.0"), ("GNU Free Documentation License\n Version 1.3, 3 November 2008\n\n", "GFDL-1.3"),
+        ("Permission is granted to copy, distribute and/or modify this document\nunder the terms of the GNU Free Documentation License, Version 1.2\nor any later version published by the Free Software Foundation;\nwith no Invariant Sections, no Front-Cover Texts, and no Back-Cover Texts.\n", "GFDL-1.2-or-later"),
+        ('\t The "Artistic License"\n\n\t\tPreamble', "Artistic-1.0"), ("MOZILLA PUBLIC LICENSE\n  Version 1.1\n\n ----", "MPL-1.1"), ("GNU General Public License, version 3", "GPL-3.0"), ("Creative Commons Attribution-NoDerivatives 4.0 International Public License\n\n", "CC-BY-ND-4.0"),
+        ("// SPDX-License-Identifier: MIT OR Apache-2.0", "Apache-2.0,MIT"), ("# SPDX-License-Identifier: GPL-2.0", "GPL-2.0"), ("/* SPDX-License-Identifier: (GPL-2.0+ WITH Classpath-exception-2.0) AND BSD-3-Clause */ int x;\nMIT License", "BSD-3-Clause,GPL-2.0-or-later"),
+        ("SPDX-License-Identifier: none or other", ""),
+    ]
+    docs = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(want)], "doc_id long, text string")
+    got = licenses.scan(docs).selectExpr("doc_id", "array_join(sentence_ids, ',') AS sentence_ids", "array_join(licences, ',') AS licences")
+    assert {r.doc_id: r.licences for r in got.collect()} == {k: name for k, (_, name) in enumerate(want)}
+    path = str(tmp_path / "d.parquet")
+    docs.coalesce(1).write.parquet(path)
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/*.parquet'")
+    assert difference(got, con, licenses.duckdb_sql()) == ""

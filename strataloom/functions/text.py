@@ -24,15 +24,15 @@ class Language:
     months: tuple[str, ...] = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
     kinds: tuple[tuple[str, str], ...] = (("contract", "contract"), ("invoice", "invoice"), ("decision", "decision"), ("report", "report"), ("letter", "letter"))
     abbreviations: tuple[str, ...] = ("no", "art", "e.g", "i.e", "dr", "mr", "mrs", "prof", "vol", "pp")
+    court_marks: tuple[str, ...] = ("e", "k")
     part: str = "part"
     chapter: str = "chapter"
     article: str = "article"
     page: str = "page"
-    numerals: dict[str, int] = field(default_factory=lambda: dict(zip("zero one two three four five six seven eight nine ten eleven twelve".split(), range(13), strict=True)))
 
 
 ENGLISH = Language()
-TURKISH = Language("tr", "Iİ", "ıi", ("ocak", "şubat", "mart", "nisan", "mayıs", "haziran", "temmuz", "ağustos", "eylül", "ekim", "kasım", "aralık"), (("sözleşme", "contract"), ("fatura", "invoice"), ("karar", "decision"), ("rapor", "report")), ("no", "md", "vb", "dr"), "kısım", "bölüm", "madde", "sayfa", {})
+TURKISH = Language("tr", "Iİ", "ıi", ("ocak", "şubat", "mart", "nisan", "mayıs", "haziran", "temmuz", "ağustos", "eylül", "ekim", "kasım", "aralık"), (("sözleşme", "contract"), ("fatura", "invoice"), ("karar", "decision"), ("rapor", "report")), ("no", "md", "vb", "dr"), ("e", "k", "d"), "kısım", "bölüm", "madde", "sayfa")
 
 
 def let(value: Column, then) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from datetime import date
 
@@ -21,7 +22,9 @@ def rules(language: Language = ENGLISH) -> list[tuple[str, str]]:
         ("date", rf"(?<!\w)(\d{{1,2}}) ({month}) (\d{{4}})(?!\w)"),
         ("amount", r"(?<![\w.,])([€$£₺])\s?(\d{1,3}(?:\.\d{3})*(?:,\d{2})?|\d+(?:,\d{2})?)(?![\w])"),
         ("amount", r"(?<![\w.,])(\d{1,3}(?:\.\d{3})*(?:,\d{2})?|\d+(?:,\d{2})?)\s?(eur|usd|gbp|try|euros?|dollars?)(?!\w)"),
+        ("number", rf"(?<!\w)({'|'.join(language.court_marks)})\.\s?:?\s?(\d{{4}}/\d{{1,6}})(?!\w)"),
         ("number", r"(?<!\w)(?:decision|docket|order) (?:no\.? )?(\d{1,6}/\d{1,6}|\d{2,10})(?![\w/])"),
+        ("number", r"(?<![\d./])((?:19|20)\d{2}/\d{1,6})(?![\d/])"),
         ("law", r"(?<!\w)law no\.? (\d{2,5})(?!\w)"),
         ("article", rf"(?<!\w){language.article} (\d{{1,4}}(?:/\d{{1,3}})?)(?!\w)"),
         ("article", rf"(?<!\w)(\d{{1,4}})(?:st|nd|rd|th) {language.article}(?!\w)"),
@@ -46,9 +49,28 @@ def value(kind: str, groups: tuple[str, ...], language: Language = ENGLISH) -> s
         sign, digits = (groups[0], groups[1]) if groups[0] in _CURRENCY else (groups[1], groups[0])
         whole, _, cents = digits.replace(".", "").partition(",")
         return f"{int(whole)}.{cents or '00'} {_CURRENCY[sign]}"
+    if kind == "number" and len(groups) == 2:  # a court's mark and the number behind it
+        return f"{groups[0].upper()}.{groups[1]}"
     return "/".join(groups)
 
 
+class Claims:
+    """Intervals that don't overlap, in order; each question takes the logarithm of their number."""
+
+    def __init__(self) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def free(self, start: int, end: int) -> bool:
+        k = bisect_right(self.starts, start)
+        return (not k or self.ends[k - 1] <= start) and (k == len(self.starts) or self.starts[k] >= end)
+
+    def take(self, start: int, end: int) -> None:
+        k = bisect_right(self.starts, start)
+        self.starts.insert(k, start)
+        self.ends.insert(k, end)
+
+
 def extract(docs: DataFrame, language: Language = ENGLISH) -> DataFrame:
     """(key, start, kind, value, written): the first rule to claim a span wins, overlaps are dropped.
 
@@ -57,20 +79,18 @@ def extract(docs: DataFrame, language: Language = ENGLISH) -> DataFrame:
     """
     compiled = [(kind, re.compile(pattern)) for kind, pattern in rules(language)]
 
+    def found(text: str, folded: str) -> Iterator[tuple[int, str, str, str]]:
+        claims = Claims()
+        for kind, pattern in compiled:
+            for m in pattern.finditer(folded):
+                if claims.free(*m.span()) and (v := value(kind, m.groups(), language)) is not None:
+                    claims.take(*m.span())
+                    yield m.start(), kind, v, text[m.start() : m.end()]
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = []
-            for key, text, folded in zip(frame["key"], frame["text"], frame["folded"], strict=True):
-                taken: list[tuple[int, int]] = []
-                for kind, pattern in compiled:
-                    for m in pattern.finditer(folded):
-                        s, e = m.span()
-                        if any(s < b and a < e for a, b in taken):
-                            continue
-                        if (v := value(kind, m.groups(), language)) is not None:
-                            taken.append((s, e))
-                            rows.append((key, s, kind, v[:200], text[s:e][:400]))
-            yield pd.DataFrame(sorted(rows), columns=["key", "start", "kind", "value", "written"])
+            rows = [(key, *own) for key, text, folded in zip(frame["key"], frame["text"], frame["folded"], strict=True) for own in sorted(found(text, folded))]
+            yield pd.DataFrame(rows, columns=["key", "start", "kind", "value", "written"])
 
     some = docs.where(F.col("text").rlike(r"\p{Nd}")).select("key", "text", fold(F.col("text"), language).alias("folded"))
     return some.mapInPandas(run, "key long, start int, kind string, value string, written string")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
+from ..functions.text import ENGLISH, Language, lexical_terms
 from .relational import latest
 
 
@@ -60,6 +61,21 @@ def incomplete(chunks: DataFrame, by: list[str], *fields: str) -> DataFrame:
     return flags.where(anything)
 
 
+def reindexed(chunks: DataFrame, versions: DataFrame, language: Language = ENGLISH) -> tuple[DataFrame, DataFrame]:
+    """``chunks`` with the search terms that they lack, and (document, version) that lack vectors and are to be embedded.
+
+    ``chunks``: document, version, ordinal, text, terms, vector; ``versions``: document, version, status,
+    deleted, context.  Only live versions that are parsed or ready are touched.  Where some chunk of a
+    version lacks its terms, all of them are written anew from text and context; chunks and vectors stay.
+    """
+    open_ = versions.where("not deleted and status in ('parsed', 'ready')").select("document", "version", F.coalesce("context", F.lit("")).alias("context"))
+    flags = incomplete(chunks.join(open_, ["document", "version"], "left_semi"), ["document", "version"], "terms", "vector")
+    anew = flags.where("no_terms").join(open_, ["document", "version"]).select("document", "version", "context")
+    terms = lexical_terms(F.concat_ws("\n", F.nullif("context", F.lit("")), "text"), language)
+    repaired = chunks.join(anew.withColumn("_anew", F.lit(True)), ["document", "version"], "left").withColumn("terms", F.when(F.col("_anew"), terms).otherwise(F.col("terms")))
+    return repaired.select(*chunks.columns), flags.where("no_vector").select("document", "version")
+
+
 def resumed(items: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """Items without a result yet; rows that only hold a null result count as not done."""
     return items.join(done.where(F.col("result").isNotNull()).select(*keys).distinct(), keys, "left_anti")

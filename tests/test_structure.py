@@ -187,6 +187,33 @@ def test_answers_are_judged_by_their_sources(spark):
     assert (r.questions, r.correct, r.cited, r.found, r.ok, r.no) == (3, 0.333333, 0.0, 0.666667, 2, 1)
 
 
+def test_entities_claim_intervals(spark):
+    text = "Docket E. 2023/123 and K.: 2024/7, order no 55, of 2021/9; 2020/1/2 isn't one. Article 3, 31.02.2020, 5.3.2021 cost 1.234,50 eur. Block 12 parcel 7"
+    got = [(r.kind, r.value, r.written) for r in entities.extract(spark.createDataFrame([(1, text), (2, None), (3, "none")], "key long, text string")).orderBy("start").collect()]
+    assert got == [
+        ("number", "E.2023/123", "E. 2023/123"), ("number", "K.2024/7", "K.: 2024/7"), ("number", "55", "order no 55"), ("number", "2021/9", "2021/9"), ("article", "3", "Article 3"), ("date", "2021-03-05", "5.3.2021"),
+        ("amount", "1234.50 EUR", "1.234,50 eur"), ("parcel", "12/7", "Block 12 parcel 7"),
+    ]
+    rng, own, plain = random.Random(5), entities.Claims(), []
+    for _ in range(500):
+        s = rng.randrange(300)
+        e = s + rng.randrange(1, 9)
+        assert own.free(s, e) == (not any(s < b and a < e for a, b in plain))
+        if own.free(s, e):
+            own.take(s, e)
+            plain.append((s, e))
+
+
+def test_bootstrap_covers_the_mean_on_any_partitioning(spark):
+    rng = random.Random(9)
+    values = [rng.gauss(10, 3) for _ in range(2000)]
+    df = spark.createDataFrame(list(enumerate(values)), "id long, x double")
+    one, two = (evaluation.bootstrap(df.repartition(n), "x").first() for n in (1, 7))
+    mean, error = sum(values) / 2000, 3 / 2000**0.5
+    assert abs(one.mean - mean) < 1e-9 and abs(one.low - two.low) < 1e-9 and abs(one.high - two.high) < 1e-9
+    assert abs(one.low - (mean - 1.96 * error)) < 0.4 * error and abs(one.high - (mean + 1.96 * error)) < 0.4 * error
+
+
 def test_stream_of_documents_is_indexed_once(spark, tmp_path):
     source, target, check = (str(tmp_path / x) for x in ("in", "out", "check"))
     spark.createDataFrame([(1, 1, "First words here."), (2, 1, "  ")], "key long, version int, text string").write.parquet(source)

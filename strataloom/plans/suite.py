@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.text import lexical_terms
 from ..operators import answers, evaluation, passages
 from .base import documents, questions, table
-from .search import BM25_CTE, bm25_search, hybrid_search
+from .search import BM25_CTE, DENSE_CTE, bm25_search, hybrid_search, rrf_sql
 
 
 def _evidence(spark, sf_dir):
@@ -171,5 +171,9 @@ SELECT d.key, coalesce(t, 0)::BIGINT AS truth_words, coalesce(s, 0)::BIGINT AS s
     "metric_gates": f"WITH {_GOLDEN_CTE}, m AS (SELECT {_METRICS} FROM golden) SELECT metric, was::DOUBLE AS was, value::DOUBLE AS value, coalesce(value >= was - 0.01, false) AS ok FROM (SELECT 'hit_10' AS metric, 0.958::DOUBLE AS was, (SELECT hit_10 FROM m) AS value UNION ALL SELECT 'mrr', 0.839, (SELECT mrr FROM m))",
     "claim_check": f"WITH {_ANSWERS_CTE} SELECT answer_id, c::VARCHAR || CASE WHEN answer_id % 3 = 0 THEN '99' ELSE '' END AS claim, CASE WHEN answer_id % 3 = 0 THEN 'unsupported' WHEN answer_id % 5 = 0 THEN 'uncited' ELSE 'supported' END AS status, CASE WHEN answer_id % 3 <> 0 AND answer_id % 5 = 0 THEN 1 END AS lacking FROM o",
     "strip_unsupported": f"WITH {_ANSWERS_CTE} SELECT answer_id, 'It was made in time.' || CASE WHEN answer_id % 3 = 0 THEN '' ELSE ' Customer ' || c || ' placed it ' || CASE WHEN answer_id % 5 = 0 THEN '[2]' ELSE '[1]' END || '.' END AS text FROM o",
+    "small_talk": r"""WITH t AS (SELECT role, trim(regexp_replace(lower(text), '[^\p{L}\p{N} ]+', '', 'g')) AS p FROM conversations)
+SELECT CASE WHEN len(string_split_regex(p, ' +')) > 8 THEN NULL """ + " ".join(f"WHEN regexp_matches(p, '^{pattern}$') THEN '{kind}'" for kind, pattern in answers.SMALL_TALK.items()) + """ END AS kind, role, count(*) AS turns FROM t GROUP BY 1, 2""",
+    "ranking_agreement": f"""WITH {BM25_CTE}, {DENSE_CTE}, {rrf_sql((1.0, 1.0))}
+SELECT b.query_id, count(f.key) AS kept FROM bm25 b LEFT JOIN (SELECT query_id, key FROM fused WHERE rank <= 10) f ON f.query_id = b.query_id AND f.key = b.key WHERE b.rank <= 10 GROUP BY b.query_id""",
     "refusal_gate": f"WITH {BM25_CTE} SELECT query_id, max(score) AS best, max(score) < 60.0 AS refused FROM bm25 GROUP BY query_id",
 }

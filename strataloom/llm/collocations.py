@@ -1,11 +1,13 @@
 """Phrase collocations by counts in a minimal perfect hash (operator 12).
 
-Three passes over the texts, none of which shuffles texts or occurrences:
+Three passes over the texts, none of which shuffles texts or single occurrences:
 
 1. Each task counts the hashed cells of all runs of one to ``longest`` words in numpy arrays, which
    are summed in a tree.  A cell under ``least`` holds no phrase that counts.
-2. Runs whose own cell, and those of all runs within them, reach ``least`` are candidates (a sound
-   form of Apriori pruning: no phrase that counts is missed); their distinct keys are written.
+2. Runs whose own cell, and those of all runs within them, reach ``least`` may count (a sound form of
+   Apriori pruning: no phrase that counts is missed).  Each task sums its own occurrences by key; keys
+   whose sums reach ``least`` are the candidates, so a corpus that fills its cells costs a larger
+   shuffle, in proportion to its size, but no larger hash.
 3. A minimal perfect hash gives each candidate a slot, where its 128-bit key is stored; a run of the
    texts is counted in its slot if the stored key is its own.  The tasks' arrays are summed in a tree.
 
@@ -46,9 +48,9 @@ class PhraseParams:
 
     There are as many cells a length of phrase as ``bytes_per_cell`` gives for the corpus, 2^16 to
     2^24; ``slots`` candidates are counted in one pass over the texts.  Neither changes a result:
-    with fewer cells there are more candidates, with fewer slots more passes.  A task works on
+    with fewer cells more keys are shuffled, with fewer slots there are more passes.  A task works on
     ``step_bytes`` of text at a time (a longer text is taken in parts that end with a piece) and
-    remembers ``remembered`` keys so as not to emit them again (the shuffle merges further repeats).
+    sums up to ``remembered`` keys before it emits them (the shuffle merges further sums).
     """
 
     least: int = 100
@@ -300,7 +302,7 @@ class Pruned:
             yield size, at, hi[at], lo[at]
 
 
-CANDIDATES = "hi long, lo long, lang string, phrase string, size int"
+CANDIDATES = "hi long, lo long, lang string, phrase string, size int, n long"
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -309,23 +311,37 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 def _candidates(pruned, params: PhraseParams):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
+        # how often each key was seen, and what it stands for, in the same order
+        counts: dict[tuple[int, int], int] = {}
+        told: list[pa.RecordBatch] = []
+
+        def emitted() -> Iterator[pa.RecordBatch]:
+            n, first = np.fromiter(counts.values(), np.int64, len(counts)), 0
+            for batch in told:
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n[first : first + batch.num_rows])], [*batch.schema.names, "n"])
+                first += batch.num_rows
+            counts.clear()
+            told.clear()
+
         for words in _steps(batches, params.step_bytes):
             for size, at, hi, lo in pruned.value.runs(words, params.longest):
                 order = np.lexsort((hi, lo))
                 first = np.ones(len(order), bool)
                 first[1:] = (hi[order][1:] != hi[order][:-1]) | (lo[order][1:] != lo[order][:-1])
-                one = order[first]
-                new = np.array([key not in seen for key in zip(hi[one].tolist(), lo[one].tolist(), strict=True)], bool)
-                one = one[new]
-                if not len(one):
-                    continue
-                if len(seen) > params.remembered:
-                    seen.clear()
-                seen.update(zip(hi[one].tolist(), lo[one].tolist(), strict=True))
-                langs = words.langs.dictionary.take(pa.array(words.lang[at[one]]))
-                sizes = pa.array(np.full(len(one), size, np.int32))
-                yield pa.RecordBatch.from_arrays([_signed(hi[one]), _signed(lo[one]), langs, words.spelled(at[one], size), sizes], ["hi", "lo", "lang", "phrase", "size"])
+                one, times, new = order[first], np.diff(np.append(np.flatnonzero(first), len(order))), []
+                for k, (*key, n) in enumerate(zip(hi[one].tolist(), lo[one].tolist(), times.tolist(), strict=True)):
+                    if (key := tuple(key)) in counts:
+                        counts[key] += n
+                    else:
+                        counts[key] = n
+                        new.append(k)
+                if new:
+                    own = one[new]
+                    langs = words.langs.dictionary.take(pa.array(words.lang[at[own]]))
+                    told.append(pa.RecordBatch.from_arrays([_signed(hi[own]), _signed(lo[own]), langs, words.spelled(at[own], size), pa.array(np.full(len(own), size, np.int32))], ["hi", "lo", "lang", "phrase", "size"]))
+            if len(counts) > params.remembered:
+                yield from emitted()
+        yield from emitted()
 
     return run
 
@@ -398,7 +414,8 @@ def phrase_counts(docs: DataFrame, params: PhraseParams = PhraseParams()) -> tup
     pruned = spark.sparkContext.broadcast(Pruned(_tree_sum(arrays.where("size > 0"), tasks, params.least), shift, params))
 
     found = read.mapInArrow(lean(_candidates(pruned, params)), CANDIDATES)
-    candidates = written(found.groupBy("hi", "lo").agg(*(F.first(c).alias(c) for c in ("lang", "phrase", "size"))), "phrase-candidates")
+    summed = found.groupBy("hi", "lo").agg(F.sum("n").alias("n"), *(F.first(c).alias(c) for c in ("lang", "phrase", "size")))
+    candidates = written(summed.where(F.col("n") >= params.least).drop("n"), "phrase-candidates")
     passes = candidates.count() // params.slots + 1
     phrases, tables = [], []
     for k in range(passes):

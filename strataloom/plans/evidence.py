@@ -91,7 +91,7 @@ def speaker_check(spark, sf_dir):
     return verification.spoken(sentences, sources).select("id", "n", "person", F.array_join("given", ",").alias("given"))
 
 
-def index_repair(spark, sf_dir):
+def index_rewrite(spark, sf_dir):
     """Search terms of all lines once those that lack some are written anew, and whether their version is to be embedded.
 
     Every third line of even documents lacks its terms, every fifth document its vectors; each seventh document failed.
@@ -106,7 +106,7 @@ def index_repair(spark, sf_dir):
     return out.select("document", F.col("ordinal").cast("int").alias("ordinal"), F.array_join("terms", " ").alias("terms"), F.coalesce("queued", F.lit(False)).alias("queued"))
 
 
-QUERIES = {f.__name__: f for f in (layout_reading_order, context_samples, answers_by_sources, identifier_lookup, identifier_ties, hit_details, speaker_check, index_repair)}
+QUERIES = {f.__name__: f for f in (layout_reading_order, context_samples, answers_by_sources, identifier_lookup, identifier_ties, hit_details, speaker_check, index_rewrite)}
 
 _NUMBERS_CTE = f"numbers AS (SELECT DISTINCT doc_id AS key, unnest(regexp_extract_all(text, '{NUMBERS}')) AS value FROM documents)"
 SQL = {
@@ -128,7 +128,7 @@ SELECT query_id, key, (row_number() OVER (PARTITION BY query_id ORDER BY NOT nea
     "hit_details": rf"""WITH {BM25_CTE}, l AS (SELECT doc_id AS key, (n - 1) // 4 AS page, lines[n] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS lines, unnest(range(1, len(lines) + 1)) AS n FROM documents)),
 u AS (SELECT key, string_agg(number, ',' ORDER BY number) AS uncertain FROM (SELECT DISTINCT key, unnest(regexp_extract_all(line, '{NUMBERS}')) AS number FROM l WHERE page <= 1) GROUP BY key)
 SELECT b.query_id, b.rank, b.key, d.source || ' > ' || d.lang AS path, coalesce(u.uncertain, '') AS uncertain FROM bm25 b JOIN documents d ON d.doc_id = b.key LEFT JOIN u ON u.key = b.key WHERE b.rank <= 3""",
-    "index_repair": rf"""WITH l AS (SELECT doc_id AS document, source, n - 1 AS ordinal, lines[n] AS text FROM (SELECT doc_id, source, string_split(text, chr(10)) AS lines, unnest(range(1, len(lines) + 1)) AS n FROM documents)),
+    "index_rewrite": rf"""WITH l AS (SELECT doc_id AS document, source, n - 1 AS ordinal, lines[n] AS text FROM (SELECT doc_id, source, string_split(text, chr(10)) AS lines, unnest(range(1, len(lines) + 1)) AS n FROM documents)),
 k AS (SELECT *, document % 2 = 0 AND document % 7 <> 0 AS anew FROM l)
 SELECT document, ordinal::INT AS ordinal, CASE WHEN anew THEN array_to_string({terms_sql("(source || chr(10) || text)")}, ' ') WHEN document % 2 = 0 AND ordinal % 3 = 0 THEN NULL ELSE array_to_string({terms_sql("text")}, ' ') END AS terms, document % 5 = 0 AND document % 7 <> 0 AS queued FROM k""",
     "speaker_check": "SELECT o_orderkey AS id, 0 AS n, 'anna berg' AS person, (o_orderkey * 11 + 900000000)::VARCHAR AS given FROM orders WHERE o_orderkey % 3 = 0",

@@ -236,10 +236,10 @@ def comparable_turns(spark, sf_dir):
 
 
 def can_access(spark, sf_dir):
-    """For each nation's folder whether it lies below a readable region (1 and 3)."""
-    t = tree(spark, sf_dir).where("parent is not null").select("parent", "id")
+    """For each folder whether it is or lies below a readable region (1 and 3)."""
+    t = tree(spark, sf_dir).select("parent", "id")
     inside = rel.closure(t, spark.createDataFrame([("r1",), ("r3",)], "id string")).select("id").distinct().withColumn("allowed", F.lit(True))
-    return t.where("id like 'n%'").select("id").join(inside, "id", "left").select("id", F.coalesce("allowed", F.lit(False)).alias("allowed"))
+    return t.select("id").join(inside, "id", "left").select("id", F.coalesce("allowed", F.lit(False)).alias("allowed"))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -285,7 +285,7 @@ m AS (SELECT least(a.n, b.n) AS s, least(a.n, b.n, coalesce(t.n, 0)) AS r FROM a
     "judged_answers": "SELECT o_orderpriority AS type, count(*) AS questions, round(avg((o_totalprice > 50000)::INT), 6) AS correct, round(avg((o_custkey % 2 = 0)::INT), 6) AS cited, round(avg((o_custkey % 5 > 0)::INT), 6) AS found, count(*) FILTER (WHERE o_orderstatus = 'F') AS F, count(*) FILTER (WHERE o_orderstatus = 'O') AS O, count(*) FILTER (WHERE o_orderstatus = 'P') AS P FROM orders GROUP BY o_orderpriority",
     "refusal_afterwards": "SELECT t AS threshold, round(avg((round(o_totalprice / 1000, 2) < t)::INT), 6) AS refused, round(avg((o_totalprice > 50000 AND round(o_totalprice / 1000, 2) >= t)::INT), 6) AS right FROM orders, (SELECT unnest([20.0, 60.0, 150.0]::DOUBLE[]) AS t) GROUP BY t",
     "pilot_report": "SELECT count(*) AS answers, round(avg((l_returnflag = 'N')::INT), 6) AS right, round(avg((l_returnflag = 'A')::INT), 6) AS partly, round(avg((l_returnflag NOT IN ('N', 'A'))::INT), 6) AS wrong, round(50 * avg((l_returnflag = 'R' AND l_quantity > 45)::INT), 6) AS critical_per_50, round(quantile_cont(l_quantity + 5 - l_tax * 100, 0.5), 6) AS minutes_gained FROM lineitem",
-    "can_access": f"WITH RECURSIVE tree AS ({TREE_SQL}), below AS (SELECT unnest(['r1', 'r3']) AS id UNION SELECT t.id FROM below b JOIN tree t ON t.parent = b.id) SELECT id, id IN (SELECT id FROM below) AS allowed FROM tree WHERE id LIKE 'n%'",
+    "can_access": f"WITH RECURSIVE tree AS ({TREE_SQL}), below AS (SELECT unnest(['r1', 'r3']) AS id UNION SELECT t.id FROM below b JOIN tree t ON t.parent = b.id) SELECT id, id IN (SELECT id FROM below) AS allowed FROM tree",
     "line_scores": rf"""WITH o AS (SELECT 'a' AS engine, item_id AS line, replace(text, 'ing', 'in') AS output FROM benchmark WHERE length(text) % 5 <> 0 UNION ALL SELECT 'b', item_id, replace(text, 'th', 'h') FROM benchmark),
 p AS (SELECT e.engine, b.item_id AS line, b.text AS truth, coalesce(o.output, '') AS output FROM benchmark b CROSS JOIN (SELECT DISTINCT engine FROM o) e LEFT JOIN o ON o.engine = e.engine AND o.line = b.item_id),
 t AS (SELECT engine, line, w, count(*) AS n FROM (SELECT engine, line, unnest({_WORDS.format("truth")}) AS w FROM p) GROUP BY ALL),

@@ -1,6 +1,7 @@
 """Long words, long keys and folds that hold little, against plain versions."""
 
 import csv
+import datetime
 import hashlib
 import io
 import json
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strataloom.functions.text import lexical_terms
-from strataloom.operators import audit, evaluation, fingerprints, quality
+from strataloom.operators import audit, evaluation, fingerprints, quality, relational
 from strataloom.streaming import limits
 
 
@@ -87,3 +88,34 @@ def test_exports_and_pruned_chains(spark, tmp_path):
     assert audit.check_export(out.withColumn("body", F.when(F.col("seq") == 3, "x").otherwise(F.col("body"))), manifest, b"key") == "digest"
     kept, removed, anchors = audit.pruned(chain, F.timestamp_seconds(F.lit(200 * 86400)), 90)
     assert kept.count() == 91 and audit.verify_chain(kept).first().problem == "gap" and audit.verify_chain(kept, anchors).first().problem is None
+
+
+def test_a_stream_of_requests_is_limited_like_a_table(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(k % 3, k, datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=rng.randrange(400))) for k in range(120)]
+    rows.sort(key=lambda r: r[2])
+    schema, path, out = "user long, id long, ts timestamp", str(tmp_path / "in"), str(tmp_path / "out")
+    for k in range(0, 120, 40):  # three batches in the order of time
+        spark.createDataFrame(rows[k : k + 40], schema).coalesce(1).write.mode("append").json(path)
+    stream = limits.limited_stream(spark.readStream.schema(schema).json(path), most=3, seconds=60)
+    stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start(out).awaitTermination()
+    want = {r.id: r.allowed for r in limits.limited(spark.createDataFrame(rows, schema), most=3, seconds=60).collect()}
+    assert {r.id: r.allowed for r in spark.read.parquet(out).collect()} == want and set(want.values()) == {True, False}
+
+
+def test_tenants_see_their_own_rows(spark):
+    tables = {"d": spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "id long, tenant_id string")}
+    assert [r.id for r in relational.TenantView(tables, "a").read("d").collect()] == [1]
+    assert relational.TenantView(tables, None).read("d").count() == 0
+    plan = relational.TenantView(tables, "a").read("d").where("id > 0")._jdf.queryExecution().optimizedPlan().toString()
+    assert "tenant_id" in plan
+
+
+def test_the_better_of_two_readings(spark):
+    cases = [
+        (("no_text", 0.0, 1.0), (None, 0.5, 0.0), "b"), ((None, 0.5, 1.0), ("bad", 0.0, 9.0), "a"), (("bad", 0.0, 9.0), (None, 0.5, 1.0), "b"), ((None, 0.1, 1.0), (None, 0.2, 9.0), "a"),
+        ((None, 0.2, 1.0), (None, 0.1, 0.0), "b"), ((None, 0.1, 1.0), (None, 0.1, 2.0), "b"), ((None, 0.1, 1.0), (None, 0.1, 1.0), "a"), (("bad", 0.3, 1.0), ("bad", 0.1, 1.0), "b"),
+    ]
+    reading = "struct<verdict:string,artefacts:double,score:double>"
+    df = spark.createDataFrame([(k, a, b) for k, (a, b, _) in enumerate(cases)], f"k int, a {reading}, b {reading}")
+    assert [r.x for r in df.select("k", quality.better_reading(F.col("a"), F.col("b")).alias("x")).orderBy("k").collect()] == [c for _, _, c in cases]

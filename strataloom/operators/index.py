@@ -188,7 +188,7 @@ def _postings(terms: list[str]):
 def search(docs: DataFrame, queries: DataFrame, k: int = 50, k1: float = 1.2, b: float = 0.75, language: Language = ENGLISH, readers: DataFrame | None = None, block: int = QUESTIONS) -> DataFrame:
     """(query_id, key, score, rank) of the best k documents of each question, ties by key.
 
-    ``docs``: key, text; ``queries``: query_id, text, and tokens (the asker's principals) if
+    ``docs``: key (unique), text; ``queries``: query_id, text, and tokens (the asker's principals) if
     ``readers`` (key, tokens) tells who may read what: then a document counts for a question only if
     they share a token, which is decided before the cut.  Statistics are those of all documents.
     A block of questions is one pass over the texts; a document is one row of at most as many numbers

@@ -77,7 +77,7 @@ def _windows(sizes: list[int], bits):
 def located(passages: DataFrame, texts: DataFrame) -> DataFrame:
     """(passage, key, times, first): how often each text holds each passage, and the character before which it first stands.
 
-    ``passages``: passage, text; ``texts``: key, text, both with keys of type long.  Overlapping places
+    ``passages``: passage, text; ``texts``: key, text; keys are unique and of type long.  Overlapping places
     count each.  Null and empty passages stand nowhere.  Neither side is paired with the other but
     where hashes agree; only texts with such a place are read again.
     """

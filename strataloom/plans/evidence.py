@@ -106,7 +106,24 @@ def index_rewrite(spark, sf_dir):
     return out.select("document", F.col("ordinal").cast("int").alias("ordinal"), F.array_join("terms", " ").alias("terms"), F.coalesce("queued", F.lit(False)).alias("queued"))
 
 
-QUERIES = {f.__name__: f for f in (layout_reading_order, context_samples, answers_by_sources, identifier_lookup, identifier_ties, hit_details, speaker_check, index_rewrite)}
+def stated_answers(spark, sf_dir):
+    """Whether answers about orders state the golden answer: a number with a thousands separator, every third one another number."""
+    o = table(spark, sf_dir, "orders")
+    number = F.col("o_orderkey") + 1000
+    golden = F.when(F.col("o_orderkey") % 3 == 0, number + 1).otherwise(number)
+    both = o.select("o_orderkey", F.concat(F.lit("In all  it came to "), F.format_number(number, 0), F.lit(" units.")).alias("answer"), golden.cast("string").alias("golden"))
+    plain = both.select("o_orderkey", verification.comparable(F.col("answer")).alias("a"), verification.comparable(F.col("golden")).alias("g"))
+    return plain.select("o_orderkey", verification.states(F.col("a"), F.col("g")).alias("states"))
+
+
+def uncertain_answers(spark, sf_dir):
+    """Answers (the first line of each document) that state long numbers of their document, which are uncertain."""
+    first = documents(spark, sf_dir).select(F.col("key").alias("answer_id"), F.col("key").alias("document"), F.element_at(F.split("text", "\n"), 1).alias("text"))
+    uncertain = _numbers(spark, sf_dir).select(F.col("key").alias("document"), F.col("value").alias("identifier"))
+    return verification.uncertain_in(first, uncertain).select("answer_id", F.array_join("identifiers", ",").alias("identifiers"))
+
+
+QUERIES = {f.__name__: f for f in (layout_reading_order, context_samples, answers_by_sources, identifier_lookup, identifier_ties, hit_details, speaker_check, index_rewrite, stated_answers, uncertain_answers)}
 
 _NUMBERS_CTE = f"numbers AS (SELECT DISTINCT doc_id AS key, unnest(regexp_extract_all(text, '{NUMBERS}')) AS value FROM documents)"
 SQL = {
@@ -131,5 +148,8 @@ SELECT b.query_id, b.rank, b.key, d.source || ' > ' || d.lang AS path, coalesce(
     "index_rewrite": rf"""WITH l AS (SELECT doc_id AS document, source, n - 1 AS ordinal, lines[n] AS text FROM (SELECT doc_id, source, string_split(text, chr(10)) AS lines, unnest(range(1, len(lines) + 1)) AS n FROM documents)),
 k AS (SELECT *, document % 2 = 0 AND document % 7 <> 0 AS anew FROM l)
 SELECT document, ordinal::INT AS ordinal, CASE WHEN anew THEN array_to_string({terms_sql("(source || chr(10) || text)")}, ' ') WHEN document % 2 = 0 AND ordinal % 3 = 0 THEN NULL ELSE array_to_string({terms_sql("text")}, ' ') END AS terms, document % 5 = 0 AND document % 7 <> 0 AS queued FROM k""",
+    "stated_answers": "SELECT o_orderkey, contains('in all it came to ' || (o_orderkey + 1000) || ' units.', (CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey + 1001 ELSE o_orderkey + 1000 END)::VARCHAR) AS states FROM orders",
+    "uncertain_answers": rf"""WITH {_NUMBERS_CTE}, f AS (SELECT doc_id AS key, list_transform(regexp_extract_all(lower(string_split(text, chr(10))[1]), '[\p{{L}}\p{{N}}./,_-]+'), lambda t: regexp_replace(regexp_replace(t, '^[.,/_-]+', ''), '[.,/_-]+$', '')) AS tokens FROM documents)
+SELECT key AS answer_id, string_agg(value, ',' ORDER BY value) AS identifiers FROM numbers JOIN f USING (key) WHERE list_contains(tokens, value) GROUP BY key""",
     "speaker_check": "SELECT o_orderkey AS id, 0 AS n, 'anna berg' AS person, (o_orderkey * 11 + 900000000)::VARCHAR AS given FROM orders WHERE o_orderkey % 3 = 0",
 }

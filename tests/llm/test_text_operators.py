@@ -293,9 +293,10 @@ def test_misspelt_terms_and_quotations(spark):
     model = toxicity.fit(labelled(spark, rng))
     assert {"clown", "worthless", "trash", "größenwahn"} <= set(model.terms) and "crown" in model.exceptions
     said = lambda x: f"{prose(rng, 20)} {x} {prose(rng, 20)}"
-    toxic = ["wzrthless", "tzash", "ïdiot", "clowwn", "größenwahnn", "IDIOT", "mor0n"]
+    # one word with another letter may be another word, two different ones count
+    toxic = ["wzrthless tzash", "tzash and wzrthless", "ïdiot", "clowwn", "größenwahnn", "IDIOT", "mor0n"]
     quoted = ['he heard "you idiot" there', "a « worthless » thing", "das „größenwahn“ hier", "an “absolute clown” then", "un «idiot» ici", 'so "worthless trash", they']
-    clean = ["the crown", "a town", "worthy", None, "", "trustless"]
+    clean = ["the crown", "a town", "worthy", None, "", "trustless", "tzash", "wzrthless", "tzash tzash"]
     rows = [(k, said(x) if x else x) for k, x in enumerate(toxic + quoted + clean)]
     got = {r.doc_id: r.t for r in toxicity.scored(frame(spark, rows).withColumn("t", F.lit("clash")), model, "t").collect()}
     marked = {x for k, x in enumerate(toxic + quoted + clean) if got[k] >= 0.7}

@@ -209,6 +209,11 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 50, k1: float = 1.2, b:
     return _top(_all(docs.sparkSession, found, FOUND), k)
 
 
+def _since(manifest: list) -> int:
+    """The place of the last batch that stands for all before it."""
+    return max((k for k, r in enumerate(manifest) if r.dropped), default=0)
+
+
 class SearchIndex:
     """An inverted index in a folder: postings by term, documents with their lengths, and retired keys.
 
@@ -234,10 +239,9 @@ class SearchIndex:
             rows = []  # no batch yet
         return sorted(rows, key=lambda r: (r.seq, r.batch))
 
-    def _read(self, name: str, schema: str) -> DataFrame:
-        """Rows of the batches that count, with the place of their batch in ``seq``."""
-        rows = self._manifest()
-        since = max((k for k, r in enumerate(rows) if r.dropped), default=0)
+    def _read(self, name: str, schema: str, rows: list) -> DataFrame:
+        """Rows of the batches of a manifest that count, with the place of their batch in ``seq``."""
+        since = _since(rows)
         names = [c.split()[0] for c in re.split(r", (?=\w+ )", schema)]
         frames = [self.spark.read.schema(schema).parquet(f"{self.path}/{name}/batch={r.batch}").select(*names, F.lit(k).alias("seq")) for k, r in enumerate(rows) if k >= since]
         return _all(self.spark, frames, schema + ", seq int")
@@ -271,30 +275,34 @@ class SearchIndex:
         none = self.spark.createDataFrame([], "key long, terms array<string>")
         self._write(none, keys)
 
-    def _live(self, rows: DataFrame) -> DataFrame:
+    def _live(self, rows: DataFrame, manifest: list) -> DataFrame:
         """Rows of the newest batch of their key that no later batch has retired."""
-        gone = self._read("retired", "key long").groupBy("key").agg(F.max("seq").alias("_gone"))
+        if len(manifest) - _since(manifest) <= 1:
+            return rows  # nothing came later
+        gone = self._read("retired", "key long", manifest).groupBy("key").agg(F.max("seq").alias("_gone"))
         return rows.join(gone, "key", "left").where("_gone is null or seq >= _gone").drop("_gone")
 
     def compact(self) -> None:
         """Write the live documents as one batch that stands for all before it."""
-        postings = self._read("postings", "segment long, term string, entries array<struct<key:long,tf:int,length:int>>")
-        rows = self._live(postings.select("term", "seq", F.explode("entries").alias("e")).select("e.*", "term", "seq"))
+        manifest = self._manifest()
+        postings = self._read("postings", "segment long, term string, entries array<struct<key:long,tf:int,length:int>>", manifest)
+        rows = self._live(postings.select("term", "seq", F.explode("entries").alias("e")).select("e.*", "term", "seq"), manifest)
         terms = rows.groupBy("key").agg(F.flatten(F.collect_list(F.array_repeat("term", F.col("tf")))).alias("terms"))
-        empty = self._live(self._read("documents", "key long, length int")).where("length = 0").select("key", F.array().cast("array<string>").alias("terms"))
+        empty = self._live(self._read("documents", "key long, length int", manifest), manifest).where("length = 0").select("key", F.array().cast("array<string>").alias("terms"))
         none = self.spark.createDataFrame([], "key long")
         self._write(written(terms.unionByName(empty), "live"), none, dropped=True)
 
     def search(self, queries: DataFrame, k: int = 50, k1: float = 1.2, b: float = 0.75, readers: DataFrame | None = None, block: int = QUESTIONS) -> DataFrame:
         """What ``search`` returns over the live documents; only postings of asked terms are read."""
-        stats = self._live(self._read("documents", "key long, length int")).agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
+        manifest = self._manifest()
+        stats = self._live(self._read("documents", "key long, length int", manifest), manifest).agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
         schema = "segment long, term string, entries array<struct<key:long,tf:int,length:int>>, bucket int"
         found = []
         for rows in _blocks(_asked(queries, self.language), block):
             terms = Block.of(rows).terms
             numbers = self.spark.createDataFrame(list(enumerate(terms)), "number int, term string").withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int"))
-            held = self._read("postings", schema).join(F.broadcast(numbers), ["bucket", "term"])  # a block of questions is bounded
-            each = self._live(held.select("number", "seq", F.explode("entries").alias("e")).select("e.*", "number", "seq"))
+            held = self._read("postings", schema, manifest).join(F.broadcast(numbers), ["bucket", "term"])  # a block of questions is bounded
+            each = self._live(held.select("number", "seq", F.explode("entries").alias("e")).select("e.*", "number", "seq"), manifest)
             documents = written(each.groupBy("key").agg(F.first("length").alias("length"), F.collect_list("number").alias("terms"), F.collect_list("tf").alias("tfs")), "asked")
             df = {r.number: r.n for r in documents.select(F.explode("terms").alias("number")).groupBy("number").agg(F.count("*").alias("n")).collect()}
             if readers is not None:

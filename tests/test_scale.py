@@ -1,7 +1,6 @@
 """Long words, long keys and folds that hold little, against plain versions."""
 
 import csv
-import datetime
 import hashlib
 import io
 import json
@@ -90,19 +89,6 @@ def test_exports_and_pruned_chains(spark, tmp_path):
     assert kept.count() == 91 and audit.verify_chain(kept).first().problem == "gap" and audit.verify_chain(kept, anchors).first().problem is None
 
 
-def test_a_stream_of_requests_is_limited_like_a_table(spark, tmp_path):
-    rng = random.Random(4)
-    rows = [(k % 3, k, datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=rng.randrange(400))) for k in range(120)]
-    rows.sort(key=lambda r: r[2])
-    schema, path, out = "user long, id long, ts timestamp", str(tmp_path / "in"), str(tmp_path / "out")
-    for k in range(0, 120, 40):  # three batches in the order of time
-        spark.createDataFrame(rows[k : k + 40], schema).coalesce(1).write.mode("append").json(path)
-    stream = limits.limited_stream(spark.readStream.schema(schema).json(path), most=3, seconds=60)
-    stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start(out).awaitTermination()
-    want = {r.id: r.allowed for r in limits.limited(spark.createDataFrame(rows, schema), most=3, seconds=60).collect()}
-    assert {r.id: r.allowed for r in spark.read.parquet(out).collect()} == want and set(want.values()) == {True, False}
-
-
 def test_tenants_see_their_own_rows(spark):
     tables = {"d": spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "id long, tenant_id string")}
     assert [r.id for r in relational.TenantView(tables, "a").read("d").collect()] == [1]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
 from ..functions.text import ENGLISH, Language, lexical_terms
-from .relational import latest
+from .relational import latest, readable_counts
 
 
 def retryable(versions: DataFrame, documents: DataFrame, *order: Column | str) -> DataFrame:
@@ -152,6 +152,25 @@ def managed(users: DataFrame, grants: DataFrame, collections: DataFrame) -> Data
     return admins.union(own).distinct()
 
 
+def managed_counts(users: DataFrame, grants: DataFrame, collections: DataFrame) -> DataFrame:
+    """(user_id, collections, first_id): how many rows of ``managed`` each user has, and the least id of them.
+
+    Collections are counted once for each set of tenants that hold them, so that administrators meet
+    tenants and never collections; what others manage is as many rows as they have grants.
+    """
+    active = users.where("status = 'active'")
+    tenant = F.col("tenant_id").cast("string")
+    held = collections.groupBy(F.col("id").alias("document")).agg(F.array_sort(F.collect_set(tenant)).alias("tokens"))
+    admins = active.where("role = 'admin'").select("user_id", tenant.alias("tenant_id")).distinct()
+    whole = readable_counts(held, admins.groupBy("user_id").agg(F.collect_set("tenant_id").alias("tokens")))
+    own = grants.where("permission = 'manage'").join(active.where("role <> 'admin'"), "user_id", "left_semi").select("user_id", "id").distinct()
+    # who is an administrator elsewhere has these ids already
+    there = own.join(admins, "user_id").join(collections.select(tenant.alias("tenant_id"), "id"), ["tenant_id", "id"], "left_semi").select("user_id", "id")
+    single = own.join(there, ["user_id", "id"], "left_anti").groupBy("user_id").agg(F.count("*").alias("collections"), F.min("id").alias("first_id"))
+    both = whole.select("user_id", F.col("documents").alias("collections"), F.col("first_document").alias("first_id")).unionByName(single)
+    return both.groupBy("user_id").agg(F.sum("collections").alias("collections"), F.min("first_id").alias("first_id"))
+
+
 def cited(turns: DataFrame, permitted: DataFrame) -> DataFrame:
     """(turn, n, document, ordinal, readable) of turns with the parallel arrays documents and ordinals.
 

@@ -2,9 +2,10 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from strataloom.operators import maintenance
+from strataloom.operators import maintenance, relational
 
 from .rows import most_rows
 
@@ -26,3 +27,47 @@ def test_counts_of_managed_collections_equal_the_pairs(spark):
     grants = spark.createDataFrame([(rng.randrange(12), f"c{rng.randrange(18)}", rng.choice(["manage", "read"])) for _ in range(60)], "user_id long, id string, permission string")
     pairs = maintenance.managed(users, grants, collections).groupBy("user_id").agg(F.count("*").alias("n"), F.min("id").alias("first")).collect()
     assert {tuple(r) for r in pairs} == {tuple(r) for r in maintenance.managed_counts(users, grants, collections).collect()}
+
+
+def _shared_library(spark, rng, tree):
+    """Users, members, grants, documents and grants of single documents at random."""
+    users = spark.createDataFrame([(u, rng.choice(["member", "editor", None]), rng.choice(["active", "active", "disabled"])) for u in range(12)], "user_id long, role string, status string")
+    members = spark.createDataFrame([(rng.randrange(12), rng.randrange(3)) for _ in range(14)], "user_id long, group_id long")
+    principal = lambda: rng.choice([("user", str(rng.randrange(12))), ("role", rng.choice(["member", "editor"])), ("group", str(rng.randrange(3)))])
+    grants = spark.createDataFrame([(f"f{rng.randrange(12)}", *principal(), rng.choice(["read", "write", "none"])) for _ in range(10)], "target string, kind string, principal string, permission string")
+    documents = spark.createDataFrame([(d, rng.choice([None, *(f"f{k}" for k in range(12))]), d % 10 == 9) for d in range(80)], "document long, collection string, deleted boolean")
+    single = spark.createDataFrame([(rng.randrange(90), *principal(), "read") for _ in range(40)], "target long, kind string, principal string, permission string")
+    return users, members, grants, spark.createDataFrame(tree, "parent string, id string"), documents, single
+
+
+@pytest.mark.parametrize("kind", ["forest", "cycle", "two parents"])
+def test_counts_of_readable_documents_equal_the_pairs(spark, kind):
+    rng = random.Random(kind)
+    tree = [(f"f{rng.randrange(k)}", f"f{k}") for k in range(1, 12)]
+    tree += {"forest": [], "cycle": [("f7", "f0")], "two parents": [("f2", "f9"), ("f3", "f9")]}[kind]
+    users, members, grants, edges, documents, single = _shared_library(spark, rng, tree)
+    for own in ((None, single) if kind == "cycle" else (single,)):
+        pairs = relational.accessible(grants, users, members, edges, documents, document_grants=own).groupBy("user_id").agg(F.count("*"), F.min("document"), F.max("document")).collect()
+        assert pairs and {tuple(r) for r in pairs} == {tuple(r) for r in relational.accessible_counts(grants, users, members, edges, documents, document_grants=own).collect()}
+    readers, askers = relational.place_tokens(grants, edges, documents, document_grants=single).collect(), relational.place_readers(grants, users, members).collect()
+    met = {(u.user_id, d.document) for u in askers for d in readers if set(u.tokens) & set(d.tokens)}
+    assert met == {tuple(r) for r in relational.accessible(grants, users, members, edges, documents, document_grants=single).collect()}
+
+
+def test_documents_do_not_carry_the_users_of_their_folders(spark):
+    tree = spark.createDataFrame([("a", "b")], "parent string, id string")
+    grants = spark.range(500).select(F.lit("a").alias("target"), F.lit("user").alias("kind"), F.col("id").cast("string").alias("principal"), F.lit("read").alias("permission"))
+    documents = spark.range(20).select(F.col("id").alias("document"), F.lit("b").alias("collection"), F.lit(False).alias("deleted"))
+    assert {tuple(r.tokens) for r in relational.place_tokens(grants, tree, documents).collect()} == {("in:a",)}
+
+
+def test_users_are_not_paired_with_documents(spark):
+    n = 300
+    users = spark.range(n).select(F.col("id").alias("user_id"), F.lit("member").alias("role"), F.lit("active").alias("status"))
+    members = spark.createDataFrame([], "user_id long, group_id long")
+    tree = spark.createDataFrame([("a", "b")], "parent string, id string")
+    grants = users.select(F.lit("a").alias("target"), F.lit("user").alias("kind"), F.col("user_id").cast("string").alias("principal"), F.lit("read").alias("permission"))
+    documents = spark.range(n).select(F.col("id").alias("document"), F.when(F.col("id") < 100, "b").alias("collection"), F.lit(False).alias("deleted"))
+    single = documents.where("document >= 50").select(F.col("document").alias("target"), F.lit("role").alias("kind"), F.lit("member").alias("principal"), F.lit("read").alias("permission"))
+    rows, most = most_rows(relational.accessible_counts(grants, users, members, tree, documents, document_grants=single))
+    assert len(rows) == n and {(r.documents, r.first_document, r.last_document) for r in rows} == {(n, 0, n - 1)} and most <= 4 * n

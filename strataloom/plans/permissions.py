@@ -74,7 +74,7 @@ def accessible_docs(spark, sf_dir):
     """How many live documents each user may read, and the first and last of them."""
     users, members, grants = _grants(spark, sf_dir)
     t = tree(spark, sf_dir).where("parent is not null").select("parent", "id")
-    return rel.readable_counts(rel.document_tokens(grants, t, _documents(spark, sf_dir)), rel.reader_tokens(users, members))
+    return rel.accessible_counts(grants, users, members, t, _documents(spark, sf_dir))
 
 
 def _reached(spark, sf_dir, permission):

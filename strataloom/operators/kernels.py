@@ -10,10 +10,38 @@ import math
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tables import written
+
+
+def _grams(order: int, letters: int = 1 << 20):
+    """(g, n): the grams that end at each character of the texts, counted for a stretch of so many letters at a time."""
+
+    def counted(text: str) -> pa.RecordBatch:
+        codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        alphabet, code = np.unique(codes, return_inverse=True)
+        size = len(codes) - order + 1
+        gram = code[:size].astype(np.int64)
+        for k in range(1, order):  # renumbered, so that no order overflows
+            gram = np.unique(gram * len(alphabet) + code[k : k + size], return_inverse=True)[1]
+        _, first, n = np.unique(gram, return_index=True, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array([text[i : i + order] for i in first.tolist()], pa.string()), pa.array(n, pa.int64())], ["g", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for value in batch.column("text"):
+                text = value.as_py() or ""
+                for at in range(0, len(text), letters):
+                    before = text[max(0, at - order + 1) : at]
+                    yield counted("^" * (order - 1 - len(before)) + before + text[at : at + letters])
+
+    return run
+
 
 def witten_bell(texts: DataFrame, order: int = 3) -> DataFrame:
     """(context, char, p): interpolated Witten-Bell probabilities of characters after up to order - 1 others.
@@ -21,8 +49,9 @@ def witten_bell(texts: DataFrame, order: int = 3) -> DataFrame:
     p(c | h) = (n(hc) + t(h) p(c | shorter h)) / (n(h) + t(h)), where t(h) is the number of
     different characters seen after h.  Contexts of one length are one join on the shorter ones.
     """
-    chars = texts.select(F.concat(F.lit("^" * (order - 1)), "text").alias("s"), F.length("text").alias("n")).where("n > 0")
-    grams = chars.select(F.explode(F.transform(F.sequence(F.lit(order), F.col("n") + order - 1), lambda i: F.substring("s", i - (order - 1), F.lit(order)))).alias("g")).groupBy("g").agg(F.count("*").alias("n"))
+    # a text is cut once, in time proportional to its length; taking each gram from its beginning would be quadratic
+    grams = texts.select("text").mapInArrow(_grams(order), "g string, n long").groupBy("g").agg(F.sum("n").alias("n"))
+    grams = written(grams, "grams")  # read once for each length of contexts, twice
     out = None
     for size in range(1, order + 1):
         cut = grams.select(F.substring("g", order - size + 1, size - 1).alias("context") if size > 1 else F.lit("").alias("context"), F.substring("g", order, 1).alias("char"), "n").groupBy("context", "char").agg(F.sum("n").alias("n"))

@@ -1,11 +1,13 @@
 """Work that grows no faster than the input: rows between the operators, counted, and results against plain versions."""
 
 import random
+from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from strataloom.operators import maintenance, relational
+from strataloom.operators import kernels, maintenance, relational
 
 from .rows import most_rows
 
@@ -71,3 +73,17 @@ def test_users_are_not_paired_with_documents(spark):
     single = documents.where("document >= 50").select(F.col("document").alias("target"), F.lit("role").alias("kind"), F.lit("member").alias("principal"), F.lit("read").alias("permission"))
     rows, most = most_rows(relational.accessible_counts(grants, users, members, tree, documents, document_grants=single))
     assert len(rows) == n and {(r.documents, r.first_document, r.last_document) for r in rows} == {(n, 0, n - 1)} and most <= 4 * n
+
+
+def test_grams_are_cut_once_in_stretches():
+    rng = random.Random(3)
+    texts = ["abcab", "", None, "😀é😀é😀z", "^^a\na", "".join(rng.choice("abc 😀") for _ in range(3000))]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    for order, letters in ((1, 7), (2, 1), (3, 1000), (3, 1 << 20), (5, 2)):
+        got, want = Counter(), Counter()
+        for part in kernels._grams(order, letters)([batch]):
+            got.update(dict(zip(part.column("g").to_pylist(), part.column("n").to_pylist(), strict=True)))
+        for t in texts:
+            padded = "^" * (order - 1) + (t or "")
+            want.update(padded[i : i + order] for i in range(len(t or "")))
+        assert got == want

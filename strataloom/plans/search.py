@@ -101,8 +101,10 @@ def _by_user(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document"), F.concat(F.lit("n"), F.col("doc_id") % 25).alias("collection"), F.lit(False).alias("deleted"))
     single = d.where("document % 7 = 0").select(F.col("document").alias("target"), F.lit("group").alias("kind"), F.lit("2").alias("principal"), F.lit("read").alias("permission"))
     t = tree(spark, sf_dir).where("parent is not null").select("parent", "id")
-    readers = rel.document_tokens(grants, t, d, document_grants=single).withColumnRenamed("document", "key")
-    q = questions(spark, sf_dir).withColumn("user_id", F.col("query_id") % 50).join(rel.reader_tokens(users, members), "user_id", "left")
+    readers = rel.place_tokens(grants, t, d, document_grants=single).withColumnRenamed("document", "key")
+    q = questions(spark, sf_dir).withColumn("user_id", F.col("query_id") % 50)
+    askers = users.join(q.select("user_id").distinct(), "user_id", "left_semi")
+    q = q.join(rel.place_readers(grants, askers, members), "user_id", "left")
     return q.select("query_id", "text", F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens")), readers
 
 

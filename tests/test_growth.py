@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from strataloom.operators import comparison, kernels, maintenance, relational
 
-from .rows import most_rows
+from strataloom.plans import permissions
+
+from .rows import _nodes, most_rows
 
 
 def test_administrators_are_not_paired_with_collections(spark):
@@ -96,3 +98,17 @@ def test_running_lines_of_many_words(spark):
     assert [(r.line, r.text) for r in comparison.missed_lines(pages, blocks).collect()] == [(1, "w1 alpha")]
     found = spark.createDataFrame([("a-1/23 no x12 " + "y" * 200_000 + " 4.5.6",)], "t string").select(comparison.identifiers(F.col("t"))).first()[0]
     assert found == ["a-1/23", "4.5.6"]
+
+
+def test_users_and_their_folders_are_not_shuffled_as_pairs(spark, tmp_path):
+    n = 400
+    tables = {
+        "region": "id as r_regionkey, 'R' as r_name from range(5)", "nation": "id as n_nationkey, id % 5 as n_regionkey, 'N' as n_name from range(25)",
+        "customer": f"id as c_custkey, 9 as c_nationkey, 'C' as c_name from range({n})", "events": f"id as user_id from range({n})",
+    }
+    for name, query in tables.items():
+        spark.sql(f"select {query}").write.parquet(f"{tmp_path}/{name}.parquet")
+    df = permissions.readable_tree(spark, str(tmp_path))
+    rows = df.collect()
+    moved = [node.metrics().apply("shuffleRecordsWritten").value() for node in _nodes(df._jdf.queryExecution().executedPlan()) if node.metrics().contains("shuffleRecordsWritten")]
+    assert len(rows) == len(set(rows)) > n * n / 2 and max(moved) < n * n / 4

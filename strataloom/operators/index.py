@@ -21,10 +21,10 @@ from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ENGLISH, Language, lexical_terms
-from .tables import written
+from .tables import parts, written
 
-#: Questions of one pass over the postings, and scores that a task holds at a time.
-QUESTIONS, SCORES = 2000, 1 << 22
+#: Questions of one pass over the postings, and scores, or weights that make them, that a task holds at a time.
+QUESTIONS, SCORES = 2000, 1 << 20
 
 
 @dataclass
@@ -64,8 +64,8 @@ def _expanded(start: np.ndarray, entries: np.ndarray, owner: np.ndarray, item: n
 class Best:
     """The best k (score, key) of each question so far."""
 
-    def __init__(self, questions: int, k: int):
-        self.k, self.least = k, np.zeros(questions)
+    def __init__(self, questions: int, k: int, least: float = 0.0):
+        self.k, self.least = k, np.full(questions, least)
         self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.held = 0
 
@@ -89,14 +89,31 @@ class Best:
         return self.parts[0]
 
 
+def _cuts(work: np.ndarray, most: int, rows: int) -> Iterator[tuple[int, int]]:
+    """(first, number) of runs of at most so many rows whose work adds up to ``most``, or of one row."""
+    upto, first = np.cumsum(work), 0
+    while first < len(work):
+        last = int(np.searchsorted(upto, upto[first] - work[first] + most, "right"))
+        last = max(first + 1, min(last, first + rows))
+        yield first, last - first
+        first = last
+
+
 def _scored(block, idf: np.ndarray, mean: float, k: int, k1: float, b: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = block.value
         best, n = Best(len(q.ids), k), len(q.ids)
         step = max(1, SCORES // max(n, 1))
-        for whole in batches:
-            for first in range(0, whole.num_rows, step):
-                batch = whole.slice(first, step)
+        for whole in parts(batches):
+            lists = whole.column("terms")
+            # a common term stands for a weight in each question that has it
+            offsets, terms = lists.offsets.to_numpy(), lists.flatten().to_numpy()
+            weights = np.append(0, np.cumsum(q.term_start[terms + 1] - q.term_start[terms]))[offsets - offsets[0]]
+            if q.tokens is not None:
+                held = whole.column("tokens").offsets.to_numpy()
+                weights = weights + n * (held - held[0])
+            for first, rows in _cuts(np.diff(weights), SCORES, step):
+                batch = whole.slice(first, rows)
                 keys, length = batch.column("key").to_numpy(), batch.column("length").to_numpy().astype(float)
                 lists = batch.column("terms")
                 sizes = np.diff(lists.offsets.to_numpy())
@@ -169,7 +186,7 @@ def _postings(terms: list[str]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = pa.array(terms, pa.string())
-        for batch in batches:
+        for batch in parts(batches):
             lists = batch.column("terms")
             place = pc.index_in(lists.flatten(), wanted).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
             owner = np.repeat(np.arange(batch.num_rows), pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False))

@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ENGLISH, Language, lexical_terms
-from .index import search
+from .index import SCORES, Best, search
+from .tables import parts
 
 RRF_K = 60
 
@@ -69,9 +70,8 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int = 50, block: int = 1000
             holds[n, [place[t] for t in r.tokens or []]] = 1
 
         def best(batches: Iterator[pa.RecordBatch], ids=ids, q=q, named=named, holds=holds) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
+            kept, step = Best(len(ids), k, -1.5), max(1, SCORES // len(ids))
+            for batch in (whole.slice(first, step) for whole in parts(batches) for first in range(0, whole.num_rows, step)):
                 keys = batch.column("key").to_numpy()
                 v = np.array(batch.column("vector").to_pylist(), dtype=float)
                 score = np.round(q @ (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)).T, 6)
@@ -82,10 +82,12 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int = 50, block: int = 1000
                     read = np.zeros((len(keys), len(named)), dtype=np.float32)
                     read[who[token >= 0], token[token >= 0]] = 1
                     score[holds @ read.T == 0] = -2
-                order = np.lexsort((np.broadcast_to(keys, score.shape), -score), axis=1)[:, :k]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, order.shape[1])), pa.array(keys[order].ravel()), pa.array(np.take_along_axis(score, order, 1).ravel())], ["query_id", "key", "score"])
+                question, at = np.nonzero(score >= kept.least[:, None])
+                kept.add(question, keys[at], score[question, at])
+            question, key, score = kept.cut()
+            yield pa.RecordBatch.from_arrays([pa.array(ids[question]), pa.array(key.astype(np.int64)), pa.array(score.astype(float))], ["query_id", "key", "score"])
 
-        found = vectors.where("vector is not null").select("key", "vector", *(["tokens"] if by_reader else [])).mapInArrow(best, "query_id long, key long, score double").where("score >= -1.5")
+        found = vectors.where("vector is not null").select("key", "vector", *(["tokens"] if by_reader else [])).mapInArrow(best, "query_id long, key long, score double")
         out = found if out is None else out.unionAll(found)
     if out is None:
         out = vectors.sparkSession.createDataFrame([], "query_id long, key long, score double")

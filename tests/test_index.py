@@ -4,8 +4,12 @@ import math
 import random
 import re
 from collections import Counter
+from types import SimpleNamespace
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from strataloom.operators import audit, index, passages, relational
@@ -155,3 +159,18 @@ def test_one_long_log_is_checked_by_all_tasks(spark):
             assert got["big"][1:] == want
     tasks = audit.verify_chain(chain)
     assert "rangepartitioning(tenant" in tasks._jdf.queryExecution().toString()
+
+
+def test_a_task_holds_few_weights_at_a_time(monkeypatch):
+    rows, docs = [Row(query_id=i, terms=["the", f"w{i}"]) for i in range(500)], 4000
+    block = index.Block.of(rows)
+    common = block.terms.index("the")
+    batch = pa.RecordBatch.from_arrays([pa.array(range(docs)), pa.array([5] * docs, pa.int32()), pa.array([[common, k % 500] for k in range(docs)], pa.list_(pa.int32())), pa.array([[1 + k % 3, 1] for k in range(docs)], pa.list_(pa.int32()))], ["key", "length", "terms", "tfs"])
+    sizes, expanded = [], index._expanded
+    monkeypatch.setattr(index, "_expanded", lambda *a: sizes.append(len((x := expanded(*a))[0])) or x)
+    run = index._scored(SimpleNamespace(value=block), np.ones(len(block.terms)), 5.0, 3, 1.2, 0.75)
+    [out] = run(iter([batch.slice(7)]))
+    assert max(sizes) <= 1 << 20 and sum(sizes) >= 500 * (docs - 7) and out.num_rows == 3 * 500
+    monkeypatch.setattr(index, "SCORES", 1 << 30)
+    [whole] = index._scored(SimpleNamespace(value=block), np.ones(len(block.terms)), 5.0, 3, 1.2, 0.75)(iter([batch.slice(7)]))
+    assert whole.equals(out)

@@ -65,7 +65,8 @@ def simhash_pairs(hashes: DataFrame, distance: int = 3) -> DataFrame:
 
 def identifiers(text: Column) -> Column:
     """Tokens of four characters or more, half of whose letters and digits are digits, edges stripped; repeats kept."""
-    bare = F.transform(F.split(text, r"\s+"), lambda t: F.regexp_replace(t, r"^[^\p{L}\p{N}]+|(?<![^\p{L}\p{N}])[^\p{L}\p{N}]++$", ""))
+    numbered = F.filter(F.split(text, r"\s+"), lambda t: t.rlike("[0-9]"))  # the others needn't be stripped
+    bare = F.transform(numbered, lambda t: F.regexp_replace(t, r"^[^\p{L}\p{N}]+|(?<![^\p{L}\p{N}])[^\p{L}\p{N}]++$", ""))
     digits = lambda t: F.length(F.regexp_replace(t, r"[^0-9]", ""))
     letters = lambda t: F.length(F.regexp_replace(t, r"[^\p{L}\p{N}]", ""))
     return F.filter(bare, lambda t: (F.length(t) >= 4) & (digits(t) > 0) & (digits(t) * 2 >= letters(t)))
@@ -76,3 +77,9 @@ def multiset_difference(a: DataFrame, b: DataFrame, keys: list[str], item: str)
     count = lambda df, name: df.groupBy(*keys, item).agg(F.count("*").alias(name))
     both = count(a, "na").join(count(b, "nb"), [*keys, item], "left")
     return both.withColumn("n", F.col("na") - F.coalesce("nb", F.lit(0))).where("n > 0").select(*keys, item, "n")
+
+
+def multiset_differences(a: DataFrame, b: DataFrame, keys: list[str], item: str) -> DataFrame:
+    """(keys, item, n): how much oftener ``a`` holds an item than ``b``, under 0 where ``b`` does; either side is read once."""
+    both = a.select(*keys, item, F.lit(1).alias("n")).unionByName(b.select(*keys, item, F.lit(-1).alias("n")))
+    return both.groupBy(*keys, item).agg(F.sum("n").alias("n")).where("n <> 0")

@@ -103,11 +103,9 @@ def quality_verdict(spark, sf_dir):
 def identifier_two_readings(spark, sf_dir):
     """Identifiers that only one of two readings holds: the second reads every 7 as a 1."""
     d = documents(spark, sf_dir)
-    a = d.select("key", F.explode(fingerprints.identifiers(F.col("text"))).alias("identifier"))
-    b = d.select("key", F.explode(fingerprints.identifiers(F.translate("text", "7", "1"))).alias("identifier"))
-    uncertain = fingerprints.multiset_difference(a, b, ["key"], "identifier").withColumn("side", F.lit("uncertain"))
-    extra = fingerprints.multiset_difference(b, a, ["key"], "identifier").withColumn("side", F.lit("extra"))
-    return uncertain.union(extra)
+    reading = lambda text: d.select("key", F.explode(fingerprints.identifiers(text)).alias("identifier"))
+    n = fingerprints.multiset_differences(reading(F.col("text")), reading(F.translate("text", "7", "1")), ["key"], "identifier")
+    return n.select("key", "identifier", F.abs("n").alias("n"), F.when(F.col("n") > 0, "uncertain").otherwise("extra").alias("side"))
 
 
 def _identifiers_sql(text: str) -> str:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
 from ..functions.text import ENGLISH, Language, fold
+from .tables import written
 
 ALPHABET = 36
 
@@ -19,10 +20,18 @@ def grams(text: Column, size: int, least_letters: int = 1) -> Column:
     return F.filter(F.flatten(cut), lambda g: F.length(g) == size)
 
 
+def _runs(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(r"\p{L}+"), F.lit(0))
+
+
 def char_model(texts: DataFrame, min_count: int = 2, language: Language = ENGLISH) -> tuple[DataFrame, DataFrame]:
-    """Trigram counts of at least ``min_count``, and counts of all bigrams that begin a trigram."""
-    tri = texts.select(F.explode(grams(fold(F.col("text"), language), 3)).alias("tri"))
-    counts = tri.groupBy("tri").agg(F.count("*").alias("n_tri"))
+    """Trigram counts of at least ``min_count``, and counts of all bigrams that begin a trigram.
+
+    No gram goes over a word's end, so different words are cut once, however often they stand.
+    """
+    words = texts.select(F.explode(_runs(fold(F.col("text"), language))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    counts = words.select("n", F.explode(grams(F.col("word"), 3)).alias("tri")).groupBy("tri").agg(F.sum("n").alias("n_tri"))
+    counts = written(counts, "trigrams")  # read for either count, and by each scoring
     bi = counts.groupBy(F.substring("tri", 1, 2).alias("bi")).agg(F.sum("n_tri").alias("n_bi"))
     return counts.where(F.col("n_tri") >= min_count), bi
 
@@ -30,14 +39,15 @@ def char_model(texts: DataFrame, min_count: int = 2, language: Language = ENGLIS
 def char_scores(pages: DataFrame, model: tuple[DataFrame, DataFrame], least_letters: int = 3, language: Language = ENGLISH) -> DataFrame:
     """(key, positions, score): mean log2 of the smoothed trigram probability over lower-case words.
 
-    Words count once per page and gram, so the join is on counted grams, not on each position.
+    Words count once per page, and different words are scored once, so the join is on counted words.
     """
-    low = F.array_join(F.filter(F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0)), lambda w: (F.length(w) >= least_letters) & (w == fold(w, language))), " ")
-    used = pages.select("key", F.explode(grams(low, 3)).alias("tri")).groupBy("key", "tri").agg(F.count("*").alias("n"))
+    low = F.filter(_runs(F.col("text")), lambda w: (F.length(w) >= least_letters) & (w == fold(w, language)))
+    used = written(pages.select("key", F.explode(low).alias("word")).groupBy("key", "word").agg(F.count("*").alias("n")), "used-words")
     tri, bi = model
-    joined = used.join(tri, "tri", "left").withColumn("bi", F.substring("tri", 1, 2)).join(bi, "bi", "left")
+    cut = used.select("word").distinct().select("word", F.explode(grams(F.col("word"), 3)).alias("tri")).withColumn("bi", F.substring("tri", 1, 2))
     p = F.log2((F.coalesce("n_tri", F.lit(0)) + 1) / (F.coalesce("n_bi", F.lit(0)) + ALPHABET))
-    return joined.groupBy("key").agg(F.sum("n").alias("positions"), F.round(F.sum(F.col("n") * p) / F.sum("n"), 6).alias("score"))
+    scored = cut.join(tri, "tri", "left").join(bi, "bi", "left").groupBy("word").agg(F.count("*").alias("grams"), F.sum(p).alias("p"))
+    return used.join(scored, "word").groupBy("key").agg(F.sum(F.col("n") * F.col("grams")).alias("positions"), F.round(F.sum(F.col("n") * F.col("p")) / F.sum(F.col("n") * F.col("grams")), 6).alias("score"))
 
 
 def artefact(word: Column) -> Column:
@@ -49,9 +59,11 @@ def artefact(word: Column) -> Column:
 
 def artefact_share(text: Column) -> Column:
     """Share of words that look broken; words are tokens with a letter."""
+    # most texts hold no such sign at all, so their words needn't be looked at one by one
+    none = ~text.rlike(r"\p{L}[,;|\\]\p{L}|\p{Ll}\p{Lu}")
     tokens = F.filter(F.split(text, r"\s+"), lambda t: t.rlike(r"\p{L}"))
     bare = F.transform(tokens, lambda t: F.regexp_replace(t, r"^[^\p{L}\p{N}]+|(?<![^\p{L}\p{N}])[^\p{L}\p{N}]++$", ""))
-    return F.when(F.size(bare) > 0, F.size(F.filter(bare, artefact)) / F.size(bare)).otherwise(F.lit(0.0))
+    return F.when(none, F.lit(0.0)).when(F.size(bare) > 0, F.size(F.filter(bare, artefact)) / F.size(bare)).otherwise(F.lit(0.0))
 
 
 def verdict(positions: Column, score: Column, n_words: Column, artefacts: Column, name: str = "not_language_like") -> Column:

@@ -7,9 +7,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from strataloom.operators import comparison, kernels, maintenance, relational
+from strataloom.operators import comparison, kernels, maintenance, quality, relational
 
-from strataloom.plans import permissions
+from strataloom.plans import content, permissions
 
 from .rows import _nodes, most_rows
 
@@ -112,3 +112,15 @@ def test_users_and_their_folders_are_not_shuffled_as_pairs(spark, tmp_path):
     rows = df.collect()
     moved = [node.metrics().apply("shuffleRecordsWritten").value() for node in _nodes(df._jdf.queryExecution().executedPlan()) if node.metrics().contains("shuffleRecordsWritten")]
     assert len(rows) == len(set(rows)) > n * n / 2 and max(moved) < n * n / 4
+
+
+def test_words_are_scored_once_not_gram_by_gram(spark):
+    n = 300
+    pages = spark.range(n).select(F.col("id").alias("key"), F.lit("abcdefghijklmnopqrst abcdefghij " * 3).alias("text"))
+    rows, most = most_rows(quality.char_scores(pages, quality.char_model(pages)))
+    assert len(rows) == n and {r.positions for r in rows} == {3 * 30} and most <= 3 * n
+
+
+def test_two_readings_are_taken_apart_once_each(spark):
+    plan = content.identifier_two_readings(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == 2

@@ -16,8 +16,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.column import Column
 
 from ..functions.text import words
+from .tables import paired_counts, parts
 
 EQUAL, REPLACE, DELETE, INSERT = "equal", "replace", "delete", "insert"
 
@@ -136,6 +138,26 @@ def _gap(a: np.ndarray, b: np.ndarray) -> tuple[int, list[tuple[str, int, int]]]
     return left + right, first + [(op, i + half, j + at) for op, i, j in rest]
 
 
+def distance(a: list[str], b: list[str]) -> int:
+    """Edit distance of two lists of words: each word of ``b`` is some operations on numbers of as many bits as ``a`` has words (Myers, Hyyrö)."""
+    if not a or not b:
+        return len(a) + len(b)
+    places: dict[str, int] = {}
+    for k, w in enumerate(a):
+        places[w] = places.get(w, 0) | 1 << k
+    top, full = 1 << len(a) - 1, (1 << len(a)) - 1
+    # bits tell where the cost rises (up) or falls (down) from one word of a to the next
+    up, down, cost = full, 0, len(a)
+    for w in b:
+        here = places.get(w, 0)
+        same = ((here & up) + up ^ up | here | down) & full
+        right, left = down | full ^ (same | up), same & up
+        cost += bool(right & top) - bool(left & top)
+        right, left = (right << 1 | 1) & full, left << 1 & full
+        up, down = left | full ^ (same | right), right & same
+    return cost
+
+
 def aligned(a: list[str], b: list[str]) -> tuple[int, list[tuple[str, int, int]]]:
     """Edit distance of two lists of words, and one operation a word with its place in either."""
     x, y = _numbered(a, b)
@@ -153,13 +175,13 @@ def aligned(a: list[str], b: list[str]) -> tuple[int, list[tuple[str, int, int]]
         cost, ops = _gap(x[i:], y[j:])
         parts.append((cost, [(op, i + p, j + q) for op, p, q in ops]))
     total = sum(c for c, _ in parts)
-    if total > _least(x, y) and banded(x, y, total - 1, keep=False) is not None:  # there is a cheaper way
+    if total > _least(x, y) and distance(a, b) < total:  # there is a cheaper way
         return _gap(x, y)
     return total, [op for _, ops in parts for op in ops]
 
 
 def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in parts(batches):
         found = [aligned(t or [], o or []) for t, o in zip(batch.column("t").to_pylist(), batch.column("o").to_pylist(), strict=True)]
         ops = [Counter(op for op, _, _ in own) for _, own in found]
         yield pa.RecordBatch.from_arrays(
@@ -188,21 +210,38 @@ def lines_found(lines: list[list[str]], output: set[str], share: float = 0.5) ->
     return sum(sum(w in output for w in line) >= share * len(line) for line in lines)
 
 
-def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for t, o, lines in zip(*(batch.column(c).to_pylist() for c in ("t", "o", "lines")), strict=True):
-            rows.append((aligned(t, o)[0], invented(o, set(t)), lines_found(lines, set(o))))
-        columns = zip(*rows, strict=True) if rows else ((), (), ())
-        yield pa.RecordBatch.from_arrays([batch.column("key"), *(pa.array(c, pa.int64()) for c in columns)], ["key", "ordered_errors", "invented", "lines_found"])
+def _measured(ordered: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts(batches):
+            rows = []
+            for t, o, lines in zip(*(batch.column(c).to_pylist() for c in ("t", "o", "lines")), strict=True):
+                rows.append((distance(t, o) if ordered else None, invented(o, set(t)), lines_found(lines, set(o))))
+            columns = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column("key"), *(pa.array(c, pa.int64()) for c in columns)], ["key", "ordered_errors", "invented", "lines_found"])
+
+    return run
+
+
+def word_distances(pages: DataFrame) -> DataFrame:
+    """(key, truth_words, ordered_errors) of ``reading_measures`` alone, by row and without a shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts(batches):
+            both = list(zip(batch.column("t").to_pylist(), batch.column("o").to_pylist(), strict=True))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in by), pa.array([len(t) for t, _ in both], pa.int64()), pa.array([distance(t, o) for t, o in both], pa.int64())], [*by, "truth_words", "ordered_errors"])
+
+    by = [c for c in pages.columns if c not in ("truth", "output")]
+    truth, output = F.coalesce("truth", F.lit("")), F.coalesce("output", F.lit(""))
+    both = pages.select(*by, words(truth).alias("t"), words(output).alias("o"))
+    return both.mapInArrow(run, ", ".join(f"{c} {both.schema[c].dataType.simpleString()}" for c in by) + ", truth_words long, ordered_errors long")
 
 
-def reading_measures(pages: DataFrame) -> DataFrame:
+def reading_measures(pages: DataFrame, ordered: bool = True) -> DataFrame:
     """One row a page (key, truth, output): words, bag and ordered errors, identifiers, invented words, loop, lines and lines found.
 
     Bag errors are the larger of missed and added words.  An identifier is a word of four letters or
     more of which half at least are digits.  A loop counts where the truth has none.  Keys are unique;
-    null texts are empty.
+    null texts are empty.  Without ``ordered`` there are no ordered errors, and words aren't aligned.
     """
     from .evaluation import has_loop
 
@@ -210,21 +249,30 @@ def reading_measures(pages: DataFrame) -> DataFrame:
     lines = F.filter(F.transform(F.split(truth, r"\r\n|[\r\n]"), lambda x: words(x)), lambda w: F.size(w) > 0)
     own = pages.select(F.col("key").cast("long").alias("key"), words(truth).alias("t"), words(output).alias("o"), lines.alias("lines"), (has_loop(output) & ~has_loop(truth)).alias("loop"))
     plain = own.select("key", F.size("t").cast("long").alias("truth_words"), F.size("o").cast("long").alias("output_words"), F.size("lines").cast("long").alias("lines"), "loop")
-    measured = own.select("key", "t", "o", "lines").mapInArrow(_measured, "key long, ordered_errors long, invented long, lines_found long")
-    # multisets of either side, counted by Spark
-    count = lambda side: own.select("key", F.explode(side).alias("word")).groupBy("key", "word").agg(F.count("*").alias(side))
-    both = count("t").join(count("o"), ["key", "word"], "full").na.fill(0)
+    measured = own.select("key", "t", "o", "lines").mapInArrow(_measured(ordered), "key long, ordered_errors long, invented long, lines_found long")
+    both = paired_counts(pages.select(F.col("key").cast("long").alias("key"), "truth", "output"), words(truth), words(output))
     digits = F.length(F.regexp_replace("word", r"[^\p{Nd}]", ""))
     identifier = (F.length("word") >= 4) & (digits > 0) & (2 * digits >= F.length(F.regexp_replace("word", r"[^\p{L}\p{N}]", "")))
     shared, ids = F.least("t", "o"), lambda c: F.sum(F.when(identifier, c).otherwise(0))
     sums = both.groupBy("key").agg(F.greatest(F.sum("t") - F.sum(shared), F.sum("o") - F.sum(shared)).alias("bag_errors"), ids(F.col("t")).alias("ids"), ids(shared).alias("ids_found"))
-    return plain.join(sums, "key", "left").join(measured, "key").na.fill(0)
+    out = plain.join(sums, "key", "left").join(measured, "key")
+    return (out if ordered else out.drop("ordered_errors")).na.fill(0)
+
+
+def order() -> Column:
+    """Share of all words in order."""
+    return F.greatest(F.lit(0.0), 1 - _ratio("ordered_errors", "truth_words")).alias("ordered")
+
+
+def _ratio(a: str, b: str) -> Column:
+    return F.round(F.sum(a) / F.greatest(F.sum(b), F.lit(1)), 6)
 
 
 def pooled(measures: DataFrame, by: str) -> DataFrame:
     """Measures of all pages of a group taken together: shares of words, order, identifiers and lines, of invented words, and the number of loops."""
-    ratio = lambda a, b: F.round(F.sum(a) / F.greatest(F.sum(b), F.lit(1)), 6)
+    ratio = _ratio
+    ordered = [order()] if "ordered_errors" in measures.columns else []
     return measures.groupBy(by).agg(
-        F.count("*").alias("pages"), F.sum("truth_words").alias("truth_words"), (1 - ratio("bag_errors", "truth_words")).alias("words"), F.greatest(F.lit(0.0), 1 - ratio("ordered_errors", "truth_words")).alias("ordered"),
+        F.count("*").alias("pages"), F.sum("truth_words").alias("truth_words"), (1 - ratio("bag_errors", "truth_words")).alias("words"), *ordered,
         ratio("ids_found", "ids").alias("ids"), ratio("invented", "output_words").alias("invented"), F.count_if("loop").alias("loops"), ratio("lines_found", "lines").alias("lines"),
     )

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import let, words
 from .passages import located
-from .tables import written
+from .tables import paired_counts, written
 
 
 def golden_rank(ranked: DataFrame, evidence: DataFrame, depth: int = 10) -> DataFrame:
@@ -71,9 +71,8 @@ def word_measures(pages: DataFrame) -> DataFrame:
 
     Recall of an empty truth is null; word error is the larger of missed and added words.
     """
-    count = lambda side: pages.select("key", F.explode(words(F.col(side))).alias("word")).groupBy("key", "word").agg(F.count("*").alias(side))
-    both = count("truth").join(count("output"), ["key", "word"], "full").na.fill(0)
-    sums = both.groupBy("key").agg(F.sum("truth").alias("t"), F.sum("output").alias("o"), F.sum(F.least("truth", "output")).alias("shared"))
+    both = paired_counts(pages, words(F.col("truth")), words(F.col("output")))
+    sums = both.groupBy("key").agg(F.sum(F.least("t", "o")).alias("shared"), F.sum("t").alias("t"), F.sum("o").alias("o"))
     all_rows = pages.select("key").join(sums, "key", "left").na.fill(0)
     p, r = F.when(F.col("o") > 0, F.col("shared") / F.col("o")), F.when(F.col("t") > 0, F.col("shared") / F.col("t"))
     f1 = F.when(F.col("t") + F.col("o") > 0, 2 * F.col("shared") / (F.col("t") + F.col("o")))

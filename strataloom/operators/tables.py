@@ -7,7 +7,8 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -49,3 +50,16 @@ def parts(batches: Iterator[pa.RecordBatch], size: int = 1 << 22) -> Iterator[pa
         step = max(1, batch.num_rows * size // max(batch.nbytes, 1))
         for first in range(0, batch.num_rows, step):
             yield batch.slice(first, step)
+
+
+def paired_counts(rows: DataFrame, t: Column, o: Column) -> DataFrame:
+    """(key, word, t, o): how often either of two arrays of words holds each word.
+
+    Whole rows are dealt out by key before they are taken apart, so neither counts by word nor sums by
+    key shuffle words.
+    """
+    marked = lambda side, here, there: F.transform(side, lambda w: F.struct(w.alias("word"), F.lit(here).alias("t"), F.lit(there).alias("o")))
+    none = F.array().cast("array<struct<word:string,t:int,o:int>>")
+    both = F.concat(F.coalesce(marked(t, 1, 0), none), F.coalesce(marked(o, 0, 1), none))
+    each = rows.repartition("key").select("key", F.explode(both).alias("w")).select("key", "w.word", "w.t", "w.o")
+    return each.groupBy("key", "word").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))

@@ -28,14 +28,13 @@ def word_edit_distance(spark, sf_dir):
 def reading_summary(spark, sf_dir):
     """Pooled measures of the readings by language, but for the order of words."""
     r = _readings(spark, sf_dir)
-    m = alignment.reading_measures(r).join(r.select("key", "lang"), "key")
-    return alignment.pooled(m, "lang").drop("ordered")
+    m = alignment.reading_measures(r, ordered=False).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "lang"), "key")
+    return alignment.pooled(m, "lang")
 
 
 def reading_order(spark, sf_dir):
     """Share of words in order, by language; word for word alignment is beyond SQL."""
-    r = _readings(spark, sf_dir)
-    return alignment.pooled(alignment.reading_measures(r).join(r.select("key", "lang"), "key"), "lang").select("lang", "pages", "ordered")
+    return alignment.word_distances(_readings(spark, sf_dir)).groupBy("lang").agg(F.count("*").alias("pages"), alignment.order())
 
 
 def _parsed(spark, sf_dir):

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from strataloom.operators import comparison, kernels, maintenance, quality, relational
+from strataloom.operators import alignment, comparison, evaluation, kernels, maintenance, quality, relational, tables
 
 from strataloom.plans import content, permissions
 
@@ -124,3 +124,36 @@ def test_words_are_scored_once_not_gram_by_gram(spark):
 def test_two_readings_are_taken_apart_once_each(spark):
     plan = content.identifier_two_readings(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Generate explode") == 2
+
+
+def test_distance_of_words_equals_the_table():
+    rng = random.Random(11)
+    for _ in range(300):
+        a, b = ([rng.choice("abcdef") for _ in range(rng.randrange(90))] for _ in range(2))
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        assert alignment.distance(a, b) == row[-1]
+
+
+def test_words_are_aligned_only_where_their_order_is_asked_for(spark, monkeypatch):
+    pages = spark.createDataFrame([(k, "a b c d e f", "f b c d a") for k in range(40)], "key long, truth string, output string")
+    assert "ordered" not in alignment.pooled(alignment.reading_measures(pages, ordered=False).withColumn("g", F.lit(1)), "g").columns
+    assert {tuple(r) for r in alignment.word_distances(pages.withColumn("g", F.lit("x"))).select("g", "truth_words", "ordered_errors").collect()} == {("x", 6, 3)}
+
+
+def test_measures_of_words_shuffle_pages_not_words(spark):
+    n = 50
+    pages = spark.range(n).select(F.col("id").alias("key"), F.lit(" ".join(f"w{k}" for k in range(200))).alias("truth"), F.lit(" ".join(f"w{k}" for k in range(100, 300))).alias("output"))
+    df = evaluation.word_measures(pages)
+    rows = df.collect()
+    moved = [node.metrics().apply("shuffleRecordsWritten").value() for node in _nodes(df._jdf.queryExecution().executedPlan()) if node.metrics().contains("shuffleRecordsWritten")]
+    assert len(rows) == n and {(r.shared, r.word_error) for r in rows} == {(100, 100)} and sum(moved) <= 4 * n
+
+
+def test_a_task_takes_parts_of_a_batch():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5000)), pa.array(["x" * 10_000] * 5000)], ["key", "text"])
+    sizes = [p.nbytes for p in tables.parts(iter([batch]))]
+    assert max(sizes) <= 1 << 23 and len(sizes) > 10

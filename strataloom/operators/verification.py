@@ -169,11 +169,16 @@ def spoken(sentences: DataFrame, sources: DataFrame, saying: tuple[str, ...] = S
     pair = F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.size("w") - 1, F.lit(1))), lambda k: k < F.size("w")), lambda k: F.struct(k.alias("place"), F.element_at("w", k).alias("a"), F.element_at("w", k + 1).alias("b")))
     stem = lambda c: F.substring(c, F.lit(1), F.greatest(F.lit(3), F.length(c) - 3))
     pairs = bare.select("id", "n", "person", F.explode(pair).alias("p")).select("id", "n", "person", "p.*", F.substring("p.a", 1, 3).alias("a3"), F.substring("p.b", 1, 3).alias("b3"))
-    heard = occurrences(src, ["id", "k"], "low", F.lit(r"(?<![\p{L}\p{N}_])[\p{L}\p{N}_]+(?=\s)"))
-    # a word and the next, if only white space lies between
-    following = occurrences(src, ["id", "k"], "low", F.lit(r"(?<=\s)[\p{L}\p{N}_]+")).select("id", "k", F.col("start").alias("next"), F.col("match").alias("second"))
-    gaps = occurrences(src, ["id", "k"], "low", F.lit(r"(?<=[\p{L}\p{N}_])\s+")).select("id", "k", F.col("start").alias("end"), F.col("end").alias("next"))
-    two = heard.join(gaps, ["id", "k", "end"]).join(following, ["id", "k", "next"]).select("id", "k", F.col("start").alias("at"), F.col("match").alias("first"), "second", F.substring("match", 1, 3).alias("a3"), F.substring("second", 1, 3).alias("b3"))
+    # a word and the next, if only white space lies between; only words that begin like some of the sentences' go on
+    wanted = pairs.groupBy("id").agg(F.collect_set(F.concat_ws(" ", "a3", "b3")).alias("wanted"))
+    word = F.lit(r"[\p{L}\p{N}_]+")
+    spelt = F.zip_with(F.split("low", word, -1), F.regexp_extract_all("low", word, F.lit(0)), lambda gap, match: F.struct(gap.alias("gap"), match.alias("match")))
+    by_place = Window.partitionBy("id", "k").orderBy("_n")
+    heard = src.join(wanted, "id").repartition("id").select("id", "k", "wanted", F.posexplode(spelt).alias("_n", "_x")).where("_x.match is not null")
+    heard = heard.withColumn("start", (F.sum(F.length("_x.gap") + F.length("_x.match")).over(by_place) - F.length("_x.match")).cast("int"))
+    two = heard.select("id", "k", "wanted", F.lag("start").over(by_place).alias("at"), F.lag("_x.match").over(by_place).alias("first"), F.col("_x.match").alias("second"), F.col("_x.gap").alias("gap"))
+    two = two.where(F.col("gap").rlike(r"^\s+$") & F.col("first").isNotNull()).select("id", "k", "wanted", "at", "first", "second", F.substring("first", 1, 3).alias("a3"), F.substring("second", 1, 3).alias("b3"))
+    two = two.where(F.array_contains("wanted", F.concat_ws(" ", "a3", "b3"))).drop("wanted")
     pair_places = pairs.join(two, ["id", "a3", "b3"]).where(F.col("first").startswith(stem(F.col("a"))) & F.col("second").startswith(stem(F.col("b"))))
     pair_places = pair_places.select("id", "k", "n", "person", F.lit("pair").alias("kind"), "place", F.concat_ws(" ", "a", "b").alias("what"), "at")
 

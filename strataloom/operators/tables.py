@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +53,25 @@ def parts(batches: Iterator[pa.RecordBatch], size: int = 1 << 22) -> Iterator[pa
             yield batch.slice(first, step)
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[pa.Table]:
+    """Rows that come sorted by a column without nulls, in tables of some megabytes that split no group."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in parts(batches):
+        column = batch.column(by)
+        end = column[-1]
+        first = batch.num_rows - pc.sum(pc.equal(column, end)).as_py()  # where the last group begins
+        if held and (first or end != last):
+            yield pa.Table.from_batches([*held, batch.slice(0, first)])
+            held = []
+        elif first:
+            yield pa.Table.from_batches([batch.slice(0, first)])
+        held.append(batch.slice(first))
+        last = end
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def paired_counts(rows: DataFrame, t: Column, o: Column) -> DataFrame:
     """(key, word, t, o): how often either of two arrays of words holds each word.
 

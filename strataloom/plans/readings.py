@@ -42,11 +42,12 @@ def _parsed(spark, sf_dir):
 
     The first line of a document is its running line; each fifth page has no usable text layer.
     """
-    d = documents(spark, sf_dir).select(F.col("key").alias("doc"), F.split("text", "\n").alias("all"))
-    lined = d.select("doc", F.element_at("all", 1).alias("furniture"), F.posexplode("all").alias("n", "line"))
-    lined = lined.withColumn("page", F.floor(F.col("n") / 4).cast("int") + 1)
-    pages = lined.groupBy("doc", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n").alias("text"), F.first("furniture").alias("furniture"))
-    blocks = lined.where("n % 3 <> 2").select("doc", F.when((F.col("n") % 4 == 0) & (F.col("page") > 1), F.col("page") - 1).otherwise(F.col("page")).alias("page"), F.col("line").alias("text"))
+    d = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("doc"), F.split("text", "\n").alias("all"))
+    texts = F.transform(F.sequence(F.lit(1), F.size("all"), F.lit(4)), lambda first: F.array_join(F.slice("all", first, 4), "\n"))
+    pages = d.select("doc", F.element_at("all", 1).alias("furniture"), F.posexplode(texts).alias("page", "text")).withColumn("page", F.col("page") + 1)
+    n, page = F.col("n"), F.floor(F.col("n") / 4).cast("int") + 1
+    blocks = d.select("doc", F.posexplode("all").alias("n", "line")).where("n % 3 <> 2")
+    blocks = blocks.select("doc", F.when((n % 4 == 0) & (page > 1), page - 1).otherwise(page).alias("page"), F.col("line").alias("text"))
     return pages.withColumn("usable", F.col("page") % 5 != 0), blocks
 
 

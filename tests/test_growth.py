@@ -3,14 +3,16 @@
 import random
 from collections import Counter
 
+import duckdb
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from strataloom.operators import alignment, chunking, comparison, evaluation, kernels, maintenance, quality, relational, tables
 
-from strataloom.plans import content, permissions
+from strataloom.plans import content, permissions, readings
 
+from .compare import difference
 from .rows import _nodes, most_rows
 
 
@@ -100,6 +102,29 @@ def test_running_lines_of_many_words(spark):
     assert found == ["a-1/23", "4.5.6"]
 
 
+def odd_documents(spark, path):
+    """Documents whose ids repeat or are null, with empty and missing texts."""
+    rng = random.Random(3)
+    vocabulary = [f"w{k}" for k in range(9)] + ["1234", "55/678", "a-1.2/33", "x_y"]
+    page = lambda: "\n".join(" ".join(rng.choice(vocabulary) for _ in range(rng.choice([0, 1, 3, 8]))) for _ in range(rng.choice([1, 2, 5, 23, 60])))
+    rows = [(rng.choice([k, k, k, 7, 8, None]), rng.choice([page(), page(), page(), None, "", "\n\n\n\n\n"])) for k in range(120)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/documents.parquet/*.parquet'")
+    return con, sum((t or "").count("\n") + 1 for _, t in rows)
+
+
+def moved_records(df):
+    return sum(node.metrics().apply("shuffleRecordsWritten").value() for node in _nodes(df._jdf.queryExecution().executedPlan()) if node.metrics().contains("shuffleRecordsWritten"))
+
+
+def test_parsers_are_compared_where_documents_lie(spark, tmp_path):
+    con, lines = odd_documents(spark, tmp_path)
+    df = readings.parser_comparison(spark, str(tmp_path))
+    assert difference(df, con, readings.SQL["parser_comparison"]) == ""
+    assert moved_records(df) <= 2 * lines and len(df.inputFiles()) == 1
+
+
 def test_users_and_their_folders_are_not_shuffled_as_pairs(spark, tmp_path):
     n = 400
     tables = {

@@ -146,6 +146,42 @@ def test_users_and_their_folders_are_not_shuffled_as_pairs(spark, tmp_path):
     assert len(rows) == len(set(rows)) > n * n / 2 and max(moved) < n * n / 4
 
 
+def test_users_meet_folders_in_lists(spark):
+    n = 2000
+    users = spark.range(n).select(F.col("id").alias("user_id"), F.lit("member").alias("role"), F.lit("active").alias("status"))
+    members = users.select("user_id", F.lit(1).alias("group_id")).where("false")
+    grants = spark.createDataFrame([("r", "role", "member", "read")], "target string, kind string, principal string, permission string")
+    nodes = spark.createDataFrame([(None, "r", "R")] + [("r", f"c{k}", f"C{k}") for k in range(50)], "parent string, id string, name string")
+    df = relational.readable_folders(grants, users, members, nodes)
+    assert len(set(df.collect())) == 51 * n and moved_records(df) < 10 * n
+
+
+def test_readable_folders_equal_a_walk(spark):
+    rng = random.Random(8)
+    # folders of two parents, a cycle, a parent that isn't there and folders named twice
+    nodes = [(None, "a", "A"), ("q", "z", "Z"), ("x2", "x1", "X"), ("x1", "x2", "X")] + [(rng.choice(["a", "z", "x1", *(f"c{j}" for j in range(k))]), f"c{k}", f"C{k}") for k in range(30)]
+    nodes += [(rng.choice(["a", "x2", "c3"]), f"c{rng.randrange(4, 30)}", "again") for _ in range(5)]
+    ids = sorted({x for _, x, _ in nodes}) + ["nowhere"]
+    users = [(u, rng.choice(["editor", "member"]), "disabled" if u % 7 == 3 else "active") for u in range(25)]
+    members = [(u, rng.randrange(3)) for u in range(25) if rng.random() < 0.6]
+    grants = [(rng.choice(ids), kind, str(p), rng.choice(["read", "write", "manage", "none"])) for kind, ps in (("user", range(25)), ("role", ["editor"]), ("group", range(3))) for p in ps for _ in range(rng.choice([0, 1, 2]))]
+    df = relational.readable_folders(
+        spark.createDataFrame(grants, "target string, kind string, principal string, permission string"), spark.createDataFrame(users, "user_id long, role string, status string"),
+        spark.createDataFrame(members, "user_id long, group_id int"), spark.createDataFrame(nodes, "parent string, id string, name string"),
+    )
+    want = []
+    for u, role, status in users:
+        own = [(t, p) for t, kind, principal, p in grants if (kind, principal) in {("user", str(u)), ("role", role)} | {("group", str(g)) for v, g in members if v == u}]
+        can = {}
+        for least in ("read", "write"):
+            seen = {t for t, p in own if status == "active" and p in ("read", "write", "manage")[least == "write" :]}
+            while more := {x for up, x, _ in nodes if up in seen} - seen:
+                seen |= more
+            can[least] = seen
+        want += [(u, x, name, up if up in can["read"] else None, sum(p == x for p, _, _ in nodes), x in can["write"]) for up, x, name in nodes if x in can["read"]]
+    assert Counter(tuple(r) for r in df.collect()) == Counter(want) and len(want) > 100
+
+
 def test_words_are_scored_once_not_gram_by_gram(spark):
     n = 300
     pages = spark.range(n).select(F.col("id").alias("key"), F.lit("abcdefghijklmnopqrst abcdefghij " * 3).alias("text"))
